@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, without
+from .common import keep_marked, materialise
 
 WINDOW = 32
 #: A chunk has about 2 ** MASK_BITS bytes, and at least and at most these.
@@ -112,20 +112,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`copies` drops, in their own columns.
-
-    Which rows go is decided on narrow rows; the documents are then read once more and
-    filtered, so their texts move only where the dropped rows are too many to broadcast.
-    """
-    found = materialise(copies(docs, id_col, text_col).select("id", "kept", "text_sha256"), "copies")
-    per_text = found.groupBy("id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times"))
-    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
-    here = [(F.col(id_col).cast("long"), "id"), (digest, "text_sha256")]
-    left = without(docs, per_text.filter("not kept"), here)
-    repeated = materialise(per_text.filter("kept and times > 1").select("id", "text_sha256"), "repeated")
-    if repeated.isEmpty():
-        return left
-    from .common import within
-
-    once = within(left, repeated, here).withColumns({"__id": F.col(id_col).cast("long"), "__sha": digest}).dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
-    return without(left, repeated, here).unionByName(once)
+    """``docs`` without the rows that :func:`copies` drops, in their own columns."""
+    marks = copies(docs, id_col, text_col).select("id", F.col("text_sha256").alias("text_key"), "kept")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return keep_marked(docs, materialise(marks, "copies"), F.col(id_col).cast("long"), F.sha2(text.cast("binary"), 256))

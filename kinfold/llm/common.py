@@ -82,6 +82,25 @@ def _semi(docs: DataFrame, other: DataFrame, on: list[tuple[Column, str]], how:
     return docs.join(side, condition, how)
 
 
+def keep_marked(docs: DataFrame, marks: DataFrame, id_key: Column, text_key: Column) -> DataFrame:
+    """``docs`` without the rows that ``marks`` (id, text_key, kept; a row per row of
+    ``docs``) does not keep, in their own columns.
+
+    Which rows go was decided on narrow rows; here the documents are read once more and
+    filtered, so texts move only where the dropped rows are too many to broadcast. Of
+    rows alike in id and text of which some are kept, as many as one stays.
+    """
+    seen = marks.groupBy("id", "text_key").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times"))
+    seen = materialise(seen.filter("not kept or times > 1"), "marks")
+    on = [(id_key, "id"), (text_key, "text_key")]
+    left = without(docs, seen.filter("not kept"), on)
+    repeated = seen.filter("kept")
+    if repeated.isEmpty():
+        return left
+    once = within(left, repeated, on).withColumns({"__id": id_key, "__text": text_key}).dropDuplicates(["__id", "__text"]).drop("__id", "__text")
+    return without(left, repeated, on).unionByName(once)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row.
 

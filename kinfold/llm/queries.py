@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, chunk_dedup, curriculum, decision_list, line_dedup, tool_calls, toxicity, url_filter
+from . import bitplanes, chunk_dedup, curriculum, decision_list, line_dedup, merge_dropout, ngram_join, tool_calls, toxicity, url_filter
 from .common import table
 
 
@@ -30,10 +30,18 @@ def op3_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "unit", "start", "end", "n_words", "digest", F.col("first_id").alias("keep_id"), F.col("first_unit").alias("keep_unit"), "group_size")
 
 
+def op4_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 def op5_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
 
+def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 def op7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = curriculum.assign(table(spark, sf_dir, "documents"))
     return placed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), F.get("positions", F.lit(0)).alias("position"))
@@ -54,4 +62,32 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bit_planes, op2_noisy_or, op3_line_hashing, op5_url_automaton, op7_curriculum, op8_decision_list, op9_tool_calls, op10_chunk_recipes)}
+    return {f.__name__: f for f in (op1_bit_planes, op2_noisy_or, op3_line_hashing, op4_forest_join, op5_url_automaton, op6_merge_dropout, op7_curriculum, op8_decision_list, op9_tool_calls, op10_chunk_recipes)}
+
+
+_ALLOW_BLOCK = """CASE
+    WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+    WHEN rule IS NOT NULL THEN 'block'
+    WHEN canonical LIKE '%.exe' OR canonical LIKE '%.zip' OR canonical LIKE '%.iso' OR canonical LIKE '%.mp4'
+      OR regexp_matches(canonical, '(?s)^[^/]*/.*/(login|cart)/') OR regexp_matches(canonical, '(?s)^[^/]*\\.xn--[^/]*/') THEN 'block'
+    ELSE 'allow' END"""
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB's SQL of the queries that it can express."""
+    return {
+        "op5_url_automaton": f"""
+            WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+            parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+            shown AS (SELECT *, CASE WHEN host = '' THEN '' ELSE '.' || host || path END AS canonical FROM parts),
+            judged AS (SELECT *, CASE
+                WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+                WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+                WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+                WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM shown)
+            SELECT page_id, host, path, rule, {_ALLOW_BLOCK} AS verdict FROM judged""",
+        "op10_chunk_recipes": """
+            SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+            FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    }
