@@ -44,7 +44,7 @@ def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = curriculum.assign(table(spark, sf_dir, "documents"))
-    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken"), F.get("positions", F.lit(0)).alias("position"))
+    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.size("positions")).alias("taken"), F.round(F.get("positions", F.lit(0)), 9).alias("position"))
 
 
 def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,24 @@ def oracle_sql() -> dict[str, str]:
                 WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
                 WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM shown)
             SELECT page_id, host, path, rule, {_ALLOW_BLOCK} AS verdict FROM judged""",
+        "op7_curriculum": r"""
+            WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('curriculum|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS key FROM documents),
+            s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+            w AS (SELECT *, [3.0, 1.0, 2.0][(rank % 3 + 1)::INT]::DOUBLE AS weight, 2.0 * source_size::DOUBLE AS cap FROM s),
+            l AS (SELECT *, cap / weight AS ratio, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM w WINDOW b AS (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+            t AS (SELECT *, least(cap, coalesce(weight * max(level) FILTER (ratio > level) OVER (), cap)) AS target FROM l),
+            c AS (SELECT d.*, source_size, rank, target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2 AS middle FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+            x AS (SELECT *, CASE WHEN size > 0 AND target > 0 THEN (middle < target)::BIGINT + (middle + source_size < target)::BIGINT + (middle + 2 * source_size < target)::BIGINT ELSE 0 END AS copies, middle / target AS share FROM c)
+            SELECT doc_id, size, source_size, round(target, 6) AS target, size * copies AS taken, round(CASE WHEN copies = 0 THEN NULL WHEN rank % 3 = 0 THEN share WHEN rank % 3 = 1 THEN 2 * share / (0.5 + sqrt(0.25 + 2 * share)) ELSE 2 * share / (1.5 + sqrt(2.25 - 2 * share)) END, 9) AS position FROM x""",
+        "op9_tool_calls": """
+            WITH e AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind, CASE role WHEN 'user' THEN 'turn:' || turn WHEN 'assistant' THEN 'turn:' || (turn - 1) END AS call_id FROM conversations),
+            m AS (SELECT e.*, CASE kind WHEN 'message' THEN 'message' WHEN 'call' THEN CASE WHEN EXISTS (SELECT 1 FROM e r WHERE r.kind = 'result' AND r.conv_id = e.conv_id AND r.call_id = e.call_id) THEN 'linked' ELSE 'unanswered' END ELSE CASE WHEN EXISTS (SELECT 1 FROM e r WHERE r.kind = 'call' AND r.conv_id = e.conv_id AND r.call_id = e.call_id) THEN 'linked' ELSE 'orphan' END END AS status FROM e)
+            SELECT conv_id, turn, kind, call_id, status, NULL::VARCHAR AS problem, turn AS rank, 0 AS hop,
+                '{' || CASE WHEN kind = 'call' THEN '"arguments":{"prompt":' || to_json(text) || ',"turn":' || turn || '},' ELSE '' END
+                || CASE WHEN call_id IS NOT NULL THEN '"call_id":' || to_json(call_id) || ',' ELSE '' END
+                || CASE WHEN kind != 'call' THEN '"content":' || to_json(text) || ',' ELSE '' END
+                || '"kind":' || to_json(kind) || ',' || CASE WHEN kind = 'call' THEN '"name":"reply",' ELSE '' END || '"role":' || to_json(role) || ',"status":' || to_json(status) || '}' AS json
+            FROM m""",
         "op10_chunk_recipes": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
