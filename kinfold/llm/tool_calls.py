@@ -22,8 +22,9 @@ Nothing is gathered by conversation, so one of any length is spread over all tas
 Defined results: null or broken JSON is text; a null or empty identifier links nothing
 (status ``orphan`` or ``unanswered``); of several calls or results with one identifier
 the earliest turn (then the smallest text) is linked, the rest are ``duplicate``; rows
-alike in all columns count as one; null arguments are ``{}``; what lies on a cycle, or
-behind one, has a null place and status ``cycle``. Further columns are never read.
+alike in all columns count as one; null arguments are ``{}``; what still moves in
+the second half of ``most_rounds`` lies on a cycle or behind one (or on a chain as long
+that is out of order), and has a null place and status ``cycle``. Further columns are never read.
 """
 
 from __future__ import annotations
@@ -112,7 +113,7 @@ def _places(linked: DataFrame, most_rounds: int) -> DataFrame:
     # only edges that the transcript has out of order move anything; the rest never take part
     places = linked.select("key", start.alias("own"), start.alias("at"))
     moved = None
-    for _ in range(most_rounds):
+    for turn in range(most_rounds):
         before = places.select(F.col("key").alias("sooner"), F.col("at").alias("from"))
         pushed = edges.join(before, "sooner").select("later", F.struct(F.col("from.rank").alias("rank"), (F.col("from.hop") + 1).alias("hop")).alias("push"))
         pushed = pushed.groupBy("later").agg(F.max("push").alias("push"))
@@ -121,12 +122,13 @@ def _places(linked: DataFrame, most_rounds: int) -> DataFrame:
         if changed.isEmpty():
             moved = None
             break
-        moved = changed
+        if turn >= most_rounds // 2:  # what lies on a cycle moves again and again, if not in each round
+            moved = changed.select("k") if moved is None else moved.unionByName(changed.select("k"))
         places = materialise(places.join(changed, places["key"] == changed["k"], "left").select("key", "own", F.coalesce("to", "at").alias("at")), "places")
     final = places.select(F.col("key").alias("of"), "at")
     out = linked.join(final, linked["key"] == final["of"]).drop("of")
     if moved is None:
         return out.select("*", F.col("at.rank").alias("rank"), F.col("at.hop").alias("hop"), F.lit(False).alias("moved"))
-    late = moved.select(F.col("k").alias("late"))
+    late = moved.select(F.col("k").alias("late")).distinct()
     out = out.join(late, out["key"] == late["late"], "left")
     return out.select("*", F.when(F.col("late").isNull(), F.col("at.rank")).alias("rank"), F.when(F.col("late").isNull(), F.col("at.hop")).alias("hop"), F.col("late").isNotNull().alias("moved"))
