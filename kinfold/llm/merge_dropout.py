@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 DROPOUT, SEED, VARIANTS = 0.1, 17, 4
-#: (part, variant) pairs whose ids a task remembers; it then forgets all.
-REMEMBERED = 400_000
+#: (part, variant) pairs of a generation; a worker remembers two generations.
+REMEMBERED = 550_000
 #: Parts of more symbols than this use a heap as their agenda, shorter ones a scan.
 SCANNED = 40
 _PARTS = re.compile(r"\n| *[^ \n]+| +")
@@ -71,11 +71,13 @@ class MergeCodec:
         self.byte_ids = [library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         if any("\n" in p or MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece of this vocabulary crosses a space or a line break")
-        self.text = [library.id_to_piece(i).replace(MARK, " ") for i in range(n)]
-        self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
+        self.raw = [library.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
+        for b, i in enumerate(self.byte_ids):
+            self.raw[i] = bytes([b])
         self.limit = int(dropout * 2**64)
         self.seed, self.variants = seed, max(1, variants) if dropout else 1
-        self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
+        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        self.older, self.room = [{} for _ in range(self.variants)], REMEMBERED
 
     def _agenda_scan(self, parts: list[str], key: int) -> list[str]:
         score, never, limit = self.score.get, NEVER, self.limit
@@ -145,57 +147,42 @@ class MergeCodec:
                     out.append(i)
             return tuple(out)
 
+    def _remembered(self, part: str, variant: int) -> bytes:
+        """Ids of a part as bytes: from the older generation of what is remembered, or anew."""
+        ids = self.older[variant].get(part)
+        if ids is None:
+            ids = array("i", self.part(part, variant)).tobytes()
+        if len(part) <= SCANNED:
+            self.known[variant][part] = ids
+            self.room -= 1
+            if self.room < 0:  # what was not met since the last change is forgotten
+                self.older, self.known, self.room = self.known, [{} for _ in self.known], REMEMBERED
+        return ids
+
     def encode(self, text: str, doc_id: int | None = None) -> array:
         """Ids of a whole text."""
         out = array("i")
         if not text:
-            return tuple(out)
+            return out
         parts = _PARTS.findall(" " + text)
+        found, slow = [], self._remembered
         if self.variants > 1:
             base = np.uint64(mix((self.seed << 32 ^ (-1 if doc_id is None else doc_id)) & _MASK))
             chosen = (mix_all(base + np.arange(len(parts), dtype=np.uint64)) % np.uint64(self.variants)).tolist()
-            known = self.known
             for p, v in zip(parts, chosen, strict=True):
-                ids = known[v].get(p)
-                if ids is None:
-                    ids = self.part(p, v)
-                    if len(p) <= SCANNED:
-                        known[v][p] = ids
-                out.extend(ids)
+                found.append(self.known[v].get(p) or slow(p, v))
         else:
-            known = self.known[0]
             for p in parts:
-                ids = known.get(p)
-                if ids is None:
-                    ids = self.part(p, 0)
-                    if len(p) <= SCANNED:
-                        known[p] = ids
-                out.extend(ids)
-        if sum(map(len, self.known)) > REMEMBERED:
-            for k in self.known:
-                k.clear()
+                found.append(self.known[0].get(p) or slow(p, 0))
+        out.frombytes(b"".join(found))
         return out
 
     def decode(self, ids) -> str:
         """The text that the ids encode."""
         try:
-            joined = "".join([self.text[i] for i in ids])
+            return b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")[1:]
         except IndexError as e:
             raise ValueError("an id is not in the vocabulary") from e
-        if "<0x" in joined:
-            out, raw = [], bytearray()
-            for i in ids:
-                b = self.byte_of.get(i)
-                if b is not None:
-                    raw.append(b)
-                else:
-                    if raw:
-                        out.append(raw.decode("utf-8", "replace"))
-                        raw.clear()
-                    out.append(self.text[i])
-            out.append(raw.decode("utf-8", "replace"))
-            joined = "".join(out)
-        return joined[1:]
 
 
 _CODECS: dict[tuple, MergeCodec] = {}
