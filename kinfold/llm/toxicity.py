@@ -20,6 +20,7 @@ of toxic ones (0 where there are none). Further columns are never read.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 SENTENCE = regex.compile(r"[^.!?\n]+")
 WORD = regex.compile(r"\p{L}+")
 THRESHOLD = 0.7
-SAMPLE_ROWS, SAMPLE_CHARS, MOST_FEATURES, LEAST_G = 5000, 16_000_000, 1000, 18.0
+SAMPLE_ROWS, SAMPLE_CHARS, MOST_FEATURES, LEAST_G = 5000, 16_000_000, 600, 18.0
 ROUNDS, RATE, RIDGE, BIAS = 300, 0.2, 5e-6, -5.0
 #: Lengths of the beginnings of words that are features; most words whose weight a task remembers.
 BEGINNINGS, REMEMBERED = (3, 4, 5, 6), 300_000
@@ -77,16 +78,23 @@ class NoisyOr:
         return [(a, b, p) for a, b in sentences(text) if (p := self.sentence(text[a:b])) >= least]
 
 
-def _chosen(bags: list[list[set[str]]], y: np.ndarray, most: int) -> list[str]:
-    """The features whose presence in a document depends on its label most clearly."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for bag, toxic in zip(bags, y, strict=True):
-        counts[int(toxic)].update(set().union(*bag) if bag else ())
+def _chosen(texts: list[str], y: np.ndarray, most: int) -> list[str]:
+    """The features whose presence in a document goes with its label most clearly.
+
+    Only features of at least three toxic documents are counted in the others, so what is
+    held grows with the toxic part of the sample and not with its vocabulary.
+    """
+    def of(text: str) -> set[str]:
+        return {f for w in set(WORD.findall(text.lower())) for f in features(w)}
+
+    toxic = Counter(f for t, bad in zip(texts, y, strict=True) if bad for f in of(t))
+    toxic = {f: k for f, k in toxic.items() if k >= 3}
+    clean = Counter(f for t, bad in zip(texts, y, strict=True) if not bad for f in of(t) if f in toxic)
     n1 = int(y.sum())
     n0 = len(y) - n1
     scored = []
-    for f, k1 in counts[1].items():
-        k0 = counts[0][f]
+    for f, k1 in toxic.items():
+        k0 = clean[f]
         seen, g = (k0 + k1) / (n0 + n1), 0.0
         for k, n in ((k1, n1), (k0, n0)):
             g += k * np.log(max(k, 1e-9) / (n * seen)) + (n - k) * np.log(max(n - k, 1e-9) / (n * (1 - seen) + 1e-9))
@@ -101,19 +109,17 @@ def fit(texts: list[str], toxic: np.ndarray, most_features: int = MOST_FEATURES,
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         return NoisyOr({}, 0.0, share)
-    of: dict[str, list[str]] = {}
-    bags = [[{f for w in set(WORD.findall(t[a:b].lower())) for f in of.setdefault(w, features(w))} for a, b in sentences(t)] for t in texts]
-    vocabulary = _chosen(bags, y, most_features)
+    vocabulary = _chosen(texts, y, most_features)
     number = {w: i for i, w in enumerate(vocabulary)}
-    row, col, doc, n = [], [], [], 0
-    for d, bag in enumerate(bags):
-        for s in bag:
-            known = [number[w] for w in s if w in number]
-            row += [n] * len(known)
-            col += known
+    row, col, doc, n = array("i"), array("i"), array("i"), 0
+    for d, t in enumerate(texts):
+        for a, b in sentences(t):
+            known = {number[f] for w in set(WORD.findall(t[a:b].lower())) for f in features(w) if f in number}
+            row.extend([n] * len(known))
+            col.extend(sorted(known))
             doc.append(d)
             n += 1
-    row, col, doc = np.array(row, np.int64), np.array(col, np.int64), np.array(doc, np.int64)
+    row, col, doc = (np.array(x, np.int64) for x in (row, col, doc))
     w, b = np.zeros(len(vocabulary)), BIAS
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for k in range(1, rounds + 1):
