@@ -108,6 +108,8 @@ def assign(
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
     own = [F.struct(*[docs[c] for c in docs.columns]).alias("doc")] if payload else []
     rows = docs.select(doc_id.alias("id"), word_count(text).alias("size"), source.alias("source"), key.alias("key"), *own)
+    if not payload:
+        rows = materialise(rows, "sizes")  # narrow rows; texts are read and measured once
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     known = materialise(targets(sizes, weights, epochs, most).withColumn("buckets", F.ceil(F.col("n_rows") / bucket_rows)), "targets").withColumnRenamed("source", "known_source")
     leading = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
