@@ -342,7 +342,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     known = classes.select("words_key", F.col("vertex").alias("v"), "size").join(graph, F.col("v") == graph["vertex"], "left")
     known = known.select(F.col("words_key").alias("key"), F.coalesce("root", "v").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     rows = materialise(signs.join(known, signs["words_key"] == known["key"], "left").select("id", "row", "text_key", F.coalesce("root", "row").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "rows")
-    heads = rows.groupBy(F.col("root").alias("of")).agg(F.min(F.struct("id", "row")).alias("head"))
+    heads = materialise(rows.groupBy(F.col("root").alias("of")).agg(F.min(F.struct("id", "row")).alias("head")), "heads")  # apart, so that a hot class can be split in the join
     return rows.join(heads, rows["root"] == heads["of"]).select("id", "row", "text_key", F.col("head.id").alias("class_id"), "n_links", (F.col("row") == F.col("head.row")).alias("first"))
 
 
