@@ -6,7 +6,7 @@ the weights of the words, so the sentences that offend are found without having
 labelled. The same weights then score each sentence of each whole text.
 
 The model is fitted on the driver on at most ``sample_rows`` labelled rows, chosen by a
-hash of the id (``sample_chars`` bounds their texts). Its features are the at most
+hash of the id, whole texts, as far as they fit into ``sample_chars`` characters. Its features are the at most
 ``most_features`` words and beginnings whose presence in a document goes with the label
 most clearly (G statistic); these are what scoring tasks receive. All rows are scored,
 over whole texts.
@@ -29,13 +29,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SENTENCE = regex.compile(r"[^.!?\n]+")
 WORD = regex.compile(r"\p{L}+")
 THRESHOLD = 0.7
-SAMPLE_ROWS, SAMPLE_CHARS, MOST_FEATURES, LEAST_G = 5000, 16_000_000, 600, 18.0
+SAMPLE_ROWS, SAMPLE_CHARS, MOST_FEATURES, LEAST_G = 5000, 40_000_000, 600, 18.0
 ROUNDS, RATE, RIDGE, BIAS = 300, 0.2, 5e-6, -5.0
 #: Lengths of the beginnings of words that are features; most words whose weight a task remembers.
 BEGINNINGS, REMEMBERED = (3, 4, 5, 6), 300_000
@@ -141,9 +141,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy("__of").agg(F.max("__toxic").alias("__toxic")).orderBy(F.xxhash64("__of"), "__of").limit(sample_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
     got = rows.join(F.broadcast(known), F.col("__id") == F.col("__of")).select("__id", "__text", "__toxic")
-    # a bag keeps its first sentences up to its share of the bound on characters
-    got = got.groupBy("__id").agg(F.min(F.struct(F.substring(F.coalesce("__text", F.lit("")), 1, max(1, sample_chars // sample_rows) * 4).alias("t"), "__toxic")).alias("x"))
-    found = got.select("__id", "x.*").orderBy("__id").toPandas()
+    got = got.groupBy("__id").agg(F.min(F.struct(F.coalesce("__text", F.lit("")).alias("t"), "__toxic")).alias("x")).select("__id", "x.*")
+    # whole texts, in the order of the sample (giants last), as far as they fit; a window over sample_rows rows at most
+    order = Window.orderBy(F.length("t") > sample_chars // 100, F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = got.withColumn("__chars", F.sum(F.length("t")).over(order)).filter(F.col("__chars") <= sample_chars).select("__id", "t", "__toxic").orderBy("__id").toPandas()
     return fit(found["t"].tolist(), found["__toxic"].to_numpy(dtype=np.int64))
 
 
