@@ -184,14 +184,14 @@ def search_proteins(members: DataFrame, sequences: DataFrame | None, stats: Data
 
     member, internal = F.col("member_id"), F.col("internal_id")
     accession, entry = pipe_part(member, 2), pipe_part(member, 3)
-    by = {"PROTEIN_ID": (fits(member), member), "ORTHOFINDER_INTERNAL_ID": (fits(internal), internal), "UNIPROT_ACCESSION": (fits(accession), accession), "UNIPROT_ENTRY": (fits(entry), entry)}
-    order = ["PROTEIN_ID", "ORTHOFINDER_INTERNAL_ID", "UNIPROT_ACCESSION", "UNIPROT_ENTRY"] if exact else ["ORTHOFINDER_INTERNAL_ID", "UNIPROT_ACCESSION", "UNIPROT_ENTRY", "PROTEIN_ID"]
-    found = by["PROTEIN_ID"][0] | by["ORTHOFINDER_INTERNAL_ID"][0] | by["UNIPROT_ACCESSION"][0] | by["UNIPROT_ENTRY"][0]
+    by = {"PROTEIN_ID": (fits(member), member), "INTERNAL_ID": (fits(internal), internal), "UNIPROT_ACCESSION": (fits(accession), accession), "UNIPROT_ENTRY": (fits(entry), entry)}
+    order = ["PROTEIN_ID", "INTERNAL_ID", "UNIPROT_ACCESSION", "UNIPROT_ENTRY"] if exact else ["INTERNAL_ID", "UNIPROT_ACCESSION", "UNIPROT_ENTRY", "PROTEIN_ID"]
+    found = by["PROTEIN_ID"][0] | by["INTERNAL_ID"][0] | by["UNIPROT_ACCESSION"][0] | by["UNIPROT_ENTRY"][0]
     source, matched = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name in reversed(order):
         source, matched = F.when(by[name][0], name).otherwise(source), F.when(by[name][0], by[name][1]).otherwise(matched)
     if exact:
-        source = F.when(by["PROTEIN_ID"][0] & by["ORTHOFINDER_INTERNAL_ID"][0], "PROTEIN_AND_INTERNAL_ID").otherwise(source)
+        source = F.when(by["PROTEIN_ID"][0] & by["INTERNAL_ID"][0], "PROTEIN_AND_INTERNAL_ID").otherwise(source)
     hits = m.filter(found).withColumn("match_source", source).withColumn("matched_identifier", matched).withColumn("internal_id", F.coalesce("internal_id", F.lit(""))).distinct()
     sizes = stats.select(*KEY, "member_count", "species_count", "single_copy_species_count", "max_copies_per_species", "mean_copies_per_species")
     shown = ranked_distance(distances).select(*KEY, "distance_method", "computation_status", "sampled_member_count", "distance_pair_count", "mean_distance", "population_stddev_distance")
@@ -201,7 +201,7 @@ def search_proteins(members: DataFrame, sequences: DataFrame | None, stats: Data
 def identifier_aliases(rows: DataFrame) -> DataFrame:
     """run_id, member_id, species_label, alias, match_authority: a row an identifier."""
     member, internal = F.col("member_id"), F.col("internal_id") if "internal_id" in rows.columns else F.lit(None).cast("string")
-    pairs = [(member, "PROTEIN_ID"), (F.nullif(internal, F.lit("")), "ORTHOFINDER_INTERNAL_ID"), (pipe_part(member, 2), "UNIPROT_ACCESSION"), (pipe_part(member, 3), "UNIPROT_ENTRY")]
+    pairs = [(member, "PROTEIN_ID"), (F.nullif(internal, F.lit("")), "INTERNAL_ID"), (pipe_part(member, 2), "UNIPROT_ACCESSION"), (pipe_part(member, 3), "UNIPROT_ENTRY")]
     stacked = F.explode(F.array(*[F.struct(c.alias("alias"), F.lit(a).alias("match_authority")) for c, a in pairs]))
     return rows.select("run_id", "member_id", "species_label", stacked.alias("x")).select("run_id", "member_id", "species_label", "x.*").filter("alias is not null")
 

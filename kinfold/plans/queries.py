@@ -155,7 +155,7 @@ def all_distance_results(b: Bridge) -> DataFrame:
 
 @query(sql("lines members species stats pairs distances", f"""
     , {_RANKED}, hits AS (SELECT DISTINCT group_id, species_label, member_id, l_orderkey || '_' || l_linenumber AS internal_id FROM (SELECT 'G' || l_orderkey AS group_id, n_name AS species_label, l_partkey || '-' || l_linenumber AS member_id FROM lines) JOIN (SELECT n_name AS s, l_partkey || '-' || l_linenumber AS m, l_orderkey, l_linenumber FROM lines) ON s = species_label AND m = member_id)
-    SELECT h.group_id, h.species_label, h.member_id, h.internal_id, CASE WHEN contains(internal_id, '77') THEN 'ORTHOFINDER_INTERNAL_ID' ELSE 'PROTEIN_ID' END AS match_source, CASE WHEN contains(internal_id, '77') THEN internal_id ELSE member_id END AS matched_identifier, member_count, distance_method
+    SELECT h.group_id, h.species_label, h.member_id, h.internal_id, CASE WHEN contains(internal_id, '77') THEN 'INTERNAL_ID' ELSE 'PROTEIN_ID' END AS match_source, CASE WHEN contains(internal_id, '77') THEN internal_id ELSE member_id END AS matched_identifier, member_count, distance_method
     FROM hits h JOIN stats USING (group_id) LEFT JOIN ranked USING (group_id) WHERE contains(internal_id, '77') OR contains(member_id, '77')"""))
 def protein_search(b: Bridge) -> DataFrame:
     return search.search_proteins(b.members(), b.sequences(), b.stats(), b.distance_statistics(), "77", exact=False).select("group_id", "species_label", "member_id", "internal_id", "match_source", "matched_identifier", "member_count", "distance_method")

@@ -75,7 +75,7 @@ def test_protein_search(spark, resource):
     one = lambda q, exact=True: rows(search.search_proteins(m, seq, resource[0], resource[3], q, exact), "group_id", "match_source", "matched_identifier")
     assert one("P1") == [("HOG3", "UNIPROT_ACCESSION", "P1")]
     assert one("E_1") == [("HOG3", "UNIPROT_ENTRY", "E_1")]
-    assert one("i_a3") == [("HOG3", "ORTHOFINDER_INTERNAL_ID", "i_a3")]
+    assert one("i_a3") == [("HOG3", "INTERNAL_ID", "i_a3")]
     assert one("LITERAL%", False)[0][0] == "HOG2"
 
 
