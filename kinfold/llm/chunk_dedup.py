@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_marked, materialise
+from .common import keep_marked, materialise, release
 
 WINDOW = 32
 #: A chunk has about 2 ** MASK_BITS bytes, and at least and at most these.
@@ -81,11 +81,14 @@ def recipe(data: bytes, **sizes: int) -> list[dict]:
 
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 40
-    for batch in batches:
-        texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-        rows = pa.array(range(row, row + len(texts)), pa.int64())
-        row += len(texts)
-        yield pa.record_batch([batch.column(0), rows, pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([recipe(t) for t in texts], _RECIPES.field("chunks").type)], schema=_RECIPES)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            rows = pa.array(range(row, row + len(texts)), pa.int64())
+            row += len(texts)
+            yield pa.record_batch([batch.column(0), rows, pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([recipe(t) for t in texts], _RECIPES.field("chunks").type)], schema=_RECIPES)
+    release()
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,9 +7,13 @@ costs a re-read and not a recomputation from lost local state.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +105,15 @@ def keep_marked(docs: DataFrame, marks: DataFrame, id_key: Column, text_key: Col
     return without(left, repeated, on).unionByName(once)
 
 
+def release() -> None:
+    """Give freed memory of a Python worker back: workers stay between stages, and what
+    their allocators hold counts against the executor while others need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row.
 

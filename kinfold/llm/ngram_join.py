@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_marked, materialise, within
+from .common import keep_marked, materialise, release, within
 
 WIDTH, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 18, 8, 0.9995
@@ -76,7 +76,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Hashes words (remembering up to ``remembered``) and makes shingles of them."""
 
-    def __init__(self, width: int = WIDTH, remembered: int = 400_000) -> None:
+    def __init__(self, width: int = WIDTH, remembered: int = 200_000) -> None:
         self.width, self.remembered, self.known = width, remembered, {}
 
     def words(self, text: str) -> np.ndarray:
@@ -139,6 +139,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, trees: i
                 rows = pa.array(range(row, row + len(words)), pa.int64())
                 row += len(words)
                 yield pa.record_batch([batch.column(0), rows, batch.column(2), pa.array(keys, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], names=["id", "row", "text_key", "words_key", "labels"])
+        del own
+        release()
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
@@ -224,6 +226,7 @@ def _verify(threshold: float):
                     out += _verified(table.slice(a, b - a), threshold)
             if out:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["vertex", "root", "links"])
+        release()
 
     return run
 
@@ -323,6 +326,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         for batch in batches:
             sets = [np.unique(own.shingles(own.words(t or ""))).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["v", "shingles"])
+        del own
+        release()
 
     # the texts of the wanted classes' first rows, whose key is the id and a hash of the text
     wants = wanted.select("vertex").distinct()

@@ -32,13 +32,15 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import release
+
 SENTENCE = regex.compile(r"[^.!?\n]+")
 WORD = regex.compile(r"\p{L}+")
 THRESHOLD = 0.7
 SAMPLE_ROWS, SAMPLE_CHARS, MOST_FEATURES, LEAST_G = 5000, 40_000_000, 600, 18.0
 ROUNDS, RATE, RIDGE, BIAS = 300, 0.2, 5e-6, -5.0
 #: Lengths of the beginnings of words that are features; most words whose weight a task remembers.
-BEGINNINGS, REMEMBERED = (3, 4, 5, 6), 300_000
+BEGINNINGS, REMEMBERED = (3, 4, 5, 6), 150_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -157,6 +159,8 @@ def score_column(model: NoisyOr, text: Column) -> Column:
         scorer = Scorer(spark_free)
         for texts in batches:
             yield pd.Series(scorer.scores(texts.fillna("").tolist()))
+        del scorer
+        release()
 
     return score(text.cast("string"))
 
