@@ -1,7 +1,9 @@
 """Substring deduplication by hashing lines or paragraphs.
 
-A unit is a line, or a paragraph (lines up to a blank one). Its digest is of its
-normalised form: Unicode-folded words, so case, spacing and punctuation do not count.
+A unit is a line, or a paragraph (lines up to a blank one), or with ``by="both"`` each
+line and each paragraph of more than one line with words. Its digest is of its normalised
+form: Unicode-folded words, so case, spacing, punctuation and, in a paragraph, the places
+where its lines are wrapped do not count.
 Digests are grouped globally, which keeps one small row a digest (minimum of rank and a
 count, combined before the shuffle); the occurrences then meet their group in a plain
 equi-join that Spark may split by skew, so a line that a third of all documents share
@@ -13,6 +15,8 @@ Defined results:
 * units of fewer than ``least_words`` words are no passages and are left alone;
 * rows that repeat an id and its text are one document: nothing is removed for them;
 * a unit repeated inside one document is removed there as well, after its first place;
+* with ``both``, units are numbered by their first line, a paragraph meets a line of the
+  same words, and the words of all that is removed stand at a lower rank;
 * offsets are characters of the original text, the end excluding the line break;
 * null and empty texts have no units; further columns are never read.
 """
@@ -35,7 +39,7 @@ from .common import materialise
 #: Words that a unit needs to be a passage.
 LEAST_WORDS = 20
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
-_SPLIT = {"line": regex.compile(r"[^\n]+"), "paragraph": regex.compile(r"(?:[^\n]+\n?)+")}
+_SPLIT = {"line": regex.compile(r"[^\n]+"), "paragraph": regex.compile(r"(?:[^\n]+\n?)+"), "both": regex.compile(r"[^\n]+")}
 _UNITS = "id long, body long, unit int, start long, end long, n_words int, digest binary"
 _NAMES = [x.split()[0] for x in _UNITS.split(", ")]
 _TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
@@ -48,6 +52,8 @@ def normal(unit: str) -> list[str]:
 
 def units_of(text: str, by: str = "line", least_words: int = LEAST_WORDS) -> list[tuple[int, int, int, int, bytes]]:
     """(number, start, end, words, digest) of each unit that is long enough."""
+    if by == "both":
+        return _lines_and_paragraphs(text, least_words)
     out = []
     for k, m in enumerate(_SPLIT[by].finditer(text)):
         a, b = m.span()
@@ -55,14 +61,41 @@ def units_of(text: str, by: str = "line", least_words: int = LEAST_WORDS) -> lis
         if unit.endswith("\n"):
             b, unit = b - 1, unit[:-1]
         if b - a >= 2 * least_words - 1 and len(words := normal(unit)) >= least_words:
-            out.append((k, a, b, len(words), hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()))
+            out.append((k, a, b, len(words), _digest(words)))
+    return out
+
+
+def _digest(words: list[str]) -> bytes:
+    return hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()
+
+
+def _lines_and_paragraphs(text: str, least_words: int) -> list[tuple[int, int, int, int, bytes]]:
+    out, block, last = [], [], -1  # block: number, start, end and words of a paragraph's lines with words
+
+    def close() -> None:
+        if len(block) > 1:  # a paragraph of one line is that line
+            words = [w for x in block for w in x[3]]
+            if len(words) >= least_words:
+                out.append((block[0][0], block[0][1], block[-1][2], len(words), _digest(words)))
+        block.clear()
+
+    for k, m in enumerate(_SPLIT["both"].finditer(text)):
+        a, b = m.span()
+        if a != last + 1:
+            close()
+        last = b
+        if words := normal(m[0]):
+            block.append((k, a, b, words))
+            if len(words) >= least_words:
+                out.append((k, a, b, len(words), _digest(words)))
+    close()
     return out
 
 
 def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
     """Every unit of every text, with its digest; ``body`` is a hash of the whole text."""
     if by not in _SPLIT:
-        raise ValueError(f"units are lines or paragraphs, not {by}")
+        raise ValueError(f"units are lines, paragraphs or both, not {by}")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +137,7 @@ def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
                 kept, at = [], 0
                 for x in sorted((s["start"], s["end"]) for s in own):
                     kept.append(text[at : x[0]])
-                    at = x[1] + 1 if text[x[1] : x[1] + 1] == "\n" else x[1]
+                    at = max(at, x[1] + 1 if text[x[1] : x[1] + 1] == "\n" else x[1])  # a line may lie in a paragraph
                 text = "".join([*kept, text[at:]])
             out.append(text)
         return pd.Series(out, dtype=object)

@@ -26,7 +26,7 @@ def op2_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.repeats(table(spark, sf_dir, "documents"))
+    found = line_dedup.repeats(table(spark, sf_dir, "documents"), by="both", least_words=3)
     return found.select(F.col("id").alias("doc_id"), "unit", "start", "end", "n_words", "digest", F.col("first_id").alias("keep_id"), F.col("first_unit").alias("keep_unit"), "group_size")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from kinfold.llm import bitplanes, chunk_dedup, curriculum, decision_list, line_dedup, merge_dropout, ngram_join, tool_calls, toxicity, url_filter
 from kinfold.llm.common import materialise
+from kinfold.llm.queries import op3_line_hashing
 
 from .fixtures import docs, none, odd, words
 
@@ -145,6 +146,26 @@ def test_lines_are_cut(spark):
     assert {r["id"] for r in line_dedup.repeats(odd(spark)).collect()} == {2, 6, 13}
 
 
+def test_short_lines_and_wrapped_passages(spark):
+    """Lines of a few words go, and a passage whose lines are too short or wrapped elsewhere."""
+    w = words(60, 5).split()
+    wrapped = lambda n: "\n".join(" ".join(w[k : k + n]) for k in range(0, 60, n))
+    d = docs(spark, [(1, f"one two three four\nown a\n\n{wrapped(2)}", "s"), (2, f"own b\nOne two, three four!\n\n{wrapped(2)}\n\nlast", "s"), (3, " ".join(w), "s"), (4, f"***\n{words(9, 6)}", "s")])
+    found = line_dedup.repeats(d, by="both", least_words=3)
+    assert got(found, "id", "unit", "n_words", "first_id", "first_unit") == [(2, 1, 4, 1, 0), (2, 2, 60, 1, 2), (3, 0, 60, 1, 2)]
+    assert got(line_dedup.remove(d, found), "doc_id", "text")[1:3] == [(2, "own b\n\n\nlast"), (3, "")]
+    same = wrapped(6)
+    d = docs(spark, [(1, same, "s"), (2, f"{same}\n\nlast of all", "s")])
+    assert got(line_dedup.remove(d, line_dedup.repeats(d, by="both", least_words=3)), "doc_id", "text") == [(1, same), (2, "\nlast of all")]
+
+
+def test_query_reports_every_line_of_three_words(spark, table, sf_dir):
+    rows = [tuple(r) for r in table.select("doc_id", "text").collect()]
+    found = set(got(op3_line_hashing(spark, sf_dir), "doc_id", "unit", "start", "end"))
+    assert brute_lines(rows, 3) <= found
+    assert all("\n" in dict(rows)[i][a:b] for i, _, a, b in found - brute_lines(rows, 3))
+
+
 # 4: near copies
 
 
