@@ -484,10 +484,10 @@ def individual_empirical(b: Bridge) -> DataFrame:
 
 @query()
 def profile_contrasts(b: Bridge) -> DataFrame:
-    values = _values(b).filter("group_id like '%0'")
+    values = _values(b)
     names = values.select(F.col("profile_id").alias("target_profile_id")).distinct()
     planned = names.crossJoin(F.broadcast(names.withColumnRenamed("target_profile_id", "reference_profile_id"))).filter("target_profile_id < reference_profile_id")  # ten pairs
-    return benchmark.contrasts(values, planned, 200)
+    return benchmark.contrasts(values, planned)
 
 
 @query()

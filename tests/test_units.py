@@ -1,5 +1,10 @@
 """Kernels and operators on small inputs with values worked out by hand."""
 
+import hashlib
+import random
+import statistics
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -8,6 +13,7 @@ from pyspark.sql import functions as F
 from kinfold.errors import InputError, IntegrityError
 from kinfold.functions import newick, stats, text
 from kinfold.operators import benchmark, catalogue, distances, expression, geometry, memberships, motif, search, taxonomy, trees
+from kinfold.plans import queries
 from kinfold.schemas import KEY, conform, empty, struct
 
 G = ("run", "HOG", "N0")
@@ -231,6 +237,36 @@ def test_benchmark(spark):
     assert benchmark.planned_contrasts(["E3_ALL", "HOUSEKEEPING_ALL", "E3_CATEGORY::x"]) == [("E3_ALL", "HOUSEKEEPING_ALL"), ("E3_CATEGORY::x", "HOUSEKEEPING_ALL"), ("E3_CATEGORY::x", "E3_OTHER")]
 
 
+def brute_bootstrap(target, reference, resamples, label):
+    own = random.Random(int.from_bytes(hashlib.sha256("\x1f".join(label).encode()).digest()[:8], "big"))
+    found = sorted(statistics.median([target[own.randrange(len(target))] for _ in target]) - statistics.median([reference[own.randrange(len(reference))] for _ in reference]) for _ in range(resamples))
+    return stats.quantile(found, 0.025), stats.quantile(found, 0.975)
+
+
+@pytest.mark.parametrize("n, m", [(1, 1), (3, 8), (64, 65), (700, 1001)])
+def test_bootstrap_draws(n, m):
+    rng = random.Random(n)
+    t, r = [rng.gauss(0, 1) for _ in range(n)], [rng.gauss(1, 2) for _ in range(m)]
+    assert stats.bootstrap_median_difference(t, r, 120, ["a", "b"]) == brute_bootstrap(t, r, 120, ["a", "b"])
+
+
+def test_contrasts_are_of_all_groups(spark, sf_dir):
+    sides, groups = defaultdict(list), queries._values(queries.Bridge(spark, sf_dir)).collect()
+    for x in sorted(groups, key=lambda x: x["group_id"]):
+        sides[x["profile_id"], x["metric"]].append(x["value"])
+    found = queries.QUERIES["profile_contrasts"](spark, sf_dir).collect()
+    assert len(found) == 50
+    for k, x in enumerate(found):
+        t, r = sides[x["target_profile_id"], x["metric"]], sides[x["reference_profile_id"], x["metric"]]
+        assert (x["target_group_count"], x["reference_group_count"], x["status"]) == (len(t), len(r), "TESTED")
+        assert x["median_difference"] == pytest.approx(statistics.median(t) - statistics.median(r))
+        assert x["mann_whitney_u"] == sum((a > b) + 0.5 * (a == b) for a in t for b in r)
+        assert x["cliffs_delta"] == pytest.approx(2 * x["mann_whitney_u"] / (len(t) * len(r)) - 1)
+        if k % 20 == 0:
+            low, high = brute_bootstrap(t, r, 2000, [x["target_profile_id"], x["reference_profile_id"], x["metric"]])
+            assert (x["median_difference_ci_low"], x["median_difference_ci_high"]) == (low, high)
+
+
 def test_geometry(spark):
     d = np.array([[0, 3, 4], [3, 0, 5], [4, 5, 0]], float)
     points, shares, lost = geometry.ordinate(d)
