@@ -2,13 +2,13 @@
 
 A text is cut where no piece can cross: before each run of spaces, and around line
 breaks. Each part is encoded by an agenda of candidate merges, best score first and then
-leftmost. A candidate that comes up is skipped for good with probability ``dropout``, by a
-keyed hash of the seed, the part, its variant and the candidate's span (where its two
-sides begin and end); so one seed gives
-one segmentation, on any machine and after any retry. Which of ``variants`` variants an
-occurrence of a part takes follows from a keyed hash of the seed, the document's id and
-the part's number in the text, so repeated words are segmented in different ways, while a
-task can remember the ids of (part, variant).
+leftmost. A candidate that comes up is skipped for good with probability ``dropout``. Which
+ones an occurrence of a part skips (the a-th that comes up, then the b-th, ...) follows from
+keyed hashes of the seed, the document's id and the part's number in the text, as gaps of a
+geometric law; so every occurrence is segmented on its own, and one seed gives one
+segmentation, on any machine and after any retry. Between skips the order of merges is
+fixed, so a task can remember, by a part and the skips so far, the ids and the number of
+candidates that come up if no more are skipped.
 
 With ``dropout`` 0 the ids are those of the SentencePiece library. Decoding does not
 depend on the segmentation: pieces are joined, and characters outside the vocabulary
@@ -23,9 +23,10 @@ Further columns are never read.
 from __future__ import annotations
 
 import heapq
+import math
 import re
-import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
-#: (part, variant) pairs of a generation; a worker remembers two generations.
-REMEMBERED = 550_000
+DROPOUT, SEED = 0.1, 17
+#: (part, skips) entries of a generation; a worker remembers two generations.
+REMEMBERED = 400_000
 #: Parts of more symbols than this use a heap as their agenda, shorter ones a scan.
 SCANNED = 40
 _PARTS = re.compile(r"\n| *[^ \n]+| +")
-_MASK, _ODD, NEVER = (1 << 64) - 1, 0x9E3779B97F4A7C15, float("-inf")
+_MASK, _ODD, NEVER, FAR = (1 << 64) - 1, 0x9E3779B97F4A7C15, float("-inf"), 1 << 40
 
 
 def mix(x: int) -> int:
@@ -60,7 +61,7 @@ def mix_all(x: np.ndarray) -> np.ndarray:
 class MergeCodec:
     """A merge vocabulary: encodes parts, remembers them, and decodes ids."""
 
-    def __init__(self, model: bytes, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> None:
+    def __init__(self, model: bytes, dropout: float = DROPOUT, seed: int = SEED) -> None:
         import sentencepiece
 
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -74,23 +75,45 @@ class MergeCodec:
         self.raw = [library.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
         for b, i in enumerate(self.byte_ids):
             self.raw[i] = bytes([b])
-        self.limit = int(dropout * 2**64)
-        self.seed, self.variants = seed, max(1, variants) if dropout else 1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.older, self.room = [{} for _ in range(self.variants)], REMEMBERED
-
-    def _agenda_scan(self, parts: list[str], key: int) -> list[str]:
-        score, never, limit = self.score.get, NEVER, self.limit
+        self.keep = math.log(1 - dropout) if dropout < 1 else NEVER
+        self.seed, self.dropout = seed, dropout
+        #: Of a dropout that is not tiny, the least hash of each gap.
+        self.least = [2**64 - t for g in range(1, 50_000) if (t := int((1 - dropout) ** g * 2**64))] if dropout >= 0.001 else []
+        self.least_array = np.array(self.least, np.uint64)
+        #: By part, or part and skips: candidates that come up with no further skip, and ids.
+        self.known: dict[str | tuple, tuple[int, bytes]] = {}
+        self.older, self.room = {}, REMEMBERED
+
+    def gaps(self, hashes: np.ndarray) -> np.ndarray:
+        """How many candidates are taken before one is skipped, by a hash."""
+        if not self.dropout:
+            return np.full(len(hashes), FAR)
+        if self.dropout >= 0.001:
+            return np.searchsorted(self.least_array, hashes, "right")
+        return np.minimum(np.log(((hashes >> np.uint64(11)).astype(float) + 1) * 2.0**-53) / self.keep, FAR).astype(np.int64)
+
+    def skips(self, key: int, *known: int) -> Iterator[int]:
+        """Places of the skipped candidates among those that come up; the first may be known."""
+        yield from known
+        at, k = known[-1] if known else -1, len(known)
+        while True:
+            h = mix(key + k * _ODD & _MASK)
+            at += 1 + (bisect_right(self.least, h) if self.least else int(self.gaps(np.array([h], np.uint64))[0]))
+            k += 1
+            yield at
+
+    def _agenda_scan(self, parts: list[str], skips: Iterator[int]) -> tuple[list[str], int]:
+        score, never, come, skip = self.score.get, NEVER, 0, next(skips)
         worth = [score(a + b, never) for a, b in zip(parts, parts[1:], strict=False)]
-        starts = list(range(len(parts) + 1))
         best = max(worth, default=never)
         while best > never:
             i = worth.index(best)
-            if limit and (key ^ (starts[i] << 40 | starts[i + 1] << 20 | starts[i + 2])) * _ODD & _MASK < limit:
-                worth[i] = never
+            come += 1
+            if come > skip:
+                worth[i], skip = never, next(skips)
             else:
                 new = parts[i] = parts[i] + parts.pop(i + 1)
-                del starts[i + 1], worth[i]
+                del worth[i]
                 if i:
                     worth[i - 1] = score(parts[i - 1] + new, never)
                 if i < len(worth):
@@ -98,10 +121,10 @@ class MergeCodec:
                 elif not i:
                     break
             best = max(worth)
-        return parts
+        return parts, come
 
-    def _agenda_heap(self, parts: list[str], key: int) -> list[str]:
-        score, limit, n = self.score.get, self.limit, len(parts)
+    def _agenda_heap(self, parts: list[str], skips: Iterator[int]) -> tuple[list[str], int]:
+        score, n, come, skip = self.score.get, len(parts), 0, next(skips)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         ends = list(range(1, n + 1))
         agenda: list[tuple[float, int, int, int]] = []
@@ -116,7 +139,9 @@ class MergeCodec:
             _, i, j, end = heapq.heappop(agenda)
             if not parts[i] or not parts[j] or after[i] != j or ends[j] != end:
                 continue  # one of the two has been merged since
-            if limit and (key ^ (i << 40 | j << 20 | end)) * _ODD & _MASK < limit:
+            come += 1
+            if come > skip:
+                skip = next(skips)
                 continue
             parts[i] += parts[j]
             parts[j] = ""
@@ -125,18 +150,20 @@ class MergeCodec:
                 before[after[j]] = i
             offer(before[i], i)
             offer(i, after[i])
-        return [p for p in parts if p]
+        return [p for p in parts if p], come
+
+    def part(self, part: str, key: int) -> tuple[int, ...]:
+        """Ids of one part, spaces in it standing for space marks; ``key`` is its occurrence's."""
+        return self._ids(part, self.skips(key))[0]
 
-    def part(self, part: str, variant: int) -> tuple[int, ...]:
-        """Ids of one part, spaces in it standing for space marks."""
+    def _ids(self, part: str, skips: Iterator[int]) -> tuple[tuple[int, ...], int]:
         if MARK in part:
             symbols = [MARK if c == " " else "\0" + c if c == MARK else c for c in part]  # a real mark must not merge
         else:
             symbols = list(part.replace(" ", MARK))
-        key = mix(self.seed * 0x51_7CC1_B727 + variant * 0x2545_F491 + zlib.crc32(part.encode()) & _MASK)
-        symbols = (self._agenda_scan if len(symbols) <= SCANNED else self._agenda_heap)(symbols, key)
+        symbols, come = (self._agenda_scan if len(symbols) <= SCANNED else self._agenda_heap)(symbols, skips)
         try:
-            return tuple([self.ids[s] for s in symbols])
+            return tuple([self.ids[s] for s in symbols]), come
         except KeyError:
             out: list[int] = []
             for s in symbols:
@@ -145,19 +172,29 @@ class MergeCodec:
                     out += [self.byte_ids[b] for b in (s[1:] if s[0] == "\0" and len(s) > 1 else s).encode()]
                 else:
                     out.append(i)
-            return tuple(out)
-
-    def _remembered(self, part: str, variant: int) -> bytes:
-        """Ids of a part as bytes: from the older generation of what is remembered, or anew."""
-        ids = self.older[variant].get(part)
-        if ids is None:
-            ids = array("i", self.part(part, variant)).tobytes()
-        if len(part) <= SCANNED:
-            self.known[variant][part] = ids
-            self.room -= 1
-            if self.room < 0:  # what was not met since the last change is forgotten
-                self.older, self.known, self.room = self.known, [{} for _ in self.known], REMEMBERED
-        return ids
+            return tuple(out), come
+
+    def _remembered(self, part: str, key: int, a: int, b: int) -> bytes:
+        """Ids of an occurrence as bytes: from what is remembered of further skips or in the older generation, or anew."""
+        rest = self.skips(key, a, b)
+        c = b if b >= FAR else (next(rest), next(rest), next(rest))[2]
+        for name, skip in ((part, a), ((part, a), b), ((part, a, b), c)):
+            found = self.known.get(name)
+            if found is None and (found := self.older.get(name)) is not None:
+                self._keep(name, found)
+            if found is not None and skip >= found[0]:
+                return found[1]
+        ids, come = self._ids(part, self.skips(key, a, b))
+        found = come, array("i", ids).tobytes()
+        if len(part) <= SCANNED and c >= come:
+            self._keep(part if a >= come else (part, a) if b >= come else (part, a, b), found)
+        return found[1]
+
+    def _keep(self, name: str | tuple, found: tuple[int, bytes]) -> None:
+        self.known[name] = found
+        self.room -= 1
+        if self.room < 0:  # what was not met since the last change is forgotten
+            self.older, self.known, self.room = self.known, {}, REMEMBERED
 
     def encode(self, text: str, doc_id: int | None = None) -> array:
         """Ids of a whole text."""
@@ -166,14 +203,16 @@ class MergeCodec:
             return out
         parts = _PARTS.findall(" " + text)
         found, slow = [], self._remembered
-        if self.variants > 1:
-            base = np.uint64(mix((self.seed << 32 ^ (-1 if doc_id is None else doc_id)) & _MASK))
-            chosen = (mix_all(base + np.arange(len(parts), dtype=np.uint64)) % np.uint64(self.variants)).tolist()
-            for p, v in zip(parts, chosen, strict=True):
-                found.append(self.known[v].get(p) or slow(p, v))
-        else:
-            for p in parts:
-                found.append(self.known[0].get(p) or slow(p, 0))
+        base = np.uint64(mix((self.seed << 32 ^ (-1 if doc_id is None else doc_id)) & _MASK))
+        keys = mix_all(base + np.arange(len(parts), dtype=np.uint64))
+        first = self.gaps(mix_all(keys))
+        second = first + 1 + self.gaps(mix_all(keys + np.uint64(_ODD)))
+        for p, a, b in zip(parts, first.tolist(), second.tolist(), strict=True):
+            known = self.known
+            if (one := known.get(p)) and a >= one[0] or (one := known.get((p, a))) and b >= one[0]:
+                found.append(one[1])
+            else:
+                found.append(slow(p, int(keys[len(found)]), a, b))
         out.frombytes(b"".join(found))
         return out
 
@@ -188,22 +227,22 @@ class MergeCodec:
 _CODECS: dict[tuple, MergeCodec] = {}
 
 
-def codec(model: bytes, dropout: float, seed: int, variants: int) -> MergeCodec:
+def codec(model: bytes, dropout: float, seed: int) -> MergeCodec:
     """The codec of a worker process, which later tasks find again."""
-    key = (hash(model), dropout, seed, variants)
+    key = (hash(model), dropout, seed)
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = MergeCodec(model, dropout, seed, variants)
+        _CODECS[key] = MergeCodec(model, dropout, seed)
     return _CODECS[key]
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """id, ids, n_ids and lossless (the ids decode to the text) of each row."""
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())  # one file of a fixed vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model.value, dropout, seed, variants)
+        own = codec(model.value, dropout, seed)
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch = whole.slice(a, 500)
@@ -225,7 +264,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "id", ids_col: str
         model = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model.value, 0.0, 0, 1)
+        own = codec(model.value, 0.0, 0)
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([None if x is None else own.decode(x) for x in batch.column(1).to_pylist()], pa.string())], names=["id", "text"])
 

@@ -299,6 +299,33 @@ def test_merge_dropout():
     assert len(everything.encode("abc")) == 4
 
 
+def test_every_occurrence_is_segmented_on_its_own():
+    """No fixed few segmentations of a part, and as many skips as the agenda without any memory has."""
+    model = open(PIECES, "rb").read()
+    own, fresh = merge_dropout.MergeCodec(model), merge_dropout.MergeCodec(model)
+    text = " ".join(["information"] * 4000)
+    first = [tuple(own.part(" information", k)) for k in range(4000)]
+    ids, seen, at = list(own.encode(text, 1)), Counter(), 0
+    while at < len(ids):
+        end = at + 1
+        while end < len(ids) and not own.raw[ids[end]].startswith(b" "):
+            end += 1
+        seen[tuple(ids[at:end])] += 1
+        at = end
+    assert sum(seen.values()) == 4000 and len(seen) > 4  # four variants gave at most four
+    alone = Counter(first)
+    for way, n in (seen + alone).most_common(6):
+        assert abs(seen[way] - alone[way]) < 6 * max(n, 20) ** 0.5
+    merges = own._ids(" information", iter([merge_dropout.FAR]))[1]
+    assert sum(next(own.skips(k)) >= merges for k in range(4000)) / 4000 == pytest.approx(0.9**merges, abs=0.04)
+    # what is remembered changes nothing
+    again = [list(fresh.encode(t, 7)) for t in (words(50), text)]
+    assert again == [list(own.encode(t, 7)) for t in (words(50), text)]
+    base = np.uint64(merge_dropout.mix(own.seed << 32 ^ 7))
+    keys = merge_dropout.mix_all(base + np.arange(4000, dtype=np.uint64)).tolist()
+    assert again[1] == [i for k in keys for i in fresh.part(" information", k)]
+
+
 def test_agendas_agree(monkeypatch):
     own = merge_dropout.MergeCodec(open(PIECES, "rb").read(), 0.3)
     parts = merge_dropout._PARTS.findall(" " + words(150))
