@@ -1,10 +1,11 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash bands of one fixed depth with exact verification (in place
+of an LSH forest: no labels are sorted, and minima beyond the stop depth are not computed).
 
 A document's set is its shingles of ``width`` words. Documents with the same words in the
 same order are one class from the start, so copies are never compared with each other.
 
 Forest: each of ``TREES`` trees labels a class by ``DEPTH`` minima of its shingles'
-hashes; the sorted labels are a prefix trie. Two classes are candidates in a tree if they
+hashes; in a forest the sorted labels would be a prefix trie. Two classes are candidates in a tree if they
 share a prefix. The prefix is shortened from the full label, a minimum at a time, until a
 pair at the threshold is met in some tree with the target recall, 1 - (1 - s^d)^trees;
 so the depth follows from threshold and target. Prefixes are dealt out as keys, so a trie
