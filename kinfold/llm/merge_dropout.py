@@ -1,14 +1,16 @@
 """Encoding and decoding with a SentencePiece merge vocabulary, with seeded merge-dropout.
 
 A text is cut where no piece can cross: before each run of spaces, and around line
-breaks. Each part is encoded by an agenda of candidate merges, best score first and then
-leftmost. A candidate that comes up is skipped for good with probability ``dropout``. Which
-ones an occurrence of a part skips (the a-th that comes up, then the b-th, ...) follows from
-keyed hashes of the seed, the document's id and the part's number in the text, as gaps of a
-geometric law; so every occurrence is segmented on its own, and one seed gives one
-segmentation, on any machine and after any retry. Between skips the order of merges is
-fixed, so a task can remember, by a part and the skips so far, the ids and the number of
-candidates that come up if no more are skipped.
+breaks. Each part has an agenda of candidate merges, best score first and then leftmost.
+The n-th candidate that comes up in a part is skipped for good if a keyed hash of the
+seed, the document's id, the part's number in the text and n falls below ``dropout``; so
+every occurrence of a word is segmented on its own, and one seed gives one segmentation,
+on any machine and after any retry.
+
+The agendas of a block of parts advance together, one candidate of each part a step, on
+arrays: part x symbol, with the merge of each symbol and its right neighbour.
+Parts of more than ``STEPPED`` symbols have a heap of their own. Nothing is remembered
+from block to block, so a task's memory is a block's, however long a text is.
 
 With ``dropout`` 0 the ids are those of the SentencePiece library. Decoding does not
 depend on the segmentation: pieces are joined, and characters outside the vocabulary
@@ -23,25 +25,25 @@ Further columns are never read.
 from __future__ import annotations
 
 import heapq
-import math
 import re
-from array import array
-from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 MARK = "▁"
 DROPOUT, SEED = 0.1, 17
-#: (part, skips) entries of a generation; a worker remembers two generations.
-REMEMBERED = 400_000
-#: Parts of more symbols than this use a heap as their agenda, shorter ones a scan.
-SCANNED = 40
-_PARTS = re.compile(r"\n| *[^ \n]+| +")
-_MASK, _ODD, NEVER, FAR = (1 << 64) - 1, 0x9E3779B97F4A7C15, float("-inf"), 1 << 40
+#: Parts of more symbols than this have a heap of their own.
+STEPPED = 64
+#: Characters of texts encoded together, and cells of a block of agendas.
+CHARACTERS, CELLS = 1_000_000, 1_500_000
+_CUT = re.compile(r"[^ ](?= )|\n")
+_MASK, _ODD = (1 << 64) - 1, 0x9E3779B97F4A7C15
+_NONE, _GONE, _UNKNOWN = np.int32(2**31 - 1), -2, -1
 
 
 def mix(x: int) -> int:
@@ -58,8 +60,14 @@ def mix_all(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class MergeCodec:
-    """A merge vocabulary: encodes parts, remembers them, and decodes ids."""
+    """A merge vocabulary: encodes texts and decodes ids."""
 
     def __init__(self, model: bytes, dropout: float = DROPOUT, seed: int = SEED) -> None:
         import sentencepiece
@@ -67,168 +75,248 @@ class MergeCodec:
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = library.get_piece_size()
         plain = [i for i in range(n) if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i) or library.is_unused(i))]
-        self.ids = {library.id_to_piece(i): i for i in plain}
-        self.score = {p: library.get_score(i) for p, i in self.ids.items() if len(p) > 1}
-        self.byte_ids = [library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        if any("\n" in p or MARK in p.lstrip(MARK) for p in self.ids):
+        ids = {library.id_to_piece(i): i for i in plain}
+        if any("\n" in p or MARK in p.lstrip(MARK) for p in ids):
             raise ValueError("a piece of this vocabulary crosses a space or a line break")
-        self.raw = [library.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
-        for b, i in enumerate(self.byte_ids):
-            self.raw[i] = bytes([b])
-        self.keep = math.log(1 - dropout) if dropout < 1 else NEVER
-        self.seed, self.dropout = seed, dropout
-        #: Of a dropout that is not tiny, the least hash of each gap.
-        self.least = [2**64 - t for g in range(1, 50_000) if (t := int((1 - dropout) ** g * 2**64))] if dropout >= 0.001 else []
-        self.least_array = np.array(self.least, np.uint64)
-        #: By part, or part and skips: candidates that come up with no further skip, and ids.
-        self.known: dict[str | tuple, tuple[int, bytes]] = {}
-        self.older, self.room = {}, REMEMBERED
-
-    def gaps(self, hashes: np.ndarray) -> np.ndarray:
-        """How many candidates are taken before one is skipped, by a hash."""
-        if not self.dropout:
-            return np.full(len(hashes), FAR)
-        if self.dropout >= 0.001:
-            return np.searchsorted(self.least_array, hashes, "right")
-        return np.minimum(np.log(((hashes >> np.uint64(11)).astype(float) + 1) * 2.0**-53) / self.keep, FAR).astype(np.int64)
-
-    def skips(self, key: int, *known: int) -> Iterator[int]:
-        """Places of the skipped candidates among those that come up; the first may be known."""
-        yield from known
-        at, k = known[-1] if known else -1, len(known)
-        while True:
-            h = mix(key + k * _ODD & _MASK)
-            at += 1 + (bisect_right(self.least, h) if self.least else int(self.gaps(np.array([h], np.uint64))[0]))
-            k += 1
-            yield at
-
-    def _agenda_scan(self, parts: list[str], skips: Iterator[int]) -> tuple[list[str], int]:
-        score, never, come, skip = self.score.get, NEVER, 0, next(skips)
-        worth = [score(a + b, never) for a, b in zip(parts, parts[1:], strict=False)]
-        best = max(worth, default=never)
-        while best > never:
-            i = worth.index(best)
-            come += 1
-            if come > skip:
-                worth[i], skip = never, next(skips)
-            else:
-                new = parts[i] = parts[i] + parts.pop(i + 1)
-                del worth[i]
-                if i:
-                    worth[i - 1] = score(parts[i - 1] + new, never)
-                if i < len(worth):
-                    worth[i] = score(new + parts[i + 1], never)
-                elif not i:
-                    break
-            best = max(worth)
-        return parts, come
-
-    def _agenda_heap(self, parts: list[str], skips: Iterator[int]) -> tuple[list[str], int]:
-        score, n, come, skip = self.score.get, len(parts), 0, next(skips)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        ends = list(range(1, n + 1))
-        agenda: list[tuple[float, int, int, int]] = []
+        merged = sorted((p for p in ids if len(p) > 1), key=lambda p: -library.get_score(ids[p]))
+        # symbols: merged pieces, then single characters
+        single = sorted({c for p in ids for c in p})
+        self.symbol = {p: k for k, p in enumerate([*merged, *single])}
+        self.symbol_id = np.array([ids.get(p, _UNKNOWN) for p in self.symbol], np.int64)
+        self.of_character = np.full(0x110000, _UNKNOWN, np.int32)
+        for c in single:
+            self.of_character[ord(c)] = self.symbol[c]
+        self.of_character[ord(" ")] = self.symbol.get(MARK, _UNKNOWN)
+        self.of_character[ord(MARK)] = _UNKNOWN  # a real mark must not merge
+        self.byte_ids = np.array([library.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+        raw = [library.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
+        for b, i in enumerate(self.byte_ids.tolist()):
+            raw[i] = bytes([b])
+        self.raw_length = np.array([len(r) for r in raw], np.int64)
+        self.raw_start = np.cumsum(self.raw_length) - self.raw_length
+        self.raw_bytes = np.frombuffer(b"".join(raw), np.uint8)
+        scores = {s: k for k, s in enumerate(sorted({library.get_score(ids[p]) for p in merged}, reverse=True))}
+        self._pairs(merged, [scores[library.get_score(ids[p])] for p in merged])
+        self.base = seed << 32
+        self.limit = np.uint64(min(int(dropout * 2.0**64), _MASK))
+
+    def _pairs(self, merged: list[str], ranks: list[int]) -> None:
+        """The table of pairs of symbols that merge: open addressing, a row of slots a probe."""
+        known, found = self.symbol, {}
+        for made, p in enumerate(merged):
+            for k in range(1, len(p)):
+                a, b = known.get(p[:k]), known.get(p[k:])
+                if a is not None and b is not None:
+                    found[a << 32 | b] = made
+        keys, made = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int32, len(found))
+        # of each symbol the rank of the merge that makes it; the last stands for no merge
+        self.rank_of = np.append(np.array(ranks, np.int32), np.full(len(known) - len(merged) + 1, _NONE, np.int32))
+        self.bits = max(4, int(len(found)).bit_length() + 1)
+        self.slot_key, self.slot_made = [], []
+        while len(keys):
+            at = self._slot(keys, len(self.slot_key))
+            _, first = np.unique(at, return_index=True)
+            self.slot_key.append(np.full(1 << self.bits, -1, np.int64))
+            self.slot_made.append(np.full(1 << self.bits, -1, np.int32))
+            self.slot_key[-1][at[first]], self.slot_made[-1][at[first]] = keys[first], made[first]
+            left = np.ones(len(keys), bool)
+            left[first] = False
+            keys, made = keys[left], made[left]
+
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        odd = np.uint64(_ODD ^ (probe * 0x5851F42D4C957F2E))
+        return ((keys.view(np.uint64) ^ (keys.view(np.uint64) >> np.uint64(17))) * odd >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def merge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The symbol that each pair merges to, -1 for pairs that do not merge."""
+        keys = a.astype(np.int64) << 32 | b.astype(np.int64) & 0xFFFFFFFF
+        out = np.full(len(keys), -1, np.int32)
+        open_ = np.flatnonzero((a >= 0) & (b >= 0))
+        for probe, (slot_key, slot_made) in enumerate(zip(self.slot_key, self.slot_made, strict=True)):
+            own = keys[open_]
+            at = self._slot(own, probe)
+            there = slot_key[at]
+            hit = there == own
+            out[open_[hit]] = slot_made[at[hit]]
+            open_ = open_[~hit & (there >= 0)]  # an empty slot ends the search
+            if not len(open_):
+                break
+        return out
+
+    def skipped(self, keys: np.ndarray, n: int) -> np.ndarray:
+        """Whether the n-th candidate that comes up in each occurrence is skipped."""
+        return mix_all(keys + np.uint64((n + 1) * _ODD & _MASK)) < self.limit
+
+    def _step(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Final symbols of a block of parts, part by part, and the place of each in ``symbols``."""
+        n, w = len(starts), int(lengths.max())
+        sym = np.full((n, w + 1), _GONE, np.int32)  # the last column stands for no neighbour
+        inside = np.arange(w + 1) < lengths[:, None]
+        sym[inside] = symbols[_ranges(starts, lengths)]
+        made = np.full((n, w + 1), -1, np.int32)  # what each symbol and its right neighbour merge to
+        if w > 1:
+            made[:, : w - 1] = self.merge(sym[:, : w - 1].ravel(), sym[:, 1:w].ravel()).reshape(n, w - 1)
+        rank = self.rank_of[made]
+        after = np.tile(np.arange(1, w + 2, dtype=np.int16), (n, 1))
+        before = np.tile(np.arange(-1, w, dtype=np.int16), (n, 1))
+        before[:, 0] = w
+        after[np.arange(n), lengths - 1] = w
+        rows, turn = np.arange(n), 0
+        while len(rows):
+            own = rank if len(rows) == n else rank[rows]
+            i = own.argmin(axis=1)
+            live = own[np.arange(len(rows)), i] < _NONE
+            rows, i = rows[live], i[live]
+            skip = self.skipped(keys[rows], turn)
+            rank[rows[skip], i[skip]] = _NONE
+            r, i = rows[~skip], i[~skip]
+            j, new = after[r, i], made[r, i]
+            k, h = after[r, j], before[r, i]
+            sym[r, i], sym[r, j], rank[r, j] = new, _GONE, _NONE
+            after[r, i], before[r, k] = k, i
+            for at, found in ((i, self.merge(new, sym[r, k])), (h, self.merge(sym[r, h], new))):
+                made[r, at], rank[r, at] = found, self.rank_of[found]
+            turn += 1
+        sym[:, w] = _GONE
+        left = sym != _GONE
+        place = (starts[:, None] + np.arange(w + 1))[left]
+        return sym[left], place
+
+    def _heap(self, symbols: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
+        """Final symbols of one long part, and the place of each in it."""
+        parts, n, come = symbols.tolist(), len(symbols), 0
+        before, after, end = list(range(-1, n - 1)), [*range(1, n), -1], list(range(1, n + 1))
+        first = self.merge(symbols[:-1], symbols[1:])
+        agenda = [(int(self.rank_of[first[i]]), i, i + 1, i + 2, int(first[i])) for i in np.flatnonzero(first >= 0).tolist()]
+        heapq.heapify(agenda)
 
         def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and (s := score(parts[i] + parts[j])) is not None:
-                heapq.heappush(agenda, (-s, i, j, ends[j]))
+            if i >= 0 and j >= 0 and (s := int(self.merge(np.array([parts[i]]), np.array([parts[j]]))[0])) >= 0:
+                heapq.heappush(agenda, (int(self.rank_of[s]), i, j, end[j], s))
 
-        for i in range(n - 1):
-            offer(i, i + 1)
         while agenda:
-            _, i, j, end = heapq.heappop(agenda)
-            if not parts[i] or not parts[j] or after[i] != j or ends[j] != end:
+            _, i, j, e, s = heapq.heappop(agenda)
+            if parts[i] == _GONE or parts[j] == _GONE or after[i] != j or end[j] != e:
                 continue  # one of the two has been merged since
             come += 1
-            if come > skip:
-                skip = next(skips)
+            if mix(key + come * _ODD & _MASK) < self.limit:
                 continue
-            parts[i] += parts[j]
-            parts[j] = ""
-            ends[i], after[i] = end, after[j]
+            parts[i], parts[j] = s, _GONE
+            end[i], after[i] = e, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             offer(before[i], i)
             offer(i, after[i])
-        return [p for p in parts if p], come
-
-    def part(self, part: str, key: int) -> tuple[int, ...]:
-        """Ids of one part, spaces in it standing for space marks; ``key`` is its occurrence's."""
-        return self._ids(part, self.skips(key))[0]
-
-    def _ids(self, part: str, skips: Iterator[int]) -> tuple[tuple[int, ...], int]:
-        if MARK in part:
-            symbols = [MARK if c == " " else "\0" + c if c == MARK else c for c in part]  # a real mark must not merge
-        else:
-            symbols = list(part.replace(" ", MARK))
-        symbols, come = (self._agenda_scan if len(symbols) <= SCANNED else self._agenda_heap)(symbols, skips)
-        try:
-            return tuple([self.ids[s] for s in symbols]), come
-        except KeyError:
-            out: list[int] = []
-            for s in symbols:
-                i = self.ids.get(s)
-                if i is None:
-                    out += [self.byte_ids[b] for b in (s[1:] if s[0] == "\0" and len(s) > 1 else s).encode()]
-                else:
-                    out.append(i)
-            return tuple(out), come
-
-    def _remembered(self, part: str, key: int, a: int, b: int) -> bytes:
-        """Ids of an occurrence as bytes: from what is remembered of further skips or in the older generation, or anew."""
-        rest = self.skips(key, a, b)
-        c = b if b >= FAR else (next(rest), next(rest), next(rest))[2]
-        for name, skip in ((part, a), ((part, a), b), ((part, a, b), c)):
-            found = self.known.get(name)
-            if found is None and (found := self.older.get(name)) is not None:
-                self._keep(name, found)
-            if found is not None and skip >= found[0]:
-                return found[1]
-        ids, come = self._ids(part, self.skips(key, a, b))
-        found = come, array("i", ids).tobytes()
-        if len(part) <= SCANNED and c >= come:
-            self._keep(part if a >= come else (part, a) if b >= come else (part, a, b), found)
-        return found[1]
-
-    def _keep(self, name: str | tuple, found: tuple[int, bytes]) -> None:
-        self.known[name] = found
-        self.room -= 1
-        if self.room < 0:  # what was not met since the last change is forgotten
-            self.older, self.known, self.room = self.known, {}, REMEMBERED
-
-    def encode(self, text: str, doc_id: int | None = None) -> array:
+        out = np.array(parts)
+        return out[out != _GONE], np.flatnonzero(out != _GONE)
+
+    def encode_points(self, points: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts that begin at ``starts`` of an array of code points, and the number of ids of each."""
+        lengths = np.diff(np.append(starts, len(points)))
+        symbols = self.of_character[points]
+        left = np.zeros(len(points), np.int32)  # at the place of its first character each final symbol, from 1
+        order = np.argsort(lengths, kind="stable")
+        at, short = 0, int(np.searchsorted(lengths[order], STEPPED, "right"))
+        while at < short:
+            most = np.searchsorted(lengths[order[at:short]], max(int(lengths[order[at]]) * 5 // 4, 4), "right")
+            block = order[at : at + max(1, min(int(most), CELLS // (int(lengths[order[at]]) + 2)))]
+            final, place = self._step(symbols, starts[block], lengths[block], keys[block])
+            left[place] = final + 2
+            at += len(block)
+        for p in order[short:].tolist():
+            a = int(starts[p])
+            final, place = self._heap(symbols[a : a + int(lengths[p])], int(keys[p]))
+            left[a + place] = final + 2
+        place = np.flatnonzero(left)
+        final = left[place].astype(np.int64) - 2
+        ids = np.where(final >= 0, self.symbol_id[final], _UNKNOWN)
+        counts = np.ones(len(ids), np.int64)
+        if len(lost := np.flatnonzero(ids < 0)):  # characters outside the vocabulary travel as bytes
+            point, which = np.unique(points[place[lost]], return_inverse=True)
+            spelled = [chr(c).encode() for c in point.tolist()]
+            length = np.array([len(s) for s in spelled])
+            counts[lost] = length[which]
+            ids = np.repeat(ids, counts)
+            begin = np.cumsum(length) - length
+            ids[ids < 0] = self.byte_ids[np.frombuffer(b"".join(spelled), np.uint8)][_ranges(begin[which], length[which])]
+        return ids.astype(np.int32), np.add.reduceat(counts, np.searchsorted(place, starts)) if len(starts) else counts
+
+    def encode_all(self, texts: Sequence[str], doc_ids: Sequence[int | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts one after another, and the number of ids of each text."""
+        out, counts, group, size = [], np.zeros(len(texts), np.int64), [], 0
+
+        def flush() -> None:
+            nonlocal size
+            if group:
+                ids, own = self._group(group)
+                out.append(ids)
+                np.add.at(counts, [g[0] for g in group], own)
+                group.clear()
+                size = 0
+
+        parts_before: dict[int, int] = {}
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            text, at = " " + text, 0
+            while at < len(text):  # a long text in pieces cut between parts
+                found = _CUT.search(text, at + CHARACTERS) if len(text) - at > CHARACTERS else None
+                end = found.end() if found else len(text)
+                piece = text if end - at == len(text) else text[at:end]
+                whole = at == 0 and end == len(text)
+                if whole and size + len(piece) > CHARACTERS or not whole:
+                    flush()
+                group.append((k, piece, doc_ids[k], parts_before.pop(k, 0)))
+                size += len(piece)
+                if not whole:
+                    parts_before[k] = group[0][3] + self._starts(np.frombuffer(piece.encode("utf-32-le"), np.uint32), np.array([0])).size
+                    flush()
+                at = end
+            parts_before.clear()
+        flush()
+        return (np.concatenate(out) if out else np.zeros(0, np.int32)), counts
+
+    @staticmethod
+    def _starts(points: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Where parts begin: at texts, at line breaks and after them, and at the first of a run of spaces."""
+        space, line = points == 32, points == 10
+        begins = line.copy()
+        begins[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+        begins[texts] = True
+        return np.flatnonzero(begins)
+
+    def _group(self, group: list[tuple[int, str, int | None, int]]) -> tuple[np.ndarray, np.ndarray]:
+        points = np.frombuffer("".join(g[1] for g in group).encode("utf-32-le"), np.uint32)
+        lengths = np.array([len(g[1]) for g in group])
+        begin = np.cumsum(lengths) - lengths
+        starts = self._starts(points, begin)
+        first = np.searchsorted(starts, begin)
+        of = np.repeat(np.arange(len(group)), np.diff(np.append(first, len(starts))))
+        bases = np.array([mix((self.base ^ (-1 if g[2] is None else g[2])) & _MASK) for g in group], np.uint64)
+        number = np.arange(len(starts)) - first[of] + np.array([g[3] for g in group])[of]
+        ids, counts = self.encode_points(points, starts, mix_all(bases[of] + number.astype(np.uint64)))
+        return ids, np.add.reduceat(counts, first)
+
+    def encode(self, text: str, doc_id: int | None = None) -> np.ndarray:
         """Ids of a whole text."""
-        out = array("i")
-        if not text:
-            return out
-        parts = _PARTS.findall(" " + text)
-        found, slow = [], self._remembered
-        base = np.uint64(mix((self.seed << 32 ^ (-1 if doc_id is None else doc_id)) & _MASK))
-        keys = mix_all(base + np.arange(len(parts), dtype=np.uint64))
-        first = self.gaps(mix_all(keys))
-        second = first + 1 + self.gaps(mix_all(keys + np.uint64(_ODD)))
-        for p, a, b in zip(parts, first.tolist(), second.tolist(), strict=True):
-            known = self.known
-            if (one := known.get(p)) and a >= one[0] or (one := known.get((p, a))) and b >= one[0]:
-                found.append(one[1])
-            else:
-                found.append(slow(p, int(keys[len(found)]), a, b))
-        out.frombytes(b"".join(found))
-        return out
+        return self.encode_all([text], [doc_id])[0]
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids stand for."""
+        if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < len(self.raw_length):
+            raise ValueError("an id is not in the vocabulary")
+        return self.raw_bytes[_ranges(self.raw_start[ids], self.raw_length[ids])].tobytes()
 
     def decode(self, ids) -> str:
         """The text that the ids encode."""
-        try:
-            return b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")[1:]
-        except IndexError as e:
-            raise ValueError("an id is not in the vocabulary") from e
+        return self.decode_bytes(np.asarray(ids, np.int64)).decode("utf-8", "replace")[1:]
 
 
 _CODECS: dict[tuple, MergeCodec] = {}
 
 
 def codec(model: bytes, dropout: float, seed: int) -> MergeCodec:
-    """The codec of a worker process, which later tasks find again."""
+    """The codec of a worker process, whose tables (a few MB) later tasks find again."""
     key = (hash(model), dropout, seed)
     if key not in _CODECS:
         _CODECS.clear()
@@ -246,13 +334,13 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch = whole.slice(a, 500)
-                doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                found = [own.encode(t or "", i) for i, t in zip(doc_ids, texts, strict=True)]
-                lossless = [own.decode(x) == (t or "") for x, t in zip(found, texts, strict=True)]
-                counts = np.fromiter(map(len, found), np.int64, len(found))
-                values = np.concatenate([np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in found]) if found else np.zeros(0, np.int32)
-                offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                values, counts = own.encode_all(texts, batch.column(0).to_pylist())
+                ends = np.cumsum(counts)
+                lossless = [not t if not n else own.decode_bytes(values[e - n : e])[1:] == t.encode() for t, n, e in zip(texts, counts.tolist(), ends.tolist(), strict=True)]
+                offsets = np.append(0, ends).astype(np.int32)
                 yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(counts), pa.array(lossless, pa.bool_())], names=["id", "ids", "n_ids", "lossless"])
+        release()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, "id long, ids array<int>, n_ids long, lossless boolean")
@@ -267,5 +355,6 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "id", ids_col: str
         own = codec(model.value, 0.0, 0)
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([None if x is None else own.decode(x) for x in batch.column(1).to_pylist()], pa.string())], names=["id", "text"])
+        release()
 
     return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "id long, text string")
