@@ -13,18 +13,22 @@ canonical JSON: keys sorted, no white space.
 
 Order: an event stands after all it depends on (a result after its call, a call after the
 results that its ``after`` names). Its place is (rank, hop), the larger of its own turn
-with hop 0 and, of what it depends on, the place with hop + 1. Places follow by relaxing
-the edges until nothing moves, which takes as many rounds as the longest chain that the
-transcript has out of order (none where it is in order), not as a conversation has turns.
+with hop 0 and, of what it depends on, the place with hop + 1. Conversations whose
+dependencies all point to earlier turns are in order as they stand. The events of the
+others are settled from those without dependencies on: chains of events with one
+dependency are shortened by pointer doubling, in as many rounds as the logarithm of their
+length; what then depends on settled events alone is settled, and the rest goes round
+again. A round that settles nothing has only events that lie on a cycle or behind one.
+No number of rounds is fixed: rounds follow the nesting of events with several
+dependencies, and an order is exact at any length.
 
 Nothing is gathered by conversation, so one of any length is spread over all tasks.
 
 Defined results: null or broken JSON is text; a null or empty identifier links nothing
 (status ``orphan`` or ``unanswered``); of several calls or results with one identifier
 the earliest turn (then the smallest text) is linked, the rest are ``duplicate``; rows
-alike in all columns count as one; null arguments are ``{}``; what still moves in
-the second half of ``most_rounds`` lies on a cycle or behind one (or on a chain as long
-that is out of order), and has a null place and status ``cycle``. Further columns are never read.
+alike in all columns count as one; null arguments are ``{}``; events on a cycle or behind
+one have a null place and status ``cycle``. Further columns are never read.
 """
 
 from __future__ import annotations
@@ -84,7 +88,7 @@ def events(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     return read.select("conv", "turn", "role", F.posexplode(F.coalesce(found, plain)).alias("seq", "e")).select("conv", "turn", "seq", "role", "e.*")
 
 
-def link(turns: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool]]] = SCHEMAS, most_rounds: int = 50, **columns: str) -> DataFrame:
+def link(turns: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool]]] = SCHEMAS, **columns: str) -> DataFrame:
     """A row for each event: conv, turn, seq, kind, call_id, status, problem, rank, hop, json."""
     plain = events(turns, **columns).distinct()
     body = F.coalesce(F.col("arguments"), F.col("content"), F.lit(""))
@@ -96,39 +100,106 @@ def link(turns: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool]]]
     other = F.when(F.col("kind") == "call", F.col("first_result.key")).otherwise(F.col("first_call.key"))
     status = F.when(F.col("kind") == "message", "message").when(own != F.col("key"), "duplicate").when(other.isNotNull(), "linked").when(F.col("kind") == "call", "unanswered").otherwise("orphan")
     wrong = F.when(F.col("kind") == "call", problem(F.col("name"), F.col("arguments"), schemas))
-    linked = materialise(met.select("conv", "turn", "seq", "role", "kind", "call_id", "name", "arguments", "content", "after", "key", F.col("first_call.key").alias("call_key"), status.alias("status"), wrong.alias("problem")), "linked")
-    placed = _places(linked, most_rounds)
+    linked = materialise(met.select("conv", "turn", "seq", "role", "kind", "call_id", "name", "arguments", "content", "after", "key", F.col("first_call.key").alias("call_key"), F.col("first_call.turn").alias("call_turn"), status.alias("status"), wrong.alias("problem")), "linked")
+    placed = _placed(linked)
     record = F.to_json(F.struct(F.expr("CASE WHEN kind = 'call' THEN coalesce(try_parse_json(arguments), parse_json('null')) END").alias("arguments"), F.col("call_id"), F.when(F.col("kind") != "call", F.coalesce("content", F.lit(""))).alias("content"), "kind", "name", "role", "status"))
-    return placed.select("conv", "turn", "seq", "kind", "call_id", F.when(F.col("rank").isNull() & F.col("moved"), "cycle").otherwise(F.col("status")).alias("status"), "problem", "rank", "hop", record.alias("json"))
-
-
-def _places(linked: DataFrame, most_rounds: int) -> DataFrame:
-    """``linked`` with rank, hop and moved."""
-    depends = linked.filter("kind = 'result' and status = 'linked'").select(F.col("key").alias("later"), F.col("call_key").alias("sooner"))
-    wants = linked.select(F.col("conv").alias("c"), F.col("key").alias("later"), F.explode("after").alias("i"))
-    results = linked.filter("kind = 'result' and status = 'linked'").select("conv", F.col("call_id"), F.col("key").alias("sooner"))
-    wants = wants.join(results, F.col("c").eqNullSafe(F.col("conv")) & (F.col("i") == F.col("call_id"))).select("later", "sooner")
-    edges = materialise(depends.unionByName(wants), "edges")
-    start = F.struct(F.coalesce("turn", F.lit(-1)).cast("long").alias("rank"), F.lit(0).alias("hop"))
-    # only edges that the transcript has out of order move anything; the rest never take part
-    places = linked.select("key", start.alias("own"), start.alias("at"))
-    moved = None
-    for turn in range(most_rounds):
-        before = places.select(F.col("key").alias("sooner"), F.col("at").alias("from"))
-        pushed = edges.join(before, "sooner").select("later", F.struct(F.col("from.rank").alias("rank"), (F.col("from.hop") + 1).alias("hop")).alias("push"))
-        pushed = pushed.groupBy("later").agg(F.max("push").alias("push"))
-        now = places.join(pushed, places["key"] == pushed["later"], "left")
-        changed = materialise(now.filter(F.col("push") > F.col("at")).select(F.col("key").alias("k"), F.col("push").alias("to")), "moved")
-        if changed.isEmpty():
-            moved = None
+    return placed.select("conv", "turn", "seq", "kind", "call_id", F.when(F.col("rank").isNull(), "cycle").otherwise(F.col("status")).alias("status"), "problem", "rank", "hop", record.alias("json"))
+
+
+def _later(place: Column, hops: Column) -> Column:
+    """The place ``hops`` behind ``place``."""
+    return F.struct(place["rank"].alias("rank"), (place["hop"] + hops).alias("hop"))
+
+
+def _placed(linked: DataFrame) -> DataFrame:
+    """``linked`` with rank and hop."""
+    rank = F.coalesce("turn", F.lit(-1)).cast("long")
+    own = F.struct(rank.alias("rank"), F.lit(0).cast("long").alias("hop"))
+    answered = linked.filter("kind = 'result' and status = 'linked'")
+    depends = answered.select("conv", F.col("key").alias("later"), F.col("call_key").alias("sooner"), F.coalesce("call_turn", F.lit(-1)).alias("from"), rank.alias("to"))
+    wants = linked.select(F.col("conv").alias("c"), F.col("key").alias("later"), rank.alias("to"), F.explode("after").alias("i"))
+    results = answered.select("conv", "call_id", F.col("key").alias("sooner"), rank.alias("from"))
+    wants = wants.join(results, F.col("c").eqNullSafe(F.col("conv")) & (F.col("i") == F.col("call_id"))).select("conv", "later", "sooner", "from", "to")
+    edges = depends.unionByName(wants)
+    strange = materialise(edges.filter("from >= to").select(F.col("conv").alias("c")).distinct(), "out-of-order")
+    if strange.isEmpty():
+        return linked.select("*", own["rank"].alias("rank"), F.lit(0).alias("hop"))
+    some = linked.join(strange, F.col("conv").eqNullSafe(F.col("c")), "left_semi").select("key", own.alias("place"))
+    inside = edges.join(strange, F.col("conv").eqNullSafe(F.col("c")), "left_semi").select("later", "sooner", F.lit(1).cast("long").alias("hops")).distinct()
+    places = _settled(materialise(some, "events"), materialise(inside, "dependencies"))
+    places = places.select(F.col("key").alias("of"), "place", F.lit(True).alias("sought"))
+    # an event of a conversation out of order that was not settled has no place
+    out = linked.join(strange.withColumn("odd", F.lit(True)), F.col("conv").eqNullSafe(F.col("c")), "left").drop("c")
+    out = out.join(places, out["key"] == places["of"], "left")
+    place = F.when(F.col("odd").isNull(), own).otherwise(F.col("place"))
+    return out.select(*linked.columns, place["rank"].alias("rank"), place["hop"].cast("int").alias("hop"))
+
+
+def _settled(events: DataFrame, edges: DataFrame) -> DataFrame:
+    """key and place of each event that is neither on a cycle nor behind one.
+
+    ``events`` has key and place (its least), ``edges`` later, sooner and hops.
+    """
+    settled, chains = [], []
+    while True:
+        # events by how many dependencies they have left
+        counted = edges.groupBy("later").agg(F.count(F.lit(1)).alias("n"), F.min("sooner").alias("sooner"), F.min("hops").alias("hops"))
+        found = materialise(events.join(counted, events["key"] == counted["later"], "left").select("key", "place", F.coalesce("n", F.lit(0)).alias("n"), "sooner", "hops"), "counted")
+        free = found.filter("n = 0").select("key", "place")
+        chain = _shortened(found.filter("n = 1").select("key", "sooner", "hops", "place"))
+        several = found.filter("n > 1").select("key", "place")
+        settled.append(free)
+        chains.append(chain)
+        if several.isEmpty():
             break
-        if turn >= most_rounds // 2:  # what lies on a cycle moves again and again, if not in each round
-            moved = changed.select("k") if moved is None else moved.unionByName(changed.select("k"))
-        places = materialise(places.join(changed, places["key"] == changed["k"], "left").select("key", "own", F.coalesce("to", "at").alias("at")), "places")
-    final = places.select(F.col("key").alias("of"), "at")
-    out = linked.join(final, linked["key"] == final["of"]).drop("of")
-    if moved is None:
-        return out.select("*", F.col("at.rank").alias("rank"), F.col("at.hop").alias("hop"), F.lit(False).alias("moved"))
-    late = moved.select(F.col("k").alias("late")).distinct()
-    out = out.join(late, out["key"] == late["late"], "left")
-    return out.select("*", F.when(F.col("late").isNull(), F.col("at.rank")).alias("rank"), F.when(F.col("late").isNull(), F.col("at.hop")).alias("hop"), F.col("late").isNotNull().alias("moved"))
+        # dependencies on a chain pass to where the chain begins, those on settled events into the place
+        joined = edges.join(several.select(F.col("key").alias("later")), "later")
+        short = chain.select(F.col("key").alias("sooner"), F.col("sooner").alias("start"), F.col("hops").alias("more"), F.col("place").alias("least"))
+        passed = joined.join(short, "sooner", "left").select("later", F.coalesce("start", "sooner").alias("sooner"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), _later(F.col("least"), F.col("hops")).alias("push"), F.col("least").isNotNull().alias("pushed"))
+        known = free.select(F.col("key").alias("sooner"), F.col("place").alias("settled"))
+        passed = materialise(passed.join(known, "sooner", "left").withColumn("open", F.col("settled").isNull()), "passed")
+        pushes = passed.select("later", F.greatest(F.when(F.col("pushed"), F.col("push")), F.when(~F.col("open"), _later(F.col("settled"), F.col("hops")))).alias("push"))
+        pushes = pushes.groupBy("later").agg(F.max("push").alias("push"))
+        events = materialise(several.join(pushes, several["key"] == pushes["later"], "left").select("key", F.greatest("place", "push").alias("place")), "events")
+        edges = materialise(passed.filter("open").groupBy("later", "sooner").agg(F.max("hops").alias("hops")), "dependencies")
+        fewer = edges.groupBy("later").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").count()
+        if fewer == events.count():
+            break  # each of them has several dependencies left, so none of them begins
+    places = settled.pop()
+    chain = chains.pop()
+    while True:
+        begin = places.select(F.col("key").alias("sooner"), F.col("place").alias("settled"))
+        behind = chain.join(begin, "sooner").select("key", F.greatest("place", _later(F.col("settled"), F.col("hops"))).alias("place"))
+        places = materialise(places.unionByName(behind), "places")
+        if not settled:
+            return places
+        places, chain = places.unionByName(settled.pop()), chains.pop()
+
+
+def _shortened(chain: DataFrame) -> DataFrame:
+    """``chain`` (key, sooner, hops, place) with ``sooner`` moved on to an event outside of it.
+
+    Each round doubles how far an event sees. What sees as far as the chain has events and
+    still looks at one of them is on a cycle or behind one, and is left out.
+    """
+    chain = materialise(chain, "chain")
+    n, far = chain.count(), 1
+    while True:
+        ahead = chain.select(F.col("key").alias("at"), F.col("sooner").alias("next"), F.col("hops").alias("more"), F.col("place").alias("least"))
+        seen = chain.join(ahead, chain["sooner"] == ahead["at"], "left")
+        if far >= n:  # no chain without a cycle is longer
+            return materialise(seen.filter("at is null").select("key", "sooner", "hops", "place"), "chain")
+        moved = materialise(
+            seen.select(
+                "key",
+                F.coalesce("next", "sooner").alias("sooner"),
+                (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
+                F.greatest("place", F.when(F.col("at").isNotNull(), _later(F.col("least"), F.col("hops")))).alias("place"),
+                F.col("at").isNotNull().alias("moved"),
+            ),
+            "chain",
+        )
+        still = moved.filter("moved").isEmpty()
+        chain, far = moved.drop("moved"), 2 * far
+        if still:
+            return chain

@@ -516,7 +516,7 @@ def test_tool_calls(spark):
 
 def test_cycles_have_no_place(spark):
     rows = [turn(1, 0, "a", CALL("x", "t", "{}", ["y"])), turn(1, 1, "t", RESULT("x", "")), turn(1, 2, "a", CALL("y", "t", "{}", ["x"])), turn(1, 3, "t", RESULT("y", "")), turn(1, 4, "user", "free")]
-    found = {r["turn"]: r for r in linked(spark, rows, most_rounds=12).collect()}
+    found = {r["turn"]: r for r in linked(spark, rows).collect()}
     assert [found[t]["status"] for t in range(5)] == ["cycle"] * 4 + ["unanswered"] and found[0]["rank"] is None and found[4]["rank"] == 4
 
 
@@ -531,6 +531,42 @@ def test_order_is_topological(spark):
         assert all(place["result", f"c{j}"] < place["call", f"c{k}"] for j in after[k])
 
 
+def naive_places(turns, edges):
+    """(turn, hop) of each event by Kahn's way; events on a cycle or behind one are missing."""
+    before, place, left = defaultdict(set), {}, dict(turns)
+    for later, sooner in edges:
+        before[later].add(sooner)
+    while ready := [k for k in left if all(s in place for s in before[k])]:
+        for k in ready:
+            place[k] = max([(left.pop(k), 0), *[(place[s][0], place[s][1] + 1) for s in before[k]]])
+    return place
+
+
+@pytest.mark.parametrize("shape", ["reversed", "random", "nested", "cycle"])
+def test_places_are_exact_at_any_length(spark, shape):
+    rng, n = random.Random(9), {"reversed": 500, "random": 60, "nested": 8, "cycle": 70}[shape]
+    after = {k: [k - 1] * (k > 0) for k in range(n)}
+    if shape == "random":
+        after = {k: sorted(rng.sample(range(k), min(k, rng.randrange(4)))) for k in range(n)}
+    if shape == "nested":
+        after = {k: [j for j in (k - 1, k - 2) if j >= 0] for k in range(n)}
+    if shape == "cycle":
+        after[0] = [49]  # calls 0 to 49 lie on a cycle, 50 to 69 behind it
+    turn_of = {("call", k): 2 * n - 2 * k for k in range(n)} | {("result", k): 2 * n - 2 * k - 1 for k in range(n)}
+    if shape == "random":
+        turn_of = {k: rng.randrange(n) for k in turn_of}
+    rows = [turn(1, turn_of["call", k], "a", CALL(f"c{k}", "t", "{}", [f"c{j}" for j in after[k]])) for k in range(n)]
+    rows += [turn(1, turn_of["result", k], "t", RESULT(f"c{k}", f"r{k}")) for k in range(n)] + [turn(2, 0, "user", "hi"), turn(2, 1, "assistant", "yo")]
+    edges = [(("result", k), ("call", k)) for k in range(n)] + [(("call", k), ("result", j)) for k in range(n) for j in after[k]]
+    want = naive_places(turn_of, edges)
+    found = linked(spark, rows).filter("conv = 1").collect()
+    assert len(found) == 2 * n
+    for r in found:
+        own = want.get((r["kind"], int(r["call_id"][1:])))
+        assert (r["rank"], r["hop"]) == (own or (None, None)) and (r["status"] == "cycle") == (own is None)
+    assert (shape == "cycle") == any(r["status"] == "cycle" for r in found)
+
+
 # 10: exact copies
 
 
