@@ -50,7 +50,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._written = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that :func:`materialise` wrote and that no plan to come reads."""
+    for df in tables:
+        if path := getattr(df, "_written", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:

@@ -1,22 +1,29 @@
-"""N-gram Jaccard join by MinHash bands of one fixed depth with exact verification (in place
-of an LSH forest: no labels are sorted, and minima beyond the stop depth are not computed).
+"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 A document's set is its shingles of ``width`` words. Documents with the same words in the
 same order are one class from the start, so copies are never compared with each other.
 
 Forest: each of ``TREES`` trees labels a class by ``DEPTH`` minima of its shingles'
-hashes; in a forest the sorted labels would be a prefix trie. Two classes are candidates in a tree if they
-share a prefix. The prefix is shortened from the full label, a minimum at a time, until a
-pair at the threshold is met in some tree with the target recall, 1 - (1 - s^d)^trees;
-so the depth follows from threshold and target. Prefixes are dealt out as keys, so a trie
-is never in one place.
+hashes; the sorted labels of a tree are its prefix trie. Two classes meet at the longest
+prefix that they share in any tree, in the first tree where it is as long. From a pair of
+similarity s some tree has a shared prefix of d minima with probability
+p_d(s) = 1 - (1 - s^d)^trees; the shortest prefix looked at, the stop depth, is the longest
+one with p_d(threshold) at the target recall. Below each shared prefix of the stop depth
+lies a small trie; these are dealt out by that prefix, so no trie is in one place, and
+within one the sorted labels show the depth at which any two classes part.
+
+Descent: pairs that share the whole label are verified first, then prefixes are shortened
+a minimum at a time. After each level the recall is measured: each pair found so far, of
+similarity s, stands for 1 / p_d(s) pairs, and one pair at the threshold is presumed
+unseen besides. The descent ends where the measured recall reaches the target, at the
+stop depth at the latest.
 
 Candidates are compared where they meet. A prefix that more than ``block`` classes share
 is split into blocks by a hash of the class, and each pair of blocks is a unit of its
 own, so no task gathers an unbounded group, and no pair is left out. A pair is verified
-in the first tree in which it meets, and nowhere else: a first pass over labels alone
-finds which classes have such a pair under which key, and only these are sent there with
-their shingles. Within a unit all overlaps are counted together by posting lists, and
+where it meets, and nowhere else: a first pass over labels alone finds which classes have
+such a pair at which place and level, and only these are sent there with their shingles.
+Within a unit all overlaps are counted together by posting lists, and
 what leaves it is one row a class (its links, and the unit's component that it is in),
 never pairs.
 
@@ -39,16 +46,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_marked, materialise, release, within
+from .common import discard, keep_marked, materialise, release, within
 
 WIDTH, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 18, 8, 0.9995
+TREES, DEPTH, RECALL = 18, 8, 0.9999
 #: Classes of a block: a unit holds two at most.
 BLOCK = 400
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
@@ -103,27 +111,42 @@ class Shingler:
         return _mix(out)
 
 
-def _labels(shingles: list[np.ndarray], trees: int, depth: int, used: int) -> np.ndarray:
-    """A row of prefix hashes for each set, one a tree; sets are not empty."""
+def found_share(similarity: np.ndarray, d: int, trees: int = TREES) -> np.ndarray:
+    """Probability that a pair shares a prefix of d minima in some tree."""
+    return 1 - (1 - np.asarray(similarity, float) ** d) ** trees
+
+
+def _tail_bits(depth: int, stop: int) -> int:
+    """Bits that each minimum below the stop depth has in a tail of 64 bits."""
+    return 64 // max(1, depth - stop)
+
+
+def _labels(shingles: list[np.ndarray], trees: int, depth: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set (none empty) and tree the hash of the prefix of ``stop`` minima, and the
+    further minima packed into one number whose order is that of the labels."""
     flat = np.concatenate(shingles)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in shingles])[:-1]])
     a, b = _numbers(trees * depth, "a") | np.uint64(1), _numbers(trees * depth, "b")
-    out = np.zeros((len(shingles), trees), np.uint64)
-    buffer = np.empty_like(flat)
+    heads, tails = np.zeros((len(shingles), trees), np.uint64), np.zeros((len(shingles), trees), np.uint64)
+    buffer, bits = np.empty_like(flat), _tail_bits(depth, stop)
     for t in range(trees):
-        for k in range(used):  # minima beyond the stop depth would not be looked at
+        for k in range(depth):
             np.multiply(flat, a[t * depth + k], out=buffer)
             np.add(buffer, b[t * depth + k], out=buffer)
-            out[:, t] = _mix(out[:, t] ^ np.minimum.reduceat(buffer, starts)) + np.uint64(t)
-    return out
+            least = np.minimum.reduceat(buffer, starts)
+            if k < stop:
+                heads[:, t] = _mix(heads[:, t] ^ least) + np.uint64(t)
+            else:
+                tails[:, t] |= _mix(least) >> np.uint64(64 - bits) << np.uint64(64 - bits * (k - stop + 1))
+    return heads, tails ^ np.uint64(1 << 63)  # as signed numbers they sort alike
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, trees: int, depth: int, used: int) -> DataFrame:
-    """id, row, text_key, words_key and labels (null for no words) of each row."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, trees: int, depth: int, stop: int) -> DataFrame:
+    """id, row, text_key, words_key, heads and tails (null for no words) of each row."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, row = Shingler(width), TaskContext.get().partitionId() << 40
@@ -133,19 +156,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, trees: i
                 words = [own.words(t or "") for t in batch.column(1).to_pylist()]
                 keys = [hashlib.blake2b(w.tobytes(), digest_size=16).digest() if len(w) else None for w in words]
                 some = [i for i, w in enumerate(words) if len(w)]
-                labels: list = [None] * len(words)
+                heads: list = [None] * len(words)
+                tails: list = [None] * len(words)
                 if some:
-                    for i, x in zip(some, _signed(_labels([own.shingles(words[i]) for i in some], trees, depth, used)).tolist(), strict=True):
-                        labels[i] = x
+                    for labels, found in zip((heads, tails), _labels([own.shingles(words[i]) for i in some], trees, depth, stop), strict=True):
+                        for i, x in zip(some, _signed(found).tolist(), strict=True):
+                            labels[i] = x
                 rows = pa.array(range(row, row + len(words)), pa.int64())
                 row += len(words)
-                yield pa.record_batch([batch.column(0), rows, batch.column(2), pa.array(keys, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], names=["id", "row", "text_key", "words_key", "labels"])
+                yield pa.record_batch([batch.column(0), rows, batch.column(2), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=["id", "row", "text_key", "words_key", "heads", "tails"])
         del own
         release()
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    return narrow.mapInArrow(sign, "id long, row long, text_key long, words_key binary, labels array<long>")
+    return narrow.mapInArrow(sign, "id long, row long, text_key long, words_key binary, heads array<long>, tails array<long>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -181,107 +206,151 @@ def _bounds(table: pa.Table, keys: int) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-def _first_here(labels: np.ndarray, tree: int, part: np.ndarray, i: int, j: int) -> np.ndarray:
-    """Which pairs of a unit meet in this tree and in none before; of a unit of two
-    blocks only pairs across them, of a block with itself all pairs."""
-    met = labels[:, None, tree] == labels[None, :, tree]
-    np.fill_diagonal(met, False)
-    if i != j:
-        met &= part[:, None] != part[None, :]
-    for t in range(tree):
-        if not met.any():
-            break
-        met &= labels[:, None, t] != labels[None, :, t]
-    return met
+def _shared(one: np.ndarray, two: np.ndarray, below: int) -> np.ndarray:
+    """How many minima tails share from the first on, of ``below``."""
+    apart, bits = one ^ two, 64 // max(1, below)
+    out = np.zeros(apart.shape, np.int8)
+    for k in range(1, below + 1):
+        out += apart >> np.uint64(64 - bits * k) == 0
+    return out
+
+
+def _levels(heads: np.ndarray, tails: np.ndarray, tree: int, part: np.ndarray, i: int, j: int, stop: int, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """x, y (x < y) and depth of the shared prefix of the pairs of a unit that meet in it.
+
+    The rows of a unit share a prefix of the stop depth in ``tree`` and are sorted by their
+    tails there, so the depth at which two part is the least between neighbours from one
+    to the other. A pair that shares a longer prefix in another tree, or one as long in a
+    tree before, meets there. Of a unit of two blocks only pairs across them count.
+    """
+    n = len(heads)
+    steps = _shared(tails[:-1, tree], tails[1:, tree], below)
+    x, y = np.triu_indices(n, 1)
+    depth = np.concatenate([np.minimum.accumulate(steps[k:]) for k in range(n - 1)]) if n > 1 else np.zeros(0, np.int8)
+    left = part[x] != part[y] if i != j else np.ones(len(x), bool)
+    x, y, depth = x[left], y[left], depth[left]
+    for t in range(heads.shape[1]):
+        if t == tree or not len(x):
+            continue
+        same = np.flatnonzero(heads[x, t] == heads[y, t])
+        if len(same):
+            other = _shared(tails[x[same], t], tails[y[same], t], below)
+            gone = same[other >= depth[same] if t < tree else other > depth[same]]
+            if len(gone):
+                keep = np.ones(len(x), bool)
+                keep[gone] = False
+                x, y, depth = x[keep], y[keep], depth[keep]
+    return x, y, depth + stop
 
 
 _KEY = ["tree", "label", "i", "j"]
 
 
-def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each unit the classes that have a pair to verify there."""
-    for table in _groups(batches, 4):
-        bounds = _bounds(table, 4)
-        tree, i, j, part = (table.column(c).to_numpy() for c in ("tree", "i", "j", "part"))
-        column = table.column("labels").combine_chunks()
-        labels = np.asarray((column.chunk(0) if isinstance(column, pa.ChunkedArray) else column).flatten()).reshape(table.num_rows, -1)
-        keep = np.zeros(table.num_rows, bool)
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if b - a == 2:
-                one, two = labels[a], labels[a + 1]
-                t = tree[a]
-                if (i[a] == j[a] or part[a] != part[a + 1]) and not (one[:t] == two[:t]).any():
-                    keep[a:b] = True
-            elif b - a > 2:
-                keep[a:b] = _first_here(labels[a:b], tree[a], part[a:b], i[a], j[a]).any(axis=1)
-        yield from table.select([*_KEY, "part", "vertex"]).filter(pa.array(keep)).to_batches()
-
-
-def _verify(threshold: float):
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length, as unsigned numbers."""
+    return np.concatenate([np.asarray(c.flatten()).reshape(len(c), -1) for c in column.chunks]).view(np.uint64)
+
+
+def _wanted(stop: int, below: int):
+    """Of each unit the classes that have a pair to verify there, a row for each level."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 4):
             bounds = _bounds(table, 4)
-            out: list[tuple[int, int, int]] = []
+            tree, i, j, part = (table.column(c).to_numpy() for c in ("tree", "i", "j", "part"))
+            heads, tails = _matrix(table.column("heads")), _matrix(table.column("tails"))
+            rows, levels = [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a > 1:
-                    out += _verified(table.slice(a, b - a), threshold)
+                    x, y, depth = _levels(heads[a:b], tails[a:b], tree[a], part[a:b], i[a], j[a], stop, below)
+                    for d in np.unique(depth).tolist():
+                        own = np.unique(np.concatenate([x[depth == d], y[depth == d]])) + a
+                        rows.append(own)
+                        levels.append(np.full(len(own), d, np.int32))
+            if rows:
+                found = table.select([*_KEY, "part", "vertex"]).take(pa.array(np.concatenate(rows)))
+                yield from found.append_column("level", pa.array(np.concatenate(levels))).to_batches()
+        release()
+
+    return run
+
+
+def _verify(threshold: float, level: int, stop: int, depth: int, trees: int):
+    """Of each unit the linked classes: root in the unit, rows linked to, and by shared
+    prefix the pairs that those found stand for beyond themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, 4):
+            bounds = _bounds(table, 4)
+            out: list[tuple[int, int, int, int, list[float]]] = []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if b - a > 1:
+                    out += _verified(table.slice(a, b - a), threshold, level, stop, depth, trees)
             if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["vertex", "root", "links"])
+                kinds = [*[pa.int64()] * 4, pa.list_(pa.float64())]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["vertex", "root", "links", "pairs", "unseen"])
         release()
 
     return run
 
 
-def _verified(unit: pa.Table, threshold: float) -> list[tuple[int, int, int]]:
-    """(class, its root in the unit, rows it is linked to) for the linked classes of a unit."""
-    n = unit.num_rows
+def _overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many shingles the sets of each pair share; x is sorted."""
+    if len(x) <= 8:
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(x.tolist(), y.tolist(), strict=True)], np.int64)
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    posting, begin = owner[np.argsort(at, kind="stable")], np.concatenate([[0], np.cumsum(np.bincount(at))])
+    place, out = np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(x), np.int64)
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    for a, b in zip(first, [*first[1:], len(x)], strict=True):
+        own = at[place[x[a]] : place[x[a] + 1]]
+        both = np.zeros(n, np.int64)
+        for lo in range(0, len(own), 4096):  # bounded memory for long texts
+            lengths = begin[own[lo : lo + 4096] + 1] - begin[own[lo : lo + 4096]]
+            steps = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            both += np.bincount(posting[np.repeat(begin[own[lo : lo + 4096]], lengths) + steps], minlength=n)
+        out[a:b] = both[y[a:b]]
+    return out
+
+
+def _verified(unit: pa.Table, threshold: float, level: int, stop: int, depth: int, trees: int) -> list[tuple[int, int, int, int, list[float]]]:
+    """(class, its root in the unit, rows it is linked to, pairs, unseen) for the linked
+    classes of a unit; a pair counts with the class that comes first."""
     tree, i, j = (unit.column(c)[0].as_py() for c in ("tree", "i", "j"))
     vertex, weight, part = (unit.column(c).to_numpy() for c in ("vertex", "size", "part"))
-    labels = np.array(unit.column("labels").to_pylist(), np.int64)
+    x, y, level_of = _levels(_matrix(unit.column("heads")), _matrix(unit.column("tails")), tree, part, i, j, stop, depth - stop)
+    x, y = x[level_of == level], y[level_of == level]
+    sizes = np.asarray(pc.divide(pc.binary_length(unit.column("shingles")), 8))
+    near = np.minimum(sizes[x], sizes[y]) >= threshold * np.maximum(sizes[x], sizes[y]) - 1e-9
+    x, y = x[near], y[near]
+    if not len(x):
+        return []
     sets = [np.frombuffer(s, np.uint64) for s in unit.column("shingles").to_pylist()]
-    sizes = np.array([len(s) for s in sets])
-    met = _first_here(labels, tree, part, i, j)
-    linked = np.zeros((n, n), bool)
-    if n <= 8:
-        for x in range(n):
-            for y in np.flatnonzero(met[x, x + 1 :]) + x + 1:
-                if min(sizes[x], sizes[y]) >= threshold * max(sizes[x], sizes[y]):
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    linked[x, y] = linked[y, x] = both >= threshold * (sizes[x] + sizes[y] - both) - 1e-9
-    else:
-        owner = np.repeat(np.arange(n), sizes)
-        _, at = np.unique(np.concatenate(sets), return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        posting, begin = owner[order], np.concatenate([[0], np.cumsum(np.bincount(at))])
-        place = np.concatenate([[0], np.cumsum(sizes)])
-        for x in range(n):
-            if met[x].any():
-                own = at[place[x] : place[x + 1]]
-                lengths = begin[own + 1] - begin[own]
-                both = np.zeros(n, np.int64)
-                for lo in range(0, len(own), 4096):  # bounded memory for long texts
-                    ln = lengths[lo : lo + 4096]
-                    steps = np.arange(ln.sum()) - np.repeat(np.cumsum(ln) - ln, ln)
-                    both += np.bincount(posting[np.repeat(begin[own[lo : lo + 4096]], ln) + steps], minlength=n)
-                linked[x] = met[x] & (both >= threshold * (sizes[x] + sizes - both) - 1e-9)
+    both = _overlaps(sets, x, y)
+    union = sizes[x] + sizes[y] - both
+    linked = both >= threshold * union - 1e-9
+    x, y, similarity = x[linked], y[linked], (both[linked] / union[linked])
+    n = unit.num_rows
+    links = np.bincount(x, weight[y], n) + np.bincount(y, weight[x], n)
+    pairs = np.bincount(x, minlength=n)
+    unseen = np.stack([np.bincount(x, 1 / found_share(similarity, d, trees) - 1, n) for d in range(stop, depth + 1)], axis=1)
     root = np.arange(n)
-    for x in range(n):  # union by the smallest number, with path halving
-        for y in np.flatnonzero(linked[x, x + 1 :]) + x + 1:
-            p, q = x, int(y)
-            while root[p] != p:
-                root[p] = root[root[p]]
-                p = root[p]
-            while root[q] != q:
-                root[q] = root[root[q]]
-                q = root[q]
-            root[max(p, q)] = min(p, q)
+    for p, q in zip(x.tolist(), y.tolist(), strict=True):  # union by the smallest number, with path halving
+        while root[p] != p:
+            root[p] = root[root[p]]
+            p = root[p]
+        while root[q] != q:
+            root[q] = root[root[q]]
+            q = root[q]
+        root[max(p, q)] = min(p, q)
     out = []
-    for x in range(n):
-        if linked[x].any():
-            r = x
-            while root[r] != r:
-                r = root[r]
-            out.append((int(vertex[x]), int(vertex[r]), int(weight[linked[x]].sum())))
+    for k in np.flatnonzero(links).tolist():
+        r = k
+        while root[r] != r:
+            r = root[r]
+        out.append((int(vertex[k]), int(vertex[r]), int(links[k]), int(pairs[k]), unseen[k].tolist()))
     return out
 
 
@@ -295,32 +364,36 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         pulled = roots.join(near, roots["vertex"] == near["v"]).select("vertex", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         pulled = materialise(pulled, "pulled")
         of = pulled.select(F.col("vertex").alias("w"), F.col("root").alias("up"))
-        roots = materialise(pulled.join(of, pulled["root"] == of["w"]).select("vertex", F.least("root", "up").alias("root"), (F.least("root", "up") != F.col("old")).alias("moved")), "roots")
+        last, roots = roots, materialise(pulled.join(of, pulled["root"] == of["w"]).select("vertex", F.least("root", "up").alias("root"), (F.least("root", "up") != F.col("old")).alias("moved")), "roots")
+        discard(last, pulled)
         if roots.filter("moved").isEmpty():
             break
-        roots = roots.select("vertex", "root")
     else:
         raise RuntimeError("components did not settle")
+    discard(both)
     return roots.select("vertex", "root")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """A row per row of ``docs``: id, row, text_key, class_id, n_links and first (it is
     the row of its class with the smallest id, then row)."""
-    used = stop_depth(threshold, recall, trees, depth)
-    signs = materialise(signatures(docs, id_col, text_col, width, trees, depth, used), "signatures")
-    classes = materialise(signs.filter("labels is not null").groupBy("words_key").agg(F.min("row").alias("vertex"), F.count(F.lit(1)).alias("size"), F.first("labels").alias("labels")), "classes")
-    entries = classes.select("vertex", F.posexplode("labels").alias("tree", "label"))
+    spark, stop = docs.sparkSession, stop_depth(threshold, recall, trees, depth)
+    signs = materialise(signatures(docs, id_col, text_col, width, trees, depth, stop), "signatures")
+    classes = signs.filter("heads is not null").groupBy("words_key").agg(F.min("row").alias("vertex"), F.count(F.lit(1)).alias("size"), F.first("heads").alias("heads"), F.first("tails").alias("tails"))
+    classes = materialise(classes, "classes")
+    entries = classes.select("vertex", F.posexplode("heads").alias("tree", "label"))
     shared = entries.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     meets = entries.join(shared, ["tree", "label"])
     blocks = F.ceil(F.col("n") / block).cast("int")
     part = F.pmod(F.xxhash64("vertex", F.lit("part")), blocks).cast("int")
     units = meets.select("vertex", "tree", "label", blocks.alias("blocks"), part.alias("part")).select("vertex", "tree", "label", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     units = materialise(units.select(F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "vertex", "tree", "label", "part"), "units")
-    described = classes.select(F.col("vertex").alias("v"), "labels", "size")
-    full = units.join(described, units["vertex"] == described["v"]).select(*_KEY, "part", "vertex", "labels")
-    dealt = full.repartition(*_KEY).sortWithinPartitions(*_KEY)
-    wanted = materialise(dealt.mapInArrow(_wanted, "tree int, label long, i int, j int, part int, vertex long"), "wanted")
+    described = classes.select(F.col("vertex").alias("v"), "heads", "tails", "size")
+    full = units.join(described, units["vertex"] == described["v"]).select(*_KEY, "part", "vertex", "heads", "tails")
+    tail = F.get("tails", F.col("tree"))
+    dealt = full.repartition(*_KEY).sortWithinPartitions(*_KEY, tail, "vertex")
+    wanted = materialise(dealt.mapInArrow(_wanted(stop, depth - stop), "tree int, label long, i int, j int, part int, vertex long, level int"), "wanted")
+    discard(units)
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingler(width)
@@ -339,15 +412,33 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     here = keyed.select(F.col("id").alias("k"), F.col("text_key").alias("t"), "vertex")
     found = found.join(here, F.col("id").eqNullSafe(F.col("k")) & (F.col("text_key") == F.col("t"))).select("vertex", "text").dropDuplicates(["vertex"])
     sets = found.mapInArrow(shingle, "v long, shingles binary")
-    carried = described.join(sets, "v")
-    ready = wanted.join(carried, wanted["vertex"] == carried["v"]).select(*_KEY, "part", "vertex", "size", "labels", "shingles")
-    links = materialise(ready.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(_verify(threshold), "vertex long, root long, links long"), "links")
+    carried = materialise(described.join(sets, "v"), "carried")
+    discard(keyed)
+    at_level = {r["level"] for r in wanted.select("level").distinct().collect()}  # depth - stop + 1 rows at most
+    found, pairs, unseen = [], 0, np.zeros(depth - stop + 1)
+    for level in range(depth, stop - 1, -1):
+        if level in at_level:
+            here = wanted.filter(F.col("level") == level)
+            ready = here.join(carried, here["vertex"] == carried["v"]).select(*_KEY, "part", "vertex", "size", "heads", "tails", "shingles")
+            ready = ready.repartition(*_KEY).sortWithinPartitions(*_KEY, tail, "vertex")
+            verified = ready.mapInArrow(_verify(threshold, level, stop, depth, trees), "vertex long, root long, links long, pairs long, unseen array<double>")
+            found.append(materialise(verified, "links"))
+            sums = found[-1].agg(F.sum("pairs"), *[F.sum(F.col("unseen")[k]) for k in range(depth - stop + 1)]).first()
+            pairs += sums[0] or 0
+            unseen += np.array([x or 0.0 for x in sums[1:]])
+        presumed = 1 / float(found_share(threshold, level, trees)) - 1
+        if pairs / (pairs + unseen[level - stop] + presumed) >= recall:
+            break
+    links = found[0] if found else spark.createDataFrame([], "vertex long, root long, links long")
+    for more in found[1:]:
+        links = links.unionByName(more)
     roots = components(links.select(F.col("vertex").alias("a"), F.col("root").alias("b")))
     degrees = links.groupBy(F.col("vertex").alias("v")).agg(F.sum("links").alias("links"))
     graph = roots.join(degrees, roots["vertex"] == degrees["v"]).select("vertex", "root", "links")
     known = classes.select("words_key", F.col("vertex").alias("v"), "size").join(graph, F.col("v") == graph["vertex"], "left")
     known = known.select(F.col("words_key").alias("key"), F.coalesce("root", "v").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     rows = materialise(signs.join(known, signs["words_key"] == known["key"], "left").select("id", "row", "text_key", F.coalesce("root", "row").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "rows")
+    discard(signs, classes, wanted, carried, *found)
     heads = materialise(rows.groupBy(F.col("root").alias("of")).agg(F.min(F.struct("id", "row")).alias("head")), "heads")  # apart, so that a hot class can be split in the join
     return rows.join(heads, rows["root"] == heads["of"]).select("id", "row", "text_key", F.col("head.id").alias("class_id"), "n_links", (F.col("row") == F.col("head.row")).alias("first"))
 

@@ -238,6 +238,51 @@ def test_stop_depth():
     assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES
 
 
+def test_pairs_meet_at_their_longest_prefix():
+    """Each pair meets in one tree alone: where its shared prefix is longest, then first."""
+    rng = np.random.default_rng(8)
+    n, trees, stop, depth = 40, 5, 2, 6
+    minima = rng.integers(0, 3, (n, trees, depth))
+    minima[7] = minima[8] = minima[9]
+    bits = ngram_join._tail_bits(depth, stop)
+    heads = np.array([[m[0] * 10 + m[1] + 100 * t for t, m in enumerate(row)] for row in minima], np.uint64)
+    tails = np.array([[sum(int(v) << (64 - bits * (k + 1)) for k, v in enumerate(m[stop:])) for m in row] for row in minima], np.uint64)
+    want, found = {}, []
+    for a in range(n):
+        for b in range(a + 1, n):
+            shared = [next((k for k in range(depth) if x[k] != y[k]), depth) for x, y in zip(minima[a], minima[b], strict=True)]
+            if max(shared) >= stop:
+                want[a, b] = (shared.index(max(shared)), max(shared))
+    for t in range(trees):
+        for label in set(heads[:, t].tolist()):
+            own = sorted(np.flatnonzero(heads[:, t] == label).tolist(), key=lambda v: int(tails[v, t]))  # noqa: B023
+            x, y, d = ngram_join._levels(heads[own], tails[own], t, np.zeros(len(own)), 0, 0, stop, depth - stop)
+            found += [((min(own[a], own[b]), max(own[a], own[b])), (t, int(k))) for a, b, k in zip(x.tolist(), y.tolist(), d.tolist(), strict=True)]
+    assert len(found) == len(want) and dict(found) == want
+
+
+def test_descent_ends_at_the_measured_recall(spark, monkeypatch):
+    """Many pairs alike end the descent early; few go down to the stop depth, and so do pairs near the threshold."""
+    base, levels = words(80, 7).split(), []
+    verify = ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda s, level, *a: (levels.append(level), verify(s, level, *a))[1])
+    alike = [(k, " ".join([*base, f"end{words(1, k)}"]), "s") for k in range(60)]
+    found = ngram_join.join(docs(spark, alike)).collect()
+    assert {(r["class_id"], r["n_links"]) for r in found} == {(0, 59)} and 8 in levels and 4 not in levels
+    levels.clear()
+    assert {r["n_links"] for r in ngram_join.join(docs(spark, [(1, words(40, 1), "s"), (2, words(40, 1) + " end", "s")]), recall=0.9).collect()} == {1}
+    few, share = len(levels), ngram_join.found_share
+    assert few == 1 and share(0.8, 8) < share(0.8, 4) and 1 - share(0.8, ngram_join.stop_depth()) <= 1 - ngram_join.RECALL
+
+
+def test_recall_for_queries(spark, table):
+    """Links of every twentieth document against all others, by brute force."""
+    rows = [tuple(r) for r in table.select("doc_id", "text").collect()]
+    want = {i: n for i, (_, n) in brute_links(rows).items() if i % 20 == 0}
+    found = {r["id"]: r["n_links"] for r in ngram_join.join(table).filter("id % 20 = 0").collect()}
+    assert sum(found.values()) >= 0.9 * sum(want.values()) and all(found[i] <= want[i] for i in want)
+
+
 # 5: urls
 
 
