@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, new_path
+from .common import materialise, new_path, release
 
 MAGIC = b"KBP1"
 BLOCK, LEVEL = 65_536, 3
@@ -168,20 +168,31 @@ def _byte_letters() -> list[str]:
 
 
 class WordEncoder:
-    """Encodes whole texts with a tokenizers file whose pieces never cross white space.
+    """Encodes whole texts with a tokenizers file.
 
-    No pattern of such a file matches across white space and its normaliser leaves white
-    space boundaries alone, so a text's ids are those of its words in order. Each distinct
-    word of a batch is encoded once. Words of plain Latin letters, digits and marks go
-    straight to the library's model; all others through its whole pipeline.
+    If the file's normaliser and splitter are those of ``BY_WORD``, no pattern matches
+    across white space, so a text's ids are those of its words in order. Each distinct word
+    of a batch then is encoded once: words of plain Latin letters, digits and marks go
+    straight to the library's model, all others through its whole pipeline. With any other
+    file the library encodes the whole texts.
     """
 
+    BY_WORD = (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    )
+
     PLAIN = re.compile("[a-zß-öø-ž]+|[0-9]|[!\"#$%&()*+,\\-./:;=>?@\\[\\\\\\]^_`{|}~]+")
 
     def __init__(self, json_text: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(json_text)
+        parts = json.loads(json_text)
+        self.by_word = (parts.get("normalizer"), (parts.get("pre_tokenizer") or {}).get("pretokenizers")) == self.BY_WORD
         self.model = self.whole.model
         self.letters = _byte_letters()
         self.remembered = remembered
@@ -207,6 +218,9 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each."""
+        if not self.by_word:
+            found = [e.ids for e in self.whole.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         offsets = np.asarray(split.offsets)
         coded = split.flatten().dictionary_encode()
@@ -234,7 +248,7 @@ _ENCODERS: dict[int, WordEncoder] = {}
 
 
 def encoder(json_text: str) -> WordEncoder:
-    """The encoder of a worker process, which later tasks find again."""
+    """The encoder of a worker process, whose vocabulary later tasks find again."""
     key = hash(json_text)
     if key not in _ENCODERS:
         _ENCODERS.clear()
@@ -268,6 +282,8 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, id_col:
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, np.uint32(end_id))
                 writer.add(part.column(0).to_pylist(), counts + 1, ids)
+        words.forget()
+        release()
         if writer is not None:
             n = writer.close()
             store.move(tried, final)
