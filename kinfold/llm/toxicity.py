@@ -1,12 +1,13 @@
 """Toxicity by multiple-instance learning: sentences are instances, documents are bags.
 
 A sentence's probability is a logistic function of the distinct words in it, each by
-itself and by its beginnings; a document's is their noisy-or, 1 - prod(1 - p). Only documents have labels, and the likelihood of these trains
-the weights of the words, so the sentences that offend are found without having been
-labelled. The same weights then score each sentence of each whole text.
+itself and by its beginnings; a document's is their noisy-or, 1 - prod(1 - p). Only
+documents have labels, and the likelihood of these trains the weights of the words, so
+the sentences that offend are found without having been labelled. The same weights then score each sentence of each whole text.
 
 The model is fitted on the driver on at most ``sample_rows`` labelled rows, chosen by a
-hash of the id, whole texts, as far as they fit into ``sample_chars`` characters. Its features are the at most
+hash of the id, whole texts, as far as they fit into ``sample_chars`` characters: lengths
+are summed first, and only texts that fit are moved. Its features are the at most
 ``most_features`` words and beginnings whose presence in a document goes with the label
 most clearly (G statistic); these are what scoring tasks receive. All rows are scored,
 over whole texts.
@@ -26,13 +27,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import materialise, release
 
 SENTENCE = regex.compile(r"[^.!?\n]+")
 WORD = regex.compile(r"\p{L}+")
@@ -141,12 +141,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on labelled rows that are not held out; labels are the only other input."""
     known = labels.select(F.col("doc_id").cast("long").alias("__of"), F.col("toxic").alias("__toxic")).filter("__toxic is not null").filter(~held_out(F.col("__of")))
     known = known.groupBy("__of").agg(F.max("__toxic").alias("__toxic")).orderBy(F.xxhash64("__of"), "__of").limit(sample_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    got = rows.join(F.broadcast(known), F.col("__id") == F.col("__of")).select("__id", "__text", "__toxic")
-    got = got.groupBy("__id").agg(F.min(F.struct(F.coalesce("__text", F.lit("")).alias("t"), "__toxic")).alias("x")).select("__id", "x.*")
-    # whole texts, in the order of the sample (giants last), as far as they fit; a window over sample_rows rows at most
-    order = Window.orderBy(F.length("t") > sample_chars // 100, F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = got.withColumn("__chars", F.sum(F.length("t")).over(order)).filter(F.col("__chars") <= sample_chars).select("__id", "t", "__toxic").orderBy("__id").toPandas()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), text.alias("__text"), F.xxhash64(text).alias("__hash"))
+    met = rows.join(F.broadcast(known), F.col("__id") == F.col("__of"))
+    # of rows of one id the shortest text; numbers alone, a row an id of the sample
+    sized = met.groupBy("__id", "__toxic").agg(F.min(F.struct(F.length("__text").alias("n"), F.col("__hash").alias("h"))).alias("x")).select("__id", "__toxic", "x.n", "x.h")
+    # giants last; a window over sample_rows rows at most
+    order = Window.orderBy(F.col("n") > sample_chars // 100, F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = sized.withColumn("__chars", F.sum("n").over(order)).filter(F.col("__chars") <= sample_chars)
+    fits = F.broadcast(materialise(fits.select(F.col("__id").alias("__of"), F.col("h").alias("__own"), "__toxic"), "sample"))
+    got = rows.join(fits, (F.col("__id") == F.col("__of")) & (F.col("__hash") == F.col("__own")))
+    found = got.groupBy("__id").agg(F.min(F.struct(F.col("__text").alias("t"), "__toxic")).alias("x")).select("__id", "x.*").orderBy("__id").toPandas()
     return fit(found["t"].tolist(), found["__toxic"].to_numpy(dtype=np.int64))
 
 
@@ -154,11 +159,11 @@ def score_column(model: NoisyOr, text: Column) -> Column:
     """The document score of a text column, by batches in Arrow."""
     spark_free = model  # goes to the tasks with the function; its size is bounded by MOST_FEATURES
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(spark_free)
         for texts in batches:
-            yield pd.Series(scorer.scores(texts.fillna("").tolist()))
+            yield pa.array(np.concatenate([np.zeros(0), *[scorer.scores([t or "" for t in texts.slice(a, 500).to_pylist()]) for a in range(0, len(texts), 500)]]))
         del scorer
         release()
 
@@ -202,7 +207,7 @@ def locate(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: st
     """A row for each offending sentence: id, start, end (characters) and its probability."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in batches:  # rows of found sentences alone are held
             rows = [(i, a, b, p) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for a, b, p in model.offending(t or "", least)]
             if rows:
                 yield pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["id", "start", "end", "probability"])
