@@ -5,9 +5,10 @@ line and each paragraph of more than one line with words. Its digest is of its n
 form: Unicode-folded words, so case, spacing, punctuation and, in a paragraph, the places
 where its lines are wrapped do not count.
 Digests are grouped globally, which keeps one small row a digest (minimum of rank and a
-count, combined before the shuffle); the occurrences then meet their group in a plain
-equi-join that Spark may split by skew, so a line that a third of all documents share
-needs no task of its own. Texts never move.
+count, combined before the shuffle). Groups of one are dropped and the others written;
+the occurrences then meet them in a join of two tables, which Spark broadcasts or splits
+by skew, so a line that a third of all documents share needs no task of its own. Texts
+never move.
 
 Defined results:
 
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 #: Words that a unit needs to be a passage.
 LEAST_WORDS = 20
@@ -98,7 +99,7 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: s
         raise ValueError(f"units are lines, paragraphs or both, not {by}")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, 500) for whole in batches for a in range(0, whole.num_rows, 500)):
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
@@ -108,18 +109,22 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: s
                         rows.append((i, body, *x))
             columns = zip(*rows, strict=True) if rows else [[]] * len(_TYPES)
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(find, _UNITS)
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: str = "line", least_words: int = LEAST_WORDS) -> DataFrame:
     """A row for each occurrence to remove: id, body, unit, start, end, n_words, digest,
-    first_id and first_unit (the occurrence that stays), group_size (documents' occurrences)."""
+    the occurrence that stays (first_id, first_unit, first_start, first_end) and
+    group_size (documents' occurrences)."""
     found = materialise(units(docs, id_col, text_col, by, least_words), "units")
-    rank = F.struct("id", "body", "unit")
-    groups = found.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count(F.lit(1)).alias("group_size")).filter("first != last")
+    rank = F.struct("id", "body", "unit", "start", "end")
+    groups = found.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialise(groups.filter("first != last").drop("last"), "groups")
     again = found.join(groups, "digest").filter(~rank.eqNullSafe(F.col("first")))
-    return again.select("id", "body", "unit", "start", "end", "n_words", F.hex("digest").alias("digest"), F.col("first.id").alias("first_id"), F.col("first.unit").alias("first_unit"), "group_size")
+    kept = [F.col(f"first.{c}").alias(f"first_{c}") for c in ("id", "unit", "start", "end")]
+    return again.select("id", "body", "unit", "start", "end", "n_words", F.hex("digest").alias("digest"), *kept, "group_size")
 
 
 def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
