@@ -44,8 +44,8 @@ def host_rule(target: str, verdict: str) -> UrlRule:
 
 #: Host and path rules, longest first by priority.
 HOST_RULES = (host_rule("com/", "allow"), host_rule("example.com/en/", "block"), host_rule("www.example.com/en/", "allow"), host_rule("net/es/", "block"), host_rule("net/fr/", "block"))
-#: Patterns that block what no host rule judges: binaries and archives, log-in and basket pages, numeric hosts.
-GLOB_RULES = tuple(UrlRule(None, g, "block", 1) for g in ("**.exe", "**.zip", "**.iso", "**.mp4", "*/**/login/**", "*/**/cart/**", "*.xn--*/**"))
+#: Patterns that block what no host rule judges: binaries and archives, log-in and basket pages, hosts in punycode.
+GLOB_RULES = tuple(UrlRule(None, g, "block", 1) for g in ("**.exe", "**.zip", "**.iso", "**.mp4", "*/login/**", "*/**/login/**", "*/cart/**", "*/**/cart/**", "*.xn--*/**"))
 DEFAULT = "allow"
 
 
@@ -153,7 +153,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         automaton = Automaton(rules)
         names = np.array([r.name for r in rules] + [None], dtype=object)
         verdicts = np.array([r.verdict for r in rules] + [default], dtype=object)
-        for batch in batches:
+        for batch in (whole.slice(a, 4096) for whole in batches for a in range(0, whole.num_rows, 4096)):
             won = automaton.match([f".{h}{p}" if h else "" for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)])
             yield pa.record_batch([*batch.columns, pa.array(names[won], schema[0].type), pa.array(verdicts[won], schema[1].type)], names=["id", "host", "path", "rule", "verdict"])
 
