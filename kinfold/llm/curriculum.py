@@ -13,12 +13,14 @@ the others until none is above (water filling, in closed form over the sorted ca
 
 Running sums are made in buckets of about ``bucket_rows`` documents, bounded for each
 source by the leading digits of the sort key, so a source with a third of all rows is
-spread over as many tasks as it has buckets; only the buckets' sums are summed by source.
+spread over as many tasks as it has buckets; the buckets' sums are summed in ``SPAN``
+buckets at a time, and only the spans' sums by source. Texts take no part in this: they
+meet their positions at the end, in one join.
 
 Defined results: null text has size 0, as has a text of white space; size 0 is never
 taken. Null sources are one source, ordered last. Equal ids are ordered by size, and rows
 alike in all of id, text and source are interchangeable. No rows give no rows. Columns of
-the input other than the three named are carried unread, unless ``payload`` is False.
+the input other than the three named are not read.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded, discard, materialise
 
 #: Weights of the sources by their order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Knots (time, factor) of the weight schedules of the sources by their order, repeating: level, rising, falling.
 SCHEDULES = (((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.5), (1.0, 0.5)))
 EPOCHS, MOST, BUCKET_ROWS, SEED = 1.5, 2.0, 2000, "curriculum"
+#: Buckets whose sums are summed in one group.
+SPAN = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -99,24 +103,26 @@ def assign(
     most: float = MOST,
     bucket_rows: int = BUCKET_ROWS,
     seed: str = SEED,
-    payload: bool = False,
 ) -> DataFrame:
-    """One row per document: id, size, source_size, target and positions, an array with a
-    training position for each copy taken; with ``payload`` also ``doc``, a struct of the
-    input's own columns, which rides along."""
+    """One row per document: id, source, text_key (a hash of the text), size, source_size,
+    target and positions, an array with a training position for each copy taken."""
     doc_id, text, source = F.col(id_col), F.col(text_col).cast("string"), F.col(source_col).cast("string")
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
-    own = [F.struct(*[docs[c] for c in docs.columns]).alias("doc")] if payload else []
-    rows = docs.select(doc_id.alias("id"), word_count(text).alias("size"), source.alias("source"), key.alias("key"), *own)
-    if not payload:
-        rows = materialise(rows, "sizes")  # narrow rows; texts are read and measured once
+    rows = docs.select(doc_id.alias("id"), word_count(text).alias("size"), source.alias("source"), key.alias("key"), F.xxhash64(text).alias("text_key"))
+    rows = materialise(rows, "sizes")  # narrow rows; texts are read and measured once
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     known = materialise(targets(sizes, weights, epochs, most).withColumn("buckets", F.ceil(F.col("n_rows") / bucket_rows)), "targets").withColumnRenamed("source", "known_source")
     leading = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     placed = rows.join(known, F.col("source").eqNullSafe(F.col("known_source"))).withColumn("bucket", F.floor(leading * F.col("buckets") / (1 << 32)))
-    sums = placed.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
-    running = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = materialise(sums.select(F.col("rank").alias("of"), F.col("bucket").alias("in"), F.coalesce(F.sum("words").over(running), F.lit(0)).alias("start")), "starts")
+    span = F.floor(F.col("bucket") / SPAN)
+    sums = materialise(placed.groupBy("rank", "bucket").agg(F.sum("size").alias("words")).withColumn("span", span), "sums")
+    spans = sums.groupBy(F.col("rank").alias("r"), F.col("span").alias("s")).agg(F.sum("words").alias("words"))
+    over_spans = Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("r", "s", F.coalesce(F.sum("words").over(over_spans), F.lit(0)).alias("before"))
+    running = Window.partitionBy("rank", "span").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("rank", "span", "bucket", F.coalesce(F.sum("words").over(running), F.lit(0)).alias("within"))
+    starts = starts.join(spans, (F.col("rank") == F.col("r")) & (F.col("span") == F.col("s")))
+    starts = materialise(starts.select(F.col("rank").alias("of"), F.col("bucket").alias("in"), (F.col("before") + F.col("within")).alias("start")), "starts")
     inside = Window.partitionBy("rank", "bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = placed.withColumn("upto", F.sum("size").over(inside))
     laid = summed.join(starts, (F.col("rank") == F.col("of")) & (F.col("bucket") == F.col("in")))
@@ -131,13 +137,19 @@ def assign(
             out = F.when(kind == i, _time_at(share, knots)).otherwise(out)
         return out
 
-    return laid.select("id", "size", "source_size", "target", F.transform(shares, time_of).alias("positions"), *(["doc"] if payload else []))
+    return laid.select("id", "source", "text_key", "size", "source_size", "target", F.transform(shares, time_of).alias("positions"))
 
 
-def schedule(docs: DataFrame, **options) -> DataFrame:
+def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` in training order: a row for each copy taken, in the columns of ``docs``,
     range-sorted by position (copies of a document stand at their own positions)."""
-    options.pop("payload", None)
-    placed = assign(docs, payload=True, **options)
-    copies = placed.select("doc", "id", F.explode("positions").alias("position"))
-    return copies.repartitionByRange("position", "id").sortWithinPartitions("position", "id").select("doc.*")
+    placed = assign(docs, id_col, text_col, source_col, **options).filter(F.size("positions") > 0)
+    alike = placed.groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__text"), F.col("source").alias("__source"))
+    taken = materialise(alike.agg(F.flatten(F.collect_list("positions")).alias("__positions"), F.count(F.lit(1)).alias("__rows")), "taken")  # rows of one id, text and source
+    side = F.broadcast(taken) if bounded(taken) else taken
+    on = F.col(id_col).eqNullSafe(F.col("__id")) & F.xxhash64(F.col(text_col).cast("string")).eqNullSafe(F.col("__text")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
+    met = docs.join(side, on)
+    if not taken.filter("__rows > 1").isEmpty():  # of rows alike one carries the copies of all
+        met = met.filter("__rows = 1").unionByName(met.filter("__rows > 1").dropDuplicates(["__id", "__text", "__source"]))
+    copies = met.select(*[docs[c] for c in docs.columns], F.explode("__positions").alias("__position"), "__id")
+    return copies.repartitionByRange("__position", "__id").sortWithinPartitions("__position", "__id").select(*docs.columns)

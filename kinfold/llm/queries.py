@@ -27,7 +27,7 @@ def op2_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.repeats(table(spark, sf_dir, "documents"), by="both", least_words=3)
-    return found.select(F.col("id").alias("doc_id"), "unit", "start", "end", "n_words", "digest", F.col("first_id").alias("keep_id"), F.col("first_unit").alias("keep_unit"), "group_size")
+    return found.select(F.col("id").alias("doc_id"), "unit", "start", "end", "n_words", "digest", F.col("first_id").alias("keep_id"), F.col("first_unit").alias("keep_unit"), F.col("first_start").alias("keep_start"), F.col("first_end").alias("keep_end"), "group_size")
 
 
 def op4_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,10 @@ def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = curriculum.assign(table(spark, sf_dir, "documents"))
-    return placed.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.size("positions")).alias("taken"), F.round(F.get("positions", F.lit(0)), 9).alias("position"))
+    first, second = (F.round(F.get("positions", F.lit(k)), 9) for k in (0, 1))
+    taken = (F.col("size") * F.size("positions")).alias("taken")
+    found = placed.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), taken, first.alias("position"), second.alias("second_position"))
+    return found.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op8_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +72,7 @@ _ALLOW_BLOCK = """CASE
     WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
     WHEN rule IS NOT NULL THEN 'block'
     WHEN canonical LIKE '%.exe' OR canonical LIKE '%.zip' OR canonical LIKE '%.iso' OR canonical LIKE '%.mp4'
-      OR regexp_matches(canonical, '(?s)^[^/]*/.*/(login|cart)/') OR regexp_matches(canonical, '(?s)^[^/]*\\.xn--[^/]*/') THEN 'block'
+      OR regexp_matches(canonical, '(?s)^[^/]*/(.*/)?(login|cart)/') OR regexp_matches(canonical, '(?s)^[^/]*\\.xn--[^/]*/') THEN 'block'
     ELSE 'allow' END"""
 
 
@@ -95,7 +98,10 @@ def oracle_sql() -> dict[str, str]:
             t AS (SELECT *, least(cap, coalesce(weight * max(level) FILTER (ratio > level) OVER (), cap)) AS target FROM l),
             c AS (SELECT d.*, source_size, rank, target, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2 AS middle FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
             x AS (SELECT *, CASE WHEN size > 0 AND target > 0 THEN (middle < target)::BIGINT + (middle + source_size < target)::BIGINT + (middle + 2 * source_size < target)::BIGINT ELSE 0 END AS copies, middle / target AS share FROM c)
-            SELECT doc_id, size, source_size, round(target, 6) AS target, size * copies AS taken, round(CASE WHEN copies = 0 THEN NULL WHEN rank % 3 = 0 THEN share WHEN rank % 3 = 1 THEN 2 * share / (0.5 + sqrt(0.25 + 2 * share)) ELSE 2 * share / (1.5 + sqrt(2.25 - 2 * share)) END, 9) AS position FROM x""",
+            SELECT doc_id, size, source_size, round(target, 6) AS target, size * copies AS taken,
+                round(CASE WHEN copies = 0 THEN NULL WHEN rank % 3 = 0 THEN share WHEN rank % 3 = 1 THEN 2 * share / (0.5 + sqrt(0.25 + 2 * share)) ELSE 2 * share / (1.5 + sqrt(2.25 - 2 * share)) END, 9) AS position,
+                round(CASE WHEN copies < 2 THEN NULL WHEN rank % 3 = 0 THEN again WHEN rank % 3 = 1 THEN 2 * again / (0.5 + sqrt(0.25 + 2 * again)) ELSE 2 * again / (1.5 + sqrt(greatest(0, 2.25 - 2 * again))) END, 9) AS second_position
+            FROM (SELECT *, (middle + source_size) / target AS again FROM x)""",
         "op9_tool_calls": """
             WITH e AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind, CASE role WHEN 'user' THEN 'turn:' || turn WHEN 'assistant' THEN 'turn:' || (turn - 1) END AS call_id FROM conversations),
             m AS (SELECT e.*, CASE kind WHEN 'message' THEN 'message' WHEN 'call' THEN CASE WHEN EXISTS (SELECT 1 FROM e r WHERE r.kind = 'result' AND r.conv_id = e.conv_id AND r.call_id = e.call_id) THEN 'linked' ELSE 'unanswered' END ELSE CASE WHEN EXISTS (SELECT 1 FROM e r WHERE r.kind = 'call' AND r.conv_id = e.conv_id AND r.call_id = e.call_id) THEN 'linked' ELSE 'orphan' END END AS status FROM e)
