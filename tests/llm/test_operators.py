@@ -76,9 +76,71 @@ def test_shards_of_odd_rows(spark):
     assert bitplanes.read(spark, bitplanes.write(none(spark), VOCABULARY)).count() == 0
 
 
+def test_other_tokenizers_go_through_the_library():
+    from tokenizers import Tokenizer
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = bitplanes.WordEncoder(open(path, encoding="utf-8").read()), Tokenizer.from_file(path)
+    assert not own.by_word and bitplanes.WordEncoder(open(VOCABULARY, encoding="utf-8").read()).by_word
+    texts = ["Hello,  World", None, "a\n\nB é日本", ""]
+    ids, counts = own.encode(pa.array(texts))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+
+
 # 2: toxicity
 
 
+def naive_fit(texts, toxic, vocabulary, rounds):
+    """The likelihood of bags under noisy-or, its gradient by differences, and the same steps, in plain loops."""
+    bags = [[{f for w in set(regex.findall(r"\p{L}+", s.lower())) for f in toxicity.features(w) if f in vocabulary} for s in re.findall(r"[^.!?\n]+", t) if regex.search(r"\p{L}", s)] for t in texts]
+
+    def loss(x):
+        total = 0.0
+        for bag, bad in zip(bags, toxic, strict=True):
+            clean = sum(np.log1p(np.exp(x[-1] + sum(x[vocabulary.index(f)] for f in s))) for s in bag)
+            total += -np.log(-np.expm1(-clean)) if bad else clean
+        return total / len(bags) + toxicity.RIDGE / 2 * (x[:-1] ** 2).sum()
+
+    x = np.append(np.zeros(len(vocabulary)), toxicity.BIAS)
+    m, v = np.zeros(len(x)), np.zeros(len(x))
+    for k in range(1, rounds + 1):
+        grad = np.array([(loss(x + e) - loss(x - e)) / 2e-6 for e in np.eye(len(x)) * 1e-6])
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        x = x - toxicity.RATE * min(1.0, 2 * (1 - k / rounds) + 0.02) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-10)
+    return x
+
+
+def test_toxicity_against_plain_loops(spark):
+    rng, texts, toxic = random.Random(3), [], []
+    for k in range(60):
+        body = [" ".join(rng.choice(["mola", "tiren", "suvo", "kelat"]) for _ in range(4)) for _ in range(3)]
+        if k % 3 == 0:
+            body[1] += " blatch"
+        texts.append(". ".join(body))
+        toxic.append(k % 3 == 0)
+    model = toxicity.fit(texts, np.array(toxic), most_features=4, rounds=25)
+    x = naive_fit(texts, toxic, list(model.weights), 25)
+    assert list(model.weights.values()) == pytest.approx(x[:-1].tolist(), abs=1e-3) and model.bias == pytest.approx(x[-1], abs=1e-3)
+    scores = {r["id"]: r["score"] for r in toxicity.detect(docs(spark, [(k, t, "s") for k, t in enumerate([*texts, "", None, "12 ."])]), model).collect()}
+    for k, t in enumerate([*texts, "", "", "12 ."]):
+        clean = 1.0
+        for s in re.findall(r"[^.!?\n]+", t):
+            if words_in := set(regex.findall(r"\p{L}+", s.lower())):
+                z = model.bias + sum(model.weights.get(f, 0.0) for w in words_in for f in toxicity.features(w))
+                clean *= 1 - 1 / (1 + np.exp(-z))
+        assert scores[k] == pytest.approx(1 - clean, abs=1e-9)
+
+
+def test_sample_takes_whole_texts_that_fit(spark):
+    """A text too long for the sample teaches nothing, and is not moved."""
+    rows = [(k, f"mola {'blatch' if k % 2 else 'tiren'} suvo.", "s") for k in range(60)] + [(1000, "zorg " * 2000, "s")]
+    y = spark.createDataFrame([(i, 1, i % 2) for i, *_ in rows[:-1]] + [(1000, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs(spark, rows), y, sample_chars=4000)
+    assert any("blatch" in f for f in model.weights) and not any("zorg" in f for f in model.weights)
+
+
 def test_toxicity_holds_out_and_finds(spark):
     rng = random.Random(5)
     rows, labels = [], []
@@ -310,6 +372,9 @@ def test_urls(spark):
         "http://example.com": ("example.com", "", None, "allow"),
         "ftp://a.net/fr/x.exe": ("a.net", "/fr/x.exe", "net/fr/", "block"),
         "ftp://a.org/x.exe?q": ("a.org", "/x.exe", None, "block"),
+        "http://a.org/login/x": ("a.org", "/login/x", None, "block"),
+        "http://a.org/b/login/x": ("a.org", "/b/login/x", None, "block"),
+        "http://a.org/xlogin/x": ("a.org", "/xlogin/x", None, "allow"),
         "http://net/x/a.example.com/en/": ("net", "/x/a.example.com/en/", None, "allow"),
         "no-scheme.com/en/": ("", "", None, "allow"),
         "http://a.net?x/es/": ("a.net", "", None, "allow"),
@@ -472,6 +537,16 @@ def test_demand_is_inverted(spark):
         curriculum._segments(((0.0, 1.0), (0.5, 1.0)))
 
 
+def test_rows_alike_share_their_copies(spark):
+    rows = [(1, words(5, 1), "a"), (1, words(5, 1), "a"), (1, words(5, 1), "b"), (2, words(9, 2), "a"), (2, None, "a"), (3, words(4, 3), None)]
+    placed, order = curriculum.assign(docs(spark, rows)), curriculum.schedule(docs(spark, rows))
+    want = Counter()
+    for r in placed.collect():
+        want[r["id"], r["source"], r["size"]] += len(r["positions"])
+    found = Counter((r["doc_id"], r["source"], len((r["text"] or "").split())) for r in order.collect())
+    assert found == +want
+
+
 def test_mix_of_odd_rows(spark):
     found = curriculum.assign(odd(spark)).collect()
     assert len(found) == 16 and {r["size"] for r in found if r["id"] in (3, 4, 5, 10)} == {0}
@@ -513,6 +588,64 @@ def test_decision_list(spark):
     assert len(rules.rules) == 2 and "symbol_ratio >" in str(rules) and "mark_ratio >" in str(rules) and "ELSE keep" in str(rules)
 
 
+def naive_list(rows, cuts):
+    """Sequential covering over plain rows: (part, bad, ratios)."""
+    rules, left = [], rows
+    while len(rules) < decision_list.MOST_RULES and sum(r[1] for r in left if r[0] == "grow") >= decision_list.LEAST_COVER:
+        grown, inside, path = [], left, []
+        while len(grown) < decision_list.MOST_CONDITIONS:
+            p0 = sum(r[1] for r in inside if r[0] == "grow")
+            n0 = sum(not r[1] for r in inside if r[0] == "grow")
+            best, gain = None, 1e-9
+            for f in decision_list.FEATURES if n0 else ():
+                for t in cuts[f]:
+                    for above in (True, False):
+                        hit = [r for r in inside if (r[2][f] > t) == above]
+                        p, n = sum(r[1] for r in hit if r[0] == "grow"), sum(not r[1] for r in hit if r[0] == "grow")
+                        g = p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))) if p and p0 else 0
+                        if p >= decision_list.LEAST_COVER and g > gain:
+                            best, gain = (f, above, t), g
+            if best is None:
+                break
+            grown.append(best)
+            inside = [r for r in inside if (r[2][best[0]] > best[2]) == best[1]]
+            prune = [r[1] for r in inside if r[0] == "prune"]
+            path.append((sum(prune), len(prune) - sum(prune)))
+        if not grown:
+            break
+        worth = [(p - n) / (p + n) if p + n else -1.0 for p, n in path]
+        keep = max(range(len(grown)), key=lambda k: (worth[k], -k))
+        p, n = path[keep]
+        if p + n == 0 or p / (p + n) < decision_list.LEAST_PRECISION:
+            break
+        rules.append(tuple(grown[: keep + 1]))
+        left = [r for r in left if not all((r[2][f] > t) == above for f, above, t in rules[-1])]
+    return rules
+
+
+def test_covering_against_plain_rows(spark, monkeypatch):
+    monkeypatch.setattr(decision_list, "THRESHOLDS", 6)
+    rng, rows, labels = random.Random(11), [], []
+    for k in range(300):
+        noise = rng.random()
+        bad = k % 3 == 0
+        w = words(60 + k % 40, k + 1).split()
+        rows.append((k, " ".join(x + rng.choice("*!") if bad and noise < 0.9 and rng.random() < 0.4 else x for x in w), "s"))
+        labels.append((k, int(not bad), 0))
+    stats = materialise(decision_list.statistics(docs(spark, rows)), "stats")
+    y = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rules = decision_list.learn(stats, y)
+    ratios = stats.select("doc_id", *[c.alias(n) for n, c in decision_list.ratios().items()], (~decision_list.base_failed()).alias("passes")).collect()
+    quality = {i: q for i, q, _ in labels}
+    part = lambda i: "prune" if zlib.crc32(f"part{i}".encode()) % 3 == 0 else "grow"
+    plain = [(part(r["doc_id"]), quality[r["doc_id"]] == 0, {f: r[f] for f in decision_list.FEATURES}) for r in ratios if r["passes"]]
+    of = {bad: {f: sorted(r[2][f] for r in plain if r[1] == bad) for f in decision_list.FEATURES} for bad in (False, True)}
+    # approximate quantiles are exact on so few rows: the value of rank ceil(q n)
+    cuts = {f: sorted({v[max(0, int(np.ceil(k / 5 * len(v) - 1e-9)) - 1)] for v in (of[False][f], of[True][f]) for k in range(6)}) for f in decision_list.FEATURES}
+    want = naive_list(plain, cuts)
+    assert want and [tuple((c.feature, c.above, c.threshold) for c in r.conditions) for r in rules.rules] == want
+
+
 def test_quality_of_odd_rows(spark):
     y = spark.createDataFrame([(1, None, 1), (2, 1, None), (None, 0, 1), (9, 0, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")
     for labels in (y, y.limit(0)):

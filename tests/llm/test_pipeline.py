@@ -59,3 +59,31 @@ def test_sql(spark, duck, sf_dir, name):  # noqa: F811
 def test_queries_cover_the_ten(spark, sf_dir):
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
+
+
+CONTRACT = {
+    "op1_bit_planes": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
+    "op2_noisy_or": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op3_line_hashing": {"doc_id": "bigint", "start": "bigint", "end": "bigint", "keep_id": "bigint"},
+    "op4_forest_join": {"doc_id": "bigint", "class_id": "bigint", "n_links": "bigint"},
+    "op5_url_automaton": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
+    "op6_merge_dropout": {"doc_id": "bigint", "ids": "array<int>", "n_ids": "bigint", "lossless": "boolean"},
+    "op7_curriculum": {"doc_id": "bigint", "size": "bigint", "source_size": "bigint", "target": "double", "taken": "bigint"},
+    "op8_decision_list": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
+    "op9_tool_calls": {"conv_id": "bigint", "turn": "bigint", "status": "string", "rank": "bigint", "json": "string"},
+    "op10_chunk_recipes": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_columns_of_the_contract(spark, sf_dir, name):
+    """Each registered query has the columns and types of its contract, and a row a document where it says so."""
+    found = queries.queries()[name](spark, sf_dir)
+    kinds = dict(found.dtypes)
+    assert {c: kinds.get(c) for c in CONTRACT[name]} == CONTRACT[name]
+    ids = found.select(found.columns[0]).collect()
+    if name in ("op3_line_hashing", "op9_tool_calls"):
+        assert ids
+    else:
+        table = "pages" if name.startswith("op5") else "documents"
+        assert sorted(ids) == sorted(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(found.columns[0]).collect())
