@@ -99,3 +99,27 @@ def heatmap(context_rows: DataFrame, column: str, keys: tuple[str, ...] = KEY) -
 def intersections(rows: DataFrame, item: str, of: str) -> DataFrame:
     """Exact combinations of ``of`` values that items have, and how many items each has."""
     return rows.groupBy(item).agg(sorted_list(F.col(of)).alias("combination")).groupBy("combination").agg(F.count(F.lit(1)).alias("item_count"))
+
+
+def evidence(members: DataFrame, mapping: DataFrame, summary: DataFrame, group_ids: tuple[str, ...] = (), species: tuple[str, ...] = ()) -> DataFrame:
+    """Members of groups with their mapping and expression summary; those without stay, with nulls."""
+    rows = members.filter(F.col("group_id").isin(*group_ids)) if group_ids else members
+    rows = rows.filter(F.col("species_label").isin(*species)) if species else rows
+    more = [c for c in summary.columns if c not in MEMBER and c not in mapping.columns]
+    return rows.join(mapping.select(*[c for c in mapping.columns if c in MEMBER or c not in rows.columns]), list(MEMBER), "left").join(summary.select(*MEMBER, *more), list(MEMBER), "left")
+
+
+def context_records(members: DataFrame, context: DataFrame, group_ids: tuple[str, ...] = (), species: tuple[str, ...] = (), unit: str = "") -> DataFrame:
+    """Expression records of groups' members, of one unit if named."""
+    rows = members.filter(F.col("group_id").isin(*group_ids)) if group_ids else members
+    rows = rows.filter(F.col("species_label").isin(*species)) if species else rows
+    own = context.filter(F.col("selected_expression_unit") == unit) if unit else context
+    return rows.join(own.select(*[c for c in own.columns if c in MEMBER or c not in rows.columns]), list(MEMBER))
+
+
+def assessed_members(parts: list[DataFrame], assessed: DataFrame) -> DataFrame:
+    """All membership relations united, of species that were assessed (species_label)."""
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    return rows.join(assessed.select("species_label").distinct(), "species_label", "left_semi")

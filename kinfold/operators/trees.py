@@ -89,3 +89,37 @@ def patristic_distances(groups: DataFrame, trees: DataFrame, most: int = 250) ->
     found = first.select(*KEY, "members", "t.newick").mapInPandas(run, kind)
     pairs = found.filter("failure_reason is null").drop("failure_reason").withColumn("distance_method", F.lit("patristic_branch_length"))
     return pairs, found.filter("failure_reason is not null").select(*KEY, "failure_reason")
+
+
+def _with_leaves(trees: DataFrame, leaves: DataFrame, *columns: str) -> DataFrame:
+    """Trees with those rows of ``leaves`` that name leaves of theirs, as an array ``of``."""
+    nodes = tree_nodes(trees).filter("is_leaf").select("tree_id", F.col("node_name").alias("leaf"))
+    of = nodes.join(leaves, "leaf").groupBy("tree_id").agg(F.collect_list(F.struct("leaf", *columns)).alias("of"))
+    return trees.select("tree_id", "newick").join(of, "tree_id")
+
+
+def clade_partitions(trees: DataFrame, labels: DataFrame) -> DataFrame:
+    """The largest clades of each tree whose leaves all have one label (leaf, label)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                tree = newick.parse(r.newick)
+                rows += [(r.tree_id, tree.name[i], label) for i, label in newick.partitions(tree, {x["leaf"]: x["label"] for x in r.of})]
+            yield pd.DataFrame(rows, columns=["tree_id", "node_name", "label"])
+
+    return _with_leaves(trees, labels, "label").mapInPandas(run, "tree_id string, node_name string, label string")
+
+
+def phylograms(trees: DataFrame, keep: DataFrame) -> DataFrame:
+    """Coordinates of each tree cut down to some leaves (leaf)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                rows = pd.DataFrame(newick.phylogram(newick.parse(r.newick), {x["leaf"] for x in r.of}))
+                rows.insert(0, "tree_id", r.tree_id)
+                yield rows
+
+    return _with_leaves(trees, keep).mapInPandas(run, "tree_id string, node long, parent long, name string, x double, y double, is_leaf boolean")

@@ -7,15 +7,27 @@ are price differences of an order's lines. Each relation has its SQL beside it.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import distances, memberships
+from ..operators import distances, memberships, taxonomy
 from ..schemas import KEY
 
 RUN = "run"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share; a temporary one in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        local = spark.sparkContext.master.startswith("local")
+        found = tempfile.gettempdir() if local else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{found.removeprefix('file://').rstrip('/')}/kinfold-{uuid.uuid4().hex}"
+
+
 class Bridge:
     """Lazy relations of one scale factor's folder."""
 
@@ -54,13 +66,13 @@ class Bridge:
         return rows.select(*KEY, "member_a", "member_b", F.round(F.abs(F.col("l_extendedprice_a") - F.col("l_extendedprice_b")), 2).alias("distance"), (F.abs(F.col("l_quantity_a") - F.col("l_quantity_b")).cast("double")).alias("other"))
 
     def distance_statistics(self) -> DataFrame:
-        pairs = self.pair_distances()
         sizes = self.members().groupBy(*KEY).agg(F.count(F.lit(1)).alias("total_member_count"))
-        out = None
-        for method, column in (("price", "distance"), ("quantity", "other")):
-            rows = pairs if method == "price" else pairs.filter(F.col("other") > 5)
-            one = distances.summarise(rows, KEY, column).withColumn("distance_method", F.lit(method))
-            out = one if out is None else out.unionByName(one)
+        # both methods from one self join
+        price = F.struct(F.lit("price").alias("distance_method"), F.col("distance").alias("distance"))
+        quantity = F.struct(F.lit("quantity").alias("distance_method"), F.col("other").alias("distance"))
+        methods = F.explode(F.when(F.col("other") > 5, F.array(price, quantity)).otherwise(F.array(price)))
+        rows = self.pair_distances().select(*KEY, methods.alias("x")).select(*KEY, "x.*")
+        out = distances.summarise(rows, (*KEY, "distance_method"))
         out = out.join(sizes, list(KEY))
         exact = F.col("distance_method") == "price"
         return out.withColumn("sampled_member_count", F.when(exact, F.col("total_member_count")).otherwise(F.col("total_member_count") - 1)).withColumn("computation_status", F.when(exact, "EXACT").otherwise("DETERMINISTIC_MEMBER_SAMPLE")).withColumn("source_file", F.lit("lineitem")).withColumn("failure_reason", F.lit("")).withColumn("member_identifier_resolution", F.lit("EXACT_MEMBER_ID")).withColumn("mean_comparable_sites", F.lit(0.0))
@@ -75,6 +87,12 @@ class Bridge:
         n, r = self.table("nation"), self.table("region")
         return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("child"), F.concat(F.lit("R:"), "r_name").alias("parent")).unionByName(r.select(F.concat(F.lit("R:"), "r_name").alias("child"), F.lit("ROOT").alias("parent")))
 
+    def closure(self) -> DataFrame:
+        """The taxonomy's closure, written once, since plans over it read it many times."""
+        path = scratch(self.spark)
+        taxonomy.closure(self.taxonomy()).write.parquet(path)
+        return self.spark.read.parquet(path)
+
     def taxa(self) -> DataFrame:
         """KEY and taxon_id of every member; nations from the 20th on are unmapped."""
         known = self.table("nation").filter("n_nationkey < 20").select(F.col("n_name").alias("species_label"), F.col("n_name").alias("taxon_id"))
@@ -102,8 +120,8 @@ class Bridge:
         return d.select(F.col("source").alias("group_id"), F.col("lang").alias("species_label"), F.col("doc_id").cast("string").alias("member_id"))
 
     def motif_sequences(self) -> DataFrame:
-        """Letters of the texts as residues; every seventh document has no sequence."""
-        d = self.table("documents").filter("doc_id % 7 != 0")
+        """Letters of the texts as residues; a text without letters has no sequence."""
+        d = self.table("documents")
         return d.select(F.col("lang").alias("species_label"), F.col("doc_id").cast("string").alias("member_id"), F.regexp_replace("text", "[^A-Za-z]", "").alias("sequence"))
 
 
@@ -122,7 +140,7 @@ _PREFERRED = "preferred AS (SELECT * FROM (SELECT *, CASE WHEN bool_or(expressio
 _EMEMBERS = "emembers AS (SELECT DISTINCT 'S' || (user_id % 3) AS species_label, 'm' || user_id AS member_id, CASE WHEN user_id % 7 = 0 THEN 'none' WHEN user_id % 5 = 0 THEN 'N' || (user_id % 50) ELSE 'u' || user_id END AS alias_value, 'E' || (user_id % 40) AS group_id FROM events)"
 _MAPPING = "genes AS (SELECT DISTINCT species_column, gene_id, gene_name FROM atlas), mapping AS (SELECT m.species_label, m.member_id, m.group_id, count(DISTINCT g.gene_id) AS matched_gene_count, coalesce(string_agg(DISTINCT g.gene_id, ';' ORDER BY g.gene_id), '') AS matched_gene_ids FROM emembers m LEFT JOIN genes g ON g.species_column = m.species_label AND upper(m.alias_value) IN (g.gene_id, g.gene_name) GROUP BY ALL), mapped AS (SELECT *, CASE matched_gene_count WHEN 0 THEN 'NOT_MAPPED' WHEN 1 THEN 'MAPPED_UNIQUE' ELSE 'AMBIGUOUS' END AS mapping_status FROM mapping)"
 _CONTEXT = "context AS (SELECT m.species_label, m.member_id, m.group_id, e.gene_id, e.experiment_accession, e.sample_or_condition, e.expression_value, e.expression_value >= 0.5 AS positive, CASE sample_or_condition WHEN 'click' THEN 'leaf' WHEN 'view' THEN 'grp' ELSE sample_or_condition END AS expression_context, CASE sample_or_condition WHEN 'click' THEN 'leaf' ELSE '' END AS organism_part FROM mapped m JOIN preferred e ON e.species_column = m.species_label AND e.gene_id = m.matched_gene_ids WHERE mapping_status = 'MAPPED_UNIQUE')"
-_MOTIF = "assessed AS (SELECT source AS group_id, lang AS species_label, doc_id::VARCHAR AS member_id, CASE WHEN doc_id % 7 != 0 THEN upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) END AS clean FROM documents)"
+_MOTIF = "assessed AS (SELECT source AS group_id, lang AS species_label, doc_id::VARCHAR AS member_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS clean FROM documents)"
 CTES = {"lines": _LINES, "members": _MEMBERS, "legacy": _LEGACY, "species": _SPECIES, "stats": _STATS, "pairs": _PAIRS, "distances": _DISTANCES, "categories": _CATEGORIES, "taxa": _TAXA, "atlas": _ATLAS, "preferred": _PREFERRED, "emembers": _EMEMBERS, "mapping": _MAPPING, "context": _CONTEXT, "motif": _MOTIF}
 
 

@@ -229,7 +229,7 @@ def lineage_closure(b: Bridge) -> DataFrame:
 
 
 def _selected(b: Bridge, *selectors: tuple[str, str]) -> DataFrame:
-    found = taxonomy.select_groups(b.taxa(), taxonomy.closure(b.taxonomy()), [taxonomy.Selector(*s) for s in selectors])
+    found = taxonomy.select_groups(b.taxa(), b.closure(), [taxonomy.Selector(*s) for s in selectors])
     return found.select("group_id", "unmapped_count", "taxon_count", "failures", "passes")
 
 
@@ -252,20 +252,21 @@ def clade_only_in(b: Bridge) -> DataFrame:
     return _selected(b, ("REQUIRED_EXACT", "NATION_3"), ("ONLY_IN_CLADE", "R:EUROPE"))
 
 
-@query("""WITH n AS (SELECT n_name, 'R:' || r_name AS reg, n_nationkey % 3 = 0 AS rep, n_nationkey = 6 AS hit FROM nation JOIN region ON n_regionkey = r_regionkey)
+@query("""WITH n AS (SELECT n_name, 'R:' || r_name AS reg, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000) AS rep, n_name = 'NATION_6' AS hit FROM nation JOIN region ON n_regionkey = r_regionkey)
     SELECT n_name AS node_id, rep::BIGINT AS represented_descendants, 1::BIGINT AS expected_descendants, CASE WHEN hit THEN 'OUTSIDE_SELECTED_SCOPE_WITH_HITS' WHEN rep THEN 'REPRESENTED_IN_INPUT' ELSE 'EXPECTED_NO_DATA' END AS coverage_state FROM n
     UNION ALL SELECT reg, count(*) FILTER (rep), count(*), CASE WHEN count(*) FILTER (rep) > 0 THEN 'ANCESTOR_OF_REPRESENTED' ELSE 'NOT_IN_EXPECTED_UNIVERSE' END FROM n GROUP BY reg
     UNION ALL SELECT 'ROOT', count(*) FILTER (rep), count(*), 'ANCESTOR_OF_REPRESENTED' FROM n""")
 def coverage_states(b: Bridge) -> DataFrame:
     nation = b.table("nation").select(F.col("n_name").alias("taxon_id"), "n_nationkey")
-    out = taxonomy.coverage(taxonomy.closure(b.taxonomy()), nation.filter("n_nationkey % 3 = 0"), nation, nation.filter("n_nationkey = 6"))
+    rich = b.table("supplier").filter("s_acctbal > 9000").select(F.col("s_nationkey").alias("n_nationkey"))
+    out = taxonomy.coverage(b.closure(), nation.join(rich, "n_nationkey", "left_semi"), nation, nation.filter("taxon_id = 'NATION_6'"))
     return out.select("node_id", "represented_descendants", "expected_descendants", "coverage_state")
 
 
 @query("SELECT 'R:' || r_name AS root_id FROM region WHERE r_name = 'ASIA'")
 def common_root(b: Bridge) -> DataFrame:
     asia = b.taxonomy().filter("parent = 'R:ASIA'").select(F.col("child").alias("taxon_id"))
-    return taxonomy.common_root(taxonomy.closure(b.taxonomy()), asia)
+    return taxonomy.common_root(b.closure(), asia)
 
 
 def _motif_sql(match: str, tail: str) -> str:
@@ -354,12 +355,15 @@ def site_differences(b: Bridge) -> DataFrame:
 
 
 def _vectors(b: Bridge) -> DataFrame:
+    """Pairs of at most 250 members of each label, the bound of a distance matrix."""
     v = b.table("embeddings").select(F.col("label").cast("long").alias("group_id"), F.col("vec_id").alias("member_id"), "embedding")
-    pairs = distances.pairs(v, ("group_id",), "member_id", "embedding")
+    sampled = distances.member_sample(v, 250, ("group_id",), salt=("group_id",))
+    pairs = distances.pairs(sampled, ("group_id",), "member_id", "embedding")
     return pairs.select("group_id", "member_a", "member_b", distances.euclidean(F.col("embedding_a"), F.col("embedding_b")).alias("distance"))
 
 
-_VECTORS = "WITH v AS (SELECT label::BIGINT AS group_id, vec_id AS member_id, embedding::DOUBLE[] AS e FROM embeddings), vp AS (SELECT a.group_id, a.member_id AS member_a, b.member_id AS member_b, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.group_id = b.group_id AND a.member_id < b.member_id)"
+_VECTORS = """WITH v AS (SELECT * FROM (SELECT label::BIGINT AS group_id, vec_id AS member_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY sha256(label::BIGINT || chr(0) || vec_id), vec_id) AS k FROM embeddings) WHERE k <= 250),
+    vp AS (SELECT a.group_id, a.member_id AS member_a, b.member_id AS member_b, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.group_id = b.group_id AND a.member_id < b.member_id)"""
 _ENDS = ", ends AS (SELECT group_id, member_a AS member, member_b AS other, distance FROM vp UNION ALL SELECT group_id, member_b, member_a, distance FROM vp)"
 
 
@@ -431,7 +435,11 @@ def rank_test(b: Bridge) -> DataFrame:
     return S.mann_whitney(rows, "p_retailprice", "t", ["p_brand"]).select("p_brand", "target_n", "reference_n", r("mann_whitney_u"), r("cliffs_delta"))
 
 
-@query()
+# the tail of the normal law as a series (z below 6 here), so six places agree
+@query("""WITH r AS (SELECT p_brand, p_size > 25 AS t, p_retailprice AS v, rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_brand, p_retailprice) - 1) / 2 AS k, count(*) OVER (PARTITION BY p_brand, p_retailprice) AS c FROM part),
+    s AS (SELECT p_brand, count(*) FILTER (t)::DOUBLE AS n, count(*) FILTER (NOT t)::DOUBLE AS m, sum(k) FILTER (t) AS ks, sum(c * c - 1)::DOUBLE AS ties FROM r GROUP BY ALL),
+    z AS (SELECT p_brand, greatest(0, abs(ks - n * (n + 1) / 2 - n * m / 2) - 0.5) / sqrt(n * m / 12 * (n + m + 1 - ties / ((n + m) * (n + m - 1)))) / sqrt(2) AS x FROM s)
+    SELECT p_brand, round(least(1, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda i: (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * i + 1) * ln(greatest(x, 1e-300)) - lgamma(i + 1)) / (2 * i + 1)))), 6) AS p_value_two_sided FROM z""")
 def rank_test_p_values(b: Bridge) -> DataFrame:
     rows = b.table("part").select("p_brand", "p_retailprice", (F.col("p_size") > 25).alias("t"))
     return S.mann_whitney(rows, "p_retailprice", "t", ["p_brand"]).select("p_brand", r("p_value_two_sided"))
@@ -446,13 +454,13 @@ def _values(b: Bridge) -> DataFrame:
 
 def _links(b: Bridge) -> DataFrame:
     """The controls of an order: the five that follow it by number."""
-    o = b.table("orders").filter("o_orderkey % 50 = 0").select(F.concat(F.lit("G"), F.col("o_orderkey").cast("string")).alias("anchor_id"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("i"), "o_orderkey")
+    o = b.table("orders").select(F.concat(F.lit("G"), F.col("o_orderkey").cast("string")).alias("anchor_id"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("i"), "o_orderkey")
     return o.select("anchor_id", F.concat(F.lit("G"), (F.col("o_orderkey") + F.col("i")).cast("string")).alias("control_id"))
 
 
 _BENCH = f""", price AS (SELECT group_id, {_QUANTILES} FROM (SELECT group_id, distance AS d FROM pairs) GROUP BY group_id), wide AS (SELECT group_id, mean_distance, median_distance, population_stddev_distance, q75_distance - q25_distance AS distance_interquartile_range, CASE WHEN mean_distance > 0 THEN population_stddev_distance / mean_distance END AS distance_coefficient_of_variation FROM price),
-    vals AS (SELECT group_id, metric, round(value, 9) AS value, o_orderpriority AS profile_id FROM (UNPIVOT wide ON mean_distance, median_distance, population_stddev_distance, distance_interquartile_range, distance_coefficient_of_variation INTO NAME metric VALUE value) JOIN orders ON group_id = 'G' || o_orderkey),
-    links AS (SELECT 'G' || o_orderkey AS anchor_id, 'G' || (o_orderkey + i) AS control_id FROM orders, range(1, 6) t(i) WHERE o_orderkey % 50 = 0) """
+    vals AS MATERIALIZED (SELECT group_id, metric, round(value, 9) AS value, o_orderpriority AS profile_id FROM (UNPIVOT wide ON mean_distance, median_distance, population_stddev_distance, distance_interquartile_range, distance_coefficient_of_variation INTO NAME metric VALUE value) JOIN orders ON group_id = 'G' || o_orderkey),
+    links AS (SELECT 'G' || o_orderkey AS anchor_id, 'G' || (o_orderkey + i) AS control_id FROM orders, range(1, 6) t(i)) """
 
 
 @query(sql("pairs", _BENCH + "SELECT profile_id, metric, count(*) AS eligible_group_count, round(min(value), 6) AS minimum_value, round(quantile_cont(value, 0.25), 6) AS q25_value, round(median(value), 6) AS median_value, round(avg(value), 6) AS mean_value, round(quantile_cont(value, 0.75), 6) AS q75_value, round(max(value), 6) AS maximum_value, round(stddev_pop(value), 6) AS population_stddev_value FROM vals GROUP BY ALL"))
@@ -460,41 +468,57 @@ def profile_background(b: Bridge) -> DataFrame:
     return benchmark.background(_values(b)).select("profile_id", "metric", "eligible_group_count", *[r(c) for c in ("minimum_value", "q25_value", "median_value", "mean_value", "q75_value", "maximum_value", "population_stddev_value")])
 
 
-@query(sql("pairs", _BENCH + ", m AS (SELECT anchor_id AS group_id, metric, median(value) AS mid, count(*) AS n FROM links JOIN vals ON control_id = group_id GROUP BY ALL HAVING count(*) >= 3) SELECT group_id, metric, n AS control_count, round(mid, 6) AS control_median, round(value - mid, 6) AS residual FROM vals JOIN m USING (group_id, metric)"))
+@query(sql("pairs", _BENCH + ", m AS MATERIALIZED (SELECT anchor_id AS group_id, metric, median(value) AS mid, count(*) AS n FROM links JOIN vals ON control_id = group_id GROUP BY ALL HAVING count(*) >= 3) SELECT group_id, metric, n AS control_count, round(mid, 6) AS control_median, round(value - mid, 6) AS residual FROM vals JOIN m USING (group_id, metric)"))
 def matched_residuals(b: Bridge) -> DataFrame:
     return benchmark.residuals(_values(b), _links(b)).select("group_id", "metric", "control_count", r("control_median"), r("residual"))
 
 
-@query(sql("pairs", _BENCH + ", c AS (SELECT a.group_id, a.metric, a.value, count(*) AS n, median(v.value) AS mid, (count(*) FILTER (v.value < a.value) + 0.5 * count(*) FILTER (v.value = a.value)) / count(*) AS f FROM vals a JOIN links ON anchor_id = a.group_id JOIN vals v ON v.group_id = control_id AND v.metric = a.metric GROUP BY ALL) SELECT group_id, metric, n AS control_count, round(CASE WHEN n >= 3 THEN mid END, 6) AS control_median, round(CASE WHEN n >= 3 THEN f END, 6) AS percentile, CASE WHEN n < 3 THEN 'INSUFFICIENT' WHEN f <= 0.1 THEN 'COMPACT_OR_LOW' WHEN f >= 0.9 THEN 'DISPERSED_OR_HIGH' ELSE 'TYPICAL' END AS dispersion_class FROM c"))
+@query(sql("pairs", _BENCH + ", w AS MATERIALIZED (SELECT group_id, metric, value, control_id FROM vals JOIN links ON anchor_id = group_id), c AS (SELECT a.group_id, a.metric, a.value, count(*) AS n, median(v.value) AS mid, (count(*) FILTER (v.value < a.value) + 0.5 * count(*) FILTER (v.value = a.value)) / count(*) AS f FROM w a JOIN vals v ON v.group_id = a.control_id AND v.metric = a.metric GROUP BY ALL) SELECT group_id, metric, n AS control_count, round(CASE WHEN n >= 3 THEN mid END, 6) AS control_median, round(CASE WHEN n >= 3 THEN f END, 6) AS percentile, CASE WHEN n < 3 THEN 'INSUFFICIENT' WHEN f <= 0.1 THEN 'COMPACT_OR_LOW' WHEN f >= 0.9 THEN 'DISPERSED_OR_HIGH' ELSE 'TYPICAL' END AS dispersion_class FROM c"))
 def classification(b: Bridge) -> DataFrame:
     return benchmark.classify(_values(b), _links(b)).select("group_id", "metric", "control_count", r("control_median"), r("percentile"), "dispersion_class")
 
 
-@query(sql("pairs", _BENCH + """, t AS (SELECT * FROM vals WHERE metric = 'mean_distance' AND group_id LIKE '%7'), p AS (SELECT DISTINCT profile_id AS background FROM vals),
-    c AS (SELECT t.group_id, p.background AS profile_id, t.metric, t.value, t.profile_id = p.background AS own FROM t, p),
-    n AS (SELECT c.group_id, c.profile_id, any_value(c.value) AS value, bool_or(own) AS own, count(*) AS n, count(*) FILTER (v.value < c.value) AS lo, count(*) FILTER (v.value = c.value) AS eq FROM c JOIN vals v ON v.profile_id = c.profile_id AND v.metric = c.metric AND v.group_id != c.group_id GROUP BY ALL)
-    SELECT profile_id, group_id, round(value, 6) AS observed_value, n AS background_group_count, round((lo + 0.5 * eq) / n, 6) AS empirical_percentile, round((lo + eq + 1) / (n + 1), 6) AS lower_tail_p_value, round((n - lo + 1) / (n + 1), 6) AS upper_tail_p_value, own AS leave_one_out FROM n WHERE n >= 3"""))
+@query(sql("pairs", _BENCH + """, p AS (SELECT DISTINCT profile_id AS background FROM vals),
+    u AS (SELECT profile_id, metric, value, 1 AS w, NULL AS group_id, false AS own FROM vals UNION ALL SELECT background, metric, value, 0, group_id, profile_id = background FROM vals, p),
+    c AS (SELECT *, sum(w) OVER (PARTITION BY profile_id, metric ORDER BY value) AS upto, sum(w) OVER (PARTITION BY profile_id, metric, value) AS tied, sum(w) OVER (PARTITION BY profile_id, metric) AS total FROM u),
+    n AS (SELECT profile_id, metric, group_id, value, own, upto - tied AS lo, tied - own::INT AS eq, total - own::INT AS n FROM c WHERE w = 0)
+    SELECT profile_id, metric, group_id, round(value, 6) AS observed_value, n::BIGINT AS background_group_count, round((lo + 0.5 * eq) / n, 6) AS empirical_percentile, round((lo + eq + 1) / (n + 1), 6) AS lower_tail_p_value, round((n - lo + 1) / (n + 1), 6) AS upper_tail_p_value, own AS leave_one_out FROM n WHERE n >= 3"""))
 def individual_empirical(b: Bridge) -> DataFrame:
-    values = _values(b).filter("metric = 'mean_distance'")
+    values = _values(b)
     profiles = values.select("profile_id").distinct()
-    targets = values.filter("group_id like '%7'").select("group_id", "value").crossJoin(F.broadcast(profiles))  # five profiles
-    out = benchmark.compare(targets, values, ["profile_id"]).filter("status = 'TESTED'")
-    return out.select("profile_id", "group_id", r("observed_value"), "background_group_count", r("empirical_percentile"), r("lower_tail_p_value"), r("upper_tail_p_value"), "leave_one_out")
+    targets = values.select("group_id", "metric", "value").crossJoin(F.broadcast(profiles))  # five profiles
+    out = benchmark.compare(targets, values, ["profile_id", "metric"]).filter("status = 'TESTED'")
+    return out.select("profile_id", "metric", "group_id", r("observed_value"), "background_group_count", r("empirical_percentile"), r("lower_tail_p_value"), r("upper_tail_p_value"), "leave_one_out")
+
+
+def _all_pairs(values: DataFrame) -> DataFrame:
+    names = values.select(F.col("profile_id").alias("target_profile_id")).distinct()
+    return names.crossJoin(F.broadcast(names.withColumnRenamed("target_profile_id", "reference_profile_id"))).filter("target_profile_id < reference_profile_id")  # ten pairs
 
 
 @query()
 def profile_contrasts(b: Bridge) -> DataFrame:
     values = _values(b)
-    names = values.select(F.col("profile_id").alias("target_profile_id")).distinct()
-    planned = names.crossJoin(F.broadcast(names.withColumnRenamed("target_profile_id", "reference_profile_id"))).filter("target_profile_id < reference_profile_id")  # ten pairs
-    return benchmark.contrasts(values, planned)
+    return benchmark.contrasts(values, _all_pairs(values))
+
+
+@query(sql("pairs", _BENCH + """, names AS (SELECT DISTINCT profile_id FROM vals), planned AS (SELECT a.profile_id AS target_profile_id, b.profile_id AS reference_profile_id FROM names a JOIN names b ON a.profile_id < b.profile_id)
+    SELECT target_profile_id, reference_profile_id, metric, count(*) FILTER (profile_id = target_profile_id) AS target_group_count, count(*) FILTER (profile_id = reference_profile_id) AS reference_group_count,
+        round(median(value) FILTER (profile_id = target_profile_id), 6) AS target_median, round(median(value) FILTER (profile_id = reference_profile_id), 6) AS reference_median
+    FROM planned JOIN vals ON profile_id IN (target_profile_id, reference_profile_id) GROUP BY ALL"""))
+def contrast_medians(b: Bridge) -> DataFrame:
+    """The sides of each contrast, without the resampled interval."""
+    values = _values(b)
+    sides = benchmark.contrast_sides(values, _all_pairs(values))
+    return benchmark.contrast_medians(sides).select("target_profile_id", "reference_profile_id", "metric", "target_group_count", "reference_group_count", r("target_median"), r("reference_median"))
 
 
 @query()
 def matched_controls(b: Bridge) -> DataFrame:
-    stats = b.stats()
-    anchors = stats.filter("member_count > 1 and group_id like '%00'")
-    return benchmark.match_controls(anchors, stats.filter("member_count > 1 and group_id not like '%00'"), 3)
+    """Anchors are the orders of the lowest priority that are partly shipped, one in fifteen."""
+    stats = b.stats().filter("member_count > 1")
+    partly = b.table("orders").filter("o_orderstatus = 'P' and o_orderpriority = '5-LOW'").select(F.concat(F.lit("G"), F.col("o_orderkey").cast("string")).alias("group_id"))
+    return benchmark.match_controls(stats.join(partly, "group_id", "left_semi"), stats.join(partly, "group_id", "left_anti"), 3)
 
 
 @query(sql("lines members", ", m AS (SELECT group_id, species_label, member_id, l_returnflag AS id, l_linestatus || ';' || l_returnflag || ',' AS cat FROM (SELECT 'G' || l_orderkey AS group_id, n_name AS species_label, l_partkey || '-' || l_linenumber AS member_id, l_returnflag, l_linestatus FROM lines)), e AS (SELECT *, unnest(['F_ALL', 'F_CATEGORY::' || split_part(cat, ';', 1), 'F_CATEGORY::' || id]) AS profile_id FROM m) SELECT group_id, profile_id, count(DISTINCT id) AS marker_count, string_agg(DISTINCT id, ';' ORDER BY id) AS marker_ids, count(DISTINCT member_id) AS matched_member_count, string_agg(DISTINCT species_label, ';' ORDER BY species_label) AS matched_species_labels FROM e GROUP BY ALL"))
@@ -504,21 +528,21 @@ def group_profiles(b: Bridge) -> DataFrame:
 
 
 # catalogue: a part is a sequence, its brand a cluster, orders' best lines are alignments
-@query("""WITH ids AS (SELECT p_partkey::VARCHAR AS input_id FROM part WHERE p_partkey % 3 = 0 UNION SELECT 'x' || p_partkey FROM part WHERE p_partkey % 50 = 0), map AS (SELECT DISTINCT p_partkey::VARCHAR AS sequence_id, p_brand AS cluster_id FROM part WHERE p_partkey % 2 = 0 UNION SELECT p_partkey::VARCHAR, 'extra' FROM part WHERE p_partkey % 30 = 0),
+@query("""WITH ids AS (SELECT p_partkey::VARCHAR AS input_id FROM part WHERE p_size <= 20 UNION SELECT 'x' || p_partkey FROM part WHERE p_size = 50), map AS (SELECT DISTINCT p_partkey::VARCHAR AS sequence_id, p_brand AS cluster_id FROM part WHERE p_size > 8 UNION SELECT p_partkey::VARCHAR, 'extra' FROM part WHERE p_size = 15),
     idx AS (SELECT p_brand AS cluster_id, count(*) AS member_count FROM part WHERE p_brand NOT LIKE '%3' GROUP BY ALL), hits AS (SELECT i.input_id, m.* , member_count FROM ids i JOIN map m ON m.sequence_id = i.input_id LEFT JOIN idx USING (cluster_id)), n AS (SELECT input_id, count(DISTINCT cluster_id) AS k FROM hits GROUP BY ALL)
     SELECT i.input_id, h.cluster_id, h.member_count, coalesce(k, 0) AS global_cluster_count, CASE WHEN h.cluster_id IS NULL THEN 'UNMATCHED' WHEN h.member_count IS NULL THEN 'MAPPED_WITHOUT_ROW_GROUP_INDEX' WHEN k > 1 THEN 'MULTIPLE_GLOBAL_CLUSTERS' ELSE 'EXACT_ID' END AS mapping_status FROM ids i LEFT JOIN hits h USING (input_id) LEFT JOIN n USING (input_id)""")
 def alias_resolution_states(b: Bridge) -> DataFrame:
     part = b.table("part").withColumn("k", F.col("p_partkey").cast("string"))
-    ids = part.filter("p_partkey % 3 = 0").select(F.col("k").alias("input_id")).unionByName(part.filter("p_partkey % 50 = 0").select(F.concat(F.lit("x"), "k").alias("input_id")))
-    mapping = part.filter("p_partkey % 2 = 0").select(F.col("k").alias("sequence_id"), F.col("p_brand").alias("cluster_id")).unionByName(part.filter("p_partkey % 30 = 0").select(F.col("k").alias("sequence_id"), F.lit("extra").alias("cluster_id")))
+    ids = part.filter("p_size <= 20").select(F.col("k").alias("input_id")).unionByName(part.filter("p_size = 50").select(F.concat(F.lit("x"), "k").alias("input_id")))
+    mapping = part.filter("p_size > 8").select(F.col("k").alias("sequence_id"), F.col("p_brand").alias("cluster_id")).unionByName(part.filter("p_size = 15").select(F.col("k").alias("sequence_id"), F.lit("extra").alias("cluster_id")))
     index = part.filter("p_brand not like '%3'").groupBy(F.col("p_brand").alias("cluster_id")).agg(F.count(F.lit(1)).alias("member_count"))
     return catalogue.resolve(ids, mapping, index).select("input_id", "cluster_id", "member_count", "global_cluster_count", "mapping_status")
 
 
-@query("SELECT p_brand AS cluster_id, p_size::BIGINT AS taxon_id, min(p_type) AS species, count(DISTINCT p_partkey) AS annotated_member_count FROM part WHERE p_partkey % 4 != 0 GROUP BY ALL")
+@query("SELECT p_brand AS cluster_id, p_size::BIGINT AS taxon_id, min(p_type) AS species, count(DISTINCT p_partkey) AS annotated_member_count FROM part WHERE p_size > 12 GROUP BY ALL")
 def cluster_taxonomy(b: Bridge) -> DataFrame:
     p = b.table("part")
-    tax = p.select(F.col("p_partkey").alias("sequence_id"), F.col("p_size").cast("long").alias("taxon_id"), F.col("p_type").alias("species"), F.when(F.col("p_partkey") % 4 != 0, "REVIEWED").otherwise("PENDING_REVIEW").alias("mapping_status"))
+    tax = p.select(F.col("p_partkey").alias("sequence_id"), F.col("p_size").cast("long").alias("taxon_id"), F.col("p_type").alias("species"), F.when(F.col("p_size") > 12, "REVIEWED").otherwise("PENDING_REVIEW").alias("mapping_status"))
     return catalogue.cluster_taxonomy(p.select(F.col("p_partkey").alias("sequence_id"), F.col("p_brand").alias("cluster_id")), tax)
 
 
@@ -575,11 +599,11 @@ def alignment_members(b: Bridge) -> DataFrame:
     return catalogue.alignment_members(_aligned(b), "NATION_0").select("sequence_id", "sequence_length", "comparable_residue_count", r("identity_to_reference_fraction"), r("reference_overlap_fraction"))
 
 
-@query("SELECT c_mktsegment AS cluster_id, count(*) AS member_count, min(length(c_name))::INT AS minimum_length, max(length(c_name))::INT AS maximum_length, round(avg(length(c_name)), 6) AS mean_length, median(length(c_name)) AS median_length, count(*) FILTER (c_custkey % 3 = 0) AS annotated_member_count, count(DISTINCT c_nationkey) FILTER (c_custkey % 3 = 0) AS taxon_count FROM customer GROUP BY ALL")
+@query("SELECT c_mktsegment AS cluster_id, count(*) AS member_count, min(length(c_name))::INT AS minimum_length, max(length(c_name))::INT AS maximum_length, round(avg(length(c_name)), 6) AS mean_length, median(length(c_name)) AS median_length, count(*) FILTER (c_acctbal > 0) AS annotated_member_count, count(DISTINCT c_nationkey) FILTER (c_acctbal > 0) AS taxon_count FROM customer GROUP BY ALL")
 def cluster_statistics(b: Bridge) -> DataFrame:
     c = b.table("customer")
     members = c.select(F.col("c_mktsegment").alias("cluster_id"), F.col("c_custkey").alias("sequence_id"), F.col("c_name").alias("sequence"))
-    tax = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("sequence_id"), F.col("c_nationkey").alias("taxon_id"))
+    tax = c.filter("c_acctbal > 0").select(F.col("c_custkey").alias("sequence_id"), F.col("c_nationkey").alias("taxon_id"))
     return catalogue.statistics(members, tax).withColumn("mean_length", r("mean_length"))
 
 
@@ -608,3 +632,6 @@ def connected_network(b: Bridge) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS n_events, round(sum(value), 4) AS total_value FROM events GROUP BY ALL")
 def event_windows(b: Bridge) -> DataFrame:
     return streaming.windowed_counts(b.table("events")).withColumn("total_value", F.round("total_value", 4)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+from . import roundtrips, selections  # noqa: E402, F401  (they register their own)

@@ -113,6 +113,31 @@ def read_fasta(spark: SparkSession, path: str, check: str = "") -> DataFrame:
     return spark.read.format("fasta").option("check", check).load(path)
 
 
+def write_fasta(rows: DataFrame, folder: str, width: int = 60) -> None:
+    """FASTA files of ``raw_header`` and ``sequence``, one a partition, in a folder of any
+    file system that pyarrow opens; a file is renamed when whole, so a task may run again."""
+
+    def write(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        store, place = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        store.create_dir(place, recursive=True)
+        tried, n = f"{place}/_{task.partitionId()}-{task.taskAttemptId()}", 0
+        with store.open_output_stream(tried) as out:
+            for batch in batches:
+                for header, sequence in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    lines = [sequence[k : k + width] for k in range(0, len(sequence), width)]
+                    out.write("\n".join([f">{header}", *lines, ""]).encode())
+                    n += 1
+        store.move(tried, f"{place}/part-{task.partitionId():06d}.fa")
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+    rows.select("raw_header", "sequence").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def reconcile(sequences: DataFrame, fasta: DataFrame) -> DataFrame:
     """Sequences of the identifier map (internal_id, ...) with their residues, each exactly
     once and none over; ``fasta`` names records by internal id."""

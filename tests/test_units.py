@@ -234,7 +234,11 @@ def test_benchmark(spark):
     assert rows(benchmark.residuals(values, own), "group_id", "residual") == [("t", 0.0)]
     one = benchmark.compare(values.filter("group_id = 'b'"), values, ["metric"]).first()  # itself left out: 1, 2, 3
     assert (one["background_group_count"], one["empirical_percentile"], one["lower_tail_p_value"], one["upper_tail_p_value"], one["leave_one_out"]) == (3, 0.5, 0.75, 0.75, True)
-    assert benchmark.planned_contrasts(["E3_ALL", "HOUSEKEEPING_ALL", "E3_CATEGORY::x"]) == [("E3_ALL", "HOUSEKEEPING_ALL"), ("E3_CATEGORY::x", "HOUSEKEEPING_ALL"), ("E3_CATEGORY::x", "E3_OTHER")]
+    names = spark.createDataFrame([("E3_ALL",), ("HOUSEKEEPING_ALL",), ("E3_CATEGORY::x",)], "profile_id string")
+    assert rows(benchmark.plan_contrasts(names), "target_profile_id", "reference_profile_id") == [("E3_ALL", "HOUSEKEEPING_ALL"), ("E3_CATEGORY::x", "E3_OTHER"), ("E3_CATEGORY::x", "HOUSEKEEPING_ALL")]
+    of = spark.createDataFrame([(p, g, "m", float(v)) for p, g, v in (("E3_ALL", "a", 1), ("E3_ALL", "b", 2), ("E3_ALL", "c", 3), ("E3_CATEGORY::x", "a", 1))], "profile_id string, group_id string, metric string, value double")
+    sides = benchmark.contrast_sides(of, spark.createDataFrame([("E3_CATEGORY::x", "E3_OTHER")], "target_profile_id string, reference_profile_id string"))
+    assert rows(sides, "group_id", "is_target") == [("a", True), ("b", False), ("c", False)]
 
 
 def brute_bootstrap(target, reference, resamples, label):
