@@ -4,25 +4,25 @@ A document's set is its shingles of ``width`` words. Documents with the same wor
 same order are one class from the start, so copies are never compared with each other.
 
 Forest: each of ``TREES`` trees labels a class by ``DEPTH`` minima of its shingles'
-hashes; the sorted labels of a tree are its prefix trie. Two classes meet at the longest
-prefix that they share in any tree, in the first tree where it is as long. From a pair of
-similarity s some tree has a shared prefix of d minima with probability
-p_d(s) = 1 - (1 - s^d)^trees; the shortest prefix looked at, the stop depth, is the longest
-one with p_d(threshold) at the target recall. Below each shared prefix of the stop depth
-lies a small trie; these are dealt out by that prefix, so no trie is in one place, and
-within one the sorted labels show the depth at which any two classes part.
-
-Descent: pairs that share the whole label are verified first, then prefixes are shortened
-a minimum at a time. After each level the recall is measured: each pair found so far, of
-similarity s, stands for 1 / p_d(s) pairs, and one pair at the threshold is presumed
-unseen besides. The descent ends where the measured recall reaches the target, at the
-stop depth at the latest.
+hashes; the sorted labels of a tree are its prefix trie. The level of two classes is the
+length of the longest prefix that they share in any tree. For a pair of similarity s it is
+d or more with probability p_d(s) = 1 - (1 - s^d)^trees; the shortest prefix looked at, the
+stop depth, is the longest one with p_d(threshold) at the target recall. Below each shared
+prefix of the stop depth lies a small trie; these are dealt out by that prefix, so no trie
+is in one place, and within one the sorted labels show the depth at which two classes part.
+
+Descent: pairs that share whole labels are verified first, then prefixes are shortened,
+``shorten`` minima a round. After each round the recall is measured: each pair found so
+far, of similarity s, stands for 1 / p_d(s) pairs, and one pair at the threshold is
+presumed unseen besides. The descent ends where the measured recall reaches the target,
+at the stop depth at the latest.
 
 Candidates are compared where they meet. A prefix that more than ``block`` classes share
 is split into blocks by a hash of the class, and each pair of blocks is a unit of its
 own, so no task gathers an unbounded group, and no pair is left out. A pair is verified
-where it meets, and nowhere else: a first pass over labels alone finds which classes have
-such a pair at which place and level, and only these are sent there with their shingles.
+in the first tree in which it shares a prefix of the stop depth, and nowhere else: a first
+pass over labels alone finds which classes have such a pair there at which level, and only
+these are sent there with their shingles.
 Within a unit all overlaps are counted together by posting lists, and
 what leaves it is one row a class (its links, and the unit's component that it is in),
 never pairs.
@@ -57,8 +57,8 @@ from .common import discard, keep_marked, materialise, release, within
 
 WIDTH, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 18, 8, 0.9999
-#: Classes of a block: a unit holds two at most.
-BLOCK = 400
+#: Minima by which a round shortens prefixes, and classes of a block: a unit holds two at most.
+SHORTEN, BLOCK = 2, 400
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -216,31 +216,29 @@ def _shared(one: np.ndarray, two: np.ndarray, below: int) -> np.ndarray:
 
 
 def _levels(heads: np.ndarray, tails: np.ndarray, tree: int, part: np.ndarray, i: int, j: int, stop: int, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """x, y (x < y) and depth of the shared prefix of the pairs of a unit that meet in it.
+    """x, y (x < y) and level of the pairs of a unit whose first shared prefix is here.
 
     The rows of a unit share a prefix of the stop depth in ``tree`` and are sorted by their
     tails there, so the depth at which two part is the least between neighbours from one
-    to the other. A pair that shares a longer prefix in another tree, or one as long in a
-    tree before, meets there. Of a unit of two blocks only pairs across them count.
+    to the other. Of a unit of two blocks only pairs across them count.
     """
     n = len(heads)
     steps = _shared(tails[:-1, tree], tails[1:, tree], below)
     x, y = np.triu_indices(n, 1)
-    depth = np.concatenate([np.minimum.accumulate(steps[k:]) for k in range(n - 1)]) if n > 1 else np.zeros(0, np.int8)
-    left = part[x] != part[y] if i != j else np.ones(len(x), bool)
-    x, y, depth = x[left], y[left], depth[left]
+    level = np.concatenate([np.minimum.accumulate(steps[k:]) for k in range(n - 1)]) if n > 1 else np.zeros(0, np.int8)
+    if i != j:
+        left = part[x] != part[y]
+        x, y, level = x[left], y[left], level[left]
     for t in range(heads.shape[1]):
         if t == tree or not len(x):
             continue
-        same = np.flatnonzero(heads[x, t] == heads[y, t])
-        if len(same):
-            other = _shared(tails[x[same], t], tails[y[same], t], below)
-            gone = same[other >= depth[same] if t < tree else other > depth[same]]
-            if len(gone):
-                keep = np.ones(len(x), bool)
-                keep[gone] = False
-                x, y, depth = x[keep], y[keep], depth[keep]
-    return x, y, depth + stop
+        same = heads[x, t] == heads[y, t]
+        if t < tree:  # met there
+            x, y, level = x[~same], y[~same], level[~same]
+        elif same.any():
+            at = np.flatnonzero(same)
+            level[at] = np.maximum(level[at], _shared(tails[x[at], t], tails[y[at], t], below))
+    return x, y, level + stop
 
 
 _KEY = ["tree", "label", "i", "j"]
@@ -251,8 +249,8 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([np.asarray(c.flatten()).reshape(len(c), -1) for c in column.chunks]).view(np.uint64)
 
 
-def _wanted(stop: int, below: int):
-    """Of each unit the classes that have a pair to verify there, a row for each level."""
+def _wanted(stop: int, below: int, shorten: int):
+    """Of each unit the classes that have a pair to verify there, a row for each round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, 4):
@@ -263,19 +261,20 @@ def _wanted(stop: int, below: int):
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a > 1:
                     x, y, depth = _levels(heads[a:b], tails[a:b], tree[a], part[a:b], i[a], j[a], stop, below)
-                    for d in np.unique(depth).tolist():
-                        own = np.unique(np.concatenate([x[depth == d], y[depth == d]])) + a
+                    turn = (stop + below - depth) // shorten
+                    for d in np.unique(turn).tolist():
+                        own = np.unique(np.concatenate([x[turn == d], y[turn == d]])) + a
                         rows.append(own)
                         levels.append(np.full(len(own), d, np.int32))
             if rows:
                 found = table.select([*_KEY, "part", "vertex"]).take(pa.array(np.concatenate(rows)))
-                yield from found.append_column("level", pa.array(np.concatenate(levels))).to_batches()
+                yield from found.append_column("round", pa.array(np.concatenate(levels))).to_batches()
         release()
 
     return run
 
 
-def _verify(threshold: float, level: int, stop: int, depth: int, trees: int):
+def _verify(threshold: float, levels: range, stop: int, depth: int, trees: int):
     """Of each unit the linked classes: root in the unit, rows linked to, and by shared
     prefix the pairs that those found stand for beyond themselves."""
 
@@ -285,7 +284,7 @@ def _verify(threshold: float, level: int, stop: int, depth: int, trees: int):
             out: list[tuple[int, int, int, int, list[float]]] = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a > 1:
-                    out += _verified(table.slice(a, b - a), threshold, level, stop, depth, trees)
+                    out += _verified(table.slice(a, b - a), threshold, levels, stop, depth, trees)
             if out:
                 kinds = [*[pa.int64()] * 4, pa.list_(pa.float64())]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["vertex", "root", "links", "pairs", "unseen"])
@@ -315,13 +314,14 @@ def _overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarra
     return out
 
 
-def _verified(unit: pa.Table, threshold: float, level: int, stop: int, depth: int, trees: int) -> list[tuple[int, int, int, int, list[float]]]:
+def _verified(unit: pa.Table, threshold: float, levels: range, stop: int, depth: int, trees: int) -> list[tuple[int, int, int, int, list[float]]]:
     """(class, its root in the unit, rows it is linked to, pairs, unseen) for the linked
     classes of a unit; a pair counts with the class that comes first."""
     tree, i, j = (unit.column(c)[0].as_py() for c in ("tree", "i", "j"))
     vertex, weight, part = (unit.column(c).to_numpy() for c in ("vertex", "size", "part"))
     x, y, level_of = _levels(_matrix(unit.column("heads")), _matrix(unit.column("tails")), tree, part, i, j, stop, depth - stop)
-    x, y = x[level_of == level], y[level_of == level]
+    now = (level_of >= levels.start) & (level_of < levels.stop)
+    x, y = x[now], y[now]
     sizes = np.asarray(pc.divide(pc.binary_length(unit.column("shingles")), 8))
     near = np.minimum(sizes[x], sizes[y]) >= threshold * np.maximum(sizes[x], sizes[y]) - 1e-9
     x, y = x[near], y[near]
@@ -374,7 +374,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return roots.select("vertex", "root")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, shorten: int = SHORTEN) -> DataFrame:
     """A row per row of ``docs``: id, row, text_key, class_id, n_links and first (it is
     the row of its class with the smallest id, then row)."""
     spark, stop = docs.sparkSession, stop_depth(threshold, recall, trees, depth)
@@ -392,7 +392,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     full = units.join(described, units["vertex"] == described["v"]).select(*_KEY, "part", "vertex", "heads", "tails")
     tail = F.get("tails", F.col("tree"))
     dealt = full.repartition(*_KEY).sortWithinPartitions(*_KEY, tail, "vertex")
-    wanted = materialise(dealt.mapInArrow(_wanted(stop, depth - stop), "tree int, label long, i int, j int, part int, vertex long, level int"), "wanted")
+    wanted = materialise(dealt.mapInArrow(_wanted(stop, depth - stop, shorten), "tree int, label long, i int, j int, part int, vertex long, round int"), "wanted")
     discard(units)
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,14 +414,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     sets = found.mapInArrow(shingle, "v long, shingles binary")
     carried = materialise(described.join(sets, "v"), "carried")
     discard(keyed)
-    at_level = {r["level"] for r in wanted.select("level").distinct().collect()}  # depth - stop + 1 rows at most
+    rounds = {r["round"] for r in wanted.select("round").distinct().collect()}  # a few numbers
     found, pairs, unseen = [], 0, np.zeros(depth - stop + 1)
-    for level in range(depth, stop - 1, -1):
-        if level in at_level:
-            here = wanted.filter(F.col("level") == level)
+    for turn in range(-(-(depth - stop + 1) // shorten)):
+        level = max(stop, depth - (turn + 1) * shorten + 1)
+        if turn in rounds:
+            here = wanted.filter(F.col("round") == turn)
             ready = here.join(carried, here["vertex"] == carried["v"]).select(*_KEY, "part", "vertex", "size", "heads", "tails", "shingles")
             ready = ready.repartition(*_KEY).sortWithinPartitions(*_KEY, tail, "vertex")
-            verified = ready.mapInArrow(_verify(threshold, level, stop, depth, trees), "vertex long, root long, links long, pairs long, unseen array<double>")
+            levels = range(level, depth - turn * shorten + 1)
+            verified = ready.mapInArrow(_verify(threshold, levels, stop, depth, trees), "vertex long, root long, links long, pairs long, unseen array<double>")
             found.append(materialise(verified, "links"))
             sums = found[-1].agg(F.sum("pairs"), *[F.sum(F.col("unseen")[k]) for k in range(depth - stop + 1)]).first()
             pairs += sums[0] or 0
