@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import InputError
 from .operators import distances, memberships, trees
 from .publish import publish
 from .schemas import KEY, conform
@@ -42,7 +43,34 @@ def distance_relations(members: DataFrame, sequences: DataFrame, tree_rows: Data
     return conform(pairs.join(status, list(KEY)), "pairwise_distances"), stats
 
 
-def relations(spark: SparkSession, root: str, run_id: str, most: int = 250) -> dict[str, DataFrame]:
+SOURCES = ("AUTO", "ALIGNED_SEQUENCE", "RESOLVED_GENE_TREE", "NONE")
+
+
+def distance_source(requested: str, has_alignments: bool, has_resolved_trees: bool) -> str:
+    """Where distances come from: what was asked for, or alignments before trees before nothing."""
+    if requested not in SOURCES:
+        raise InputError(f"unknown distance source {requested}")
+    if requested == "AUTO":
+        return "ALIGNED_SEQUENCE" if has_alignments else "RESOLVED_GENE_TREE" if has_resolved_trees else "NONE"
+    if requested == "ALIGNED_SEQUENCE" and not has_alignments or requested == "RESOLVED_GENE_TREE" and not has_resolved_trees:
+        raise InputError(f"{requested}: the results hold none")
+    return requested
+
+
+def alignment_relations(members: DataFrame, aligned: DataFrame, most: int = 250) -> tuple[DataFrame, DataFrame]:
+    """pairwise_distances and distance_statistics of aligned members (group_id, member_id,
+    sequence), which are named by their original group or by the group itself."""
+    named = members.select(*KEY, F.coalesce(F.nullif("legacy_orthogroup_id", F.lit("")), F.col("group_id")).alias("file"), "member_id").distinct()
+    rows = named.join(aligned.select(F.col("group_id").alias("file"), "member_id", "sequence"), ["file", "member_id"]).drop("file")
+    pairs = distances.alignment_distances(rows, most)
+    sizes = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("total_member_count")).withColumn("sampled_member_count", F.least("total_member_count", F.lit(most)))
+    status = F.when(F.col("total_member_count") > most, "DETERMINISTIC_MEMBER_SAMPLE").otherwise("EXACT")
+    sites = pairs.groupBy(*KEY).agg(F.avg("comparable_sites").alias("mean_comparable_sites"))
+    done = distances.summarise(pairs).join(sizes, list(KEY)).join(sites, list(KEY)).withColumns({"computation_status": status, "distance_method": F.lit("p_distance"), "member_identifier_resolution": F.lit("EXACT_MEMBER_ID"), "failure_reason": F.lit("")})
+    return conform(pairs, "pairwise_distances"), conform(done, "distance_statistics")
+
+
+def relations(spark: SparkSession, root: str, run_id: str, most: int = 250, source: str = "AUTO") -> dict[str, DataFrame]:
     """All relations of a result directory, lazily."""
     layout = results.discover(root)
     hogs, legacy = results.memberships(spark, layout, run_id)
@@ -68,7 +96,11 @@ def relations(spark: SparkSession, root: str, run_id: str, most: int = 250) -> d
             "tree_nodes": nodes,
             "tree_edges": trees.tree_edges(nodes),
         }
-        out["pairwise_distances"], out["distance_statistics"] = distance_relations(hogs if hogs is not None else legacy, sequences, found, most)
+    asked, own = distance_source(source, layout.alignments is not None, bool(layout.trees)), hogs if hogs is not None else legacy
+    if asked == "ALIGNED_SEQUENCE":
+        out["pairwise_distances"], out["distance_statistics"] = alignment_relations(own, results.alignments(spark, layout), most)
+    elif asked == "RESOLVED_GENE_TREE":
+        out["pairwise_distances"], out["distance_statistics"] = distance_relations(own, sequences, found, most)
     return out
 
 
@@ -78,9 +110,9 @@ def inventory(spark: SparkSession, root: str) -> list[tuple[str, int, str]]:
     return [tuple(r) for r in files.select("path", "length", F.sha2("content", 256)).collect()]
 
 
-def run(spark: SparkSession, root: str, output: str, run_id: str, most: int = 250, resume: bool = False, force: bool = False) -> str:
+def run(spark: SparkSession, root: str, output: str, run_id: str, most: int = 250, resume: bool = False, force: bool = False, source: str = "AUTO") -> str:
     """Build and publish; REUSED where the same run over the same inputs is there."""
-    found = relations(spark, root, run_id, most)
+    found = relations(spark, root, run_id, most, source)
     memberships.check_consistent(found["memberships"])
     return publish(spark, found, output, run_id, inventory(spark, root), resume, force)
 
@@ -91,10 +123,11 @@ def main() -> None:
     args.add_argument("output")
     args.add_argument("--run-id", required=True)
     args.add_argument("--max-members", type=int, default=250)
+    args.add_argument("--distance-source", default="AUTO", choices=SOURCES)
     args.add_argument("--resume", action="store_true")
     args.add_argument("--force", action="store_true")
     a = args.parse_args()
-    print(run(session(), a.results, a.output, a.run_id, a.max_members, a.resume, a.force))
+    print(run(session(), a.results, a.output, a.run_id, a.max_members, a.resume, a.force, a.distance_source))
 
 
 if __name__ == "__main__":

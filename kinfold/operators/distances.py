@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stats import ladder
 from ..functions.text import stable_hash
 from ..schemas import KEY
 
@@ -128,3 +129,23 @@ def stratified_quotas(counts: DataFrame, most: int, stratum: str, count: str) ->
     left = F.greatest(F.lit(0.0), most - F.sum("__floor").over(Window.partitionBy()))
     more = F.row_number().over(Window.orderBy((F.col("__share") - F.floor("__share")).desc(), F.col(stratum).asc()))
     return base.withColumn("quota", F.least(F.col(count), (F.col("__floor") + F.when(more <= left, 1).otherwise(0)).cast("long"))).drop("__share", "__floor")
+
+
+def class_histogram(rows: DataFrame, bins: int = 20, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Share of each pair class's distances in equal bins over all of them."""
+    own = rows.filter(F.col("distance").isNotNull())
+    ends = own.groupBy(*keys).agg(F.min("distance").alias("__low"), F.max("distance").alias("__high"))
+    met = own.join(ends, list(keys)) if keys else own.crossJoin(F.broadcast(ends))  # one row
+    width = F.col("__high") - F.col("__low")
+    bin_ = F.when(width <= 0, 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("distance") - F.col("__low")) / width * bins))).cast("long")
+    counts = met.groupBy(*keys, "pair_class", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("pair_count"))
+    sizes = own.groupBy(*keys, "pair_class").agg(F.count(F.lit(1)).alias("__n"))
+    return counts.join(sizes, [*keys, "pair_class"]).withColumn("probability", F.col("pair_count") / F.col("__n")).drop("__n")
+
+
+def class_cumulative(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Empirical distribution of each pair class at its distinct distances."""
+    by = [*keys, "pair_class"]
+    steps = ladder(rows.select(*by, "distance").withColumn("n", F.lit(1)), by, "distance", "n")
+    sizes = rows.filter(F.col("distance").isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
+    return steps.join(sizes, by).select(*by, "distance", ((F.col("below_n") + F.col("n")) / F.col("total")).alias("cumulative_fraction"))

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import InputError
 from ..schemas import KEY
@@ -91,6 +92,18 @@ def pcoa(pairs: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
     return pairs.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", member string, {numbers}, projection_quality string")
 
 
+def shepard(pairs: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
+    """Of each pair the exact distance and that of its points in two and three axes."""
+    axes = ("axis_1", "axis_2", "axis_3")
+    rows = pairs.select(*keys, F.col("member_a").cast("string").alias("member_a"), F.col("member_b").cast("string").alias("member_b"), "distance")
+    points = pcoa(rows, keys).select(*keys, "member", *axes)
+    for end in "ab":
+        named = points.select(*keys, F.col("member").alias(f"member_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in axes])
+        rows = rows.join(named, [*keys, f"member_{end}"])
+    square = [F.pow(F.col(f"{c}_a") - F.col(f"{c}_b"), 2) for c in axes]
+    return rows.select(*keys, "member_a", "member_b", "distance", F.sqrt(square[0] + square[1]).alias("distance_2d"), F.sqrt(square[0] + square[1] + square[2]).alias("distance_3d"))
+
+
 def connected_network(pairs: DataFrame, k: int, keys: tuple[str, ...] = KEY) -> DataFrame:
     """Nearest-neighbour edges of each group and the shortest connectors that join its parts."""
 

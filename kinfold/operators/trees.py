@@ -123,3 +123,15 @@ def phylograms(trees: DataFrame, keep: DataFrame) -> DataFrame:
                 yield rows
 
     return _with_leaves(trees, keep).mapInPandas(run, "tree_id string, node long, parent long, name string, x double, y double, is_leaf boolean")
+
+
+def nested_trees(trees: DataFrame, traits: DataFrame) -> DataFrame:
+    """Each tree as nested JSON with traits of its leaves (leaf, and a map ``traits``)."""
+    import json
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(r.tree_id, json.dumps(newick.nested(newick.parse(r.newick), {x["leaf"]: dict(x["traits"] or {}) for x in r.of}), sort_keys=True)) for r in batch.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["tree_id", "json"])
+
+    return _with_leaves(trees, traits, "traits").mapInPandas(run, "tree_id string, json string")

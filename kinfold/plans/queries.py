@@ -634,4 +634,4 @@ def event_windows(b: Bridge) -> DataFrame:
     return streaming.windowed_counts(b.table("events")).withColumn("total_value", F.round("total_value", 4)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-from . import roundtrips, selections  # noqa: E402, F401  (they register their own)
+from . import families, roundtrips, selections  # noqa: E402, F401  (they register their own)
