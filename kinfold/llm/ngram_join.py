@@ -10,6 +10,8 @@ d or more with probability p_d(s) = 1 - (1 - s^d)^trees; the shortest prefix loo
 stop depth, is the longest one with p_d(threshold) at the target recall. Below each shared
 prefix of the stop depth lies a small trie; these are dealt out by that prefix, so no trie
 is in one place, and within one the sorted labels show the depth at which two classes part.
+The minima beyond the stop depth also tell how alike two classes are: a pair that agrees in
+so few of them that one in a million at the threshold would is no candidate (``STRAY``).
 
 Descent: pairs that share whole labels are verified first, then prefixes are shortened,
 ``shorten`` minima a round. After each round the recall is measured: each pair found so
@@ -42,6 +44,7 @@ further columns are never read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,12 +56,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, keep_marked, materialise, release, within
+from .common import bounded, discard, keep_marked, materialise, release
 
 WIDTH, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 18, 8, 0.9999
 #: Minima by which a round shortens prefixes, and classes of a block: a unit holds two at most.
 SHORTEN, BLOCK = 2, 400
+#: Probability with which a pair at the threshold agrees in too few minima to be a candidate.
+STRAY = 1e-6
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -117,8 +122,18 @@ def found_share(similarity: np.ndarray, d: int, trees: int = TREES) -> np.ndarra
 
 
 def _tail_bits(depth: int, stop: int) -> int:
-    """Bits that each minimum below the stop depth has in a tail of 64 bits."""
-    return 64 // max(1, depth - stop)
+    """Bits that each minimum below the stop depth has in a tail of 32 bits."""
+    return 32 // max(1, depth - stop)
+
+
+def least_agreement(threshold: float, minima: int, stray: float = STRAY) -> int:
+    """The most minima in which all but ``stray`` of the pairs at the threshold agree."""
+    below = 0.0
+    for k in range(minima + 1):
+        below += math.comb(minima, k) * threshold**k * (1 - threshold) ** (minima - k)
+        if below > stray:
+            return k
+    return minima
 
 
 def _labels(shingles: list[np.ndarray], trees: int, depth: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +142,7 @@ def _labels(shingles: list[np.ndarray], trees: int, depth: int, stop: int) -> tu
     flat = np.concatenate(shingles)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in shingles])[:-1]])
     a, b = _numbers(trees * depth, "a") | np.uint64(1), _numbers(trees * depth, "b")
-    heads, tails = np.zeros((len(shingles), trees), np.uint64), np.zeros((len(shingles), trees), np.uint64)
+    heads, tails = np.zeros((len(shingles), trees), np.uint64), np.zeros((len(shingles), trees), np.uint32)
     buffer, bits = np.empty_like(flat), _tail_bits(depth, stop)
     for t in range(trees):
         for k in range(depth):
@@ -137,12 +152,12 @@ def _labels(shingles: list[np.ndarray], trees: int, depth: int, stop: int) -> tu
             if k < stop:
                 heads[:, t] = _mix(heads[:, t] ^ least) + np.uint64(t)
             else:
-                tails[:, t] |= _mix(least) >> np.uint64(64 - bits) << np.uint64(64 - bits * (k - stop + 1))
-    return heads, tails ^ np.uint64(1 << 63)  # as signed numbers they sort alike
+                tails[:, t] |= (_mix(least) >> np.uint64(64 - bits)).astype(np.uint32) << np.uint32(32 - bits * (k - stop + 1))
+    return heads, tails ^ np.uint32(1 << 31)  # as signed numbers they sort alike
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+    return x.view(np.int64 if x.itemsize == 8 else np.int32)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, trees: int, depth: int, stop: int) -> DataFrame:
@@ -164,13 +179,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, trees: i
                             labels[i] = x
                 rows = pa.array(range(row, row + len(words)), pa.int64())
                 row += len(words)
-                yield pa.record_batch([batch.column(0), rows, batch.column(2), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int64()))], names=["id", "row", "text_key", "words_key", "heads", "tails"])
+                yield pa.record_batch([batch.column(0), rows, batch.column(2), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int32()))], names=["id", "row", "text_key", "words_key", "heads", "tails"])
         del own
         release()
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    return narrow.mapInArrow(sign, "id long, row long, text_key long, words_key binary, heads array<long>, tails array<long>")
+    return narrow.mapInArrow(sign, "id long, row long, text_key long, words_key binary, heads array<long>, tails array<int>")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -208,19 +223,30 @@ def _bounds(table: pa.Table, keys: int) -> np.ndarray:
 
 def _shared(one: np.ndarray, two: np.ndarray, below: int) -> np.ndarray:
     """How many minima tails share from the first on, of ``below``."""
-    apart, bits = one ^ two, 64 // max(1, below)
+    apart, bits = one ^ two, 32 // max(1, below)
     out = np.zeros(apart.shape, np.int8)
     for k in range(1, below + 1):
-        out += apart >> np.uint64(64 - bits * k) == 0
+        out += apart >> np.uint32(32 - bits * k) == 0
+    return out
+
+
+def _agreeing(tails: np.ndarray, x: np.ndarray, y: np.ndarray, below: int, least: int) -> np.ndarray:
+    """Whether the tails of each pair agree in ``least`` minima, of all trees together."""
+    bits = 32 // max(1, below)
+    minima = np.concatenate([(tails >> np.uint32(32 - bits * (k + 1)) & np.uint32((1 << bits) - 1)).astype(np.uint16) for k in range(below)], axis=1)
+    out = np.empty(len(x), bool)
+    for a in range(0, len(x), 100_000):
+        out[a : a + 100_000] = (minima[x[a : a + 100_000]] == minima[y[a : a + 100_000]]).sum(axis=1) >= least
     return out
 
 
-def _levels(heads: np.ndarray, tails: np.ndarray, tree: int, part: np.ndarray, i: int, j: int, stop: int, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _levels(heads: np.ndarray, tails: np.ndarray, tree: int, part: np.ndarray, i: int, j: int, stop: int, below: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """x, y (x < y) and level of the pairs of a unit whose first shared prefix is here.
 
     The rows of a unit share a prefix of the stop depth in ``tree`` and are sorted by their
     tails there, so the depth at which two part is the least between neighbours from one
-    to the other. Of a unit of two blocks only pairs across them count.
+    to the other. Of a unit of two blocks only pairs across them count, and of all only
+    those that agree in ``least`` further minima.
     """
     n = len(heads)
     steps = _shared(tails[:-1, tree], tails[1:, tree], below)
@@ -229,14 +255,15 @@ def _levels(heads: np.ndarray, tails: np.ndarray, tree: int, part: np.ndarray, i
     if i != j:
         left = part[x] != part[y]
         x, y, level = x[left], y[left], level[left]
-    for t in range(heads.shape[1]):
-        if t == tree or not len(x):
-            continue
-        same = heads[x, t] == heads[y, t]
-        if t < tree:  # met there
-            x, y, level = x[~same], y[~same], level[~same]
-        elif same.any():
-            at = np.flatnonzero(same)
+    for t in range(tree):  # met there
+        new = heads[x, t] != heads[y, t]
+        x, y, level = x[new], y[new], level[new]
+    if below and len(x):
+        near = _agreeing(tails, x, y, below, least)
+        x, y, level = x[near], y[near], level[near]
+    for t in range(tree + 1, heads.shape[1]):
+        at = np.flatnonzero(heads[x, t] == heads[y, t])
+        if len(at):
             level[at] = np.maximum(level[at], _shared(tails[x[at], t], tails[y[at], t], below))
     return x, y, level + stop
 
@@ -246,10 +273,11 @@ _KEY = ["tree", "label", "i", "j"]
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     """A column of lists of one length, as unsigned numbers."""
-    return np.concatenate([np.asarray(c.flatten()).reshape(len(c), -1) for c in column.chunks]).view(np.uint64)
+    found = np.concatenate([np.asarray(c.flatten()).reshape(len(c), -1) for c in column.chunks])
+    return found.view(np.uint64 if found.itemsize == 8 else np.uint32)
 
 
-def _wanted(stop: int, below: int, shorten: int):
+def _wanted(stop: int, below: int, shorten: int, least: int):
     """Of each unit the classes that have a pair to verify there, a row for each round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +288,7 @@ def _wanted(stop: int, below: int, shorten: int):
             rows, levels = [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a > 1:
-                    x, y, depth = _levels(heads[a:b], tails[a:b], tree[a], part[a:b], i[a], j[a], stop, below)
+                    x, y, depth = _levels(heads[a:b], tails[a:b], tree[a], part[a:b], i[a], j[a], stop, below, least)
                     turn = (stop + below - depth) // shorten
                     for d in np.unique(turn).tolist():
                         own = np.unique(np.concatenate([x[turn == d], y[turn == d]])) + a
@@ -274,7 +302,7 @@ def _wanted(stop: int, below: int, shorten: int):
     return run
 
 
-def _verify(threshold: float, levels: range, stop: int, depth: int, trees: int):
+def _verify(threshold: float, levels: range, stop: int, depth: int, trees: int, least: int):
     """Of each unit the linked classes: root in the unit, rows linked to, and by shared
     prefix the pairs that those found stand for beyond themselves."""
 
@@ -284,7 +312,7 @@ def _verify(threshold: float, levels: range, stop: int, depth: int, trees: int):
             out: list[tuple[int, int, int, int, list[float]]] = []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a > 1:
-                    out += _verified(table.slice(a, b - a), threshold, levels, stop, depth, trees)
+                    out += _verified(table.slice(a, b - a), threshold, levels, stop, depth, trees, least)
             if out:
                 kinds = [*[pa.int64()] * 4, pa.list_(pa.float64())]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["vertex", "root", "links", "pairs", "unseen"])
@@ -314,12 +342,16 @@ def _overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarra
     return out
 
 
-def _verified(unit: pa.Table, threshold: float, levels: range, stop: int, depth: int, trees: int) -> list[tuple[int, int, int, int, list[float]]]:
+def _verified(unit: pa.Table, threshold: float, levels: range, stop: int, depth: int, trees: int, least: int) -> list[tuple[int, int, int, int, list[float]]]:
     """(class, its root in the unit, rows it is linked to, pairs, unseen) for the linked
     classes of a unit; a pair counts with the class that comes first."""
     tree, i, j = (unit.column(c)[0].as_py() for c in ("tree", "i", "j"))
+    vertex = unit.column("vertex").to_numpy()
+    once = np.append(True, vertex[1:] != vertex[:-1])
+    if not once.all():  # rows that repeat an id and its text
+        unit = unit.filter(pa.array(once))
     vertex, weight, part = (unit.column(c).to_numpy() for c in ("vertex", "size", "part"))
-    x, y, level_of = _levels(_matrix(unit.column("heads")), _matrix(unit.column("tails")), tree, part, i, j, stop, depth - stop)
+    x, y, level_of = _levels(_matrix(unit.column("heads")), _matrix(unit.column("tails")), tree, part, i, j, stop, depth - stop, least)
     now = (level_of >= levels.start) & (level_of < levels.stop)
     x, y = x[now], y[now]
     sizes = np.asarray(pc.divide(pc.binary_length(unit.column("shingles")), 8))
@@ -392,7 +424,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     full = units.join(described, units["vertex"] == described["v"]).select(*_KEY, "part", "vertex", "heads", "tails")
     tail = F.get("tails", F.col("tree"))
     dealt = full.repartition(*_KEY).sortWithinPartitions(*_KEY, tail, "vertex")
-    wanted = materialise(dealt.mapInArrow(_wanted(stop, depth - stop, shorten), "tree int, label long, i int, j int, part int, vertex long, round int"), "wanted")
+    least = least_agreement(threshold, trees * (depth - stop))
+    wanted = materialise(dealt.mapInArrow(_wanted(stop, depth - stop, shorten, least), "tree int, label long, i int, j int, part int, vertex long, round int"), "wanted")
     discard(units)
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,26 +437,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         release()
 
     # the texts of the wanted classes' first rows, whose key is the id and a hash of the text
-    wants = wanted.select("vertex").distinct()
-    keyed = materialise(signs.join(wants, signs["row"] == wants["vertex"]).groupBy("id", "text_key").agg(F.min("vertex").alias("vertex")), "wants")
+    asked = wanted.groupBy("vertex").agg(F.collect_list(F.struct(*_KEY, "part", "round")).alias("units")).join(described, F.col("vertex") == F.col("v")).drop("v")
+    asked = materialise(asked, "asked")
+    keyed = materialise(signs.join(asked.select("vertex"), F.col("row") == F.col("vertex")).select(F.col("id").alias("k"), F.col("text_key").alias("t"), "vertex"), "wants")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    found = within(narrow, keyed, [(F.col("id"), "id"), (F.col("text_key"), "text_key")])
-    here = keyed.select(F.col("id").alias("k"), F.col("text_key").alias("t"), "vertex")
-    found = found.join(here, F.col("id").eqNullSafe(F.col("k")) & (F.col("text_key") == F.col("t"))).select("vertex", "text").dropDuplicates(["vertex"])
+    side = F.broadcast(keyed) if bounded(keyed) else keyed
+    found = narrow.join(side, F.col("id").eqNullSafe(F.col("k")) & (F.col("text_key") == F.col("t"))).select("vertex", "text")
     sets = found.mapInArrow(shingle, "v long, shingles binary")
-    carried = materialise(described.join(sets, "v"), "carried")
-    discard(keyed)
+    carried = materialise(sets.join(asked, F.col("v") == F.col("vertex")).drop("v"), "carried")
+    discard(keyed, asked)
     rounds = {r["round"] for r in wanted.select("round").distinct().collect()}  # a few numbers
     found, pairs, unseen = [], 0, np.zeros(depth - stop + 1)
     for turn in range(-(-(depth - stop + 1) // shorten)):
         level = max(stop, depth - (turn + 1) * shorten + 1)
         if turn in rounds:
-            here = wanted.filter(F.col("round") == turn)
-            ready = here.join(carried, here["vertex"] == carried["v"]).select(*_KEY, "part", "vertex", "size", "heads", "tails", "shingles")
+            own = F.explode(F.filter("units", lambda u: u["round"] == turn)).alias("u")  # noqa: B023
+            ready = carried.select(own, "vertex", "size", "heads", "tails", "shingles").select(*[f"u.{c}" for c in (*_KEY, "part")], "vertex", "size", "heads", "tails", "shingles")
             ready = ready.repartition(*_KEY).sortWithinPartitions(*_KEY, tail, "vertex")
             levels = range(level, depth - turn * shorten + 1)
-            verified = ready.mapInArrow(_verify(threshold, levels, stop, depth, trees), "vertex long, root long, links long, pairs long, unseen array<double>")
+            verified = ready.mapInArrow(_verify(threshold, levels, stop, depth, trees, least), "vertex long, root long, links long, pairs long, unseen array<double>")
             found.append(materialise(verified, "links"))
             sums = found[-1].agg(F.sum("pairs"), *[F.sum(F.col("unseen")[k]) for k in range(depth - stop + 1)]).first()
             pairs += sums[0] or 0

@@ -308,7 +308,7 @@ def test_pairs_meet_in_one_place():
     minima[7] = minima[8] = minima[9]
     bits = ngram_join._tail_bits(depth, stop)
     heads = np.array([[m[0] * 10 + m[1] + 100 * t for t, m in enumerate(row)] for row in minima], np.uint64)
-    tails = np.array([[sum(int(v) << (64 - bits * (k + 1)) for k, v in enumerate(m[stop:])) for m in row] for row in minima], np.uint64)
+    tails = np.array([[sum(int(v) << (32 - bits * (k + 1)) for k, v in enumerate(m[stop:])) for m in row] for row in minima], np.uint32)
     want, found = {}, []
     for a in range(n):
         for b in range(a + 1, n):
@@ -318,9 +318,15 @@ def test_pairs_meet_in_one_place():
     for t in range(trees):
         for label in set(heads[:, t].tolist()):
             own = sorted(np.flatnonzero(heads[:, t] == label).tolist(), key=lambda v: int(tails[v, t]))  # noqa: B023
-            x, y, d = ngram_join._levels(heads[own], tails[own], t, np.zeros(len(own)), 0, 0, stop, depth - stop)
+            x, y, d = ngram_join._levels(heads[own], tails[own], t, np.zeros(len(own)), 0, 0, stop, depth - stop, 0)
             found += [((min(own[a], own[b]), max(own[a], own[b])), (t, int(k))) for a, b, k in zip(x.tolist(), y.tolist(), d.tolist(), strict=True)]
     assert len(found) == len(want) and dict(found) == want
+    # no pair at the threshold is taken for a stray one, but in one of a million cases
+    least = ngram_join.least_agreement(0.8, 72)
+    assert 30 < least < 45 and (rng.binomial(72, 0.8, 200_000) >= least).all()
+    x, y = np.triu_indices(n, 1)
+    agree = ngram_join._agreeing(tails, x, y, depth - stop, 9)
+    assert agree.tolist() == [(minima[a, :, stop:] == minima[b, :, stop:]).sum() >= 9 for a, b in zip(x, y, strict=True)]
 
 
 def test_descent_ends_at_the_measured_recall(spark, monkeypatch):
