@@ -51,6 +51,12 @@ class GroupFilters:
     page_size: int = 50
     terms: tuple[str, ...] = field(default=(), repr=False)
 
+    @property
+    def selective(self) -> bool:
+        """Whether anything but distances narrows the groups."""
+        bounds = any(x is not None for x in (*self.members, *self.species, self.hierarchy_node))
+        return bounds or any((self.group_type, self.group_id, self.group_id_contains, self.member_id_contains, self.included_species, self.excluded_species))
+
     def __post_init__(self) -> None:
         if self.include_mode not in ("ANY", "ALL", "EXACT_SET"):
             raise InputError(f"unknown species mode {self.include_mode}")
@@ -124,8 +130,10 @@ def search_groups(stats: DataFrame, species: DataFrame, members: DataFrame, dist
     if f.member_id_contains.strip():
         groups = groups.join(members.filter(contains_literal(F.col("member_id"), f.member_id_contains)).select(*KEY), list(KEY), "left_semi")
     groups = with_species(groups, species, f.included_species, f.include_mode, f.excluded_species)
-    shown = preferred_distance(distances).select(*KEY, *DISTANCE_COLUMNS)
-    out = groups.select(*GROUP_COLUMNS).join(shown, list(KEY), "left")
+    groups = groups.select(*GROUP_COLUMNS)
+    if f.selective:  # rank the distances of the groups that pass, not of all
+        distances = distances.join(groups.select(*KEY), list(KEY), "left_semi")
+    out = groups.join(preferred_distance(distances).select(*KEY, *DISTANCE_COLUMNS), list(KEY), "left")
     if f.distance_availability == "CALCULATED":
         out = out.filter("distance_pair_count > 0")
     elif f.distance_availability == "NOT_CALCULATED":
@@ -172,18 +180,23 @@ def with_spread(rows: DataFrame) -> DataFrame:
 
 def search_proteins(members: DataFrame, sequences: DataFrame | None, stats: DataFrame, distances: DataFrame, query: str, exact: bool = True) -> DataFrame:
     """Memberships of proteins found by member id, internal id, accession or entry, with
-    what matched; joins start from the few matches."""
-    m = members.select(*KEY, "legacy_orthogroup_id", "gene_tree_parent_clade", "species_label", "member_id")
-    if sequences is not None:
-        m = m.join(sequences.select("run_id", "member_id", "species_label", "internal_id"), ["run_id", "member_id", "species_label"], "left")
-    else:
-        m = m.withColumn("internal_id", F.lit(None).cast("string"))
+    what matched. Each side is filtered by itself, and only the proteins found on either
+    take part in the joins."""
 
     def fits(c: Column) -> Column:
         return F.coalesce(c == query if exact else contains_literal(c, query), F.lit(False))
 
     member, internal = F.col("member_id"), F.col("internal_id")
     accession, entry = pipe_part(member, 2), pipe_part(member, 3)
+    protein = ["run_id", "member_id", "species_label"]
+    m = members.select(*KEY, "legacy_orthogroup_id", "gene_tree_parent_clade", "species_label", "member_id")
+    own = fits(member) | fits(accession) | fits(entry)
+    if sequences is None:
+        m = m.filter(own).withColumn("internal_id", F.lit(None).cast("string"))
+    else:
+        named = sequences.select(*protein, "internal_id")
+        keys = m.filter(own).select(*protein).unionByName(named.filter(fits(internal)).select(*protein)).distinct()
+        m = m.join(keys, protein, "left_semi").join(named.join(keys, protein, "left_semi"), protein, "left")
     by = {"PROTEIN_ID": (fits(member), member), "INTERNAL_ID": (fits(internal), internal), "UNIPROT_ACCESSION": (fits(accession), accession), "UNIPROT_ENTRY": (fits(entry), entry)}
     order = ["PROTEIN_ID", "INTERNAL_ID", "UNIPROT_ACCESSION", "UNIPROT_ENTRY"] if exact else ["INTERNAL_ID", "UNIPROT_ACCESSION", "UNIPROT_ENTRY", "PROTEIN_ID"]
     found = by["PROTEIN_ID"][0] | by["INTERNAL_ID"][0] | by["UNIPROT_ACCESSION"][0] | by["UNIPROT_ENTRY"][0]
