@@ -9,7 +9,7 @@ Sorting by position gives the training order.
 
 Targets: the sources share ``epochs`` times all words by weight; no target exceeds
 ``most`` times its source's words, and what is cut off is shared again by weight among
-the others until none is above (water filling, in closed form over the sorted caps).
+the others until none is above (water filling).
 
 Running sums are made in buckets of about ``bucket_rows`` documents, bounded for each
 source by the leading digits of the sort key, so a source with a third of all rows is
@@ -30,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, materialise
+from .common import bounded, materialise
 
 #: Weights of the sources by their order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -47,22 +47,42 @@ def word_count(text: Column) -> Column:
     return (F.size(F.split(bare, " +")) - (bare == "").cast("int")).cast("long")
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with the place of each source in the order of their names, nulls last."""
+    order = F.col("source").asc_nulls_last()
+    if bounded(sizes):
+        return sizes.withColumn("rank", F.row_number().over(Window.orderBy(order)) - 1)
+    parts = materialise(sizes.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "sources")
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    counts = parts.groupBy(F.col("part").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    bases = counts.select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return parts.withColumn("inside", inside).join(F.broadcast(bases), F.col("part") == F.col("p")).withColumn("rank", F.col("base") + F.col("inside")).drop("part", "p", "base", "inside")
+
+
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = EPOCHS, most: float = MOST) -> DataFrame:
-    """``sizes`` (source, source_size, n_rows; a row per source) with rank, weight, target.
+    """``sizes`` (source, source_size, n_rows; a row per source) with rank and target.
 
-    The first source by ratio of cap to weight whose ratio exceeds the level that the
-    sources from it on would share fixes the level; all before it stand at their caps.
+    Sources whose cap lies below what their weight would give them stand at it, and the
+    others share what is left by weight, until none is above: a few sums over the sources.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    named = sizes.withColumn("rank", F.row_number().over(by_name) - 1)
-    named = named.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")))
-    named = named.withColumn("cap", most * F.col("source_size").cast("double"))
-    by_ratio = Window.orderBy("ratio", "rank")
-    before, whole = by_ratio.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    level = (epochs * F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    leveled = named.withColumn("ratio", F.col("cap") / F.col("weight")).withColumn("level", level)
-    leveled = leveled.withColumn("shared", F.max(F.when(F.col("ratio") > F.col("level"), F.col("level"))).over(whole))
-    return leveled.select("source", "source_size", "n_rows", "rank", F.least("cap", F.coalesce(F.col("weight") * F.col("shared"), F.col("cap"))).alias("target"))
+    named = _ranked(sizes)
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    named = named.withColumn("weight", weight).withColumn("cap", most * F.col("source_size").cast("double"))
+    named = materialise(named.withColumn("ratio", F.col("cap") / F.col("weight")), "named")
+    whole = named.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level, free = None, whole["weight"]
+    while free:
+        above = level is not None and F.col("ratio") < level
+        capped = F.sum(F.when(above, F.col("cap"))) if level is not None else F.lit(None)
+        own = F.sum(F.when(~above, F.col("weight"))) if level is not None else F.sum("weight")
+        found = named.agg(capped.cast("double").alias("capped"), own.alias("free")).first()
+        if level is not None and found["free"] == free:
+            break
+        free = found["free"]
+        level = (epochs * whole["size"] - (found["capped"] or 0.0)) / free if free else None
+    shared = F.col("cap") if level is None else F.least("cap", F.col("weight") * level)
+    return named.select("source", "source_size", "n_rows", "rank", shared.alias("target"))
 
 
 def _segments(knots: Sequence[tuple[float, float]]) -> list[tuple[float, float, float, float, float]]:

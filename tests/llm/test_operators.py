@@ -515,6 +515,13 @@ def test_targets_against_a_loop(spark):
         assert [found[s] for s, _, _ in sizes] == [pytest.approx(x) for x in want]
 
 
+def test_sources_are_ranked_in_ranges_too(spark, monkeypatch):
+    sizes = spark.createDataFrame([(f"s{k:03d}", 10 + k, 1) for k in range(300)] + [(None, 5, 1)], "source string, source_size long, n_rows long")
+    want = got(curriculum.targets(sizes), "rank", "source", "target")
+    monkeypatch.setattr(curriculum, "bounded", lambda df: False)
+    assert got(curriculum.targets(sizes), "rank", "source", "target") == want and want[-1][1] is None
+
+
 def test_mix(spark, table):
     found = curriculum.assign(table, bucket_rows=7).collect()
     again = curriculum.assign(table.orderBy(F.col("text").desc()), bucket_rows=40)
