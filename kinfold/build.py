@@ -59,9 +59,11 @@ def distance_source(requested: str, has_alignments: bool, has_resolved_trees: bo
 
 def alignment_relations(members: DataFrame, aligned: DataFrame, most: int = 250) -> tuple[DataFrame, DataFrame]:
     """pairwise_distances and distance_statistics of aligned members (group_id, member_id,
-    sequence), which are named by their original group or by the group itself."""
-    named = members.select(*KEY, F.coalesce(F.nullif("legacy_orthogroup_id", F.lit("")), F.col("group_id")).alias("file"), "member_id").distinct()
-    rows = named.join(aligned.select(F.col("group_id").alias("file"), "member_id", "sequence"), ["file", "member_id"]).drop("file")
+    sequence) of files that are named by the group itself or else by its original group."""
+    names = F.posexplode(F.array_distinct(F.array("group_id", F.coalesce("legacy_orthogroup_id", F.lit("")))))
+    named = members.select(*KEY, "member_id", names.alias("place", "file")).distinct()
+    met = named.join(aligned.select(F.col("group_id").alias("file"), "member_id", "sequence"), ["file", "member_id"])
+    rows = met.groupBy(*KEY, "member_id").agg(F.min_by("sequence", "place").alias("sequence"))
     pairs = distances.alignment_distances(rows, most)
     sizes = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("total_member_count")).withColumn("sampled_member_count", F.least("total_member_count", F.lit(most)))
     status = F.when(F.col("total_member_count") > most, "DETERMINISTIC_MEMBER_SAMPLE").otherwise("EXACT")
@@ -70,8 +72,9 @@ def alignment_relations(members: DataFrame, aligned: DataFrame, most: int = 250)
     return conform(pairs, "pairwise_distances"), conform(done, "distance_statistics")
 
 
-def relations(spark: SparkSession, root: str, run_id: str, most: int = 250, source: str = "AUTO") -> dict[str, DataFrame]:
-    """All relations of a result directory, lazily."""
+def relations(spark: SparkSession, root: str, run_id: str, most: int = 250, source: str = "") -> dict[str, DataFrame]:
+    """All relations of a result directory, lazily. Distances come from ``source``, or if
+    none is named from trees where there are any."""
     layout = results.discover(root)
     hogs, legacy = results.memberships(spark, layout, run_id)
     members = reduce(DataFrame.unionByName, [m for m in (hogs, legacy) if m is not None])
@@ -96,7 +99,8 @@ def relations(spark: SparkSession, root: str, run_id: str, most: int = 250, sour
             "tree_nodes": nodes,
             "tree_edges": trees.tree_edges(nodes),
         }
-    asked, own = distance_source(source, layout.alignments is not None, bool(layout.trees)), hogs if hogs is not None else legacy
+    own, resolved = hogs if hogs is not None else legacy, "RESOLVED_GENE_TREE" in layout.trees
+    asked = distance_source(source, layout.alignments is not None, resolved) if source else "RESOLVED_GENE_TREE" if found is not None else "NONE"
     if asked == "ALIGNED_SEQUENCE":
         out["pairwise_distances"], out["distance_statistics"] = alignment_relations(own, results.alignments(spark, layout), most)
     elif asked == "RESOLVED_GENE_TREE":
@@ -110,7 +114,7 @@ def inventory(spark: SparkSession, root: str) -> list[tuple[str, int, str]]:
     return [tuple(r) for r in files.select("path", "length", F.sha2("content", 256)).collect()]
 
 
-def run(spark: SparkSession, root: str, output: str, run_id: str, most: int = 250, resume: bool = False, force: bool = False, source: str = "AUTO") -> str:
+def run(spark: SparkSession, root: str, output: str, run_id: str, most: int = 250, resume: bool = False, force: bool = False, source: str = "") -> str:
     """Build and publish; REUSED where the same run over the same inputs is there."""
     found = relations(spark, root, run_id, most, source)
     memberships.check_consistent(found["memberships"])
