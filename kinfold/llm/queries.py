@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, chunk_dedup, curriculum, decision_list, line_dedup, merge_dropout, ngram_join, tool_calls, toxicity, url_filter
+from . import bitplanes, chunk_dedup, curriculum, decision_list, divergence, line_dedup, merge_dropout, ngram_join, notices, tool_calls, toxicity, url_filter, whitening
 from .common import table
 
 
@@ -64,8 +64,31 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.copies(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_fuzzy_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = notices.scan(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("finds").cast("long").alias("n_finds"))
+
+
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the fuzzy search that SQL can say."""
+    return op11_fuzzy_notices(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def op12_two_pass_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def embedding_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the whitening that SQL can say."""
+    return op12_two_pass_whitening(spark, sf_dir).select("vec_id", "component", "n", "deviation")
+
+
+def op13_heavy_light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bit_planes, op2_noisy_or, op3_line_hashing, op4_forest_join, op5_url_automaton, op6_merge_dropout, op7_curriculum, op8_decision_list, op9_tool_calls, op10_chunk_recipes)}
+    return {f.__name__: f for f in (op1_bit_planes, op2_noisy_or, op3_line_hashing, op4_forest_join, op5_url_automaton, op6_merge_dropout, op7_curriculum, op8_decision_list, op9_tool_calls, op10_chunk_recipes, op11_fuzzy_notices, license_phrases, op12_two_pass_whitening, embedding_deviations, op13_heavy_light)}
 
 
 _ALLOW_BLOCK = """CASE
@@ -114,4 +137,27 @@ def oracle_sql() -> dict[str, str]:
         "op10_chunk_recipes": """
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+            "license_phrases": r"""
+            WITH d AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+            w AS (SELECT doc, unnest(words) AS word, unnest(range(0, len(words))) AS place FROM d),
+            n AS (SELECT doc, place, word, lead(word, 1) OVER o AS second, lead(word, 2) OVER o AS third, lead(word, 3) OVER o AS fourth FROM w WINDOW o AS (PARTITION BY doc ORDER BY place)),
+            f AS (SELECT doc, place, CASE WHEN word = 'gnu' AND second = 'general' AND third = 'public' AND fourth = 'license' THEN 'gpl' WHEN word = 'apache' AND second = 'license' THEN 'apache' WHEN word = 'cc' AND second = 'by' THEN 'cc-by' WHEN word = 'mit' AND second = 'license' THEN 'mit' END AS label FROM n),
+            s AS (SELECT doc, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM f WHERE label IS NOT NULL GROUP BY doc)
+            SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM d LEFT JOIN s USING (doc)""",
+        "embedding_deviations": """
+            WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+            fit AS (SELECT DISTINCT x FROM v), n AS (SELECT count(*) AS n FROM fit), s AS (SELECT i, sum(x[i])::BIGINT AS s FROM fit, range(1, 65) t(i) GROUP BY i), l AS (SELECT list(s ORDER BY i) AS sums FROM s)
+            SELECT vec_id, k::INTEGER AS component, n, list_sum(list_transform(x, lambda c, i: (n * c - sums[i]) * (n * c - sums[i])))::BIGINT AS deviation FROM v, n, l, range(1, 5) t(k)""",
+        "op13_heavy_light": r"""
+            WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+            g AS (SELECT DISTINCT lang, source FROM d), numbered AS (SELECT row_number() OVER () AS doc, * FROM d), t AS (SELECT doc, lang, source, unnest(terms) AS term FROM numbered),
+            kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+            c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL), l AS (SELECT lang, count(*) AS v, sum(total)::BIGINT AS m FROM kept GROUP BY lang),
+            s AS (SELECT lang, source, sum(n)::BIGINT AS m FROM c GROUP BY ALL),
+            full_p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (coalesce(s.m, 0) + 5 * v) AS p, 1 + (1000000000 * (total + 5)) // (l.m + 5 * v) AS q
+                FROM g JOIN kept k ON g.lang = k.lang JOIN l ON l.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN s ON s.lang = g.lang AND s.source = g.source),
+            apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM full_p a JOIN full_p b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL),
+            r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+                UNION ALL SELECT lang, source, 'term', term, p - q FROM full_p WHERE n > 0 AND p > q)
+            SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r QUALIFY part = 'pair' OR rank <= 50""",
     }
