@@ -152,7 +152,8 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     # tiles: terms dealt by hash, numbered within
     width = F.when(F.col("dense"), dense_tile).otherwise(sparse_tile)
     kinds = kept.groupBy("lang", "dense").agg(F.count(F.lit(1)).alias("of_kind")).withColumn("tiles", F.ceil(F.col("of_kind") / width).cast("int"))
-    tiled = kept.join(kinds, ["lang", "dense"]).withColumn("tile", F.pmod(F.xxhash64("term", F.lit("tile")), F.col("tiles")).cast("int"))
+    tiled = kept.join(materialise(kinds, "kinds"), ["lang", "dense"]).withColumn("tile", F.pmod(F.xxhash64("term", F.lit("tile")), F.col("tiles")).cast("int"))
+    tiled = tiled.repartition("lang", "dense", "tile")  # else the window would stay with the join's few keys
     placed = materialise(tiled.withColumn("at", F.row_number().over(Window.partitionBy("lang", "dense", "tile").orderBy("term")) - 1).select("lang", "term", "all_occurrences", "dense", "tile", "at"), "placed")
     known = materialise(counts.join(placed, ["lang", "term"]).select("lang", "source", "term", "occurrences", "all_occurrences", "dense", "tile", "at"), "known")
     own = known.groupBy("lang", "source").agg(F.sum("occurrences").alias("n"))

@@ -32,8 +32,8 @@ never pairs.
 Result: for each row its class of linked documents (the smallest id in the connected
 component) and its number of links: rows whose shingle set has a Jaccard similarity of at
 least ``threshold`` to its own, copies included, itself not. Shingles are compared by
-64-bit hashes of their words. Components are found by label propagation with pointer
-jumping on tables, not on the driver.
+64-bit hashes of their words. Components are found by contraction on tables, not on the
+driver: however long a chain of near copies is, rounds grow with its logarithm.
 
 Defined results: words are lower-case runs of letters, marks and digits; a text of fewer
 words than ``width`` has one shingle of all its words; texts without words (null, empty)
@@ -386,24 +386,32 @@ def _verified(unit: pa.Table, threshold: float, levels: range, stop: int, depth:
     return out
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """vertex and root (the smallest vertex connected to it) for edges (a, b) of numbers."""
-    both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    roots = materialise(both.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
-    for _ in range(most_rounds):
-        # the smallest root among the neighbours, then that root's own root
-        near = both.join(roots.select(F.col("vertex").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("v")).agg(F.min("r").alias("near"))
-        pulled = roots.join(near, roots["vertex"] == near["v"]).select("vertex", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        pulled = materialise(pulled, "pulled")
-        of = pulled.select(F.col("vertex").alias("w"), F.col("root").alias("up"))
-        last, roots = roots, materialise(pulled.join(of, pulled["root"] == of["w"]).select("vertex", F.least("root", "up").alias("root"), (F.least("root", "up") != F.col("old")).alias("moved")), "roots")
-        discard(last, pulled)
-        if roots.filter("moved").isEmpty():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    discard(both)
-    return roots.select("vertex", "root")
+def components(edges: DataFrame) -> DataFrame:
+    """vertex and root (the smallest vertex connected to it) for edges (a, b) of numbers.
+
+    Contraction on tables: every vertex with a smaller neighbour hooks to the smallest, the
+    trees that arise are flattened by pointer doubling, and edges are relabelled with their
+    roots, until none is left. A vertex without a smaller neighbour gets one in the next
+    round, or was hooked to; so two rounds halve the vertices at least, whatever the graph.
+    """
+    known = edges.select(F.col("a").alias("vertex")).unionByName(edges.select(F.col("b").alias("vertex"))).distinct()
+    roots = materialise(known.withColumn("root", F.col("vertex")), "roots")
+    live = materialise(edges.filter("a != b").select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct(), "live")
+    while not live.isEmpty():
+        up = materialise(live.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("up")).withColumn("moved", F.lit(True)), "up")
+        while not up.filter("moved").isEmpty():
+            next_up = up.select(F.col("v").alias("w"), F.col("up").alias("far"))
+            last, up = up, materialise(up.join(next_up, up["up"] == next_up["w"], "left").select("v", F.coalesce("far", "up").alias("up"), F.col("far").isNotNull().alias("moved")), "up")
+            discard(last)
+        tops = [up.select(F.col("v").alias(f"v{k}"), F.col("up").alias(f"up{k}")) for k in range(3)]
+        x, y = F.coalesce("up0", "x"), F.coalesce("up1", "y")
+        merged = live.join(tops[0], live["x"] == tops[0]["v0"], "left").join(tops[1], live["y"] == tops[1]["v1"], "left").filter(x != y)
+        olds = [live, roots, up]
+        live = materialise(merged.select(F.greatest(x, y).alias("x"), F.least(x, y).alias("y")).distinct(), "live")
+        roots = materialise(roots.join(tops[2], roots["root"] == tops[2]["v2"], "left").select("vertex", F.coalesce("up2", "root").alias("root")), "roots")
+        discard(*olds)
+    discard(live)
+    return roots
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, shorten: int = SHORTEN) -> DataFrame:
@@ -414,12 +422,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     classes = signs.filter("heads is not null").groupBy("words_key").agg(F.min("row").alias("vertex"), F.count(F.lit(1)).alias("size"), F.first("heads").alias("heads"), F.first("tails").alias("tails"))
     classes = materialise(classes, "classes")
     entries = classes.select("vertex", F.posexplode("heads").alias("tree", "label"))
-    shared = entries.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    meets = entries.join(shared, ["tree", "label"])
+    shared = materialise(entries.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")  # apart, so that a hot label can be split in the join
+    # labels of one block are a unit each; the few larger ones are dealt out by block before they multiply
+    one = entries.join(shared.filter(F.col("n") <= block), ["tree", "label"]).select(F.lit(0).alias("i"), F.lit(0).alias("j"), "vertex", "tree", "label", F.lit(0).alias("part"))
     blocks = F.ceil(F.col("n") / block).cast("int")
     part = F.pmod(F.xxhash64("vertex", F.lit("part")), blocks).cast("int")
-    units = meets.select("vertex", "tree", "label", blocks.alias("blocks"), part.alias("part")).select("vertex", "tree", "label", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    units = materialise(units.select(F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "vertex", "tree", "label", "part"), "units")
+    hot = entries.join(shared.filter(F.col("n") > block), ["tree", "label"]).select("vertex", "tree", "label", blocks.alias("blocks"), part.alias("part")).repartition("tree", "label", "part")
+    many = hot.select("vertex", "tree", "label", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    units = materialise(one.unionByName(many.select(F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "vertex", "tree", "label", "part")), "units")
+    discard(shared)
     described = classes.select(F.col("vertex").alias("v"), "heads", "tails", "size")
     full = units.join(described, units["vertex"] == described["v"]).select(*_KEY, "part", "vertex", "heads", "tails")
     tail = F.get("tails", F.col("tree"))
