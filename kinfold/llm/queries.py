@@ -21,8 +21,8 @@ def op1_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels)
-    scored = toxicity.detect(docs, model)
-    return scored.select(F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    scored = toxicity.judge(docs, model)
+    return scored.select(F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_offending", "worst_start", "worst_end", "worst_probability")
 
 
 def op3_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,6 +203,29 @@ def detect(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("score", score_column(model, F.col("text"))).select("id", "score")
 
 
+def judge(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """id and score of each row, how many of its sentences offend (probability ``least`` or
+    more), and where the worst of them stands (null without any)."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                texts = batch.column(1).to_pylist()
+                scores = scorer.scores(texts)
+                # a sentence offends only where the whole does, since noisy-or is no less than any of its parts
+                found = [model.offending(t, least) if s >= least else [] for t, s in zip(texts, scores.tolist(), strict=True)]
+                worst = [max(f, key=lambda x: (x[2], -x[0])) if f else (None, None, None) for f in found]
+                columns = [pa.array(scores), pa.array([len(f) for f in found], pa.int64()), *[pa.array([w[k] for w in worst], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]]
+                yield pa.record_batch([batch.column(0), *columns], names=["id", "score", "n_offending", "worst_start", "worst_end", "worst_probability"])
+        del scorer
+        release()
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).mapInArrow(look, "id long, score double, n_offending long, worst_start long, worst_end long, worst_probability double")
+
+
 def locate(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """A row for each offending sentence: id, start, end (characters) and its probability."""
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.llm import divergence, notices, whitening
+from kinfold.llm import divergence, notices, toxicity, whitening
 
 from .fixtures import docs, none, odd, words
 
@@ -92,6 +92,22 @@ def test_scan_of_odd_rows(spark):
     assert notices.scan(none(spark)).count() == 0
 
 
+# 2: offending sentences
+
+
+def test_worst_sentence(spark):
+    weights = {k: v for w, v in (("blatch", 6.0), ("zorg", 9.0)) for k in toxicity.features(w)[:1] for v in [v]}
+    model = toxicity.NoisyOr(weights, -3.0)
+    text = "A mola tiren. So blatch it is! Then zorg\nand more."
+    rows = [(1, text, "s"), (2, "mola tiren", "s"), (3, None, "s"), (4, "", "s")]
+    found = {r["id"]: r for r in toxicity.judge(docs(spark, rows), model).collect()}
+    own = {r["id"]: r["score"] for r in toxicity.detect(docs(spark, rows), model).collect()}
+    assert {k: r["score"] for k, r in found.items()} == own and found[1]["n_offending"] == 2
+    assert "zorg" in text[found[1]["worst_start"] : found[1]["worst_end"]] and found[1]["worst_probability"] == pytest.approx(1 / (1 + math.exp(-6.0)))
+    assert {(found[k]["n_offending"], found[k]["worst_start"]) for k in (2, 3, 4)} == {(0, None)}
+    assert toxicity.judge(odd(spark), model).count() == 16 and toxicity.judge(none(spark), model).count() == 0
+
+
 # 12: whitening
 
 
