@@ -75,7 +75,7 @@ def alignment_relations(members: DataFrame, aligned: DataFrame, most: int = 250)
 def relations(spark: SparkSession, root: str, run_id: str, most: int = 250, source: str = "") -> dict[str, DataFrame]:
     """All relations of a result directory, lazily. Distances come from ``source``, or if
     none is named from trees where there are any."""
-    layout = results.discover(root)
+    layout = results.discover(root, spark)
     hogs, legacy = results.memberships(spark, layout, run_id)
     members = reduce(DataFrame.unionByName, [m for m in (hogs, legacy) if m is not None])
     sequences = results.sequences(spark, layout, run_id)
@@ -94,11 +94,13 @@ def relations(spark: SparkSession, root: str, run_id: str, most: int = 250, sour
         payload = trees.encode_payload(F.col("newick"))
         nodes = trees.tree_nodes(found)
         out |= {
-            "tree_inventory": found.withColumn("group_id", F.col("tree_id")),
             "tree_payloads": trees.preferred_trees(found).withColumn("p", payload).select("run_id", "tree_type", "tree_id", F.col("tree_id").alias("group_id"), F.col("path").alias("source_path"), F.col("p.size").alias("source_size_bytes"), F.col("p.sha256").alias("source_sha256"), F.lit("zlib+base64").alias("payload_encoding"), F.col("p.payload").alias("newick_payload")),
             "tree_nodes": nodes,
             "tree_edges": trees.tree_edges(nodes),
         }
+    listed = results.tree_inventory(spark, layout, run_id)
+    if listed is not None:
+        out["tree_inventory"] = listed
     own, resolved = hogs if hogs is not None else legacy, "RESOLVED_GENE_TREE" in layout.trees
     asked = distance_source(source, layout.alignments is not None, resolved) if source else "RESOLVED_GENE_TREE" if found is not None else "NONE"
     if asked == "ALIGNED_SEQUENCE":

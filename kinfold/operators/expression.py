@@ -27,6 +27,21 @@ def check_atlas(atlas: DataFrame) -> None:
         raise InputError(f"expression row {bad[0].asDict()} has an unknown unit or value")
 
 
+#: Columns that a table of metadata needs, and those that tell its rows apart.
+METADATA = ("species_column", "experiment_accession", "sample_or_condition")
+
+
+def check_metadata(metadata: DataFrame) -> None:
+    """Columns that are missing, and two rows of one species, experiment and sample, are
+    errors; species are the same without case."""
+    if lost := [c for c in METADATA if c not in metadata.columns]:
+        raise InputError(f"metadata without {', '.join(lost)}")
+    key = [F.upper("species_column").alias("species_column"), *METADATA[1:]]
+    twice = metadata.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
+    if twice:
+        raise InputError(f"metadata of {', '.join(str(twice[0][c]) for c in METADATA)} comes {twice[0]['n']} times")
+
+
 def aliases(sequences: DataFrame) -> DataFrame:
     """Aliases of each member, the lowest (tier, type) of each spelling without case."""
     rows = sequences.select(*MEMBER, F.explode(header_aliases(F.col("member_id"), F.col("raw_header"))).alias("a")).select(*MEMBER, "a.*")

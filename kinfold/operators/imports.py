@@ -182,13 +182,18 @@ def inherited_traits(jobs: DataFrame, traits: DataFrame, start: str, most: int =
     trait and value. A cycle, a chain longer than ``most``, or two values of one trait and
     member in one job are errors.
     """
-    above = {r["job"]: r["source"] for r in jobs.select("job", "source").limit(100_000).collect()}  # a row a job of the workspace
-    chain, at = [], above.get(start)
-    while at:
-        if at in chain or len(chain) >= most:
+    # the sources above each job that ``start`` leads to, one link a round: a row each time
+    chain, at = [], start
+    while True:
+        above = jobs.filter((F.col("job") == at) & F.col("source").isNotNull() & (F.col("source") != "")).select("source").distinct().limit(2).collect()
+        if not above:
+            break
+        if len(above) > 1:
+            raise IntegrityError(f"job {at} has two sources")
+        at = above[0]["source"]
+        if at in chain or at == start or len(chain) >= most:
             raise IntegrityError("jobs that are their own source, or too many of them")
         chain.append(at)
-        at = above.get(at)
     order = F.array_position(F.array(*map(F.lit, chain)), F.col("job")) if chain else F.lit(0)
     rows = traits.filter(F.col("job").isin(chain) & F.col("value").isNotNull() & (F.col("value") != "")) if chain else traits.limit(0)
     per = rows.groupBy("job", "member_id", "trait").agg(F.min("value").alias("value"), F.count_distinct("value").alias("n"))

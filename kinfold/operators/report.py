@@ -42,7 +42,10 @@ def dense_histograms(stats: DataFrame) -> DataFrame:
 
 
 def network_groups(stats: DataFrame, distances: DataFrame, most: int) -> DataFrame:
-    """The ``most`` groups of a network: those with distances first, then the largest, then by key."""
+    """The ``most`` groups of a network: those with distances first, then the largest, then by key.
+
+    ``distances`` is any table with the keys of the groups that have some.
+    """
     have = distances.select(*KEY).distinct().withColumn("has_distance", F.lit(True))
     rows = stats.join(have, list(KEY), "left").withColumn("has_distance", F.coalesce("has_distance", F.lit(False)))
     key = F.concat_ws("|", "group_type", "hierarchy_node", "group_id")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..errors import InputError, IntegrityError
 from ..functions.stats import benjamini_hochberg, fisher_greater
-from ..functions.text import sorted_list
 from ..schemas import KEY
+from ..tables import written
 from .search import preferred_distance
 
 SELECTORS = ("REQUIRED_EXACT", "INCLUDE_CLADE", "ONLY_IN_CLADE", "EXCLUDE_EXACT", "EXCLUDE_CLADE")
@@ -138,6 +138,7 @@ def search_composition(summary: DataFrame, mode: str, least_target: int = 1, lea
 def enrichment(summary: DataFrame, total_target: int, total_outside: int, most_q: float = 1.0, least_odds: float = 0.0) -> DataFrame:
     """Groups with their one-sided Fisher p, odds ratio and q-value over all groups tested."""
     tested = fisher_greater(summary.filter("target_species_count + outside_species_count > 0"), "target_species_count", "outside_species_count", total_target, total_outside)
+    tested = written(tested, "tested")  # ranked by what it took two families of joins to make
     scored = benjamini_hochberg(tested, "fisher_p_value", ["group_type", "hierarchy_node", "group_id"])
     return scored.filter((F.col("fdr_q_value") <= most_q) & (F.col("odds_ratio") >= least_odds))
 
@@ -172,18 +173,3 @@ def common_root(closed: DataFrame, terminals: DataFrame) -> DataFrame:
     n = t.agg(F.count(F.lit(1)).alias("n"))
     over = t.join(closed, t["taxon_id"] == closed["descendant"]).groupBy("ancestor").agg(F.count(F.lit(1)).alias("n"), F.sum("depth").alias("below"))
     return over.join(n, "n").orderBy("below", "ancestor").limit(1).select(F.col("ancestor").alias("root_id"))
-
-
-def name_candidates(species: DataFrame, names: DataFrame, parents: DataFrame) -> DataFrame:
-    """species_label to taxon by exact normalised name: PENDING_REVIEW, AMBIGUOUS or
-    UNMAPPED, never a guess; names have taxon_id and name, parents child and parent."""
-    def key(c: str):
-        return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, "_", " "), r"\s+", " ")))
-
-    hits = species.select("species_label", key("species_label").alias("k")).join(names.select(key("name").alias("k"), "taxon_id").distinct(), "k", "left")
-    per = hits.groupBy("species_label").agg(F.count_distinct("taxon_id").alias("n"), F.min("taxon_id").alias("taxon_id"), sorted_list(F.col("taxon_id").cast("string")).alias("candidate_taxon_ids"))
-    status = F.when(F.col("n") == 0, "UNMAPPED").when(F.col("n") == 1, "PENDING_REVIEW").otherwise("AMBIGUOUS")
-    mapped = per.withColumn("mapping_status", status).withColumn("taxon_id", F.when(F.col("n") == 1, F.col("taxon_id")))
-    over = closure(parents)
-    path = mapped.filter("taxon_id is not null").join(over, F.col("taxon_id") == F.col("descendant")).groupBy("species_label").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("depth", "ancestor")), asc=False), lambda x: x["ancestor"].cast("string")), ";").alias("lineage_taxon_ids"))
-    return mapped.join(path, "species_label", "left").drop("n")

@@ -7,25 +7,19 @@ are price differences of an order's lines. Each relation has its SQL beside it.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import distances, memberships, taxonomy
 from ..schemas import KEY
+from ..tables import fresh, written
 
 RUN = "run"
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share; a temporary one in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        local = spark.sparkContext.master.startswith("local")
-        found = tempfile.gettempdir() if local else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{found.removeprefix('file://').rstrip('/')}/kinfold-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share."""
+    return fresh(spark, "kinfold")
 
 
 class Bridge:
@@ -60,8 +54,19 @@ class Bridge:
     def species(self) -> DataFrame:
         return memberships.group_species_statistics(self.members())
 
-    def pair_distances(self) -> DataFrame:
-        lines = self.table("lineitem").select(F.lit(RUN).alias("run_id"), F.lit("HOG").alias("group_type"), F.lit("N0").alias("hierarchy_node"), F.concat(F.lit("G"), F.col("l_orderkey").cast("string")).alias("group_id"), F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")).alias("member_id"), "l_extendedprice", "l_quantity")
+    def _measured(self) -> DataFrame:
+        """Members with what their distances are made of."""
+        return self.table("lineitem").select(F.lit(RUN).alias("run_id"), F.lit("HOG").alias("group_type"), F.lit("N0").alias("hierarchy_node"), F.concat(F.lit("G"), F.col("l_orderkey").cast("string")).alias("group_id"), F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")).alias("member_id"), "l_extendedprice", "l_quantity")
+
+    def paired_groups(self) -> DataFrame:
+        """Keys of the groups that have a pair, from counts alone."""
+        return self._measured().groupBy(*KEY).agg(F.count_distinct("member_id").alias("n")).filter("n > 1").drop("n")
+
+    def pair_distances(self, groups: DataFrame | None = None) -> DataFrame:
+        """The pairs of all groups, or of some."""
+        lines = self._measured()
+        if groups is not None:
+            lines = lines.join(groups.select(*KEY), list(KEY), "left_semi")
         rows = distances.pairs(lines, KEY, "member_id", "l_extendedprice", "l_quantity")
         return rows.select(*KEY, "member_a", "member_b", F.round(F.abs(F.col("l_extendedprice_a") - F.col("l_extendedprice_b")), 2).alias("distance"), (F.abs(F.col("l_quantity_a") - F.col("l_quantity_b")).cast("double")).alias("other"))
 
@@ -89,9 +94,7 @@ class Bridge:
 
     def closure(self) -> DataFrame:
         """The taxonomy's closure, written once, since plans over it read it many times."""
-        path = scratch(self.spark)
-        taxonomy.closure(self.taxonomy()).write.parquet(path)
-        return self.spark.read.parquet(path)
+        return written(taxonomy.closure(self.taxonomy()), "closure")
 
     def taxa(self) -> DataFrame:
         """KEY and taxon_id of every member; nations from the 20th on are unmapped."""

@@ -3,8 +3,6 @@ with the tables they came from as SQL; and trees made of nations and regions."""
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,21 +18,21 @@ from .queries import query, r
 # a result directory: identifier files and group tables
 def _layout(b: Bridge, *parts: str) -> results.Layout:
     """A result directory with some of its files, each written by tasks as a folder of text files."""
-    root = Path(scratch(b.spark))
+    root = scratch(b.spark)
     if "ids" in parts:
         nations = b.table("nation").select(F.concat_ws(": ", F.col("n_nationkey").cast("string"), F.concat("n_name", F.lit(".fa"))))
-        nations.write.text(str(root / results.SPECIES_IDS))
+        nations.write.text(f"{root}/{results.SPECIES_IDS}")
         headers = F.concat("c_name", F.lit(" of "), F.col("c_mktsegment"))
         names = F.concat_ws("_", F.col("c_nationkey").cast("string"), F.col("c_custkey").cast("string"))
-        b.table("customer").select(F.concat_ws(": ", names, headers)).write.text(str(root / results.SEQUENCE_IDS))
-    wide = {"hogs": (b.members(), "HOG", root / results.HOGS / "N0.tsv"), "legacy": (b.legacy(), "Orthogroup", root / results.LEGACY)}
+        b.table("customer").select(F.concat_ws(": ", names, headers)).write.text(f"{root}/{results.SEQUENCE_IDS}")
+    wide = {"hogs": (b.members(), "HOG", f"{root}/{results.HOGS}/N0.tsv"), "legacy": (b.legacy(), "Orthogroup", f"{root}/{results.LEGACY}")}
     for part, (members, heading, path) in wide.items():
         if part in parts:
             species = sorted(x["n_name"] for x in b.table("nation").select("n_name").collect())  # a column each
             cells = members.groupBy(F.col("group_id").alias(heading), F.col("legacy_orthogroup_id").alias("OG")).pivot("species_label", species)
             table = cells.agg(F.array_join(F.sort_array(F.collect_list("member_id")), ", "))
-            to_tsv(table if part == "hogs" else table.drop("OG"), str(path))
-    return results.Layout(root, "3.0", root / results.LEGACY if "legacy" in parts else None, (root / results.HOGS / "N0.tsv",) if "hogs" in parts else (), {}, None, None)
+            to_tsv(table if part == "hogs" else table.drop("OG"), path)
+    return results.Layout(root, "3.0", f"{root}/{results.LEGACY}" if "legacy" in parts else None, (f"{root}/{results.HOGS}/N0.tsv",) if "hogs" in parts else (), {}, None, None)
 
 
 @query("SELECT n_nationkey::VARCHAR AS species_index, n_name AS species_label, n_name || '.fa' AS source_fasta FROM nation")
@@ -90,6 +88,11 @@ def header_member_aliases(b: Bridge) -> DataFrame:
     return rows.select("member_id", "a.*").filter("alias_type = 'member_id'")
 
 
+def unique_sequences(b: Bridge) -> DataFrame:
+    """The sequences with each internal id once, since lines share some."""
+    return b.sequences().groupBy("run_id", "internal_id").agg(F.min("member_id").alias("member_id"), F.min("species_label").alias("species_label"))
+
+
 # sinks
 @query("SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_brand, p_size::VARCHAR AS p_size FROM part")
 def tsv_round_trip(b: Bridge) -> DataFrame:
@@ -109,7 +112,7 @@ def relation_round_trip(b: Bridge) -> DataFrame:
 def published_statistics(b: Bridge) -> DataFrame:
     folder = scratch(b.spark)
     species = b.table("nation").select(F.lit(RUN).alias("run_id"), F.col("n_nationkey").cast("string").alias("species_index"), F.col("n_name").alias("species_label"))
-    relations = {"species": species, "sequences": b.sequences(), "group_statistics": b.stats(), "group_species_statistics": b.species(), "memberships": b.members(), "hog_memberships": b.members()}
+    relations = {"species": species, "sequences": unique_sequences(b), "group_statistics": b.stats(), "group_species_statistics": b.species(), "memberships": b.members(), "hog_memberships": b.members()}
     publish(b.spark, relations, folder, RUN, [])
     return open_resource(b.spark, folder)["group_statistics"].select("group_id", "member_count", "species_labels")
 

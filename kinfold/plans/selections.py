@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import benchmark, catalogue, distances, expression, memberships, motif, plan, report, search, selection, selectors
 from ..operators.taxonomy import Selector
 from ..schemas import KEY
+from ..tables import written
 from .bridge import RUN, Bridge, sql
 from .queries import _BENCH, _SUMMARY, _VECTORS, _contexts, _links, _mapped, _motif_sql, _values, _vectors, query, r
 
@@ -190,23 +191,27 @@ def level_counts(b: Bridge) -> DataFrame:
 _NETWORK = "net AS (SELECT stats.*, group_id IN (SELECT group_id FROM pairs) AS has_distance FROM stats ORDER BY has_distance DESC, member_count DESC, 'HOG|N0|' || group_id DESC LIMIT 25)"
 
 
+def _network(b: Bridge) -> DataFrame:
+    return written(report.network_groups(b.stats(), b.paired_groups(), 25), "network")
+
+
 @query(sql("lines members species stats pairs", f", {_NETWORK} SELECT group_id, member_count, has_distance FROM net"))
 def network_groups(b: Bridge) -> DataFrame:
-    return report.network_groups(b.stats(), b.pair_distances(), 25).select("group_id", "member_count", "has_distance")
+    return _network(b).select("group_id", "member_count", "has_distance")
 
 
 @query(sql("lines members species stats pairs", f""", {_NETWORK}, ends AS (SELECT DISTINCT group_id, unnest([member_a, member_b]) AS member_id FROM pairs WHERE group_id IN (SELECT group_id FROM net)),
     k AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY sha256('run' || chr(0) || 'HOG' || chr(0) || 'N0' || chr(0) || group_id || chr(0) || member_id), member_id) AS k FROM ends)
     SELECT k.group_id, coalesce(min(species_label), 'unresolved_distance_identifier') AS species_label, k.member_id FROM k LEFT JOIN members m ON m.group_id = k.group_id AND m.member_id = k.member_id WHERE k <= 4 GROUP BY ALL"""))
 def network_members(b: Bridge) -> DataFrame:
-    groups = report.network_groups(b.stats(), b.pair_distances(), 25)
-    return report.network_members(groups, b.members(), b.pair_distances(), 4).select("group_id", "species_label", "member_id")
+    groups = _network(b)
+    return report.network_members(groups, b.members(), b.pair_distances(groups), 4).select("group_id", "species_label", "member_id")
 
 
 @query(sql("lines members species stats pairs", f", {_NETWORK} SELECT group_id, member_a, member_b FROM pairs WHERE group_id IN (SELECT group_id FROM net)"))
 def network_pairs(b: Bridge) -> DataFrame:
-    groups = report.network_groups(b.stats(), b.pair_distances(), 25)
-    return report.of_selected(groups, b.pair_distances(), KEY).select("group_id", "member_a", "member_b")
+    groups = _network(b)
+    return report.of_selected(groups, b.pair_distances(groups), KEY).select("group_id", "member_a", "member_b")
 
 
 @query(f"{_VECTORS}, o AS (SELECT group_id, member_id, row_number() OVER (PARTITION BY group_id ORDER BY member_id) AS position FROM v) SELECT vp.group_id, least(a.position, b.position) AS row, greatest(a.position, b.position) AS \"column\", round(distance, 5) AS distance FROM vp JOIN o a ON a.group_id = vp.group_id AND a.member_id = member_a JOIN o b ON b.group_id = vp.group_id AND b.member_id = member_b")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,10 +66,10 @@ def expression_sources(spark: SparkSession, manifest: str, verify: bool = True)
     rows = _need(read_tsv(spark, manifest), ("file_type", "path", "sha256", "include"), "manifest")
     _none(rows, ~F.col("file_type").isin("expression", "metadata"), "unknown file type")
     use = rows.filter(F.lower("include").isin("true", "1", "yes")).collect()  # a row a file, listed by hand
-    base = Path(manifest).parent
-    paths = {k: [str(base / r["path"]) for r in use if r["file_type"] == k] for k in ("expression", "metadata")}
+    base = manifest.rpartition("/")[0]
+    paths = {k: [r["path"] if "://" in r["path"] or r["path"].startswith("/") else f"{base}/{r['path']}" for r in use if r["file_type"] == k] for k in ("expression", "metadata")}
     if verify and use:
-        want = {Path(r["path"]).name: r["sha256"] for r in use}
+        want = {r["path"].rpartition("/")[2]: r["sha256"] for r in use}
         got = spark.read.format("binaryFile").load([*paths["expression"], *paths["metadata"]]).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("n"), F.sha2("content", 256).alias("h")).collect()
         for r in got:
             if want.get(r["n"]) != r["h"]:

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import fnmatch
 import gzip
+import json
 import re
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import InputError, IntegrityError
+from ..tables import Store
 
 SUFFIX = re.compile(r"\.(fa|faa|fasta|fas|pep)(\.gz)?$", re.IGNORECASE)
+#: The file that makes a sidecar whole.
+COMMITTED = "sequences.json"
 PROTEIN, ALIGNED = re.compile(r"[A-Z]+"), re.compile(r"[A-Z\-.]+")
 
 
@@ -148,3 +153,28 @@ def reconcile(sequences: DataFrame, fasta: DataFrame) -> DataFrame:
         if bad:
             raise IntegrityError(f"sequence {bad[0]['internal_id']} {what}")
     return sequences.join(f, "internal_id")
+
+
+def write_sidecar(spark: SparkSession, sequences: DataFrame, fasta: DataFrame, folder: str, rows_a_file: int = 25_000) -> int:
+    """The reconciled sequences as a table under one name: Parquet files of at most
+    ``rows_a_file`` rows, each committed by its task, then a file that names the whole;
+    readers see nothing before it is there. The number of sequences, which was read back."""
+    store, folder = Store(spark), folder.rstrip("/")
+    if store.exists(f"{folder}/{COMMITTED}"):
+        raise InputError(f"{folder} is there already")
+    data = f"data-{uuid.uuid4().hex}"
+    found = reconcile(sequences, fasta)
+    found.write.option("maxRecordsPerFile", rows_a_file).option("compression", "zstd").parquet(f"{folder}/{data}")
+    n, wanted = spark.read.parquet(f"{folder}/{data}").count(), sequences.count()
+    if n != wanted:
+        raise IntegrityError(f"{folder}: {n} sequences were written of {wanted}")
+    store.write(f"{folder}/{COMMITTED}", json.dumps({"data": data, "sequences": n}))
+    return n
+
+
+def read_sidecar(spark: SparkSession, folder: str) -> DataFrame:
+    """The sequences that :func:`write_sidecar` committed."""
+    store, folder = Store(spark), folder.rstrip("/")
+    if not store.exists(f"{folder}/{COMMITTED}"):
+        raise InputError(f"{folder} has no sequences")
+    return spark.read.parquet(f"{folder}/{json.loads(store.read(f'{folder}/{COMMITTED}'))['data']}")

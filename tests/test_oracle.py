@@ -36,7 +36,7 @@ def test_query(spark, duck, sf_dir, name):
     kinds = {r[0]: r[1] for r in duck.execute("DESCRIBE " + SQL[name]).fetchall()}
     assert columns == sorted(kinds)
     assert {c: KINDS[t] for c, t in found.dtypes} == kinds
-    want = duck.execute(f"SELECT {', '.join(columns)} FROM ({SQL[name]})").fetchall()
+    want = duck.execute("SELECT " + ", ".join(f'"{c}"' for c in columns) + f" FROM ({SQL[name]})").fetchall()
     assert ordered(found.select(*columns).collect()) == ordered(want)
 
 
