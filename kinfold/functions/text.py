@@ -69,6 +69,15 @@ def tree_id_of(group_id: Column) -> Column:
     return F.regexp_replace(group_id, r"^N\d+\.HOG(\d+)$", "OG$1")
 
 
+def normal_protein(sequence: Column, aligned: bool = False) -> Column:
+    """A sequence in upper case without white space or, unless it is aligned, stops at its
+    end; of an aligned one dots become dashes. Null where it is empty or no protein."""
+    bare = F.upper(F.regexp_replace(sequence, r"\s+", ""))
+    value = F.translate(bare, ".", "-") if aligned else F.regexp_replace(bare, r"\*+$", "")
+    letters = F.replace(value, F.lit("-"), F.lit("")) if aligned else value
+    return F.when(letters.rlike("^[A-Z]+$"), value)
+
+
 def description(header: Column) -> Column:
     """The text of a header after its first word."""
     return F.regexp_extract(F.coalesce(header, F.lit("")), r"^\S+\s+(.*)$", 1)

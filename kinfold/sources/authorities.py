@@ -75,3 +75,13 @@ def expression_sources(spark: SparkSession, manifest: str, verify: bool = True)
             if want.get(r["n"]) != r["h"]:
                 raise InputError(f"{r['n']} is not the file that the manifest names")
     return tuple(spark.read.parquet(*p) if p else None for p in paths.values())
+
+
+def target_species(mapping: DataFrame, taxon_id: int) -> DataFrame:
+    """species_label of the reviewed species at or below a taxon, of a mapping that
+    :func:`taxonomy` read."""
+    if taxon_id <= 0:
+        raise InputError("a target taxon is a positive number")
+    target = F.lit(str(taxon_id))
+    below = (F.col("taxon_id") == target) | F.array_contains("lineage", target)
+    return mapping.filter((F.col("mapping_status") == "REVIEWED") & below).select("species_label").distinct()
