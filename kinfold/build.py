@@ -24,9 +24,14 @@ def patristic_groups(members: DataFrame, sequences: DataFrame, most: int) -> Dat
     """Groups with at most ``most`` sampled members each and the other names of these."""
     sampled = distances.member_sample(members, most)
     names = sequences.select("species_label", "member_id", "internal_id")
-    alias = F.map_from_arrays(F.array("internal_id", F.concat_ws("_", "species_label", "member_id")), F.array(F.lit("INTERNAL_ID"), F.lit("SPECIES_PREFIXED_MEMBER_ID")))
+    alias = F.map_from_arrays(
+        F.array("internal_id", F.concat_ws("_", "species_label", "member_id")), F.array(F.lit("INTERNAL_ID"), F.lit("SPECIES_PREFIXED_MEMBER_ID"))
+    )
     rows = sampled.join(names, ["species_label", "member_id"], "left").withColumn("aliases", F.when(F.col("internal_id").isNotNull(), alias))
-    return rows.groupBy(*KEY, "legacy_orthogroup_id").agg(F.collect_list(F.struct("member_id", "aliases")).alias("members"), F.first("total_member_count").alias("total_member_count"), F.first("computation_status").alias("computation_status"))
+    return rows.groupBy(*KEY, "legacy_orthogroup_id").agg(
+        F.collect_list(F.struct("member_id", "aliases")).alias("members"), F.first("total_member_count").alias("total_member_count"),
+        F.first("computation_status").alias("computation_status")
+    )
 
 
 def distance_relations(members: DataFrame, sequences: DataFrame, tree_rows: DataFrame, most: int = 250) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +43,9 @@ def distance_relations(members: DataFrame, sequences: DataFrame, tree_rows: Data
     ways = pairs.groupBy(*KEY).agg(F.first("member_identifier_resolution").alias("member_identifier_resolution"))
     done = distances.summarise(pairs).join(ways, list(KEY)).join(sizes, list(KEY)).withColumn("failure_reason", F.lit(""))
     none = failed.join(sizes, list(KEY)).withColumn("computation_status", F.lit("UNAVAILABLE")).withColumn("distance_pair_count", F.lit(0))
-    stats = conform(done.withColumn("distance_method", F.lit("patristic_branch_length")), "distance_statistics").unionByName(conform(none.withColumn("distance_method", F.lit("patristic_branch_length")), "distance_statistics"))
+    stats = conform(done.withColumn("distance_method", F.lit("patristic_branch_length")), "distance_statistics").unionByName(
+        conform(none.withColumn("distance_method", F.lit("patristic_branch_length")), "distance_statistics")
+    )
     status = sizes.select(*KEY, "computation_status")
     return conform(pairs.join(status, list(KEY)), "pairwise_distances"), stats
 
@@ -68,7 +75,12 @@ def alignment_relations(members: DataFrame, aligned: DataFrame, most: int = 250)
     sizes = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("total_member_count")).withColumn("sampled_member_count", F.least("total_member_count", F.lit(most)))
     status = F.when(F.col("total_member_count") > most, "DETERMINISTIC_MEMBER_SAMPLE").otherwise("EXACT")
     sites = pairs.groupBy(*KEY).agg(F.avg("comparable_sites").alias("mean_comparable_sites"))
-    done = distances.summarise(pairs).join(sizes, list(KEY)).join(sites, list(KEY)).withColumns({"computation_status": status, "distance_method": F.lit("p_distance"), "member_identifier_resolution": F.lit("EXACT_MEMBER_ID"), "failure_reason": F.lit("")})
+    done = distances.summarise(pairs).join(sizes, list(KEY)).join(sites, list(KEY)).withColumns(
+        {
+            "computation_status": status, "distance_method": F.lit("p_distance"), "member_identifier_resolution": F.lit("EXACT_MEMBER_ID"),
+            "failure_reason": F.lit("")
+        }
+    )
     return conform(pairs, "pairwise_distances"), conform(done, "distance_statistics")
 
 

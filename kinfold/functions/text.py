@@ -58,9 +58,24 @@ def header_aliases(member: Column, header: Column) -> Column:
     def part(k: int) -> Column:
         return F.nullif(F.regexp_extract(piped, r"(?i)^(?:sp|tr)\|([^|]+)\|([^|\s]+)", k), F.lit(""))
 
-    tags = F.transform(F.regexp_extract_all(header, F.lit(r"(?i)((?:^|\s)(?:GN|gene|gene_id|locus|locus_tag)=[^\s;]+)"), 1), lambda t: one(F.lower(F.trim(F.split_part(t, F.lit("="), F.lit(1)))), F.regexp_extract(t, "=(.*)$", 1), F.lit(1)))
-    found = F.concat(F.array(one(F.lit("member_id"), member, F.lit(1)), one(F.lit("raw_primary_token"), F.when(primary != member, primary), F.lit(1)), one(F.lit("uniprot_accession"), part(1), F.lit(1)), one(F.lit("uniprot_entry"), part(2), F.lit(2))), tags)
-    bare = F.transform(found, lambda a: one(F.concat(a["alias_type"], F.lit("_versionless")), F.when(a["alias_value"].rlike(r"\.\d+$"), F.regexp_replace(a["alias_value"], r"\.\d+$", "")), a["mapping_tier"] + 1))
+    tags = F.transform(
+        F.regexp_extract_all(header, F.lit(r"(?i)((?:^|\s)(?:GN|gene|gene_id|locus|locus_tag)=[^\s;]+)"), 1),
+        lambda t: one(F.lower(F.trim(F.split_part(t, F.lit("="), F.lit(1)))), F.regexp_extract(t, "=(.*)$", 1), F.lit(1))
+    )
+    found = F.concat(
+        F.array(
+            one(F.lit("member_id"), member, F.lit(1)), one(F.lit("raw_primary_token"), F.when(primary != member, primary), F.lit(1)),
+            one(F.lit("uniprot_accession"), part(1), F.lit(1)), one(F.lit("uniprot_entry"), part(2), F.lit(2))
+        ),
+        tags
+    )
+    bare = F.transform(
+        found,
+        lambda a: one(
+            F.concat(a["alias_type"], F.lit("_versionless")),
+            F.when(a["alias_value"].rlike(r"\.\d+$"), F.regexp_replace(a["alias_value"], r"\.\d+$", "")), a["mapping_tier"] + 1
+        )
+    )
     return F.filter(F.concat(found, bare), lambda a: a["alias_value"].isNotNull() & (a["alias_value"] != ""))
 
 

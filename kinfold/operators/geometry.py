@@ -80,14 +80,22 @@ def pcoa(pairs: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
         s2, c2 = fit(d, points[:, :2])
         s3, c3 = fit(d, points)
         out = pd.DataFrame({"member": ids, "axis_1": points[:, 0], "axis_2": points[:, 1], "axis_3": points[:, 2]})
-        for k, v in zip(("share_1", "share_2", "share_3", "negative_share", "stress_2d", "stress_3d", "correlation_2d", "correlation_3d"), (*shares, lost, s2, s3, c2, c3), strict=True):
+        for k, v in zip(
+            ("share_1", "share_2", "share_3", "negative_share", "stress_2d", "stress_3d", "correlation_2d", "correlation_3d"),
+            (*shares, lost, s2, s3, c2, c3), strict=True
+        ):
             out[k] = v
         out["projection_quality"] = quality(shares[0] + shares[1], c2, s2)
         for k in reversed(keys):
             out.insert(0, k, rows[k].iloc[0])
         return out
 
-    numbers = ", ".join(f"{c} double" for c in ("axis_1", "axis_2", "axis_3", "share_1", "share_2", "share_3", "negative_share", "stress_2d", "stress_3d", "correlation_2d", "correlation_3d"))
+    numbers = ", ".join(
+        f"{c} double" for c in (
+            "axis_1", "axis_2", "axis_3", "share_1", "share_2", "share_3", "negative_share", "stress_2d", "stress_3d", "correlation_2d",
+            "correlation_3d"
+        )
+    )
     kinds = dict(pairs.dtypes)
     return pairs.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", member string, {numbers}, projection_quality string")
 
@@ -101,7 +109,10 @@ def shepard(pairs: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
         named = points.select(*keys, F.col("member").alias(f"member_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in axes])
         rows = rows.join(named, [*keys, f"member_{end}"])
     square = [F.pow(F.col(f"{c}_a") - F.col(f"{c}_b"), 2) for c in axes]
-    return rows.select(*keys, "member_a", "member_b", "distance", F.sqrt(square[0] + square[1]).alias("distance_2d"), F.sqrt(square[0] + square[1] + square[2]).alias("distance_3d"))
+    return rows.select(
+        *keys, "member_a", "member_b", "distance", F.sqrt(square[0] + square[1]).alias("distance_2d"),
+        F.sqrt(square[0] + square[1] + square[2]).alias("distance_3d")
+    )
 
 
 def connected_network(pairs: DataFrame, k: int, keys: tuple[str, ...] = KEY) -> DataFrame:
@@ -136,4 +147,6 @@ def connected_network(pairs: DataFrame, k: int, keys: tuple[str, ...] = KEY) ->
         return found
 
     kinds = dict(pairs.dtypes)
-    return pairs.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", member_a string, member_b string, distance double, edge_type string")
+    return pairs.groupBy(*keys).applyInPandas(
+        run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", member_a string, member_b string, distance double, edge_type string"
+    )

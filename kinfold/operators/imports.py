@@ -130,7 +130,10 @@ def group_inputs(groups: DataFrame, members: DataFrame, most_groups: int = 500,
     _refuse(have.filter("n != member_count"), "group {group_id} has {n} of {member_count} members", IntegrityError)
     if rows.select("member_id").distinct().limit(most_inputs + 1).count() > most_inputs:
         raise InputError(f"more than {most_inputs} proteins; select fewer groups")
-    return rows.select(F.col("member_id").alias("input_id"), "species_label", *[F.col(k).alias(f"source_{k}") for k in KEY], "selection_rank", F.col("member_count").alias("source_member_count"))
+    return rows.select(
+        F.col("member_id").alias("input_id"), "species_label", *[F.col(k).alias(f"source_{k}") for k in KEY], "selection_rank",
+        F.col("member_count").alias("source_member_count")
+    )
 
 
 def requested_sequences(inputs: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -160,7 +163,9 @@ def reference_first(rows: DataFrame, reference: str, most: int, sample: bool = F
 def tree_ids(groups: DataFrame) -> DataFrame:
     """Names under which a group's tree may stand (KEY, tree_id, position): its original
     group, the one its own name tells, and its own name."""
-    ids = F.array_distinct(F.filter(F.array(F.trim("legacy_orthogroup_id"), tree_id_of(F.col("group_id")), F.col("group_id")), lambda x: x.isNotNull() & (x != "")))
+    ids = F.array_distinct(
+        F.filter(F.array(F.trim("legacy_orthogroup_id"), tree_id_of(F.col("group_id")), F.col("group_id")), lambda x: x.isNotNull() & (x != ""))
+    )
     return groups.select(*KEY, F.posexplode(ids).alias("position", "tree_id"))
 
 
@@ -168,7 +173,9 @@ def portable_trees(groups: DataFrame, payloads: DataFrame) -> DataFrame:
     """The tree of each group: resolved before original, then by the order of its names;
     two that are as good are an error."""
     kind = F.when(F.col("tree_type") == "RESOLVED_GENE_TREE", 0).when(F.col("tree_type") == "GENE_TREE", 1).otherwise(2)
-    met = tree_ids(groups).join(payloads, ["run_id", "tree_id"]).withColumn("kind", kind) if "group_id" not in payloads.columns else tree_ids(groups).join(payloads.drop("group_id"), ["run_id", "tree_id"]).withColumn("kind", kind)
+    met = tree_ids(groups).join(payloads, ["run_id", "tree_id"]).withColumn("kind", kind) if "group_id" not in payloads.columns else tree_ids(groups).join(
+        payloads.drop("group_id"), ["run_id", "tree_id"]
+    ).withColumn("kind", kind)
     best = met.groupBy(*KEY).agg(F.min(F.struct("kind", "position")).alias("best"))
     chosen = met.join(best, list(KEY)).filter((F.col("kind") == F.col("best.kind")) & (F.col("position") == F.col("best.position")))
     _refuse(chosen.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "group {group_id} has {n} trees that are as good")

@@ -20,7 +20,10 @@ from .taxonomy import SELECTORS, Selector, check_selection, closure
 
 _SAID = ("name", "rank", "parent_taxon_id", "depth", "release")
 #: Reasons in the order in which they are looked for.
-REASONS = ("NO_TERMINAL", "LENGTHS_DIFFER", "TAXON_REPEATS", "RELEASES_MIXED", "NAME_DIFFERS", "RANK_DIFFERS", "PARENT_DIFFERS", "DEPTH_DIFFERS", "OTHER_ROOT", "CYCLE")
+REASONS = (
+    "NO_TERMINAL", "LENGTHS_DIFFER", "TAXON_REPEATS", "RELEASES_MIXED", "NAME_DIFFERS", "RANK_DIFFERS", "PARENT_DIFFERS", "DEPTH_DIFFERS",
+    "OTHER_ROOT", "CYCLE"
+)
 
 
 def statements(lineages: DataFrame) -> DataFrame:
@@ -28,7 +31,13 @@ def statements(lineages: DataFrame) -> DataFrame:
     every taxon of lineages (species_label, taxon_id, taxon_name, taxon_rank, authority,
     release, and arrays lineage_taxon_ids, lineage_names, lineage_ranks from the root)."""
     ids, names, ranks = (F.concat(f"lineage_{of}", F.array(own)) for of, own in (("taxon_ids", "taxon_id"), ("names", "taxon_name"), ("ranks", "taxon_rank")))
-    steps = F.transform(ids, lambda t, i: F.struct(t.alias("taxon_id"), F.get(names, i).alias("name"), F.get(ranks, i).alias("rank"), F.when(i > 0, F.get(ids, i - 1)).alias("parent_taxon_id"), i.alias("depth"), (i == F.size(ids) - 1).alias("is_terminal")))
+    steps = F.transform(
+        ids,
+        lambda t, i: F.struct(
+            t.alias("taxon_id"), F.get(names, i).alias("name"), F.get(ranks, i).alias("rank"),
+            F.when(i > 0, F.get(ids, i - 1)).alias("parent_taxon_id"), i.alias("depth"), (i == F.size(ids) - 1).alias("is_terminal")
+        )
+    )
     return lineages.select("species_label", "release", F.explode(steps).alias("x")).select("species_label", "release", "x.*")
 
 
@@ -48,19 +57,26 @@ def reconcile(lineages: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = F.col("species_label")
     held = said.groupBy(F.col("taxon_id").alias("t")).agg(F.min_by(F.struct(*_SAID), order).alias("held"))
     differs = lambda c: ~F.col(c).eqNullSafe(F.col(f"held.{c}"))
-    why = F.when(differs("name"), "NAME_DIFFERS").when(differs("rank"), "RANK_DIFFERS").when(differs("parent_taxon_id"), "PARENT_DIFFERS").when(differs("depth"), "DEPTH_DIFFERS").when(differs("release"), "RELEASES_MIXED")
+    why = F.when(differs("name"), "NAME_DIFFERS").when(differs("rank"), "RANK_DIFFERS").when(
+        differs("parent_taxon_id"), "PARENT_DIFFERS"
+    ).when(differs("depth"), "DEPTH_DIFFERS").when(differs("release"), "RELEASES_MIXED")
     against = said.join(held, said["taxon_id"] == held["t"]).withColumn("reason", why).filter("reason is not null")
     at = F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason"))
     against = written(against.groupBy("species_label").agg(F.min_by("reason", at).alias("reason")), "against")
     kept = said.join(against, "species_label", "left_anti")
     root = kept.filter("parent_taxon_id is null").agg(F.min_by("taxon_id", "species_label").alias("root"))  # one row
-    others = kept.filter("parent_taxon_id is null").join(root, F.col("taxon_id") != F.col("root")).select("species_label", F.lit("OTHER_ROOT").alias("reason")).distinct()
+    others = kept.filter("parent_taxon_id is null").join(root, F.col("taxon_id") != F.col("root")).select(
+        "species_label", F.lit("OTHER_ROOT").alias("reason")
+    ).distinct()
     others = written(others, "others")
     kept = written(kept.join(others, "species_label", "left_anti"), "kept")
     looped = written(_on_cycles(kept.filter("parent_taxon_id is not null").select("taxon_id", "parent_taxon_id").distinct()), "looped")
     cyclic = written(kept.join(looped, "taxon_id", "left_semi").select("species_label", F.lit("CYCLE").alias("reason")).distinct(), "cyclic")
     good = kept.join(cyclic, "species_label", "left_anti")
-    nodes = good.groupBy("taxon_id").agg(*[F.first(c).alias(c) for c in ("name", "rank", "parent_taxon_id", "depth")], F.min("release").alias("release"), F.bool_or("is_terminal").alias("is_terminal"))
+    nodes = good.groupBy("taxon_id").agg(
+        *[F.first(c).alias(c) for c in ("name", "rank", "parent_taxon_id", "depth")], F.min("release").alias("release"),
+        F.bool_or("is_terminal").alias("is_terminal")
+    )
     rejected = judged.filter("reason is not null").select("species_label", "reason").unionByName(against).unionByName(others).unionByName(cyclic)
     out = written(nodes, "nodes"), written(rejected, "rejected")
     discard(judged, said, against, others, kept, looped, cyclic)

@@ -65,7 +65,12 @@ def _kinds(rows: DataFrame, name: str) -> DataFrame:
     """run_id, shape, number of groups and an id (``name``) of each kind, written."""
     shape = [F.coalesce(F.col(c), F.lit(0)).cast("double" if c.startswith("mean") else "long").alias(c) for c in SHAPE]
     counted = rows.select("run_id", *shape).groupBy("run_id", *SHAPE).agg(F.count(F.lit(1)).alias("groups"))
-    return written(counted.withColumn(name, F.monotonically_increasing_id()).withColumn("size_bucket", F.floor(F.log2(F.col("member_count") + 1.0) * STEPS + 1e-9)), name)
+    return written(
+        counted.withColumn(name, F.monotonically_increasing_id()).withColumn(
+            "size_bucket", F.floor(F.log2(F.col("member_count") + 1.0) * STEPS + 1e-9)
+        ),
+        name
+    )
 
 
 def _of_kind(rows: DataFrame, kinds: DataFrame, name: str) -> DataFrame:
@@ -135,7 +140,9 @@ def _rest(key: tuple, state: pa.Table, lists: pa.Table) -> pa.Table:
         else:
             out.append((kind, turn, None, None, behind))
     out += [(kind, -turn, place, score, behind) for place, own in held.items() for turn, kind, score, behind in own]
-    return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("kind", pa.int64()), ("turn", pa.int64()), ("place", pa.int64()), ("score", pa.float64()), ("behind", pa.int64())))})
+    return pa.table(
+        {c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate((("kind", pa.int64()), ("turn", pa.int64()), ("place", pa.int64()), ("score", pa.float64()), ("behind", pa.int64())))}
+    )
 
 
 def match_controls(anchors: DataFrame, candidates: DataFrame, controls: int, at_once: int = AT_ONCE) -> DataFrame:
@@ -155,7 +162,9 @@ def match_controls(anchors: DataFrame, candidates: DataFrame, controls: int, at_
     own = written(own, "anchors")
     other = written(_of_kind(numbered(candidates.select(*KEY, *SHAPE), [*KEY], "order", "controls"), able, "control_kind"), "controls")
     span = F.greatest(F.col("size_bucket") - F.col("low"), F.col("high") - F.col("size_bucket"))
-    asked = asked_for.join(sizes.select("run_id", "low", "high"), "run_id").withColumn("span", span).drop("low", "high").withColumn("reach", F.lit(REACH).cast("long"))
+    asked = asked_for.join(
+        sizes.select("run_id", "low", "high"), "run_id"
+    ).withColumn("span", span).drop("low", "high").withColumn("reach", F.lit(REACH).cast("long"))
     while True:
         asked = written(asked.withColumn("reach", F.least("reach", F.greatest("span", F.lit(0)))).withColumn("whole", F.col("reach") >= F.col("span")), "kinds")
         scored = written(_scored(asked, able), "scores")
@@ -166,12 +175,16 @@ def match_controls(anchors: DataFrame, candidates: DataFrame, controls: int, at_
             found, lacking = _admitted(own, other, scored, controls, at_once)
             if lacking is None:
                 return found
-        asked = asked.join(lacking.distinct().withColumn("more", F.lit(4)), "kind", "left").withColumn("reach", F.col("reach") * F.coalesce("more", F.lit(1))).drop("more", "whole")
+        asked = asked.join(
+            lacking.distinct().withColumn("more", F.lit(4)), "kind", "left"
+        ).withColumn("reach", F.col("reach") * F.coalesce("more", F.lit(1))).drop("more", "whole")
 
 
 def _admitted(own: DataFrame, other: DataFrame, scored: DataFrame, controls: int, at_once: int) -> tuple[DataFrame | None, DataFrame | None]:
     """The matching, or the kinds of anchors whose lists end too soon."""
-    tied = scored.groupBy("kind", "score").agg(F.count(F.lit(1)).alias("n"), F.collect_set("control_kind").alias("all")).filter("n > 1").select(F.explode("all").alias("control_kind")).distinct()
+    tied = scored.groupBy("kind", "score").agg(
+        F.count(F.lit(1)).alias("n"), F.collect_set("control_kind").alias("all")
+    ).filter("n > 1").select(F.explode("all").alias("control_kind")).distinct()
     runs = written(_runs(other, written(tied, "tied")), "runs")
     counted = runs.groupBy("control_kind", "run").agg(F.min("order").alias("first"), F.count(F.lit(1)).alias("seats"))
     places = written(counted.withColumn("place", F.monotonically_increasing_id()), "places")
@@ -179,14 +192,24 @@ def _admitted(own: DataFrame, other: DataFrame, scored: DataFrame, controls: int
     room = places.select("place", "seats")
     # an anchor seeks as often as it wants controls; turn is the order in which they come
     turn = F.explode(F.sequence(F.lit(0), F.lit(controls - 1)))
-    seekers = written(own.select("kind", "order", turn.alias("k")).select("kind", (F.col("order") * controls + F.col("k")).alias("turn"), F.lit(0).cast("long").alias("behind")), "seekers")
+    seekers = written(
+        own.select("kind", "order", turn.alias("k")).select(
+            "kind", (F.col("order") * controls + F.col("k")).alias("turn"), F.lit(0).cast("long").alias("behind")
+        ),
+        "seekers"
+    )
     held, turns = None, 0
     while left := seekers.count():
         if turns >= ROUNDS and left + held.count() + lists.count() <= at_once:
             zero = F.lit(0).alias("all")
-            state = held.select(zero, "kind", "turn", "place", "score", "behind").unionByName(seekers.select(zero, "kind", "turn", F.lit(None).cast("long").alias("place"), F.lit(None).cast("double").alias("score"), "behind"))
+            state = held.select(zero, "kind", "turn", "place", "score", "behind").unionByName(
+                seekers.select(zero, "kind", "turn", F.lit(None).cast("long").alias("place"), F.lit(None).cast("double").alias("score"), "behind")
+            )
             known = lists.join(room, "place").select(zero, "kind", "place", "score", "before", "after", "seats")
-            held = written(state.groupBy("all").cogroup(known.groupBy("all")).applyInArrow(_rest, "kind long, turn long, place long, score double, behind long"), "held")
+            held = written(
+                state.groupBy("all").cogroup(known.groupBy("all")).applyInArrow(_rest, "kind long, turn long, place long, score double, behind long"),
+                "held"
+            )
             short = held.filter("place is null").select("kind").distinct()
             if not short.isEmpty():
                 return None, written(short, "lacking")
@@ -197,7 +220,10 @@ def _admitted(own: DataFrame, other: DataFrame, scored: DataFrame, controls: int
         reach = ranked.groupBy(F.col("kind").alias("of")).agg(F.min("seat").alias("low"), F.max("seat").alias("high"))
         open_ = lists.join(reach, lists["kind"] == reach["of"]).filter((F.col("before") <= F.col("high")) & (F.col("after") > F.col("low")))
         bucket = lambda c: F.floor(c / SEATS)
-        open_ = open_.select(F.col("kind").alias("of"), "place", "score", "before", "after", F.explode(F.sequence(bucket(F.greatest("before", "low")), bucket(F.least(F.col("after") - 1, F.col("high"))))).alias("bucket"))
+        open_ = open_.select(
+            F.col("kind").alias("of"), "place", "score", "before", "after",
+            F.explode(F.sequence(bucket(F.greatest("before", "low")), bucket(F.least(F.col("after") - 1, F.col("high"))))).alias("bucket")
+        )
         within = (F.col("kind") == F.col("of")) & (bucket(F.col("seat")) == F.col("bucket")) & F.col("seat").between(F.col("before"), F.col("after") - 1)
         asks = written(ranked.join(open_, within, "left").select("kind", "turn", "place", "score", F.col("after").alias("behind")), "asks")
         if not asks.filter("place is null").isEmpty():
@@ -217,11 +243,17 @@ def _admitted(own: DataFrame, other: DataFrame, scored: DataFrame, controls: int
     taken = placed(held, ["place"], "turn", "rank").select("turn", F.col("place").alias("in"), F.col("rank").alias("at"), "score")
     inside = placed(runs.join(places.select("control_kind", "run", "place"), ["control_kind", "run"]), ["place"], "order", "rank")
     met = taken.join(inside, (F.col("in") == F.col("place")) & (F.col("at") == F.col("rank")))
-    pairs = met.select(F.floor(F.col("turn") / controls).alias("anchor"), "score", F.col("order").alias("control"), *[F.col(k).alias(f"control_{k}") for k in KEY[1:]])
+    pairs = met.select(
+        F.floor(F.col("turn") / controls).alias("anchor"), "score", F.col("order").alias("control"),
+        *[F.col(k).alias(f"control_{k}") for k in KEY[1:]]
+    )
     pairs = pairs.withColumn("control_rank", F.row_number().over(Window.partitionBy("anchor").orderBy("score", "control")))  # an anchor's controls
     named = own.select(F.col("order").alias("anchor"), "run_id", *[F.col(k).alias(f"anchor_{k}") for k in KEY[1:]])
     out = pairs.join(named, "anchor")
-    return out.select("run_id", *[f"anchor_{k}" for k in KEY[1:]], *[f"control_{k}" for k in KEY[1:]], F.col("control_rank").cast("long").alias("control_rank"), F.col("score").alias("matching_score")), None
+    return out.select(
+        "run_id", *[f"anchor_{k}" for k in KEY[1:]], *[f"control_{k}" for k in KEY[1:]], F.col("control_rank").cast("long").alias("control_rank"),
+        F.col("score").alias("matching_score")
+    ), None
 
 
 def single_copy_fraction(of: dict[str, Column]) -> Column:

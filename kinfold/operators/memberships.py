@@ -42,8 +42,13 @@ def melt(wide: DataFrame, run_id: str, group_type: str, hierarchy_node: str, sou
         *[F.col(f"`{s}`").cast("string").alias(f"s{i}") for i, s in enumerate(species)],
     )
     stacked = F.explode(F.array(*[F.struct(F.lit(s).alias("species_label"), F.col(f"s{i}").alias("cell")) for i, s in enumerate(species)]))
-    cells = base.select("group_id", "legacy_orthogroup_id", "gene_tree_parent_clade", "source_row", stacked.alias("x")).filter("x.cell is not null and x.cell != ''")
-    members = cells.select("group_id", "legacy_orthogroup_id", "gene_tree_parent_clade", "source_row", "x.species_label", F.explode(F.split("x.cell", ",")).alias("member_id"))
+    cells = base.select(
+        "group_id", "legacy_orthogroup_id", "gene_tree_parent_clade", "source_row", stacked.alias("x")
+    ).filter("x.cell is not null and x.cell != ''")
+    members = cells.select(
+        "group_id", "legacy_orthogroup_id", "gene_tree_parent_clade", "source_row", "x.species_label",
+        F.explode(F.split("x.cell", ",")).alias("member_id")
+    )
     return members.select(
         F.lit(run_id).alias("run_id"), F.lit(group_type).alias("group_type"), F.lit(hierarchy_node).alias("hierarchy_node"), "group_id",
         F.coalesce("legacy_orthogroup_id", F.lit("")).alias("legacy_orthogroup_id"), F.coalesce("gene_tree_parent_clade", F.lit("")).alias("gene_tree_parent_clade"),
@@ -54,7 +59,11 @@ def melt(wide: DataFrame, run_id: str, group_type: str, hierarchy_node: str, sou
 def species_counts(members: DataFrame) -> DataFrame:
     """Rows of each species in each group: one shuffle on the group's key, in which the
     statistics that follow are made as well."""
-    return members.groupBy(*KEY, "species_label").agg(F.count(F.lit(1)).alias("species_member_count"), F.min("legacy_orthogroup_id").alias("legacy_orthogroup_id"), F.max("legacy_orthogroup_id").alias("__legacy"), F.min("gene_tree_parent_clade").alias("gene_tree_parent_clade"), F.min("source_file").alias("source_file"))
+    return members.groupBy(*KEY, "species_label").agg(
+        F.count(F.lit(1)).alias("species_member_count"), F.min("legacy_orthogroup_id").alias("legacy_orthogroup_id"),
+        F.max("legacy_orthogroup_id").alias("__legacy"), F.min("gene_tree_parent_clade").alias("gene_tree_parent_clade"),
+        F.min("source_file").alias("source_file")
+    )
 
 
 def group_statistics(members: DataFrame) -> DataFrame:
@@ -82,20 +91,29 @@ def group_species_statistics(members: DataFrame) -> DataFrame:
 
 def check_consistent(members: DataFrame) -> None:
     """A group has one legacy id and one parent clade; raises where it has more."""
-    bad = members.groupBy(*KEY).agg(F.min(F.struct("legacy_orthogroup_id", "gene_tree_parent_clade")).alias("a"), F.max(F.struct("legacy_orthogroup_id", "gene_tree_parent_clade")).alias("b")).filter("a != b").limit(1).collect()
+    bad = members.groupBy(*KEY).agg(
+        F.min(F.struct("legacy_orthogroup_id", "gene_tree_parent_clade")).alias("a"),
+        F.max(F.struct("legacy_orthogroup_id", "gene_tree_parent_clade")).alias("b")
+    ).filter("a != b").limit(1).collect()
     if bad:
         raise IntegrityError(f"group {bad[0]['group_id']} has contradicting rows: {bad[0]['a']} and {bad[0]['b']}")
 
 
 def overview(stats: DataFrame) -> DataFrame:
     """Groups and their sizes by kind and hierarchy node."""
-    return stats.groupBy("group_type", "hierarchy_node").agg(F.count(F.lit(1)).alias("group_count"), F.min("member_count").alias("minimum_members"), F.median("member_count").alias("median_members"), F.max("member_count").alias("maximum_members"), F.avg("member_count").alias("mean_members"))
+    return stats.groupBy("group_type", "hierarchy_node").agg(
+        F.count(F.lit(1)).alias("group_count"), F.min("member_count").alias("minimum_members"), F.median("member_count").alias("median_members"),
+        F.max("member_count").alias("maximum_members"), F.avg("member_count").alias("mean_members")
+    )
 
 
 def totals(stats: DataFrame, species: DataFrame, distances: DataFrame, sequences: DataFrame) -> DataFrame:
     """One row: groups, species, groups with distances, sequences."""
     one = stats.agg(F.count(F.lit(1)).alias("group_count"))
-    for df, name in ((species, "species_count"), (distances.filter("distance_pair_count > 0").select(*KEY).distinct(), "distance_group_count"), (sequences, "sequence_count")):
+    for df, name in (
+        (species, "species_count"), (distances.filter("distance_pair_count > 0").select(*KEY).distinct(), "distance_group_count"),
+        (sequences, "sequence_count")
+    ):
         one = one.crossJoin(df.agg(F.count(F.lit(1)).alias(name)))  # one row each
     return one
 
@@ -103,4 +121,6 @@ def totals(stats: DataFrame, species: DataFrame, distances: DataFrame, sequences
 def size_histogram(stats: DataFrame, column: str = "member_count") -> DataFrame:
     """Groups by binary order of magnitude of a size, with mean, minimum and maximum."""
     bins = stats.withColumn("bin", F.floor(F.log2(F.greatest(F.col(column), F.lit(1)).cast("double")) + 1e-12))
-    return bins.groupBy("group_type", "hierarchy_node", "bin").agg(F.count(F.lit(1)).alias("group_count"), F.min(column).alias("minimum"), F.max(column).alias("maximum"), F.avg(column).alias("mean"))
+    return bins.groupBy("group_type", "hierarchy_node", "bin").agg(
+        F.count(F.lit(1)).alias("group_count"), F.min(column).alias("minimum"), F.max(column).alias("maximum"), F.avg(column).alias("mean")
+    )

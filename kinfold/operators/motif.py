@@ -54,7 +54,10 @@ def group_members(members: DataFrame, sequences: DataFrame, expression: str, mod
     return out.withColumn("motif_match", hit).withColumn("matched_text", F.when(F.col("motif_match"), matched_text(F.col("clean"), expression, mode)))
 
 
-def group_summary(assessed: DataFrame, species: tuple[str, ...] = (), least_species: int = 1, least_proteins: int = 1, threshold: float = 0.0, required: tuple[str, ...] = ()) -> DataFrame:
+def group_summary(
+    assessed: DataFrame, species: tuple[str, ...] = (), least_species: int = 1, least_proteins: int = 1, threshold: float = 0.0,
+    required: tuple[str, ...] = ()
+) -> DataFrame:
     """Groups in which enough of the assessed members of the analysis species match.
 
     ``assessed`` comes from :func:`group_members`; no ``species`` means all.
@@ -77,8 +80,18 @@ def group_summary(assessed: DataFrame, species: tuple[str, ...] = (), least_spec
         list_if(F.lit(True)).alias("represented_species"), list_if(hit).alias("matching_species"),
     )
     ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
-    out = out.withColumns({"sequence_coverage": ratio("sequence_count", "total_member_count"), "matching_fraction": ratio("matching_sequence_count", "sequence_count"), "analysis_matching_fraction": ratio("analysis_matching_sequence_count", "analysis_sequence_count")})
-    out = out.filter((F.col("analysis_assessed_species_count") >= least_species) & (F.col("analysis_sequence_count") >= least_proteins) & (F.col("analysis_matching_fraction") >= threshold))
+    out = out.withColumns(
+        {
+            "sequence_coverage": ratio("sequence_count", "total_member_count"),
+            "matching_fraction": ratio("matching_sequence_count", "sequence_count"),
+            "analysis_matching_fraction": ratio("analysis_matching_sequence_count", "analysis_sequence_count")
+        }
+    )
+    out = out.filter(
+        (
+            F.col("analysis_assessed_species_count") >= least_species
+        ) & (F.col("analysis_sequence_count") >= least_proteins) & (F.col("analysis_matching_fraction") >= threshold)
+    )
     for s in required:
         out = out.filter(F.array_contains(F.split("matching_species", "; "), s))
     return out
@@ -86,19 +99,29 @@ def group_summary(assessed: DataFrame, species: tuple[str, ...] = (), least_spec
 
 def species_distribution(assessed: DataFrame) -> DataFrame:
     """By species: assessed, matching, unavailable, and a verdict."""
-    out = assessed.groupBy("group_id", "species_label").agg(F.count(F.lit(1)).alias("published"), F.count_if("sequence_available").alias("assessed"), F.count_if("motif_match").alias("matching"))
-    verdict = F.when(F.col("assessed") == 0, "Sequence unavailable").when(F.col("matching") == 0, "Assessed; no match").when(F.col("matching") == F.col("assessed"), "All assessed proteins match").otherwise("Some assessed proteins match")
-    return out.withColumn("unavailable", F.col("published") - F.col("assessed")).withColumn("match_fraction", F.try_divide(F.col("matching").cast("double"), F.col("assessed").cast("double"))).withColumn("species_result", verdict)
-
-
-def lineage_filter(assessed: DataFrame, analysis: DataFrame, least_fraction: float, required: list[DataFrame] = (), excluded: list[DataFrame] = ()) -> DataFrame:
+    out = assessed.groupBy("group_id", "species_label").agg(
+        F.count(F.lit(1)).alias("published"), F.count_if("sequence_available").alias("assessed"), F.count_if("motif_match").alias("matching")
+    )
+    verdict = F.when(F.col("assessed") == 0, "Sequence unavailable").when(F.col("matching") == 0, "Assessed; no match").when(
+        F.col("matching") == F.col("assessed"), "All assessed proteins match"
+    ).otherwise("Some assessed proteins match")
+    return out.withColumn("unavailable", F.col("published") - F.col("assessed")).withColumn(
+        "match_fraction", F.try_divide(F.col("matching").cast("double"), F.col("assessed").cast("double"))
+    ).withColumn("species_result", verdict)
+
+
+def lineage_filter(
+    assessed: DataFrame, analysis: DataFrame, least_fraction: float, required: list[DataFrame] = (), excluded: list[DataFrame] = ()
+) -> DataFrame:
     """Groups in which at least ``least_fraction`` of the assessed analysis species match,
     each required set of species has a match and no excluded set has one; sets are tables
     of species_label. Adds analysis_species_match_fraction."""
     per = assessed.groupBy("group_id", "species_label").agg(F.bool_or("sequence_available").alias("have"), F.bool_or("motif_match").alias("hit"))
     marks = [analysis, *required, *excluded]
     for k, rows in enumerate(marks):
-        per = per.join(rows.select("species_label").distinct().withColumn(f"in_{k}", F.lit(True)), "species_label", "left").withColumn(f"in_{k}", F.coalesce(f"in_{k}", F.lit(False)))
+        per = per.join(
+            rows.select("species_label").distinct().withColumn(f"in_{k}", F.lit(True)), "species_label", "left"
+        ).withColumn(f"in_{k}", F.coalesce(f"in_{k}", F.lit(False)))
     seen, found = F.count_if(F.col("in_0") & F.col("have")), F.count_if(F.col("in_0") & F.col("hit"))
     met = [F.bool_or(F.col(f"in_{k}") & F.col("hit")).alias(f"met_{k}") for k in range(1, len(marks))]
     out = per.groupBy("group_id").agg(F.try_divide(found.cast("double"), seen.cast("double")).alias("analysis_species_match_fraction"), *met)

@@ -20,18 +20,27 @@ def select_by_alias(members: DataFrame, authority: DataFrame) -> DataFrame:
     parts = F.when(member.rlike(r"^(sp|tr)\|[^|\s]+\|[^|\s]+$"), F.split(member, r"\|"))
     pairs = ((member, "PROTEIN_ID"), (F.get(parts, F.lit(1)), "UNIPROT_ACCESSION"), (F.get(parts, F.lit(2)), "UNIPROT_ENTRY"))
     names = F.array(*[F.struct(c.alias("alias"), F.lit(a).alias("match_authority")) for c, a in pairs])
-    aliases = members.select(*KEY, "legacy_orthogroup_id", "species_label", "member_id", F.explode(names).alias("x")).select("*", "x.alias", "x.match_authority").drop("x").filter("alias is not null")
+    aliases = members.select(
+        *KEY, "legacy_orthogroup_id", "species_label", "member_id", F.explode(names).alias("x")
+    ).select("*", "x.alias", "x.match_authority").drop("x").filter("alias is not null")
     seeds = authority.select(F.col("seed_id").alias("alias"), *[F.col(c).alias(f"seed_{c}") for c in ("species_label",) if c in authority.columns]).distinct()
     met = aliases.join(seeds, "alias")
     if "seed_species_label" in seeds.columns:
         met = met.filter(F.col("seed_species_label").isNull() | (F.col("seed_species_label") == F.col("species_label"))).drop("seed_species_label")
-    return met.select(*KEY, "legacy_orthogroup_id", F.col("alias").alias("seed_id"), F.col("member_id").alias("matched_member_id"), F.col("species_label").alias("matched_species_label"), "match_authority").distinct()
+    return met.select(
+        *KEY, "legacy_orthogroup_id", F.col("alias").alias("seed_id"), F.col("member_id").alias("matched_member_id"),
+        F.col("species_label").alias("matched_species_label"), "match_authority"
+    ).distinct()
 
 
 def candidates(stats: DataFrame, targets: DataFrame, hierarchy_node: str = "N0") -> DataFrame:
     """Groups that may be controls: of the node, with two members or more, an original
     group's name, and no target."""
-    able = stats.filter((F.col("group_type") == "HOG") & (F.col("hierarchy_node") == hierarchy_node) & (F.col("member_count") >= 2) & (F.coalesce("legacy_orthogroup_id", F.lit("")) != ""))
+    able = stats.filter(
+        (F.col("group_type") == "HOG") & (F.col("hierarchy_node") == hierarchy_node) & (F.col("member_count") >= 2) & (
+            F.coalesce("legacy_orthogroup_id", F.lit("")) != ""
+        )
+    )
     return able.join(targets.select(*KEY), list(KEY), "left_anti")
 
 
@@ -51,7 +60,10 @@ def build_plan(stats: DataFrame, selections: list[DataFrame], controls: int, hie
     if able.isEmpty():
         raise InputError("no group is left that could be a control")
     found = match_controls(targets, able, controls)
-    shape = {"member_count": F.col("member_count"), "species_count": F.col("species_count"), "mean_copies_per_species": F.col("mean_copies_per_species"), "single_copy_fraction": single_copy_fraction({c: F.col(c) for c in ("single_copy_species_count", "species_count")})}
+    shape = {
+        "member_count": F.col("member_count"), "species_count": F.col("species_count"), "mean_copies_per_species": F.col("mean_copies_per_species"),
+        "single_copy_fraction": single_copy_fraction({c: F.col(c) for c in ("single_copy_species_count", "species_count")})
+    }
     links = found
     for side in ("anchor", "control"):
         own = stats.select("run_id", *[F.col(k).alias(f"{side}_{k}") for k in KEY[1:]], *[c.alias(f"{side}_{n}") for n, c in shape.items()])
@@ -84,11 +96,16 @@ def marker_audit(matches: DataFrame, authority: DataFrame) -> DataFrame:
 def focus_results(stats: DataFrame, matches: DataFrame, distances: DataFrame) -> DataFrame:
     """Selected groups with their matches and their distances; numbers of a group whose
     distances are unavailable are null and its status says so."""
-    per = matches.groupBy(*KEY).agg(F.count_distinct("seed_id").alias("seed_count"), sorted_list(F.col("seed_id")).alias("seed_ids"), F.count_distinct("matched_member_id").alias("matched_member_count"))
+    per = matches.groupBy(*KEY).agg(
+        F.count_distinct("seed_id").alias("seed_count"), sorted_list(F.col("seed_id")).alias("seed_ids"),
+        F.count_distinct("matched_member_id").alias("matched_member_count")
+    )
     numbers = ("distance_pair_count", "minimum_distance", "median_distance", "mean_distance", "maximum_distance", "population_stddev_distance")
     have = F.coalesce(F.col("distance_pair_count") > 0, F.lit(False))
     out = stats.join(per, list(KEY)).join(distances.select(*KEY, "distance_method", "computation_status", *numbers), list(KEY), "left")
-    return out.withColumns({c: F.when(have, F.col(c)) for c in numbers} | {"computation_status": F.when(have, F.col("computation_status")).otherwise("UNAVAILABLE")})
+    return out.withColumns(
+        {c: F.when(have, F.col(c)) for c in numbers} | {"computation_status": F.when(have, F.col("computation_status")).otherwise("UNAVAILABLE")}
+    )
 
 
 def cluster_results(selected: DataFrame, stats: DataFrame, profiles: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -96,7 +113,9 @@ def cluster_results(selected: DataFrame, stats: DataFrame, profiles: DataFrame,
     lacking = selected.join(summaries.select(*KEY), list(KEY), "left_anti").select("group_id").limit(20).collect()
     if lacking:
         raise IntegrityError("groups without a distance summary: " + ";".join(sorted(r["group_id"] for r in lacking)))
-    lists = profiles.groupBy(*KEY).agg(*[sorted_list(F.col(c)).alias(f"{c}s" if not c.endswith("s") else f"{c}es") for c in ("profile_id", "profile_class", "profile_subclass", "membership_role")])
+    lists = profiles.groupBy(*KEY).agg(
+        *[sorted_list(F.col(c)).alias(f"{c}s" if not c.endswith("s") else f"{c}es") for c in ("profile_id", "profile_class", "profile_subclass", "membership_role")]
+    )
     out = selected.join(stats, list(KEY)).join(lists, list(KEY), "left").join(summaries, list(KEY))
     mean, spread = F.col("mean_distance"), F.col("population_stddev_distance")
     return out.withColumns({

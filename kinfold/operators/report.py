@@ -22,7 +22,10 @@ def whole_number(value: Column) -> Column:
 def level_counts(stats: DataFrame) -> DataFrame:
     """Groups of each kind and node, and how many have one copy a species and how many more."""
     copies = whole_number(F.col("max_copies_per_species"))
-    return stats.groupBy("group_type", "hierarchy_node").agg(F.count(F.lit(1)).alias("group_count"), F.count_if(copies <= 1).alias("single_copy_group_count"), F.count_if(copies > 1).alias("multicopy_group_count"))
+    return stats.groupBy("group_type", "hierarchy_node").agg(
+        F.count(F.lit(1)).alias("group_count"), F.count_if(copies <= 1).alias("single_copy_group_count"),
+        F.count_if(copies > 1).alias("multicopy_group_count")
+    )
 
 
 def dense_histograms(stats: DataFrame) -> DataFrame:
@@ -34,7 +37,10 @@ def dense_histograms(stats: DataFrame) -> DataFrame:
     rows = rows.withColumn("bin", F.when(by_power, F.length(F.bin(F.greatest("value", F.lit(1)))) - 1).otherwise(F.col("value")).cast("long"))
     by = ["group_type", "hierarchy_node", "metric"]
     counts = rows.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("group_count"))
-    ends = rows.groupBy(*by).agg(F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.avg("value").alias("mean"), F.min("bin").alias("low"), F.max("bin").alias("high"))
+    ends = rows.groupBy(*by).agg(
+        F.min("value").alias("minimum"), F.max("value").alias("maximum"), F.avg("value").alias("mean"), F.min("bin").alias("low"),
+        F.max("bin").alias("high")
+    )
     dense = ends.withColumn("bin", F.explode(F.sequence("low", "high"))).join(counts, [*by, "bin"], "left")
     power = F.pow(F.lit(2), F.col("bin")).cast("long")
     label = F.when(~by_power, F.col("bin").cast("string")).when(F.col("bin") == 0, "1").otherwise(F.concat_ws("–", power, 2 * power - 1))

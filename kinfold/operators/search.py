@@ -11,8 +11,14 @@ from ..errors import InputError
 from ..functions.text import contains_literal, pipe_part, sorted_list
 from ..schemas import KEY
 
-DISTANCE_COLUMNS = ("distance_method", "computation_status", "total_member_count", "sampled_member_count", "distance_pair_count", "minimum_distance", "q25_distance", "median_distance", "mean_distance", "q75_distance", "maximum_distance", "population_stddev_distance", "failure_reason")
-GROUP_COLUMNS = (*KEY, "legacy_orthogroup_id", "gene_tree_parent_clade", "member_count", "species_count", "single_copy_species_count", "max_copies_per_species", "mean_copies_per_species", "is_singleton")
+DISTANCE_COLUMNS = (
+    "distance_method", "computation_status", "total_member_count", "sampled_member_count", "distance_pair_count", "minimum_distance", "q25_distance",
+    "median_distance", "mean_distance", "q75_distance", "maximum_distance", "population_stddev_distance", "failure_reason"
+)
+GROUP_COLUMNS = (
+    *KEY, "legacy_orthogroup_id", "gene_tree_parent_clade", "member_count", "species_count", "single_copy_species_count", "max_copies_per_species",
+    "mean_copies_per_species", "is_singleton"
+)
 
 
 def _by(*columns: str) -> list[Column]:
@@ -91,7 +97,10 @@ def preferred_distance(distances: DataFrame) -> DataFrame:
 
 def ranked_distance(distances: DataFrame) -> DataFrame:
     """The summary of each group that results show: whole matrices first, then larger samples."""
-    order = Window.partitionBy(*KEY).orderBy(F.when(F.col("sampled_member_count") == F.col("total_member_count"), 0).otherwise(1), *_by("-sampled_member_count", "distance_method", "source_file"))
+    order = Window.partitionBy(*KEY).orderBy(
+        F.when(F.col("sampled_member_count") == F.col("total_member_count"), 0).otherwise(1),
+        *_by("-sampled_member_count", "distance_method", "source_file")
+    )
     return distances.withColumn("__rank", F.row_number().over(order)).filter("__rank = 1").drop("__rank")
 
 
@@ -151,7 +160,9 @@ def page(rows: DataFrame, order: str | tuple[str, ...], number: int = 1, size: i
     return ordered.offset((number - 1) * size).limit(size) if number > 1 else ordered.limit(size)
 
 
-def distance_results(stats: DataFrame, distances: DataFrame, method: str = "", status: str = "", group_type: str = "", hierarchy_node: str | None = None) -> DataFrame:
+def distance_results(
+    stats: DataFrame, distances: DataFrame, method: str = "", status: str = "", group_type: str = "", hierarchy_node: str | None = None
+) -> DataFrame:
     """Groups with calculated distances: filtered by method and status before ranking, by
     kind and node after; with sampling fraction, quartile range and relative spread."""
     d = distances.filter("distance_pair_count > 0")
@@ -197,26 +208,40 @@ def search_proteins(members: DataFrame, sequences: DataFrame | None, stats: Data
         named = sequences.select(*protein, "internal_id")
         keys = m.filter(own).select(*protein).unionByName(named.filter(fits(internal)).select(*protein)).distinct()
         m = m.join(keys, protein, "left_semi").join(named.join(keys, protein, "left_semi"), protein, "left")
-    by = {"PROTEIN_ID": (fits(member), member), "INTERNAL_ID": (fits(internal), internal), "UNIPROT_ACCESSION": (fits(accession), accession), "UNIPROT_ENTRY": (fits(entry), entry)}
-    order = ["PROTEIN_ID", "INTERNAL_ID", "UNIPROT_ACCESSION", "UNIPROT_ENTRY"] if exact else ["INTERNAL_ID", "UNIPROT_ACCESSION", "UNIPROT_ENTRY", "PROTEIN_ID"]
+    by = {
+        "PROTEIN_ID": (fits(member), member), "INTERNAL_ID": (fits(internal), internal), "UNIPROT_ACCESSION": (fits(accession), accession),
+        "UNIPROT_ENTRY": (fits(entry), entry)
+    }
+    order = [
+        "PROTEIN_ID", "INTERNAL_ID", "UNIPROT_ACCESSION", "UNIPROT_ENTRY"
+    ] if exact else ["INTERNAL_ID", "UNIPROT_ACCESSION", "UNIPROT_ENTRY", "PROTEIN_ID"]
     found = by["PROTEIN_ID"][0] | by["INTERNAL_ID"][0] | by["UNIPROT_ACCESSION"][0] | by["UNIPROT_ENTRY"][0]
     source, matched = F.lit(None).cast("string"), F.lit(None).cast("string")
     for name in reversed(order):
         source, matched = F.when(by[name][0], name).otherwise(source), F.when(by[name][0], by[name][1]).otherwise(matched)
     if exact:
         source = F.when(by["PROTEIN_ID"][0] & by["INTERNAL_ID"][0], "PROTEIN_AND_INTERNAL_ID").otherwise(source)
-    hits = m.filter(found).withColumn("match_source", source).withColumn("matched_identifier", matched).withColumn("internal_id", F.coalesce("internal_id", F.lit(""))).distinct()
+    hits = m.filter(found).withColumn("match_source", source).withColumn("matched_identifier", matched).withColumn(
+        "internal_id", F.coalesce("internal_id", F.lit(""))
+    ).distinct()
     sizes = stats.select(*KEY, "member_count", "species_count", "single_copy_species_count", "max_copies_per_species", "mean_copies_per_species")
-    shown = ranked_distance(distances).select(*KEY, "distance_method", "computation_status", "sampled_member_count", "distance_pair_count", "mean_distance", "population_stddev_distance")
+    shown = ranked_distance(distances).select(
+        *KEY, "distance_method", "computation_status", "sampled_member_count", "distance_pair_count", "mean_distance", "population_stddev_distance"
+    )
     return hits.join(sizes, list(KEY)).join(shown, list(KEY), "left")
 
 
 def identifier_aliases(rows: DataFrame) -> DataFrame:
     """run_id, member_id, species_label, alias, match_authority: a row an identifier."""
     member, internal = F.col("member_id"), F.col("internal_id") if "internal_id" in rows.columns else F.lit(None).cast("string")
-    pairs = [(member, "PROTEIN_ID"), (F.nullif(internal, F.lit("")), "INTERNAL_ID"), (pipe_part(member, 2), "UNIPROT_ACCESSION"), (pipe_part(member, 3), "UNIPROT_ENTRY")]
+    pairs = [
+        (member, "PROTEIN_ID"), (F.nullif(internal, F.lit("")), "INTERNAL_ID"), (pipe_part(member, 2), "UNIPROT_ACCESSION"),
+        (pipe_part(member, 3), "UNIPROT_ENTRY")
+    ]
     stacked = F.explode(F.array(*[F.struct(c.alias("alias"), F.lit(a).alias("match_authority")) for c, a in pairs]))
-    return rows.select("run_id", "member_id", "species_label", stacked.alias("x")).select("run_id", "member_id", "species_label", "x.*").filter("alias is not null")
+    return rows.select(
+        "run_id", "member_id", "species_label", stacked.alias("x")
+    ).select("run_id", "member_id", "species_label", "x.*").filter("alias is not null")
 
 
 def search_focus(members: DataFrame, aliases: DataFrame, stats: DataFrame, distances: DataFrame, identifiers: DataFrame) -> DataFrame:
@@ -226,7 +251,9 @@ def search_focus(members: DataFrame, aliases: DataFrame, stats: DataFrame, dista
     the planner's size threshold.
     """
     focus = identifiers.select("focus_identifier").distinct()
-    found = aliases.join(focus, F.col("alias") == F.col("focus_identifier")).select("run_id", "member_id", "species_label", "focus_identifier", "match_authority").distinct()
+    found = aliases.join(focus, F.col("alias") == F.col("focus_identifier")).select(
+        "run_id", "member_id", "species_label", "focus_identifier", "match_authority"
+    ).distinct()
     hits = members.join(found, ["run_id", "member_id", "species_label"])
     groups = hits.groupBy(*KEY).agg(
         F.min("legacy_orthogroup_id").alias("legacy_orthogroup_id"),
@@ -239,14 +266,23 @@ def search_focus(members: DataFrame, aliases: DataFrame, stats: DataFrame, dista
         sorted_list(F.col("match_authority")).alias("match_authorities"),
     )
     sizes = stats.select(*KEY, "member_count", "species_count", "max_copies_per_species", "mean_copies_per_species")
-    shown = ranked_distance(distances).select(*KEY, "distance_method", "computation_status", "sampled_member_count", "distance_pair_count", "mean_distance", "population_stddev_distance")
+    shown = ranked_distance(distances).select(
+        *KEY, "distance_method", "computation_status", "sampled_member_count", "distance_pair_count", "mean_distance", "population_stddev_distance"
+    )
     return groups.join(sizes, list(KEY)).join(shown, list(KEY), "left")
 
 
 def focus_audit(focus: DataFrame, hits: DataFrame) -> DataFrame:
     """One row per configured identifier (focus_identifier, enabled): MATCHED, UNMATCHED or
     DISABLED, with the groups and members it was found in."""
-    found = hits.groupBy("focus_identifier").agg(F.count_distinct("group_id").alias("matched_group_count"), sorted_list(F.col("group_id")).alias("matched_group_ids"), F.count_distinct("member_id").alias("matched_member_count"), sorted_list(F.col("member_id")).alias("matched_member_ids"))
+    found = hits.groupBy("focus_identifier").agg(
+        F.count_distinct("group_id").alias("matched_group_count"), sorted_list(F.col("group_id")).alias("matched_group_ids"),
+        F.count_distinct("member_id").alias("matched_member_count"), sorted_list(F.col("member_id")).alias("matched_member_ids")
+    )
     out = focus.join(found, "focus_identifier", "left")
     status = F.when(~F.col("enabled"), "DISABLED").when(F.col("matched_group_count").isNotNull(), "MATCHED").otherwise("UNMATCHED")
-    return out.select("focus_identifier", "enabled", status.alias("match_status"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("matched_group_count", "matched_member_count")], *[F.coalesce(c, F.lit("")).alias(c) for c in ("matched_group_ids", "matched_member_ids")])
+    return out.select(
+        "focus_identifier", "enabled", status.alias("match_status"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("matched_group_count", "matched_member_count")],
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("matched_group_ids", "matched_member_ids")]
+    )

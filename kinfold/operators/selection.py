@@ -15,9 +15,15 @@ from ..schemas import KEY
 from .taxonomy import SELECTORS, Selector, common_root
 
 #: How a node that a selector names is shown, and in words.
-DIRECT = {"REQUIRED_EXACT": "REQUIRED_EXACT", "INCLUDE_CLADE": "INCLUDE_CLADE", "ONLY_IN_CLADE": "ONLY_IN_SCOPE", "EXCLUDE_EXACT": "EXCLUDED_EXACT", "EXCLUDE_CLADE": "EXCLUDED_CLADE"}
+DIRECT = {
+    "REQUIRED_EXACT": "REQUIRED_EXACT", "INCLUDE_CLADE": "INCLUDE_CLADE", "ONLY_IN_CLADE": "ONLY_IN_SCOPE", "EXCLUDE_EXACT": "EXCLUDED_EXACT",
+    "EXCLUDE_CLADE": "EXCLUDED_CLADE"
+}
 CLADES = ("INCLUDE_CLADE", "ONLY_IN_CLADE", "EXCLUDE_CLADE")
-WORDS = {"REQUIRED_EXACT": "has {}", "INCLUDE_CLADE": "has a member of {}", "ONLY_IN_CLADE": "has members of {} alone", "EXCLUDE_EXACT": "lacks {}", "EXCLUDE_CLADE": "has no member of {}"}
+WORDS = {
+    "REQUIRED_EXACT": "has {}", "INCLUDE_CLADE": "has a member of {}", "ONLY_IN_CLADE": "has members of {} alone", "EXCLUDE_EXACT": "lacks {}",
+    "EXCLUDE_CLADE": "has no member of {}"
+}
 MOST_NODES = 5000
 
 
@@ -119,7 +125,10 @@ def outside_scope(present: DataFrame, closed: DataFrame, selectors: list[Selecto
 def expected_taxa(rows: DataFrame, closed: DataFrame) -> DataFrame:
     """Expected taxa (taxon_id, included, reason, source) that are included; unknown or inner
     nodes and repeats are errors."""
-    for bad, what in ((rows.groupBy("taxon_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "comes twice"), (rows.join(terminals(closed), "taxon_id", "left_anti"), "is no terminal of the taxonomy")):
+    for bad, what in (
+        (rows.groupBy("taxon_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "comes twice"),
+        (rows.join(terminals(closed), "taxon_id", "left_anti"), "is no terminal of the taxonomy")
+    ):
         if first := bad.limit(1).collect():
             raise InputError(f"expected taxon {first[0]['taxon_id']} {what}")
     return rows.filter("included")
@@ -144,7 +153,10 @@ def selection_states(nodes: DataFrame, closed: DataFrame, selectors: list[Select
     return rows.select(*nodes.columns, state.alias("selection_state"), selected.alias("is_selected"), excluded.alias("is_excluded"))
 
 
-def coverage_tree(closed: DataFrame, selectors: list[Selector], represented: DataFrame, expected: DataFrame, outside: DataFrame, compact: bool = False, most: int = MOST_NODES) -> DataFrame:
+def coverage_tree(
+    closed: DataFrame, selectors: list[Selector], represented: DataFrame, expected: DataFrame, outside: DataFrame, compact: bool = False,
+    most: int = MOST_NODES
+) -> DataFrame:
     """A row a node of the smallest tree over all represented, expected and selected
     terminals: its parent, states, and how many terminals below it are represented,
     expected without data, and excluded. With ``compact`` inner nodes that have one child
@@ -190,7 +202,9 @@ def coverage_tree(closed: DataFrame, selectors: list[Selector], represented: Dat
         F.count(F.lit(1)).alias("terminal_count"),
     )
     own = flags.select(F.col("taxon_id").alias("t"), *[n for _, n in marks])
-    rows = selection_states(nodes, closed, selectors).join(counts, F.col("taxon_id") == F.col("node")).join(own, F.col("taxon_id") == F.col("t"), "left").drop("node", "t")
+    rows = selection_states(nodes, closed, selectors).join(counts, F.col("taxon_id") == F.col("node")).join(
+        own, F.col("taxon_id") == F.col("t"), "left"
+    ).drop("node", "t")
     rows = rows.withColumns({n: F.coalesce(n, F.lit(False)) for _, n in marks})
     state = (
         F.when(F.col("is_outside_selected_scope"), "OUTSIDE_SELECTED_SCOPE_WITH_HITS")
@@ -206,7 +220,10 @@ def coverage_tree(closed: DataFrame, selectors: list[Selector], represented: Dat
 def reconcile(tree: DataFrame) -> None:
     """A coverage tree has one root, a parent for every other node, no cycle, and counts
     that add up; or it is an error."""
-    sums = tree.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("taxon_id").alias("names"), F.count_if(F.col("parent_taxon_id").isNull()).alias("roots"), F.max("terminal_count").alias("most")).first()
+    sums = tree.agg(
+        F.count(F.lit(1)).alias("nodes"), F.count_distinct("taxon_id").alias("names"), F.count_if(F.col("parent_taxon_id").isNull()).alias("roots"),
+        F.max("terminal_count").alias("most")
+    ).first()
     if sums["roots"] != 1 or sums["nodes"] != sums["names"]:
         raise IntegrityError(f"a coverage tree with {sums['roots']} roots and {sums['nodes'] - sums['names']} repeated nodes")
     up = tree.select(F.col("taxon_id").alias("parent_taxon_id"), F.col("terminal_count").alias("above"))
@@ -215,6 +232,8 @@ def reconcile(tree: DataFrame) -> None:
         raise IntegrityError("a coverage tree with a parent that is not displayed")
     own = F.when(F.col("is_represented") | F.col("is_expected"), 1).otherwise(0)
     parts = joined.groupBy(F.col("parent_taxon_id").alias("taxon_id")).agg(F.sum("terminal_count").alias("parts"))
-    wrong = tree.join(parts, "taxon_id").filter((F.col("terminal_count") < F.col("parts")) | (F.col("terminal_count") > F.col("parts") + own)).limit(1).collect()
+    wrong = tree.join(parts, "taxon_id").filter(
+        (F.col("terminal_count") < F.col("parts")) | (F.col("terminal_count") > F.col("parts") + own)
+    ).limit(1).collect()
     if wrong:
         raise IntegrityError(f"terminals below {wrong[0]['taxon_id']} do not add up")

@@ -149,9 +149,14 @@ def species_roles(species: DataFrame, primary: DataFrame, required: DataFrame, e
     return out.select("species_label", role.alias("role"))
 
 
-def filter_members(rows: DataFrame, roles: DataFrame, state: str = "All proteins", chosen: Sequence[str] = ROLES, species: Sequence[str] = (), text: str = "") -> DataFrame:
+def filter_members(
+    rows: DataFrame, roles: DataFrame, state: str = "All proteins", chosen: Sequence[str] = ROLES, species: Sequence[str] = (), text: str = ""
+) -> DataFrame:
     """Motif rows by match state, role, species and literal text of the member."""
-    states = {"All proteins": F.lit(True), "Matching": F.col("motif_match"), "Not matching": F.col("sequence_available") & ~F.col("motif_match"), "Sequence unavailable": ~F.col("sequence_available")}
+    states = {
+        "All proteins": F.lit(True), "Matching": F.col("motif_match"), "Not matching": F.col("sequence_available") & ~F.col("motif_match"),
+        "Sequence unavailable": ~F.col("sequence_available")
+    }
     if state not in states:
         raise InputError(f"unknown match state {state}")
     out = rows.join(roles, "species_label", "left").withColumn("role", F.coalesce("role", F.lit("UNRESOLVED")))
@@ -181,9 +186,15 @@ def comparison(summaries: DataFrame, group_ids: Sequence[str]) -> DataFrame:
     if len(ids) < 2:
         raise InputError("a comparison takes two groups at least")
     label = F.concat_ws(" / ", "group_type", F.nullif("hierarchy_node", F.lit("")), "group_id")
-    columns = ("distance_pair_count", "minimum_distance", "q25_distance", "median_distance", "mean_distance", "q75_distance", "maximum_distance", "population_stddev_distance", "distance_method", "computation_status")
+    columns = (
+        "distance_pair_count", "minimum_distance", "q25_distance", "median_distance", "mean_distance", "q75_distance", "maximum_distance",
+        "population_stddev_distance", "distance_method", "computation_status"
+    )
     chosen = summaries.filter(F.col("group_id").isin(*ids)).withColumn("label", label)
-    named = chosen.select("label", "group_id", F.col("total_member_count").alias("analytical_members"), F.col("sampled_member_count").alias("displayed_members"), *columns)
+    named = chosen.select(
+        "label", "group_id", F.col("total_member_count").alias("analytical_members"), F.col("sampled_member_count").alias("displayed_members"),
+        *columns
+    )
     return named.orderBy("label", "distance_method")
 
 

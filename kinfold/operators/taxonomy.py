@@ -30,7 +30,9 @@ def closure(edges: DataFrame, most_depth: int = 200) -> DataFrame:
         if reach > most_depth:
             raise IntegrityError("the taxonomy has a cycle, or is deeper than allowed")
         step = far.select(F.col("ancestor").alias("middle"), F.col("descendant").alias("d"))
-        more = step.join(paths, step["middle"] == paths["descendant"]).select(F.col("d").alias("descendant"), "ancestor", (F.col("depth") + reach).alias("depth"))
+        more = step.join(paths, step["middle"] == paths["descendant"]).select(
+            F.col("d").alias("descendant"), "ancestor", (F.col("depth") + reach).alias("depth")
+        )
         paths = paths.unionByName(more).distinct()
         reach *= 2
     own = nodes.select(F.col("n").alias("descendant"), F.col("n").alias("ancestor"), F.lit(0).alias("depth"))
@@ -41,8 +43,12 @@ def graph_edges(lineages: DataFrame) -> DataFrame:
     """child, parent of rows with ``lineage`` (array of taxon ids from the root) and
     ``taxon_id``; a taxon with two parents is an error."""
     path = F.concat("lineage", F.array("taxon_id"))
-    steps = F.explode(F.transform(F.sequence(F.lit(0), F.size(path) - 1), lambda i: F.struct(F.get(path, i).alias("child"), F.get(path, i - 1).alias("parent"))))
-    edges = lineages.filter("taxon_id is not null").select(steps.alias("x")).select("x.*").filter("child is not null and (parent is null or child != parent)").distinct()
+    steps = F.explode(
+        F.transform(F.sequence(F.lit(0), F.size(path) - 1), lambda i: F.struct(F.get(path, i).alias("child"), F.get(path, i - 1).alias("parent")))
+    )
+    edges = lineages.filter("taxon_id is not null").select(steps.alias("x")).select("x.*").filter(
+        "child is not null and (parent is null or child != parent)"
+    ).distinct()
     bad = edges.filter("parent is not null").groupBy("child").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
     if bad:
         raise IntegrityError(f"taxon {bad[0]['child']} has more than one parent")
@@ -99,8 +105,13 @@ def select_groups(present: DataFrame, closed: DataFrame, selectors: list[Selecto
             "EXCLUDE_CLADE": ~F.bool_or(below),
         }[s.kind]
         checks.append((f"{s.kind}:{s.taxon_id}", ok))
-    out = rows.groupBy(*keys).agg(F.count_if(~mapped).alias("unmapped_count"), F.count_distinct("taxon_id").alias("taxon_count"), *[ok.alias(f"__c{i}") for i, (_, ok) in enumerate(checks)])
-    failed = F.filter(F.array(*[F.when(~F.col(f"__c{i}"), F.lit(n)) for i, (n, _) in enumerate(checks)]), lambda x: x.isNotNull()) if checks else F.array().cast("array<string>")
+    out = rows.groupBy(*keys).agg(
+        F.count_if(~mapped).alias("unmapped_count"), F.count_distinct("taxon_id").alias("taxon_count"),
+        *[ok.alias(f"__c{i}") for i, (_, ok) in enumerate(checks)]
+    )
+    failed = F.filter(
+        F.array(*[F.when(~F.col(f"__c{i}"), F.lit(n)) for i, (n, _) in enumerate(checks)]), lambda x: x.isNotNull()
+    ) if checks else F.array().cast("array<string>")
     return out.withColumn("failures", F.array_join(failed, ";")).withColumn("passes", F.col("failures") == "").drop(*[f"__c{i}" for i in range(len(checks))])
 
 
@@ -116,16 +127,29 @@ def composition(stats: DataFrame, species: DataFrame, categories: DataFrame, tar
     for name in ("TARGET", "OUTSIDE", "UNRESOLVED"):
         counts[f"{name.lower()}_species_count"] = F.count_if(F.col("category") == name)
         counts[f"{name.lower()}_member_count"] = F.sum(F.when(F.col("category") == name, F.col("species_member_count")))
-    lists = {n: F.array_join(F.array_sort(F.collect_list(F.when(F.col("category") == k, F.col("species_label")))), "; ") for n, k in (("outsider_species_labels", "OUTSIDE"), ("unresolved_species_labels", "UNRESOLVED"))}
+    lists = {
+        n: F.array_join(
+            F.array_sort(F.collect_list(F.when(F.col("category") == k, F.col("species_label")))), "; "
+        ) for n, k in (("outsider_species_labels", "OUTSIDE"), ("unresolved_species_labels", "UNRESOLVED"))
+    }
     per = rows.groupBy(*KEY).agg(*[v.alias(k) for k, v in (counts | lists).items()])
     out = stats.select(*KEY, "legacy_orthogroup_id", "member_count", "species_count").join(per, list(KEY))
     mapped = F.col("target_species_count") + F.col("outside_species_count")
-    return out.withColumn("target_coverage", F.col("target_species_count") / F.lit(float(target_species))).withColumn("mapped_target_fraction", F.when(mapped > 0, F.col("target_species_count") / mapped).otherwise(0.0))
+    return out.withColumn("target_coverage", F.col("target_species_count") / F.lit(float(target_species))).withColumn(
+        "mapped_target_fraction", F.when(mapped > 0, F.col("target_species_count") / mapped).otherwise(0.0)
+    )
 
 
-def search_composition(summary: DataFrame, mode: str, least_target: int = 1, least_coverage: float = 0.0, least_purity: float = 0.0, most_outside: int = 0, most_unresolved: int = 0) -> DataFrame:
+def search_composition(
+    summary: DataFrame, mode: str, least_target: int = 1, least_coverage: float = 0.0, least_purity: float = 0.0, most_outside: int = 0,
+    most_unresolved: int = 0
+) -> DataFrame:
     """CONTAINS, SAMPLED_EXCLUSIVE (nothing outside, nothing unresolved) or NEAR_EXCLUSIVE."""
-    out = summary.filter((F.col("target_species_count") >= least_target) & (F.col("target_coverage") >= least_coverage) & (F.col("mapped_target_fraction") >= least_purity))
+    out = summary.filter(
+        (F.col("target_species_count") >= least_target) & (F.col("target_coverage") >= least_coverage) & (
+            F.col("mapped_target_fraction") >= least_purity
+        )
+    )
     if mode == "SAMPLED_EXCLUSIVE":
         return out.filter("outside_species_count = 0 and unresolved_species_count = 0")
     if mode == "NEAR_EXCLUSIVE":
@@ -137,7 +161,10 @@ def search_composition(summary: DataFrame, mode: str, least_target: int = 1, lea
 
 def enrichment(summary: DataFrame, total_target: int, total_outside: int, most_q: float = 1.0, least_odds: float = 0.0) -> DataFrame:
     """Groups with their one-sided Fisher p, odds ratio and q-value over all groups tested."""
-    tested = fisher_greater(summary.filter("target_species_count + outside_species_count > 0"), "target_species_count", "outside_species_count", total_target, total_outside)
+    tested = fisher_greater(
+        summary.filter("target_species_count + outside_species_count > 0"), "target_species_count", "outside_species_count", total_target,
+        total_outside
+    )
     tested = written(tested, "tested")  # ranked by what it took two families of joins to make
     scored = benjamini_hochberg(tested, "fisher_p_value", ["group_type", "hierarchy_node", "group_id"])
     return scored.filter((F.col("fdr_q_value") <= most_q) & (F.col("odds_ratio") >= least_odds))
@@ -145,7 +172,13 @@ def enrichment(summary: DataFrame, total_target: int, total_outside: int, most_q
 
 def with_distance(rows: DataFrame, distances: DataFrame) -> DataFrame:
     """Rows with their group's preferred distance."""
-    return rows.join(preferred_distance(distances).select(*KEY, "distance_method", "computation_status", "sampled_member_count", "distance_pair_count", "mean_distance", "median_distance", "population_stddev_distance"), list(KEY), "left")
+    return rows.join(
+        preferred_distance(distances).select(
+            *KEY, "distance_method", "computation_status", "sampled_member_count", "distance_pair_count", "mean_distance", "median_distance",
+            "population_stddev_distance"
+        ),
+        list(KEY), "left"
+    )
 
 
 def coverage(closed: DataFrame, represented: DataFrame, expected: DataFrame, outside: DataFrame) -> DataFrame:
@@ -163,7 +196,9 @@ def coverage(closed: DataFrame, represented: DataFrame, expected: DataFrame, out
         F.count_distinct(F.when(F.col("k") == "expected", F.col("taxon_id"))).alias("expected_descendants"),
         *[F.bool_or(own & (F.col("k") == name)).alias(f"is_{name}") for _, name in flags],
     )
-    state = F.when(F.col("is_outside"), "OUTSIDE_SELECTED_SCOPE_WITH_HITS").when(F.col("is_represented"), "REPRESENTED_IN_INPUT").when(F.col("is_expected"), "EXPECTED_NO_DATA").when(F.col("represented_descendants") > 0, "ANCESTOR_OF_REPRESENTED").otherwise("NOT_IN_EXPECTED_UNIVERSE")
+    state = F.when(F.col("is_outside"), "OUTSIDE_SELECTED_SCOPE_WITH_HITS").when(F.col("is_represented"), "REPRESENTED_IN_INPUT").when(F.col("is_expected"), "EXPECTED_NO_DATA").when(
+        F.col("represented_descendants") > 0, "ANCESTOR_OF_REPRESENTED"
+    ).otherwise("NOT_IN_EXPECTED_UNIVERSE")
     return per.withColumn("coverage_state", state)
 
 

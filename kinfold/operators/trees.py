@@ -27,11 +27,16 @@ def tree_nodes(trees: DataFrame) -> DataFrame:
                 rows.insert(0, "run_id", r.run_id)
                 yield rows
 
-    return trees.select("run_id", "tree_type", "tree_id", "newick").mapInPandas(run, "run_id string, tree_type string, tree_id string, node_id string, parent_node_id string, node_name string, is_leaf boolean, branch_length double, confidence double, descendant_leaf_count long")
+    return trees.select("run_id", "tree_type", "tree_id", "newick").mapInPandas(
+        run,
+        "run_id string, tree_type string, tree_id string, node_id string, parent_node_id string, node_name string, is_leaf boolean, branch_length double, confidence double, descendant_leaf_count long"
+    )
 
 
 def tree_edges(nodes: DataFrame) -> DataFrame:
-    return nodes.filter("parent_node_id != ''").select("run_id", "tree_type", "tree_id", "parent_node_id", F.col("node_id").alias("child_node_id"), "branch_length")
+    return nodes.filter("parent_node_id != ''").select(
+        "run_id", "tree_type", "tree_id", "parent_node_id", F.col("node_id").alias("child_node_id"), "branch_length"
+    )
 
 
 def preferred_trees(inventory: DataFrame) -> DataFrame:
@@ -62,7 +67,9 @@ def patristic_distances(groups: DataFrame, trees: DataFrame, most: int = 250) ->
     """
     ids = F.array_distinct(F.filter(F.array(F.nullif("legacy_orthogroup_id", F.lit("")), tree_id_of(F.col("group_id"))), lambda x: x.isNotNull()))
     wanted = groups.select(*KEY, "members", F.posexplode(ids).alias("__rank", "tree_id")).join(trees.select("tree_id", "newick"), "tree_id", "left")
-    first = wanted.groupBy(*KEY).agg(F.first("members").alias("members"), F.min(F.when(F.col("newick").isNotNull(), F.struct("__rank", "tree_id", "newick"))).alias("t"))
+    first = wanted.groupBy(*KEY).agg(
+        F.first("members").alias("members"), F.min(F.when(F.col("newick").isNotNull(), F.struct("__rank", "tree_id", "newick"))).alias("t")
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -131,7 +138,11 @@ def nested_trees(trees: DataFrame, traits: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(r.tree_id, json.dumps(newick.nested(newick.parse(r.newick), {x["leaf"]: dict(x["traits"] or {}) for x in r.of}), sort_keys=True)) for r in batch.itertuples(index=False)]
+            rows = [
+                (
+                    r.tree_id, json.dumps(newick.nested(newick.parse(r.newick), {x["leaf"]: dict(x["traits"] or {}) for x in r.of}), sort_keys=True)
+                ) for r in batch.itertuples(index=False)
+            ]
             yield pd.DataFrame(rows, columns=["tree_id", "json"])
 
     return _with_leaves(trees, traits, "traits").mapInPandas(run, "tree_id string, json string")

@@ -36,17 +36,35 @@ class Bridge:
         return self.table("lineitem").join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
 
     def members(self) -> DataFrame:
-        return self._lines().select(F.lit(RUN).alias("run_id"), F.lit("HOG").alias("group_type"), F.lit("N0").alias("hierarchy_node"), F.concat(F.lit("G"), F.col("l_orderkey").cast("string")).alias("group_id"), F.concat(F.lit("OG"), F.col("l_orderkey").cast("string")).alias("legacy_orthogroup_id"), F.lit("").alias("gene_tree_parent_clade"), F.col("n_name").alias("species_label"), F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")).alias("member_id"), F.lit("N0.tsv").alias("source_file"))
+        return self._lines().select(
+            F.lit(RUN).alias("run_id"), F.lit("HOG").alias("group_type"), F.lit("N0").alias("hierarchy_node"),
+            F.concat(F.lit("G"), F.col("l_orderkey").cast("string")).alias("group_id"),
+            F.concat(F.lit("OG"), F.col("l_orderkey").cast("string")).alias("legacy_orthogroup_id"), F.lit("").alias("gene_tree_parent_clade"),
+            F.col("n_name").alias("species_label"),
+            F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")).alias("member_id"),
+            F.lit("N0.tsv").alias("source_file")
+        )
 
     def legacy(self) -> DataFrame:
-        return self._lines().select(F.lit(RUN).alias("run_id"), F.lit("LEGACY_ORTHOGROUP").alias("group_type"), F.lit("").alias("hierarchy_node"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("group_id"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("legacy_orthogroup_id"), F.lit("").alias("gene_tree_parent_clade"), F.col("n_name").alias("species_label"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("member_id"), F.lit("Orthogroups.tsv").alias("source_file"))
+        return self._lines().select(
+            F.lit(RUN).alias("run_id"), F.lit("LEGACY_ORTHOGROUP").alias("group_type"), F.lit("").alias("hierarchy_node"),
+            F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("group_id"),
+            F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("legacy_orthogroup_id"), F.lit("").alias("gene_tree_parent_clade"),
+            F.col("n_name").alias("species_label"),
+            F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("member_id"),
+            F.lit("Orthogroups.tsv").alias("source_file")
+        )
 
     def all_members(self) -> DataFrame:
         return self.members().unionByName(self.legacy())
 
     def sequences(self) -> DataFrame:
         """A line's internal id: order and line number."""
-        return self._lines().select(F.lit(RUN).alias("run_id"), F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")).alias("member_id"), F.col("n_name").alias("species_label"), F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("internal_id"))
+        return self._lines().select(
+            F.lit(RUN).alias("run_id"), F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")).alias("member_id"),
+            F.col("n_name").alias("species_label"),
+            F.concat_ws("_", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("internal_id")
+        )
 
     def stats(self) -> DataFrame:
         return memberships.group_statistics(self.members())
@@ -56,7 +74,12 @@ class Bridge:
 
     def _measured(self) -> DataFrame:
         """Members with what their distances are made of."""
-        return self.table("lineitem").select(F.lit(RUN).alias("run_id"), F.lit("HOG").alias("group_type"), F.lit("N0").alias("hierarchy_node"), F.concat(F.lit("G"), F.col("l_orderkey").cast("string")).alias("group_id"), F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")).alias("member_id"), "l_extendedprice", "l_quantity")
+        return self.table("lineitem").select(
+            F.lit(RUN).alias("run_id"), F.lit("HOG").alias("group_type"), F.lit("N0").alias("hierarchy_node"),
+            F.concat(F.lit("G"), F.col("l_orderkey").cast("string")).alias("group_id"),
+            F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")).alias("member_id"), "l_extendedprice",
+            "l_quantity"
+        )
 
     def paired_groups(self) -> DataFrame:
         """Keys of the groups that have a pair, from counts alone."""
@@ -68,7 +91,10 @@ class Bridge:
         if groups is not None:
             lines = lines.join(groups.select(*KEY), list(KEY), "left_semi")
         rows = distances.pairs(lines, KEY, "member_id", "l_extendedprice", "l_quantity")
-        return rows.select(*KEY, "member_a", "member_b", F.round(F.abs(F.col("l_extendedprice_a") - F.col("l_extendedprice_b")), 2).alias("distance"), (F.abs(F.col("l_quantity_a") - F.col("l_quantity_b")).cast("double")).alias("other"))
+        return rows.select(
+            *KEY, "member_a", "member_b", F.round(F.abs(F.col("l_extendedprice_a") - F.col("l_extendedprice_b")), 2).alias("distance"),
+            (F.abs(F.col("l_quantity_a") - F.col("l_quantity_b")).cast("double")).alias("other")
+        )
 
     def distance_statistics(self) -> DataFrame:
         sizes = self.members().groupBy(*KEY).agg(F.count(F.lit(1)).alias("total_member_count"))
@@ -80,17 +106,24 @@ class Bridge:
         out = distances.summarise(rows, (*KEY, "distance_method"))
         out = out.join(sizes, list(KEY))
         exact = F.col("distance_method") == "price"
-        return out.withColumn("sampled_member_count", F.when(exact, F.col("total_member_count")).otherwise(F.col("total_member_count") - 1)).withColumn("computation_status", F.when(exact, "EXACT").otherwise("DETERMINISTIC_MEMBER_SAMPLE")).withColumn("source_file", F.lit("lineitem")).withColumn("failure_reason", F.lit("")).withColumn("member_identifier_resolution", F.lit("EXACT_MEMBER_ID")).withColumn("mean_comparable_sites", F.lit(0.0))
+        return out.withColumn(
+            "sampled_member_count", F.when(exact, F.col("total_member_count")).otherwise(F.col("total_member_count") - 1)
+        ).withColumn("computation_status", F.when(exact, "EXACT").otherwise("DETERMINISTIC_MEMBER_SAMPLE")).withColumn("source_file", F.lit("lineitem")).withColumn("failure_reason", F.lit("")).withColumn("member_identifier_resolution", F.lit("EXACT_MEMBER_ID")).withColumn("mean_comparable_sites", F.lit(0.0))
 
     def categories(self, region: str = "EUROPE", reviewed: int = 20) -> DataFrame:
         """TARGET nations of a region, OUTSIDE the other reviewed ones; the rest is unmapped."""
         both = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        return both.select(F.col("n_name").alias("species_label"), F.when(F.col("n_nationkey") >= reviewed, "UNRESOLVED").when(F.col("r_name") == region, "TARGET").otherwise("OUTSIDE").alias("category"))
+        return both.select(
+            F.col("n_name").alias("species_label"),
+            F.when(F.col("n_nationkey") >= reviewed, "UNRESOLVED").when(F.col("r_name") == region, "TARGET").otherwise("OUTSIDE").alias("category")
+        )
 
     def taxonomy(self) -> DataFrame:
         """child, parent: nations under regions under one root."""
         n, r = self.table("nation"), self.table("region")
-        return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("child"), F.concat(F.lit("R:"), "r_name").alias("parent")).unionByName(r.select(F.concat(F.lit("R:"), "r_name").alias("child"), F.lit("ROOT").alias("parent")))
+        return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("child"), F.concat(F.lit("R:"), "r_name").alias("parent")).unionByName(
+            r.select(F.concat(F.lit("R:"), "r_name").alias("child"), F.lit("ROOT").alias("parent"))
+        )
 
     def closure(self) -> DataFrame:
         """The taxonomy's closure, written once, since plans over it read it many times."""
@@ -105,18 +138,38 @@ class Bridge:
         """Expression records: gene = user, experiment = day, context = event type; every
         third record is FPKM and the rest TPM."""
         e = self.table("events").filter("value is not null")
-        return e.select(F.concat(F.lit("S"), (F.col("user_id") % 3).cast("string")).alias("species_column"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("gene_id"), F.concat(F.lit("N"), (F.col("user_id") % 50).cast("string")).alias("gene_name"), F.date_format("ts", "yyyy-MM-dd").alias("experiment_accession"), F.when(F.col("event_id") % 3 == 0, "FPKM").otherwise("TPM").alias("expression_unit"), F.col("event_type").alias("sample_or_condition"), F.abs("value").alias("expression_value"))
+        return e.select(
+            F.concat(F.lit("S"), (F.col("user_id") % 3).cast("string")).alias("species_column"),
+            F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("gene_id"),
+            F.concat(F.lit("N"), (F.col("user_id") % 50).cast("string")).alias("gene_name"),
+            F.date_format("ts", "yyyy-MM-dd").alias("experiment_accession"),
+            F.when(F.col("event_id") % 3 == 0, "FPKM").otherwise("TPM").alias("expression_unit"), F.col("event_type").alias("sample_or_condition"),
+            F.abs("value").alias("expression_value")
+        )
 
     def expression_metadata(self) -> DataFrame:
-        return self.atlas().select("species_column", "experiment_accession", "sample_or_condition").distinct().select("*", F.when(F.col("sample_or_condition") == "click", "leaf").otherwise("").alias("organism_part"), F.lit("").alias("condition"), F.when(F.col("sample_or_condition") == "view", "grp").otherwise("").alias("atlas_group_label"))
+        return self.atlas().select("species_column", "experiment_accession", "sample_or_condition").distinct().select(
+            "*", F.when(F.col("sample_or_condition") == "click", "leaf").otherwise("").alias("organism_part"), F.lit("").alias("condition"),
+            F.when(F.col("sample_or_condition") == "view", "grp").otherwise("").alias("atlas_group_label")
+        )
 
     def expression_members(self) -> DataFrame:
         """Members of the three species: a user id, or for every fifth a name that several genes share."""
         u = self.table("events").select("user_id").distinct()
-        return u.select(F.lit(RUN).alias("run_id"), F.concat(F.lit("S"), (F.col("user_id") % 3).cast("string")).alias("species_label"), F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("member_id"), F.when(F.col("user_id") % 7 == 0, F.lit("none")).when(F.col("user_id") % 5 == 0, F.concat(F.lit("N"), (F.col("user_id") % 50).cast("string"))).otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("alias_value"), F.lit("g").alias("alias_type"), F.lit(1).cast("long").alias("mapping_tier"), (F.col("user_id") % 40).alias("g"))
+        return u.select(
+            F.lit(RUN).alias("run_id"), F.concat(F.lit("S"), (F.col("user_id") % 3).cast("string")).alias("species_label"),
+            F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("member_id"),
+            F.when(F.col("user_id") % 7 == 0, F.lit("none")).when(
+                F.col("user_id") % 5 == 0, F.concat(F.lit("N"), (F.col("user_id") % 50).cast("string"))
+            ).otherwise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("alias_value"),
+            F.lit("g").alias("alias_type"), F.lit(1).cast("long").alias("mapping_tier"), (F.col("user_id") % 40).alias("g")
+        )
 
     def expression_groups(self) -> DataFrame:
-        return self.expression_members().select("run_id", F.lit("HOG").alias("group_type"), F.lit("N0").alias("hierarchy_node"), F.concat(F.lit("E"), F.col("g").cast("string")).alias("group_id"), "species_label", "member_id")
+        return self.expression_members().select(
+            "run_id", F.lit("HOG").alias("group_type"), F.lit("N0").alias("hierarchy_node"),
+            F.concat(F.lit("E"), F.col("g").cast("string")).alias("group_id"), "species_label", "member_id"
+        )
 
     def motif_members(self) -> DataFrame:
         d = self.table("documents")
@@ -125,7 +178,10 @@ class Bridge:
     def motif_sequences(self) -> DataFrame:
         """Letters of the texts as residues; a text without letters has no sequence."""
         d = self.table("documents")
-        return d.select(F.col("lang").alias("species_label"), F.col("doc_id").cast("string").alias("member_id"), F.regexp_replace("text", "[^A-Za-z]", "").alias("sequence"))
+        return d.select(
+            F.col("lang").alias("species_label"), F.col("doc_id").cast("string").alias("member_id"),
+            F.regexp_replace("text", "[^A-Za-z]", "").alias("sequence")
+        )
 
 
 _LINES = "lines AS (SELECT l.*, n_name FROM lineitem l JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)"
@@ -144,7 +200,11 @@ _EMEMBERS = "emembers AS (SELECT DISTINCT 'S' || (user_id % 3) AS species_label,
 _MAPPING = "genes AS (SELECT DISTINCT species_column, gene_id, gene_name FROM atlas), mapping AS (SELECT m.species_label, m.member_id, m.group_id, count(DISTINCT g.gene_id) AS matched_gene_count, coalesce(string_agg(DISTINCT g.gene_id, ';' ORDER BY g.gene_id), '') AS matched_gene_ids FROM emembers m LEFT JOIN genes g ON g.species_column = m.species_label AND upper(m.alias_value) IN (g.gene_id, g.gene_name) GROUP BY ALL), mapped AS (SELECT *, CASE matched_gene_count WHEN 0 THEN 'NOT_MAPPED' WHEN 1 THEN 'MAPPED_UNIQUE' ELSE 'AMBIGUOUS' END AS mapping_status FROM mapping)"
 _CONTEXT = "context AS (SELECT m.species_label, m.member_id, m.group_id, e.gene_id, e.experiment_accession, e.sample_or_condition, e.expression_value, e.expression_value >= 0.5 AS positive, CASE sample_or_condition WHEN 'click' THEN 'leaf' WHEN 'view' THEN 'grp' ELSE sample_or_condition END AS expression_context, CASE sample_or_condition WHEN 'click' THEN 'leaf' ELSE '' END AS organism_part FROM mapped m JOIN preferred e ON e.species_column = m.species_label AND e.gene_id = m.matched_gene_ids WHERE mapping_status = 'MAPPED_UNIQUE')"
 _MOTIF = "assessed AS (SELECT source AS group_id, lang AS species_label, doc_id::VARCHAR AS member_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS clean FROM documents)"
-CTES = {"lines": _LINES, "members": _MEMBERS, "legacy": _LEGACY, "species": _SPECIES, "stats": _STATS, "pairs": _PAIRS, "distances": _DISTANCES, "categories": _CATEGORIES, "taxa": _TAXA, "atlas": _ATLAS, "preferred": _PREFERRED, "emembers": _EMEMBERS, "mapping": _MAPPING, "context": _CONTEXT, "motif": _MOTIF}
+CTES = {
+    "lines": _LINES, "members": _MEMBERS, "legacy": _LEGACY, "species": _SPECIES, "stats": _STATS, "pairs": _PAIRS, "distances": _DISTANCES,
+    "categories": _CATEGORIES, "taxa": _TAXA, "atlas": _ATLAS, "preferred": _PREFERRED, "emembers": _EMEMBERS, "mapping": _MAPPING,
+    "context": _CONTEXT, "motif": _MOTIF
+}
 
 
 def sql(names: str, select: str) -> str:

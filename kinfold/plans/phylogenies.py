@@ -22,7 +22,10 @@ _LEAVES = f"""leaves AS (SELECT *, {_LEVEL}::BIGINT AS level FROM (SELECT 'P' ||
 def _leaves(b: Bridge) -> DataFrame:
     order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_quantity", "l_suppkey", "l_extendedprice")  # a part's lines
     rows = b.table("lineitem").withColumn("k", F.row_number().over(order))
-    return rows.select(F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("tree_id"), F.concat(F.lit("M"), F.col("k").cast("string")).alias("leaf"), (F.col("l_quantity") / 8).alias("length"), "k", F.expr(_LEVEL).cast("long").alias("level"))
+    return rows.select(
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("tree_id"), F.concat(F.lit("M"), F.col("k").cast("string")).alias("leaf"),
+        (F.col("l_quantity") / 8).alias("length"), "k", F.expr(_LEVEL).cast("long").alias("level")
+    )
 
 
 def _part_trees(b: Bridge) -> DataFrame:
@@ -45,7 +48,9 @@ def part_tree_nodes(b: Bridge) -> DataFrame:
     return trees.tree_nodes(_part_trees(b)).select("tree_id", "node_name", "is_leaf", "branch_length", "descendant_leaf_count")
 
 
-@query(f"WITH {_LEAVES} SELECT tree_id, 'N' || level AS parent, leaf AS child, length AS branch_length FROM leaves UNION ALL SELECT tree_id, 'N' || (level + 1), 'N' || level, 0.25 FROM inner_nodes WHERE level < top")
+@query(
+    f"WITH {_LEAVES} SELECT tree_id, 'N' || level AS parent, leaf AS child, length AS branch_length FROM leaves UNION ALL SELECT tree_id, 'N' || (level + 1), 'N' || level, 0.25 FROM inner_nodes WHERE level < top"
+)
 def part_tree_edges(b: Bridge) -> DataFrame:
     nodes = written(trees.tree_nodes(_part_trees(b)), "nodes")
     names = [nodes.select("tree_id", F.col("node_id").alias(f"{end}_node_id"), F.col("node_name").alias(end)) for end in ("parent", "child")]
@@ -53,11 +58,15 @@ def part_tree_edges(b: Bridge) -> DataFrame:
     return edges.select("tree_id", "parent", "child", "branch_length")
 
 
-@query(f"""WITH {_LEAVES} SELECT a.tree_id AS group_id, least(a.leaf, b.leaf) AS member_a, greatest(a.leaf, b.leaf) AS member_b, round(a.length + b.length + 0.25 * (b.level - a.level), 6) AS distance FROM leaves a JOIN leaves b ON a.tree_id = b.tree_id AND a.k < b.k""")
+@query(
+    f"""WITH {_LEAVES} SELECT a.tree_id AS group_id, least(a.leaf, b.leaf) AS member_a, greatest(a.leaf, b.leaf) AS member_b, round(a.length + b.length + 0.25 * (b.level - a.level), 6) AS distance FROM leaves a JOIN leaves b ON a.tree_id = b.tree_id AND a.k < b.k"""
+)
 def part_patristic_pairs(b: Bridge) -> DataFrame:
     member = F.struct(F.col("leaf").alias("member_id"), F.create_map(F.lit("none"), F.lit("NONE")).alias("aliases"))
     groups = _leaves(b).groupBy(F.col("tree_id").alias("group_id")).agg(F.collect_list(member).alias("members"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    groups = groups.select(*[F.lit(v).alias(k) for k, v in zip(KEY[:3], (RUN, "HOG", "N0"), strict=True)], "group_id", F.lit("").alias("legacy_orthogroup_id"), "members")
+    groups = groups.select(
+        *[F.lit(v).alias(k) for k, v in zip(KEY[:3], (RUN, "HOG", "N0"), strict=True)], "group_id", F.lit("").alias("legacy_orthogroup_id"), "members"
+    )
     pairs, _ = trees.patristic_distances(groups, _part_trees(b))
     return pairs.select("group_id", F.least("member_a", "member_b").alias("member_a"), F.greatest("member_a", "member_b").alias("member_b"), r("distance"))
 
@@ -69,7 +78,9 @@ def part_tree_payloads(b: Bridge) -> DataFrame:
     return packed.select("tree_id", F.when(trees.decode_payload("payload", "size", "sha256") == F.col("newick"), F.col("tree_id")).alias("same"))
 
 
-@query(f"""WITH {_LEAVES}, path AS (SELECT tree_id, leaf, k, length + 0.25 * (top - level) AS x FROM leaves JOIN tops USING (tree_id)) SELECT tree_id, leaf AS name, round(x, 6) AS x, (k - 1)::DOUBLE AS y FROM path""")
+@query(
+    f"""WITH {_LEAVES}, path AS (SELECT tree_id, leaf, k, length + 0.25 * (top - level) AS x FROM leaves JOIN tops USING (tree_id)) SELECT tree_id, leaf AS name, round(x, 6) AS x, (k - 1)::DOUBLE AS y FROM path"""
+)
 def part_phylogram_leaves(b: Bridge) -> DataFrame:
     keep = _leaves(b).select("leaf").distinct()
     return trees.phylograms(_part_trees(b), keep).filter("is_leaf").select("tree_id", "name", r("x"), "y")

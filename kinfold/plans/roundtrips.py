@@ -32,7 +32,10 @@ def _layout(b: Bridge, *parts: str) -> results.Layout:
             cells = members.groupBy(F.col("group_id").alias(heading), F.col("legacy_orthogroup_id").alias("OG")).pivot("species_label", species)
             table = cells.agg(F.array_join(F.sort_array(F.collect_list("member_id")), ", "))
             to_tsv(table if part == "hogs" else table.drop("OG"), path)
-    return results.Layout(root, "3.0", f"{root}/{results.LEGACY}" if "legacy" in parts else None, (f"{root}/{results.HOGS}/N0.tsv",) if "hogs" in parts else (), {}, None, None)
+    return results.Layout(
+        root, "3.0", f"{root}/{results.LEGACY}" if "legacy" in parts else None, (f"{root}/{results.HOGS}/N0.tsv",) if "hogs" in parts else (), {},
+        None, None
+    )
 
 
 @query("SELECT n_nationkey::VARCHAR AS species_index, n_name AS species_label, n_name || '.fa' AS source_fasta FROM nation")
@@ -40,7 +43,9 @@ def species_file(b: Bridge) -> DataFrame:
     return results.species(b.spark, _layout(b, "ids"), RUN).select("species_index", "species_label", "source_fasta")
 
 
-@query("SELECT c_nationkey || '_' || c_custkey AS internal_id, n_name AS species_label, c_name AS member_id, c_name || ' of ' || c_mktsegment AS raw_header FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@query(
+    "SELECT c_nationkey || '_' || c_custkey AS internal_id, n_name AS species_label, c_name AS member_id, c_name || ' of ' || c_mktsegment AS raw_header FROM customer JOIN nation ON c_nationkey = n_nationkey"
+)
 def sequence_file(b: Bridge) -> DataFrame:
     return results.sequences(b.spark, _layout(b, "ids"), RUN).select("internal_id", "species_label", "member_id", "raw_header")
 
@@ -61,7 +66,10 @@ def legacy_table(b: Bridge) -> DataFrame:
 def _proteins(b: Bridge) -> DataFrame:
     d = b.table("documents")
     letters = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return d.select(F.col("doc_id").cast("string").alias("member_id"), F.concat_ws(" ", F.col("doc_id").cast("string"), "source", "lang").alias("raw_header"), letters.alias("sequence")).filter("sequence != ''")
+    return d.select(
+        F.col("doc_id").cast("string").alias("member_id"), F.concat_ws(" ", F.col("doc_id").cast("string"), "source", "lang").alias("raw_header"),
+        letters.alias("sequence")
+    ).filter("sequence != ''")
 
 
 _PROTEINS = "proteins AS (SELECT doc_id::VARCHAR AS member_id, concat_ws(' ', doc_id, source, lang) AS raw_header, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS sequence FROM documents)"
@@ -82,7 +90,9 @@ def reconciled_sequences(b: Bridge) -> DataFrame:
     return fasta.reconcile(known, starred).select("internal_id", F.length("sequence").alias("sequence_length"))
 
 
-@query(f"""WITH {_PROTEINS}, s AS (SELECT member_id, unnest(['member_id', 'raw_primary_token']) AS alias_type FROM proteins WHERE sequence != '') SELECT member_id, alias_type, member_id AS alias_value, 1::BIGINT AS mapping_tier FROM s WHERE alias_type = 'member_id'""")
+@query(
+    f"""WITH {_PROTEINS}, s AS (SELECT member_id, unnest(['member_id', 'raw_primary_token']) AS alias_type FROM proteins WHERE sequence != '') SELECT member_id, alias_type, member_id AS alias_value, 1::BIGINT AS mapping_tier FROM s WHERE alias_type = 'member_id'"""
+)
 def header_member_aliases(b: Bridge) -> DataFrame:
     rows = _proteins(b).select("member_id", F.explode(header_aliases(F.col("member_id"), F.col("raw_header"))).alias("a"))
     return rows.select("member_id", "a.*").filter("alias_type = 'member_id'")
@@ -111,8 +121,13 @@ def relation_round_trip(b: Bridge) -> DataFrame:
 @query(sql("lines members species stats", "SELECT group_id, member_count, species_labels FROM stats"))
 def published_statistics(b: Bridge) -> DataFrame:
     folder = scratch(b.spark)
-    species = b.table("nation").select(F.lit(RUN).alias("run_id"), F.col("n_nationkey").cast("string").alias("species_index"), F.col("n_name").alias("species_label"))
-    relations = {"species": species, "sequences": unique_sequences(b), "group_statistics": b.stats(), "group_species_statistics": b.species(), "memberships": b.members(), "hog_memberships": b.members()}
+    species = b.table("nation").select(
+        F.lit(RUN).alias("run_id"), F.col("n_nationkey").cast("string").alias("species_index"), F.col("n_name").alias("species_label")
+    )
+    relations = {
+        "species": species, "sequences": unique_sequences(b), "group_statistics": b.stats(), "group_species_statistics": b.species(),
+        "memberships": b.members(), "hog_memberships": b.members()
+    }
     publish(b.spark, relations, folder, RUN, [])
     return open_resource(b.spark, folder)["group_statistics"].select("group_id", "member_count", "species_labels")
 
@@ -120,7 +135,9 @@ def published_statistics(b: Bridge) -> DataFrame:
 @query("SELECT n_name AS species_label, n_nationkey::BIGINT AS taxon, NULL::DOUBLE AS missing FROM nation")
 def conformed_types(b: Bridge) -> DataFrame:
     """Numbers in text become typed, absent columns null."""
-    raw = b.table("nation").select(F.col("n_name").alias("species_label"), F.concat(F.lit(" "), F.col("n_nationkey").cast("string")).alias("species_member_count"))
+    raw = b.table("nation").select(
+        F.col("n_name").alias("species_label"), F.concat(F.lit(" "), F.col("n_nationkey").cast("string")).alias("species_member_count")
+    )
     found = conform(raw, "group_species_statistics")
     return found.select("species_label", F.col("species_member_count").alias("taxon"), F.col("member_fraction").alias("missing"))
 
@@ -148,7 +165,9 @@ def tree_nodes(b: Bridge) -> DataFrame:
     return trees.tree_nodes(_trees(b)).select("tree_id", "node_name", "is_leaf", "branch_length", "descendant_leaf_count")
 
 
-@query(f"""WITH {_LEAVES} SELECT tree_id, CASE WHEN alone THEN 'root' ELSE tree_id END AS parent, n_name AS child, length AS branch_length FROM leaves UNION ALL SELECT DISTINCT tree_id, 'root', tree_id, 0.5 FROM leaves""")
+@query(
+    f"""WITH {_LEAVES} SELECT tree_id, CASE WHEN alone THEN 'root' ELSE tree_id END AS parent, n_name AS child, length AS branch_length FROM leaves UNION ALL SELECT DISTINCT tree_id, 'root', tree_id, 0.5 FROM leaves"""
+)
 def tree_edges(b: Bridge) -> DataFrame:
     nodes = trees.tree_nodes(_trees(b))
     names = [nodes.select("tree_id", F.col("node_id").alias(f"{end}_node_id"), F.col("node_name").alias(end)) for end in ("parent", "child")]
@@ -166,7 +185,9 @@ def patristic_pairs(b: Bridge) -> DataFrame:
 def _tree_groups(b: Bridge) -> DataFrame:
     both = b.table("nation").join(b.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     member = F.struct(F.col("n_name").alias("member_id"), F.create_map(F.lit("none"), F.lit("NONE")).alias("aliases"))
-    return both.groupBy(F.col("r_name").alias("group_id")).agg(F.collect_list(member).alias("members")).select(*[F.lit(v).alias(k) for k, v in zip(KEY[:3], (RUN, "HOG", "N0"), strict=True)], "group_id", F.lit("").alias("legacy_orthogroup_id"), "members")
+    return both.groupBy(F.col("r_name").alias("group_id")).agg(F.collect_list(member).alias("members")).select(
+        *[F.lit(v).alias(k) for k, v in zip(KEY[:3], (RUN, "HOG", "N0"), strict=True)], "group_id", F.lit("").alias("legacy_orthogroup_id"), "members"
+    )
 
 
 @query("SELECT r_name AS group_id, 'no tree' AS failure_reason FROM region WHERE r_name > 'AMERICA'")
@@ -197,7 +218,9 @@ def clade_partitions(b: Bridge) -> DataFrame:
     return trees.clade_partitions(_trees(b), labels).select("tree_id", "node_name", "label")
 
 
-@query(f"WITH {_LEAVES} SELECT tree_id, n_name AS name, round(length + CASE WHEN alone THEN 0 ELSE 0.5 END, 6) AS x, (row_number() OVER (PARTITION BY tree_id ORDER BY n_name) - 1)::DOUBLE AS y FROM leaves")
+@query(
+    f"WITH {_LEAVES} SELECT tree_id, n_name AS name, round(length + CASE WHEN alone THEN 0 ELSE 0.5 END, 6) AS x, (row_number() OVER (PARTITION BY tree_id ORDER BY n_name) - 1)::DOUBLE AS y FROM leaves"
+)
 def phylogram_leaves(b: Bridge) -> DataFrame:
     keep = b.table("nation").select(F.col("n_name").alias("leaf"))
     return trees.phylograms(_trees(b), keep).filter("is_leaf").select("tree_id", "name", r("x"), "y")

@@ -34,7 +34,12 @@ def list_hierarchy_nodes(b: Bridge) -> DataFrame:
     return selectors.hierarchy_nodes(memberships.group_statistics(b.all_members()), "HOG")
 
 
-@query(sql("lines members species stats pairs distances", f", {_SHOWN} SELECT group_id, member_count, species_count, distance_method, distance_pair_count, round(mean_distance, 6) AS mean_distance FROM stats LEFT JOIN shown USING (group_id) WHERE group_id = 'G7'"))
+@query(
+    sql(
+        "lines members species stats pairs distances",
+        f", {_SHOWN} SELECT group_id, member_count, species_count, distance_method, distance_pair_count, round(mean_distance, 6) AS mean_distance FROM stats LEFT JOIN shown USING (group_id) WHERE group_id = 'G7'"
+    )
+)
 def get_group(b: Bridge) -> DataFrame:
     found = selectors.one_group(b.stats(), b.distance_statistics(), G7)
     return found.select("group_id", "member_count", "species_count", "distance_method", "distance_pair_count", r("mean_distance"))
@@ -45,7 +50,12 @@ def get_group_species(b: Bridge) -> DataFrame:
     return selectors.group_species(b.species(), G7).select("group_id", "species_label", "species_member_count")
 
 
-@query(sql("lines members species", "SELECT group_id, species_label, species_member_count FROM species JOIN orders ON group_id = 'G' || o_orderkey WHERE o_orderpriority = '1-URGENT'"))
+@query(
+    sql(
+        "lines members species",
+        "SELECT group_id, species_label, species_member_count FROM species JOIN orders ON group_id = 'G' || o_orderkey WHERE o_orderpriority = '1-URGENT'"
+    )
+)
 def group_species_collection(b: Bridge) -> DataFrame:
     ids = _orders(b, "o_orderpriority = '1-URGENT'")
     return selectors.group_species_collection(b.species(), "HOG", "N0", ids).select("group_id", "species_label", "species_member_count")
@@ -62,12 +72,22 @@ def group_distances(b: Bridge) -> DataFrame:
     return selectors.group_pairs(pairs, G7, "price").select("member_a", "member_b", r("distance"))
 
 
-@query(sql("lines members", ", s AS (SELECT n_name AS species_label, l_partkey || '-' || l_linenumber AS member_id, l_orderkey || '_' || l_linenumber AS internal_id FROM lines) SELECT DISTINCT s.* FROM s JOIN (SELECT * FROM members WHERE group_id = 'G7') m USING (species_label, member_id)"))
+@query(
+    sql(
+        "lines members",
+        ", s AS (SELECT n_name AS species_label, l_partkey || '-' || l_linenumber AS member_id, l_orderkey || '_' || l_linenumber AS internal_id FROM lines) SELECT DISTINCT s.* FROM s JOIN (SELECT * FROM members WHERE group_id = 'G7') m USING (species_label, member_id)"
+    )
+)
 def group_sequence_aliases(b: Bridge) -> DataFrame:
     return selectors.group_aliases(b.sequences(), b.members(), G7)
 
 
-@query(sql("lines members species stats pairs distances", "SELECT group_id, distance_method, round(sampled_member_count / total_member_count, 6) AS sampling_fraction, sampled_member_count = total_member_count AS full_group_matrix, round(q75_distance - q25_distance, 6) AS interquartile_range FROM stats JOIN distances USING (group_id) WHERE distance_method = 'price'"))
+@query(
+    sql(
+        "lines members species stats pairs distances",
+        "SELECT group_id, distance_method, round(sampled_member_count / total_member_count, 6) AS sampling_fraction, sampled_member_count = total_member_count AS full_group_matrix, round(q75_distance - q25_distance, 6) AS interquartile_range FROM stats JOIN distances USING (group_id) WHERE distance_method = 'price'"
+    )
+)
 def chosen_distance_columns(b: Bridge) -> DataFrame:
     rows = search.distance_results(b.stats(), b.distance_statistics(), method="price")
     found = selectors.shown_columns(rows, ["group_id", "distance_method", "sampling_fraction", "full_group_matrix", "interquartile_range"], 5_000_000)
@@ -109,7 +129,12 @@ def species_roles(b: Bridge) -> DataFrame:
 _LANG = "CASE lang WHEN 'en' THEN 'PRIMARY_ANALYSIS' WHEN 'de' THEN 'REQUIRED_COMPARISON' ELSE 'OTHER_SAMPLED' END"
 
 
-@query(_motif_sql("ends_with(clean, 'N')", f"SELECT group_id, species_label, member_id, {_LANG.replace('lang', 'species_label')} AS role FROM hits WHERE have AND NOT hit AND species_label IN ('en', 'fr', 'es') AND contains(member_id, '1') AND {_LANG.replace('lang', 'species_label')} != 'REQUIRED_COMPARISON'"))
+@query(
+    _motif_sql(
+        "ends_with(clean, 'N')",
+        f"SELECT group_id, species_label, member_id, {_LANG.replace('lang', 'species_label')} AS role FROM hits WHERE have AND NOT hit AND species_label IN ('en', 'fr', 'es') AND contains(member_id, '1') AND {_LANG.replace('lang', 'species_label')} != 'REQUIRED_COMPARISON'"
+    )
+)
 def motif_members_by_role(b: Bridge) -> DataFrame:
     rows = motif.group_members(b.motif_members(), b.motif_sequences(), "N", "SUFFIX")
     langs = rows.select("species_label").distinct()
@@ -118,14 +143,21 @@ def motif_members_by_role(b: Bridge) -> DataFrame:
     return found.select("group_id", "species_label", "member_id", "role")
 
 
-@query(f"{_VECTORS}, s AS (SELECT *, (member_a % 4)::VARCHAR AS species_a, (member_b % 4)::VARCHAR AS species_b FROM vp) SELECT group_id, member_a, member_b, species_a, species_b FROM s WHERE species_a != species_b AND (species_a = '1' OR species_b = '1') AND (contains(member_a::VARCHAR, '7') OR contains(member_b::VARCHAR, '7'))")
+@query(
+    f"{_VECTORS}, s AS (SELECT *, (member_a % 4)::VARCHAR AS species_a, (member_b % 4)::VARCHAR AS species_b FROM vp) SELECT group_id, member_a, member_b, species_a, species_b FROM s WHERE species_a != species_b AND (species_a = '1' OR species_b = '1') AND (contains(member_a::VARCHAR, '7') OR contains(member_b::VARCHAR, '7'))"
+)
 def pairs_between_species(b: Bridge) -> DataFrame:
     species = b.table("embeddings").select(F.col("vec_id").alias("member_id"), (F.col("vec_id") % 4).cast("string").alias("species_label"))
     rows = distances.class_pairs(_vectors(b), species)
     return selectors.filter_pairs(rows, "7", ["1"], "Between species").select("group_id", "member_a", "member_b", "species_a", "species_b")
 
 
-@query(sql("lines pairs distances", "SELECT 'HOG / N0 / ' || group_id AS label, group_id, total_member_count AS analytical_members, sampled_member_count AS displayed_members, distance_method, distance_pair_count, round(median_distance, 6) AS median_distance FROM distances WHERE group_id IN ('G1', 'G2', 'G3', 'G7')"))
+@query(
+    sql(
+        "lines pairs distances",
+        "SELECT 'HOG / N0 / ' || group_id AS label, group_id, total_member_count AS analytical_members, sampled_member_count AS displayed_members, distance_method, distance_pair_count, round(median_distance, 6) AS median_distance FROM distances WHERE group_id IN ('G1', 'G2', 'G3', 'G7')"
+    )
+)
 def group_comparison(b: Bridge) -> DataFrame:
     found = selectors.comparison(b.distance_statistics(), ["G1", "G2", "G3", "G7"])
     return found.select("label", "group_id", "analytical_members", "displayed_members", "distance_method", "distance_pair_count", r("median_distance"))
@@ -135,14 +167,24 @@ def group_comparison(b: Bridge) -> DataFrame:
 _EVIDENCE = "atlas preferred emembers mapping context"
 
 
-@query(sql(_EVIDENCE, _SUMMARY + ", g AS (SELECT group_id, species_label FROM summary WHERE context_count > 0 GROUP BY ALL) SELECT species_label, count(*) AS group_count FROM g GROUP BY ALL"))
+@query(
+    sql(
+        _EVIDENCE,
+        _SUMMARY + ", g AS (SELECT group_id, species_label FROM summary WHERE context_count > 0 GROUP BY ALL) SELECT species_label, count(*) AS group_count FROM g GROUP BY ALL"
+    )
+)
 def expression_species_rank(b: Bridge) -> DataFrame:
     summary = expression.member_summary(_mapped(b), _contexts(b))
     rows = b.expression_groups().join(summary, list(expression.MEMBER)).groupBy(*KEY, "species_label")
     return selectors.rank_species(rows.agg(F.count_if(F.col("context_count") > 0).alias("expression_observed_member_count")))
 
 
-@query(sql(_EVIDENCE, _SUMMARY + "SELECT group_id, species_label, member_id, mapping_status, matched_gene_ids, context_count, round(f, 6) AS positive_context_fraction FROM summary WHERE species_label IN ('S0', 'S1')"))
+@query(
+    sql(
+        _EVIDENCE,
+        _SUMMARY + "SELECT group_id, species_label, member_id, mapping_status, matched_gene_ids, context_count, round(f, 6) AS positive_context_fraction FROM summary WHERE species_label IN ('S0', 'S1')"
+    )
+)
 def expression_member_evidence(b: Bridge) -> DataFrame:
     mapped = _mapped(b)
     members = b.expression_groups().unionByName(b.expression_groups()).distinct()
@@ -150,7 +192,12 @@ def expression_member_evidence(b: Bridge) -> DataFrame:
     return found.select("group_id", "species_label", "member_id", "mapping_status", "matched_gene_ids", "context_count", r("positive_context_fraction"))
 
 
-@query(sql(_EVIDENCE, _SUMMARY + "SELECT group_id, species_label, member_id, mapping_status FROM summary ORDER BY group_id, species_label, member_id LIMIT 100"))
+@query(
+    sql(
+        _EVIDENCE,
+        _SUMMARY + "SELECT group_id, species_label, member_id, mapping_status FROM summary ORDER BY group_id, species_label, member_id LIMIT 100"
+    )
+)
 def expression_evidence_page(b: Bridge) -> DataFrame:
     mapped = _mapped(b)
     rows = expression.evidence(b.expression_groups(), mapped, expression.member_summary(mapped, _contexts(b)))
@@ -158,13 +205,20 @@ def expression_evidence_page(b: Bridge) -> DataFrame:
     return found.select("group_id", "species_label", "member_id", "mapping_status")
 
 
-@query(sql(_EVIDENCE, "SELECT group_id, species_label, member_id, gene_id, experiment_accession, expression_context, round(expression_value, 6) AS expression_value FROM context WHERE species_label = 'S1'"))
+@query(
+    sql(
+        _EVIDENCE,
+        "SELECT group_id, species_label, member_id, gene_id, experiment_accession, expression_context, round(expression_value, 6) AS expression_value FROM context WHERE species_label = 'S1'"
+    )
+)
 def expression_context_records(b: Bridge) -> DataFrame:
     found = expression.context_records(b.expression_groups(), _contexts(b), species=("S1",))
     return found.select("group_id", "species_label", "member_id", "gene_id", "experiment_accession", "expression_context", r("expression_value"))
 
 
-@query("SELECT DISTINCT 'S' || (user_id % 3) AS species_label, 'm' || user_id AS member_id FROM events WHERE 'S' || (user_id % 3) IN (SELECT 'S' || (user_id % 3) FROM events WHERE value > 0)")
+@query(
+    "SELECT DISTINCT 'S' || (user_id % 3) AS species_label, 'm' || user_id AS member_id FROM events WHERE 'S' || (user_id % 3) IN (SELECT 'S' || (user_id % 3) FROM events WHERE value > 0)"
+)
 def assessed_memberships(b: Bridge) -> DataFrame:
     assessed = b.atlas().filter("expression_value > 0").select(F.col("species_column").alias("species_label"))
     parts = [b.expression_groups().filter("group_id < 'E2'"), b.expression_groups().filter("group_id >= 'E2'")]
@@ -183,7 +237,12 @@ def dense_histograms(b: Bridge) -> DataFrame:
     return report.dense_histograms(b.stats()).withColumn("mean", r("mean"))
 
 
-@query(sql("lines members species stats", "SELECT group_type, hierarchy_node, count(*) AS group_count, count(*) FILTER (max_copies_per_species <= 1) AS single_copy_group_count, count(*) FILTER (max_copies_per_species > 1) AS multicopy_group_count FROM stats GROUP BY ALL"))
+@query(
+    sql(
+        "lines members species stats",
+        "SELECT group_type, hierarchy_node, count(*) AS group_count, count(*) FILTER (max_copies_per_species <= 1) AS single_copy_group_count, count(*) FILTER (max_copies_per_species > 1) AS multicopy_group_count FROM stats GROUP BY ALL"
+    )
+)
 def level_counts(b: Bridge) -> DataFrame:
     return report.level_counts(b.stats())
 
@@ -214,7 +273,9 @@ def network_pairs(b: Bridge) -> DataFrame:
     return report.of_selected(groups, b.pair_distances(groups), KEY).select("group_id", "member_a", "member_b")
 
 
-@query(f"{_VECTORS}, o AS (SELECT group_id, member_id, row_number() OVER (PARTITION BY group_id ORDER BY member_id) AS position FROM v) SELECT vp.group_id, least(a.position, b.position) AS row, greatest(a.position, b.position) AS \"column\", round(distance, 5) AS distance FROM vp JOIN o a ON a.group_id = vp.group_id AND a.member_id = member_a JOIN o b ON b.group_id = vp.group_id AND b.member_id = member_b")
+@query(
+    f"{_VECTORS}, o AS (SELECT group_id, member_id, row_number() OVER (PARTITION BY group_id ORDER BY member_id) AS position FROM v) SELECT vp.group_id, least(a.position, b.position) AS row, greatest(a.position, b.position) AS \"column\", round(distance, 5) AS distance FROM vp JOIN o a ON a.group_id = vp.group_id AND a.member_id = member_a JOIN o b ON b.group_id = vp.group_id AND b.member_id = member_b"
+)
 def distance_matrix_rows(b: Bridge) -> DataFrame:
     from pyspark.sql import Window
 
@@ -244,7 +305,12 @@ def benchmark_targets(b: Bridge) -> DataFrame:
     return _plan(b)["targets"].select("group_id", "member_count")
 
 
-@query(sql("lines members species stats", f"SELECT group_id FROM stats JOIN orders ON group_id = 'G' || o_orderkey WHERE NOT ({_FEW}) AND NOT ({_MORE}) AND member_count >= 2"))
+@query(
+    sql(
+        "lines members species stats",
+        f"SELECT group_id FROM stats JOIN orders ON group_id = 'G' || o_orderkey WHERE NOT ({_FEW}) AND NOT ({_MORE}) AND member_count >= 2"
+    )
+)
 def benchmark_candidates(b: Bridge) -> DataFrame:
     stats = b.stats()
     targets = stats.join(_orders(b, f"{_FEW} OR {_MORE}"), "group_id", "left_semi")
@@ -254,7 +320,10 @@ def benchmark_candidates(b: Bridge) -> DataFrame:
 @query()
 def benchmark_controls(b: Bridge) -> DataFrame:
     """Greedy matching has no SQL; the tests hold it against plain loops."""
-    return _plan(b)["links"].select("anchor_group_id", "control_group_id", "control_rank", r("matching_score"), "anchor_member_count", "control_member_count", r("anchor_single_copy_fraction"), r("control_single_copy_fraction"))
+    return _plan(b)["links"].select(
+        "anchor_group_id", "control_group_id", "control_rank", r("matching_score"), "anchor_member_count", "control_member_count",
+        r("anchor_single_copy_fraction"), r("control_single_copy_fraction")
+    )
 
 
 _SEEDS = "seeds AS (SELECT p_partkey || '-1' AS protein_identifier, p_name AS marker_name, p_brand AS benchmark_class, p_size < 25 AS enabled FROM part WHERE p_brand IN ('Brand#11', 'Brand#12'))"
@@ -263,19 +332,32 @@ _MATCHES = "matches AS (SELECT DISTINCT group_id, protein_identifier AS seed_id,
 
 def _seeds(b: Bridge) -> DataFrame:
     part = b.table("part").filter(F.col("p_brand").isin("Brand#11", "Brand#12"))
-    return part.select(F.concat(F.col("p_partkey").cast("string"), F.lit("-1")).alias("protein_identifier"), F.col("p_name").alias("marker_name"), F.col("p_brand").alias("benchmark_class"), (F.col("p_size") < 25).alias("enabled"))
+    return part.select(
+        F.concat(F.col("p_partkey").cast("string"), F.lit("-1")).alias("protein_identifier"), F.col("p_name").alias("marker_name"),
+        F.col("p_brand").alias("benchmark_class"), (F.col("p_size") < 25).alias("enabled")
+    )
 
 
 def _matches(b: Bridge) -> DataFrame:
     return plan.select_by_alias(b.members(), _seeds(b).filter("enabled").select(F.col("protein_identifier").alias("seed_id")))
 
 
-@query(sql("lines members", f", {_SEEDS}, {_MATCHES} SELECT group_id, seed_id, matched_member_id, matched_species_label, 'PROTEIN_ID' AS match_authority FROM matches"))
+@query(
+    sql(
+        "lines members",
+        f", {_SEEDS}, {_MATCHES} SELECT group_id, seed_id, matched_member_id, matched_species_label, 'PROTEIN_ID' AS match_authority FROM matches"
+    )
+)
 def seed_matches(b: Bridge) -> DataFrame:
     return _matches(b).select("group_id", "seed_id", "matched_member_id", "matched_species_label", "match_authority")
 
 
-@query(sql("lines members", f", {_SEEDS}, {_MATCHES} SELECT group_id, protein_identifier, marker_name, benchmark_class, matched_member_id FROM matches JOIN seeds ON seed_id = protein_identifier"))
+@query(
+    sql(
+        "lines members",
+        f", {_SEEDS}, {_MATCHES} SELECT group_id, protein_identifier, marker_name, benchmark_class, matched_member_id FROM matches JOIN seeds ON seed_id = protein_identifier"
+    )
+)
 def marker_matches(b: Bridge) -> DataFrame:
     return plan.marker_matches(_matches(b), _seeds(b)).select("group_id", "protein_identifier", "marker_name", "benchmark_class", "matched_member_id")
 
@@ -283,7 +365,9 @@ def marker_matches(b: Bridge) -> DataFrame:
 @query(sql("lines members", f""", {_SEEDS}, {_MATCHES}, f AS (SELECT seed_id, count(DISTINCT group_id) AS n, string_agg(DISTINCT group_id, ';' ORDER BY group_id) AS ids, count(DISTINCT matched_member_id) AS k FROM matches GROUP BY ALL)
     SELECT protein_identifier, benchmark_class, CASE WHEN NOT enabled THEN 'DISABLED' WHEN n IS NULL THEN 'UNMATCHED' ELSE 'MATCHED' END AS match_status, coalesce(n, 0) AS matched_group_count, coalesce(ids, '') AS matched_group_ids, coalesce(k, 0) AS matched_member_count FROM seeds LEFT JOIN f ON seed_id = protein_identifier"""))
 def marker_audit(b: Bridge) -> DataFrame:
-    return plan.marker_audit(_matches(b), _seeds(b)).select("protein_identifier", "benchmark_class", "match_status", "matched_group_count", "matched_group_ids", "matched_member_count")
+    return plan.marker_audit(_matches(b), _seeds(b)).select(
+        "protein_identifier", "benchmark_class", "match_status", "matched_group_count", "matched_group_ids", "matched_member_count"
+    )
 
 
 @query(sql("lines members species stats pairs distances", f""", {_SEEDS}, {_MATCHES}, p AS (SELECT group_id, count(DISTINCT seed_id) AS seed_count, string_agg(DISTINCT seed_id, ';' ORDER BY seed_id) AS seed_ids FROM matches GROUP BY ALL), q AS (SELECT * FROM distances WHERE distance_method = 'quantity')
@@ -303,10 +387,16 @@ def _profiles(b: Bridge) -> DataFrame:
     classes, kinds = F.expr(_CLASS), F.expr(_KIND)
     rows = b.table("orders").filter(classes.isNotNull())
     names = F.explode(F.array(F.concat(classes, F.lit("_ALL")), F.concat(kinds, F.col("o_orderstatus"))))
-    return rows.select(*[F.lit(G7[k]).alias(k) for k in KEY[:3]], F.concat(F.lit("G"), F.col("o_orderkey").cast("string")).alias("group_id"), names.alias("profile_id"), classes.alias("profile_class"), F.col("o_orderstatus").alias("profile_subclass"), F.lit("TARGET").alias("membership_role"), F.concat_ws(";", F.lit("m1"), "o_orderstatus").alias("marker_ids"))
+    return rows.select(
+        *[F.lit(G7[k]).alias(k) for k in KEY[:3]], F.concat(F.lit("G"), F.col("o_orderkey").cast("string")).alias("group_id"),
+        names.alias("profile_id"), classes.alias("profile_class"), F.col("o_orderstatus").alias("profile_subclass"),
+        F.lit("TARGET").alias("membership_role"), F.concat_ws(";", F.lit("m1"), "o_orderstatus").alias("marker_ids")
+    )
 
 
-@query(f"WITH {_PROFILES} SELECT profile_id, profile_class, profile_subclass, 'TARGET' AS membership_role, count(DISTINCT group_id) AS group_count FROM profs GROUP BY ALL")
+@query(
+    f"WITH {_PROFILES} SELECT profile_id, profile_class, profile_subclass, 'TARGET' AS membership_role, count(DISTINCT group_id) AS group_count FROM profs GROUP BY ALL"
+)
 def profile_counts(b: Bridge) -> DataFrame:
     return plan.profile_counts(_profiles(b))
 
@@ -316,7 +406,12 @@ def profile_group_total(b: Bridge) -> DataFrame:
     return plan.profile_group_total(_profiles(b), "E3_ALL")
 
 
-@query(sql("pairs", _BENCH + f", {_PROFILES} SELECT p.profile_id, group_id, round(value, 6) AS metric_value FROM profs p JOIN vals USING (group_id) WHERE metric = 'mean_distance'"))
+@query(
+    sql(
+        "pairs",
+        _BENCH + f", {_PROFILES} SELECT p.profile_id, group_id, round(value, 6) AS metric_value FROM profs p JOIN vals USING (group_id) WHERE metric = 'mean_distance'"
+    )
+)
 def profile_distribution_raw(b: Bridge) -> DataFrame:
     results = b.distance_statistics().filter("distance_method = 'price'")
     found = plan.distribution(_profiles(b), results, results, "mean_distance", "RAW")
@@ -327,13 +422,21 @@ def profile_distribution_raw(b: Bridge) -> DataFrame:
     SELECT p.profile_id, group_id, round(value - mid, 6) AS metric_value FROM profs p JOIN vals USING (group_id) JOIN m USING (group_id) WHERE metric = 'mean_distance'"""))
 def profile_distribution_residual(b: Bridge) -> DataFrame:
     left = benchmark.residuals(_values(b).filter("metric = 'mean_distance'"), _links(b))
-    rows = left.select(*[F.lit(G7[k]).alias(k) for k in KEY[:3]], "group_id", "metric", F.lit("MATCHED_RESIDUAL").alias("comparison_scale"), F.col("residual").alias("observed_value"), F.explode(F.array(F.lit("b1"), F.lit("b2"))).alias("background_profile_id"))
+    rows = left.select(
+        *[F.lit(G7[k]).alias(k) for k in KEY[:3]], "group_id", "metric", F.lit("MATCHED_RESIDUAL").alias("comparison_scale"),
+        F.col("residual").alias("observed_value"), F.explode(F.array(F.lit("b1"), F.lit("b2"))).alias("background_profile_id")
+    )
     return plan.distribution(_profiles(b), rows, rows, "mean_distance", "MATCHED_RESIDUAL").select("profile_id", "group_id", r("metric_value"))
 
 
-@query(f"WITH {_PROFILES}, k AS (SELECT DISTINCT profile_id, group_id, unnest(['m1', profile_subclass]) AS marker_id FROM profs) SELECT k.profile_id, k.group_id, k.marker_id, o_orderstatus AS marker_name FROM k JOIN orders ON group_id = 'G' || o_orderkey")
+@query(
+    f"WITH {_PROFILES}, k AS (SELECT DISTINCT profile_id, group_id, unnest(['m1', profile_subclass]) AS marker_id FROM profs) SELECT k.profile_id, k.group_id, k.marker_id, o_orderstatus AS marker_name FROM k JOIN orders ON group_id = 'G' || o_orderkey"
+)
 def profile_markers(b: Bridge) -> DataFrame:
-    orders = b.table("orders").select(*[F.lit(G7[k]).alias(k) for k in KEY[:3]], F.concat(F.lit("G"), F.col("o_orderkey").cast("string")).alias("group_id"), F.col("o_orderstatus").alias("marker_name"))
+    orders = b.table("orders").select(
+        *[F.lit(G7[k]).alias(k) for k in KEY[:3]], F.concat(F.lit("G"), F.col("o_orderkey").cast("string")).alias("group_id"),
+        F.col("o_orderstatus").alias("marker_name")
+    )
     sources = [orders.withColumn("marker_id", F.lit("m1")), orders.withColumn("marker_id", F.col("marker_name")), orders.withColumn("marker_id", F.lit("m1"))]
     return plan.profile_markers(_profiles(b), sources).select("profile_id", "group_id", "marker_id", "marker_name")
 
@@ -351,7 +454,9 @@ def cluster_results(b: Bridge) -> DataFrame:
     c AS (SELECT a.group_id, count(*) AS n, (count(*) FILTER (v.value < a.value) + 0.5 * count(*) FILTER (v.value = a.value)) / count(*) AS f FROM w a JOIN vals v ON v.group_id = a.control_id AND v.metric = a.metric GROUP BY a.group_id)
     SELECT group_id, profile_ids, CASE WHEN n < 3 THEN 'INSUFFICIENT' WHEN f <= 0.1 THEN 'COMPACT_OR_LOW' WHEN f >= 0.9 THEN 'DISPERSED_OR_HIGH' ELSE 'TYPICAL' END AS dispersion_class FROM c JOIN ids USING (group_id)"""))
 def classes_with_profiles(b: Bridge) -> DataFrame:
-    classes = benchmark.classify(_values(b).filter("metric = 'mean_distance'"), _links(b)).select(*[F.lit(G7[k]).alias(k) for k in KEY[:3]], "group_id", "dispersion_class")
+    classes = benchmark.classify(_values(b).filter("metric = 'mean_distance'"), _links(b)).select(
+        *[F.lit(G7[k]).alias(k) for k in KEY[:3]], "group_id", "dispersion_class"
+    )
     lists = _profiles(b).groupBy(*KEY).agg(F.array_join(F.array_sort(F.collect_set("profile_id")), ";").alias("profile_ids"))
     return plan.classes_with_profiles(classes, lists).select("group_id", "profile_ids", "dispersion_class")
 
@@ -375,7 +480,10 @@ def planned_contrast_medians(b: Bridge) -> DataFrame:
     profiles = _profiles(b).select("profile_id", "group_id")
     values = _values(b).drop("profile_id").join(profiles, "group_id")
     sides = benchmark.contrast_sides(values, benchmark.plan_contrasts(profiles))
-    return benchmark.contrast_medians(sides).select("target_profile_id", "reference_profile_id", "metric", "target_group_count", "reference_group_count", r("target_median"), r("reference_median"))
+    return benchmark.contrast_medians(sides).select(
+        "target_profile_id", "reference_profile_id", "metric", "target_group_count", "reference_group_count", r("target_median"),
+        r("reference_median")
+    )
 
 
 # taxonomic selections
@@ -389,7 +497,10 @@ def outside_scope_taxa(b: Bridge) -> DataFrame:
 
 _TREE = "n AS (SELECT n_name, 'R:' || r_name AS reg, n_name <= 'NATION_14' AS rep, n_name = 'NATION_2' OR r_name = 'EUROPE' AS exc FROM nation JOIN region ON n_regionkey = r_regionkey)"
 _COUNTS = "count(*) FILTER (rep) AS represented_terminal_count, count(*) FILTER (NOT rep) AS expected_no_data_terminal_count, count(*) FILTER (exc) AS excluded_terminal_count"
-_TREE_COLUMNS = ["taxon_id", "parent_taxon_id", "selection_state", "coverage_state", "represented_terminal_count", "expected_no_data_terminal_count", "excluded_terminal_count"]
+_TREE_COLUMNS = [
+    "taxon_id", "parent_taxon_id", "selection_state", "coverage_state", "represented_terminal_count", "expected_no_data_terminal_count",
+    "excluded_terminal_count"
+]
 
 
 def _represented(b: Bridge) -> DataFrame:

@@ -32,7 +32,10 @@ def taxonomy(df: DataFrame) -> DataFrame:
     rows = _need(df, ("species_label", "taxon_id", "mapping_status", "lineage_taxon_ids", "lineage_names"), "taxonomy")
     _none(rows, ~F.col("mapping_status").isin(*STATUSES), "unknown mapping status")
     ids, names = F.split("lineage_taxon_ids", ";"), F.split("lineage_names", ";")
-    _none(rows, (F.col("mapping_status") == "REVIEWED") & ((F.col("taxon_id") == "") | (F.size(ids) != F.size(names))), "a reviewed species needs a taxon and lineages of one length")
+    _none(
+        rows, (F.col("mapping_status") == "REVIEWED") & ((F.col("taxon_id") == "") | (F.size(ids) != F.size(names))),
+        "a reviewed species needs a taxon and lineages of one length"
+    )
     _none(rows.groupBy("species_label").agg(F.count(F.lit(1)).alias("n")), F.col("n") > 1, "a species comes twice")
     return rows.withColumn("lineage", F.transform(F.filter(ids, lambda x: x != ""), strip))
 
@@ -43,7 +46,10 @@ def focus_proteins(df: DataFrame, most: int = 100_000) -> DataFrame:
     column = next((names[c] for c in ("protein_identifier", "focus_identifier", "protein_id", "identifier", "accession") if c in names), None)
     if column is None:
         raise InputError("focus proteins: no identifier column")
-    rows = df.select(strip(F.col(column)).alias("focus_identifier"), (~F.lower(strip(F.col(names["enabled"]))).isin("false", "0", "no") if "enabled" in names else F.lit(True)).alias("enabled")).filter("focus_identifier is not null and focus_identifier != ''")
+    rows = df.select(
+        strip(F.col(column)).alias("focus_identifier"),
+        (~F.lower(strip(F.col(names["enabled"]))).isin("false", "0", "no") if "enabled" in names else F.lit(True)).alias("enabled")
+    ).filter("focus_identifier is not null and focus_identifier != ''")
     _none(rows.groupBy(F.lower("focus_identifier").alias("id")).agg(F.count(F.lit(1)).alias("n")), F.col("n") > 1, "an identifier comes twice")
     if not rows.limit(most + 1).count() <= most:
         raise InputError(f"more than {most} focus proteins")
@@ -67,10 +73,16 @@ def expression_sources(spark: SparkSession, manifest: str, verify: bool = True)
     _none(rows, ~F.col("file_type").isin("expression", "metadata"), "unknown file type")
     use = rows.filter(F.lower("include").isin("true", "1", "yes")).collect()  # a row a file, listed by hand
     base = manifest.rpartition("/")[0]
-    paths = {k: [r["path"] if "://" in r["path"] or r["path"].startswith("/") else f"{base}/{r['path']}" for r in use if r["file_type"] == k] for k in ("expression", "metadata")}
+    paths = {
+        k: [
+            r["path"] if "://" in r["path"] or r["path"].startswith("/") else f"{base}/{r['path']}" for r in use if r["file_type"] == k
+        ] for k in ("expression", "metadata")
+    }
     if verify and use:
         want = {r["path"].rpartition("/")[2]: r["sha256"] for r in use}
-        got = spark.read.format("binaryFile").load([*paths["expression"], *paths["metadata"]]).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("n"), F.sha2("content", 256).alias("h")).collect()
+        got = spark.read.format("binaryFile").load([*paths["expression"], *paths["metadata"]]).select(
+            F.regexp_extract("path", r"([^/]+)$", 1).alias("n"), F.sha2("content", 256).alias("h")
+        ).collect()
         for r in got:
             if want.get(r["n"]) != r["h"]:
                 raise InputError(f"{r['n']} is not the file that the manifest names")

@@ -83,7 +83,9 @@ class _Reader(DataSourceReader):
         info = store.get_file_info(place)
         if info.type == fs.FileType.File:
             return [_File(self.path)]
-        found = [i.path for i in store.get_file_info(fs.FileSelector(place)) if i.type == fs.FileType.File and SUFFIX.search(i.base_name) and fnmatch.fnmatch(i.base_name, pattern)]
+        found = [
+            i.path for i in store.get_file_info(fs.FileSelector(place)) if i.type == fs.FileType.File and SUFFIX.search(i.base_name) and fnmatch.fnmatch(i.base_name, pattern)
+        ]
         prefix = folder[: len(folder) - len(place)] if folder.endswith(place) else ""
         return [_File(prefix + p) for p in sorted(found)]
 

@@ -77,7 +77,9 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import Window
 
     base = per.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
-    return lines.withColumn("__p", F.shiftright("__at", 33)).join(base, "__p").select("value", (F.col("base") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).alias("line"))
+    return lines.withColumn("__p", F.shiftright("__at", 33)).join(base, "__p").select(
+        "value", (F.col("base") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).alias("line")
+    )
 
 
 def _pairs(spark: SparkSession, path: str) -> DataFrame:
@@ -96,7 +98,13 @@ def _pairs(spark: SparkSession, path: str) -> DataFrame:
 def species(spark: SparkSession, layout: Layout, run_id: str) -> DataFrame:
     path = f"{layout.root}/{SPECIES_IDS}"
     rows = _pairs(spark, path)
-    return conform(rows.select(F.lit(run_id).alias("run_id"), F.col("k").alias("species_index"), species_label(F.col("v")).alias("species_label"), F.col("v").alias("source_fasta"), F.lit(_name(path)).alias("source_file"), F.col("line").alias("source_line")), "species")
+    return conform(
+        rows.select(
+            F.lit(run_id).alias("run_id"), F.col("k").alias("species_index"), species_label(F.col("v")).alias("species_label"),
+            F.col("v").alias("source_fasta"), F.lit(_name(path)).alias("source_file"), F.col("line").alias("source_line")
+        ),
+        "species"
+    )
 
 
 def sequences(spark: SparkSession, layout: Layout, run_id: str) -> DataFrame:
@@ -107,7 +115,14 @@ def sequences(spark: SparkSession, layout: Layout, run_id: str) -> DataFrame:
     if lost:
         raise IntegrityError(f"sequence {lost[0]['k']} is of an unknown species")
     out = rows.join(known, "species_index")
-    return conform(out.select(F.lit(run_id).alias("run_id"), F.col("k").alias("internal_id"), "species_index", "species_label", "source_fasta", F.col("v").alias("raw_header"), F.regexp_extract("v", r"^(\S+)", 1).alias("member_id"), F.lit(_name(path)).alias("source_file"), F.col("line").alias("source_line")), "sequences")
+    return conform(
+        out.select(
+            F.lit(run_id).alias("run_id"), F.col("k").alias("internal_id"), "species_index", "species_label", "source_fasta",
+            F.col("v").alias("raw_header"), F.regexp_extract("v", r"^(\S+)", 1).alias("member_id"), F.lit(_name(path)).alias("source_file"),
+            F.col("line").alias("source_line")
+        ),
+        "sequences"
+    )
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -159,7 +174,10 @@ def _trees(spark: SparkSession, run_id: str, folders: dict[str, tuple[str, str,
     out = None
     for kind, (folder, names, tree_id) in folders.items():
         files = spark.read.format("binaryFile").option("pathGlobFilter", names).load(folder)
-        one = files.select(F.lit(run_id).alias("run_id"), F.lit(kind).alias("tree_type"), F.regexp_extract("path", tree_id, 1).alias("tree_id"), "path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("newick"))
+        one = files.select(
+            F.lit(run_id).alias("run_id"), F.lit(kind).alias("tree_type"), F.regexp_extract("path", tree_id, 1).alias("tree_id"), "path",
+            F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("newick")
+        )
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -168,4 +186,6 @@ def alignments(spark: SparkSession, layout: Layout) -> DataFrame:
     """group_id, member_id, sequence of aligned files, one a group."""
     from .fasta import read_fasta
 
-    return read_fasta(spark, layout.alignments, check="aligned").select(F.regexp_replace("source_fasta", r"(?i)\.(fa|faa|fasta|fas|pep)(\.gz)?$", "").alias("group_id"), "member_id", "sequence")
+    return read_fasta(spark, layout.alignments, check="aligned").select(
+        F.regexp_replace("source_fasta", r"(?i)\.(fa|faa|fasta|fas|pep)(\.gz)?$", "").alias("group_id"), "member_id", "sequence"
+    )

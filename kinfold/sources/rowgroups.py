@@ -131,7 +131,9 @@ def index_groups(spark: SparkSession, path: str, cluster: str) -> DataFrame:
     return per.groupBy("cluster_id").agg(F.sum("n").alias("member_count"), groups.alias("row_groups"))
 
 
-def extract_indexed(spark: SparkSession, path: str, index: DataFrame, cluster_ids: tuple[str, ...], cluster: str, identifier: str, most_members: int = 8_000_000) -> DataFrame:
+def extract_indexed(
+    spark: SparkSession, path: str, index: DataFrame, cluster_ids: tuple[str, ...], cluster: str, identifier: str, most_members: int = 8_000_000
+) -> DataFrame:
     """The members of whole clusters from the row groups that ``index`` (cluster_id,
     member_count, row_groups) names for them, with ``_row_group``.
 

@@ -16,7 +16,10 @@ from ..errors import IntegrityError
 #: Most bytes of a model.
 MOST_BYTES = 20_000_000
 #: Names of residues in three letters and in one.
-RESIDUES = {"ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K", "MET": "M", "MSE": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V"}
+RESIDUES = {
+    "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I", "LEU": "L", "LYS": "K",
+    "MET": "M", "MSE": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V"
+}
 
 
 def read_models(spark: SparkSession, path: str) -> DataFrame:
@@ -33,7 +36,9 @@ def residues(models: DataFrame) -> DataFrame:
     """model_id, residue_index (from 1), chain_id, pdb_residue_number, residue, confidence,
     x, y, z of every alpha carbon of a model's first part; a number that is none is null."""
     lines = F.split(F.element_at(F.split("text", r"(?m)^ENDMDL", 2), 1), r"\r?\n")
-    atoms = models.select("model_id", F.posexplode(lines).alias("line_number", "line")).filter(F.col("line").startswith("ATOM  ") & (_field(F.col("line"), 13, 16) == "CA"))
+    atoms = models.select("model_id", F.posexplode(lines).alias("line_number", "line")).filter(
+        F.col("line").startswith("ATOM  ") & (_field(F.col("line"), 13, 16) == "CA")
+    )
     line = F.col("line")
     number = lambda a, b, kind: _field(line, a, b).try_cast(kind)
     names = F.create_map(*[F.lit(x) for pair in sorted(RESIDUES.items()) for x in pair])
@@ -44,7 +49,9 @@ def residues(models: DataFrame) -> DataFrame:
     )
     # of places that a residue may have, the one that is filled most, then the first
     best = F.struct(-F.col("occupancy"), F.col("line_number"))
-    per = cut.groupBy("model_id", "chain_id", "pdb_residue_number", "insertion").agg(F.min("line_number").alias("line_number"), F.min_by(F.struct("residue", "confidence", "x", "y", "z"), best).alias("a"))
+    per = cut.groupBy("model_id", "chain_id", "pdb_residue_number", "insertion").agg(
+        F.min("line_number").alias("line_number"), F.min_by(F.struct("residue", "confidence", "x", "y", "z"), best).alias("a")
+    )
     ordered = per.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("line_number", "chain_id", "pdb_residue_number", "a"))).alias("all"))  # a model's residues
     found = ordered.select("model_id", F.posexplode("all").alias("at", "r"))
     return found.select("model_id", (F.col("at") + 1).alias("residue_index"), "r.chain_id", "r.pdb_residue_number", "r.a.*")
@@ -59,7 +66,10 @@ def judge(models: DataFrame, expected: DataFrame) -> DataFrame:
     for c in "xyz":
         finite = finite & F.coalesce(F.abs(F.col(c)) < float("inf"), F.lit(False))
     spelled = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("residue_index", "residue"))), lambda r: r["residue"]), "")
-    per = residues(models).groupBy("model_id").agg(F.count(F.lit(1)).alias("residue_count"), F.avg("confidence").alias("mean_confidence"), spelled.alias("spelled"), F.bool_and(fits).alias("fits"), F.bool_and(finite).alias("finite"))
+    per = residues(models).groupBy("model_id").agg(
+        F.count(F.lit(1)).alias("residue_count"), F.avg("confidence").alias("mean_confidence"), spelled.alias("spelled"),
+        F.bool_and(fits).alias("fits"), F.bool_and(finite).alias("finite")
+    )
     sizes = models.select("model_id", F.octet_length("text").alias("size"))
     met = expected.select("model_id", "sequence").join(sizes, "model_id", "left").join(per, "model_id", "left")
     status = (

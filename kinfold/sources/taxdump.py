@@ -88,13 +88,18 @@ def candidates(species: DataFrame, all_names: DataFrame, tree: DataFrame, source
     if not source_version.strip():
         raise InputError("the dump's version is empty")
     labels = species.select("species_label")
-    bad = labels.groupBy("species_label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or species_label is null or trim(species_label) = ''").limit(1).collect()
+    bad = labels.groupBy("species_label").agg(F.count(F.lit(1)).alias("n")).filter(
+        "n > 1 or species_label is null or trim(species_label) = ''"
+    ).limit(1).collect()
     if bad:
         raise InputError("species labels are unique and not empty")
     met = labels.withColumn("k", normal(F.col("species_label"))).join(all_names.select(normal(F.col("name")).alias("k"), "taxon_id", "name_class"), "k")
     per = met.groupBy("species_label", "taxon_id").agg(sorted_list(F.col("name_class")).alias("classes"))
     per = written(per, "matches")
-    counted = per.groupBy("species_label").agg(F.count(F.lit(1)).alias("n"), F.min("taxon_id").alias("taxon_id"), F.first("classes").alias("classes"), F.array_join(F.transform(F.array_sort(F.collect_list("taxon_id")), lambda t: t.cast("string")), ";").alias("candidate_taxon_ids"))
+    counted = per.groupBy("species_label").agg(
+        F.count(F.lit(1)).alias("n"), F.min("taxon_id").alias("taxon_id"), F.first("classes").alias("classes"),
+        F.array_join(F.transform(F.array_sort(F.collect_list("taxon_id")), lambda t: t.cast("string")), ";").alias("candidate_taxon_ids")
+    )
     found = labels.join(counted, "species_label", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     paths = lineages(per.select("taxon_id").distinct(), tree)
     plain = all_names.filter(F.col("name_class") == SCIENTIFIC).groupBy("taxon_id").agg(F.min("name").alias("name"))
@@ -107,7 +112,16 @@ def candidates(species: DataFrame, all_names: DataFrame, tree: DataFrame, source
     lists = steps.groupBy("taxon_id").agg(along.alias("x"))
     joined = lambda f: F.array_join(F.transform(F.filter("x", lambda s: s["depth"] > 0), f), ";")
     own = F.element_at("x", -1)
-    lists = lists.select(F.col("taxon_id").alias("of"), own["name"].alias("accepted_species_name"), own["rank"].alias("taxon_rank"), joined(lambda s: s["ancestor"].cast("string")).alias("lineage_taxon_ids"), joined(lambda s: s["name"]).alias("lineage_names"), joined(lambda s: s["rank"]).alias("lineage_ranks"))
+    lists = lists.select(
+        F.col("taxon_id").alias("of"), own["name"].alias("accepted_species_name"), own["rank"].alias("taxon_rank"),
+        joined(lambda s: s["ancestor"].cast("string")).alias("lineage_taxon_ids"), joined(lambda s: s["name"]).alias("lineage_names"),
+        joined(lambda s: s["rank"]).alias("lineage_ranks")
+    )
     one = found.withColumn("of", F.when(F.col("n") == 1, F.col("taxon_id"))).drop("taxon_id").join(lists, "of", "left")
     status = F.when(F.col("n") == 0, "UNMAPPED").when(F.col("n") == 1, "PENDING_REVIEW").otherwise("AMBIGUOUS")
-    return one.select("species_label", status.alias("mapping_status"), F.col("of").alias("taxon_id"), "accepted_species_name", "taxon_rank", "lineage_taxon_ids", "lineage_names", "lineage_ranks", F.when(F.col("n") == 1, F.col("classes")).alias("matched_name_classes"), F.when(F.col("n") > 1, F.col("candidate_taxon_ids")).alias("candidate_taxon_ids"), F.lit(source_date).alias("source_date"), F.lit(source_version).alias("taxonomy_release"))
+    return one.select(
+        "species_label", status.alias("mapping_status"), F.col("of").alias("taxon_id"), "accepted_species_name", "taxon_rank", "lineage_taxon_ids",
+        "lineage_names", "lineage_ranks", F.when(F.col("n") == 1, F.col("classes")).alias("matched_name_classes"),
+        F.when(F.col("n") > 1, F.col("candidate_taxon_ids")).alias("candidate_taxon_ids"), F.lit(source_date).alias("source_date"),
+        F.lit(source_version).alias("taxonomy_release")
+    )

@@ -11,4 +11,6 @@ def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "2 ho
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if timed.isStreaming:
         timed = timed.withWatermark("ts", late)
-    return timed.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("total_value")).select(F.col("w.start").alias("window_start"), "event_type", "n_events", "total_value")
+    return timed.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n_events"), F.sum("value").alias("total_value")).select(
+        F.col("w.start").alias("window_start"), "event_type", "n_events", "total_value"
+    )
