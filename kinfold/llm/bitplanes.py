@@ -97,8 +97,13 @@ class ShardWriter:
         """Write what is left and the index; the number of ids."""
         if len(self.left):
             self._chunk(self.left)
-        arrays = {"chunks": np.array(self.chunks, np.int64).reshape(len(self.chunks), -1), "doc_ids": np.array(self.ids, np.int64), "nulls": np.array(self.nulls, np.uint8), "counts": np.array(self.counts, np.uint32)}
-        head = json.dumps({"planes": 32 if self.bits else 4, "block": self.block, "arrays": [[k, v.dtype.str, list(v.shape)] for k, v in arrays.items()]}).encode()
+        arrays = {
+            "chunks": np.array(self.chunks, np.int64).reshape(len(self.chunks), -1), "doc_ids": np.array(self.ids, np.int64),
+            "nulls": np.array(self.nulls, np.uint8), "counts": np.array(self.counts, np.uint32)
+        }
+        head = json.dumps(
+            {"planes": 32 if self.bits else 4, "block": self.block, "arrays": [[k, v.dtype.str, list(v.shape)] for k, v in arrays.items()]}
+        ).encode()
         footer = self.squeeze.compress(len(head).to_bytes(4, "little") + head + b"".join(v.tobytes() for v in arrays.values()))
         self.out.write(footer + len(footer).to_bytes(8, "little") + MAGIC)
         self.out.close()
@@ -256,7 +261,10 @@ def encoder(json_text: str) -> WordEncoder:
     return _ENCODERS[key]
 
 
-def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, block: int = BLOCK, bits: bool = False) -> DataFrame:
+def write(
+    docs: DataFrame, tokenizer_path: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
+    block: int = BLOCK, bits: bool = False
+) -> DataFrame:
     """Write shard files below ``path`` and return their manifest, a row a shard: shard,
     path, n_docs, n_ids and base (ids of all shards before it)."""
     spark = docs.sparkSession
@@ -287,7 +295,13 @@ def write(docs: DataFrame, tokenizer_path: str, path: str | None = None, id_col:
         if writer is not None:
             n = writer.close()
             store.move(tried, final)
-            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([final if isinstance(store, fs.LocalFileSystem) else f"{path}/shard-{shard:06d}.kbp"]), pa.array([len(writer.ids)], pa.int64()), pa.array([n], pa.int64())], names=["shard", "path", "n_docs", "n_ids"])
+            yield pa.record_batch(
+                [
+                    pa.array([shard], pa.int32()), pa.array([final if isinstance(store, fs.LocalFileSystem) else f"{path}/shard-{shard:06d}.kbp"]),
+                    pa.array([len(writer.ids)], pa.int64()), pa.array([n], pa.int64())
+                ],
+                names=["shard", "path", "n_docs", "n_ids"]
+            )
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = narrow.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))

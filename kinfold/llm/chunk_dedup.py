@@ -34,7 +34,12 @@ WINDOW = 32
 #: A chunk has about 2 ** MASK_BITS bytes, and at least and at most these.
 MASK_BITS, LEAST, MOST = 11, 256, 16_384
 
-_RECIPES = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("text_sha256", pa.string()), ("chunks", pa.list_(pa.struct([("short", pa.int64()), ("rest", pa.binary()), ("length", pa.int32())])))])
+_RECIPES = pa.schema(
+    [
+        ("id", pa.int64()), ("row", pa.int64()), ("text_sha256", pa.string()),
+        ("chunks", pa.list_(pa.struct([("short", pa.int64()), ("rest", pa.binary()), ("length", pa.int32())])))
+    ]
+)
 
 
 def _gear() -> np.ndarray:
@@ -87,14 +92,22 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             rows = pa.array(range(row, row + len(texts)), pa.int64())
             row += len(texts)
-            yield pa.record_batch([batch.column(0), rows, pa.array([hashlib.sha256(t).hexdigest() for t in texts]), pa.array([recipe(t) for t in texts], _RECIPES.field("chunks").type)], schema=_RECIPES)
+            yield pa.record_batch(
+                [
+                    batch.column(0), rows, pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
+                    pa.array([recipe(t) for t in texts], _RECIPES.field("chunks").type)
+                ],
+                schema=_RECIPES
+            )
     release()
 
 
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256, n_chunks."""
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    recipes = materialise(narrow.mapInArrow(_recipes, "id long, row long, text_sha256 string, chunks array<struct<short: long, rest: binary, length: int>>"), "recipes")
+    recipes = materialise(
+        narrow.mapInArrow(_recipes, "id long, row long, text_sha256 string, chunks array<struct<short: long, rest: binary, length: int>>"), "recipes"
+    )
     chunks = recipes.select("row", F.explode("chunks").alias("c")).select("row", "c.short", F.struct("c.rest", "c.length").alias("content"))
     clashes = chunks.groupBy("short").agg(F.min("content").alias("a"), F.max("content").alias("b")).filter("a != b").select("short")
     lists = recipes.select("id", "row", "text_sha256", F.col("chunks.short").alias("recipe"), F.lit("").alias("clash"))
@@ -102,7 +115,9 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     if not clashes.isEmpty():  # two contents under one short identifier: their texts are told apart by whole digests
         hit = chunks.join(clashes, "short").select("row").distinct()
         full = F.concat_ws("", F.transform("chunks", lambda c: F.concat(F.hex(c["rest"]), c["length"].cast("string"))))
-        lists = recipes.join(hit.withColumn("hit", F.lit(True)), "row", "left").select("id", "row", "text_sha256", F.col("chunks.short").alias("recipe"), F.when(F.col("hit"), F.sha2(full, 256)).otherwise("").alias("clash"))
+        lists = recipes.join(hit.withColumn("hit", F.lit(True)), "row", "left").select(
+            "id", "row", "text_sha256", F.col("chunks.short").alias("recipe"), F.when(F.col("hit"), F.sha2(full, 256)).otherwise("").alias("clash")
+        )
     groups = lists.groupBy("recipe", "clash").agg(F.max(F.struct("id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
     return lists.join(groups, ["recipe", "clash"]).select(
         "id",

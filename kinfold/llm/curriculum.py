@@ -57,7 +57,9 @@ def _ranked(sizes: DataFrame) -> DataFrame:
     counts = parts.groupBy(F.col("part").alias("p")).agg(F.count(F.lit(1)).alias("n"))
     bases = counts.select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
-    return parts.withColumn("inside", inside).join(F.broadcast(bases), F.col("part") == F.col("p")).withColumn("rank", F.col("base") + F.col("inside")).drop("part", "p", "base", "inside")
+    return parts.withColumn("inside", inside).join(
+        F.broadcast(bases), F.col("part") == F.col("p")
+    ).withColumn("rank", F.col("base") + F.col("inside")).drop("part", "p", "base", "inside")
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = EPOCHS, most: float = MOST) -> DataFrame:
@@ -131,7 +133,9 @@ def assign(
     rows = docs.select(doc_id.alias("id"), word_count(text).alias("size"), source.alias("source"), key.alias("key"), F.xxhash64(text).alias("text_key"))
     rows = materialise(rows, "sizes")  # narrow rows; texts are read and measured once
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
-    known = materialise(targets(sizes, weights, epochs, most).withColumn("buckets", F.ceil(F.col("n_rows") / bucket_rows)), "targets").withColumnRenamed("source", "known_source")
+    known = materialise(
+        targets(sizes, weights, epochs, most).withColumn("buckets", F.ceil(F.col("n_rows") / bucket_rows)), "targets"
+    ).withColumnRenamed("source", "known_source")
     leading = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     placed = rows.join(known, F.col("source").eqNullSafe(F.col("known_source"))).withColumn("bucket", F.floor(leading * F.col("buckets") / (1 << 32)))
     span = F.floor(F.col("bucket") / SPAN)
@@ -167,7 +171,9 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     alike = placed.groupBy(F.col("id").alias("__id"), F.col("text_key").alias("__text"), F.col("source").alias("__source"))
     taken = materialise(alike.agg(F.flatten(F.collect_list("positions")).alias("__positions"), F.count(F.lit(1)).alias("__rows")), "taken")  # rows of one id, text and source
     side = F.broadcast(taken) if bounded(taken) else taken
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & F.xxhash64(F.col(text_col).cast("string")).eqNullSafe(F.col("__text")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
+    on = F.col(id_col).eqNullSafe(F.col("__id")) & F.xxhash64(
+        F.col(text_col).cast("string")
+    ).eqNullSafe(F.col("__text")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source"))
     met = docs.join(side, on)
     if not taken.filter("__rows > 1").isEmpty():  # of rows alike one carries the copies of all
         met = met.filter("__rows = 1").unionByName(met.filter("__rows > 1").dropDuplicates(["__id", "__text", "__source"]))

@@ -43,9 +43,19 @@ def _repeated(words: Column) -> Column:
 
     def covered(h: Column) -> Column:
         ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        found = let(ordered, lambda o: F.filter(o, lambda s, j: F.coalesce(F.get(o, j - 1)["h"] == s["h"], F.lit(False)) | F.coalesce(F.get(o, j + 1)["h"] == s["h"], F.lit(False))))
+        found = let(
+            ordered,
+            lambda o: F.filter(
+                o, lambda s, j: F.coalesce(F.get(o, j - 1)["h"] == s["h"], F.lit(False)) | F.coalesce(F.get(o, j + 1)["h"] == s["h"], F.lit(False))
+            )
+        )
         at = F.sort_array(F.transform(found, lambda s: s["i"]))
-        return let(at, lambda a: F.aggregate(F.transform(a, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(a, j + 1) - x, F.lit(3)))), F.lit(0), lambda n, x: n + x))
+        return let(
+            at,
+            lambda a: F.aggregate(
+                F.transform(a, lambda x, j: F.least(F.lit(3), F.coalesce(F.get(a, j + 1) - x, F.lit(3)))), F.lit(0), lambda n, x: n + x
+            )
+        )
 
     return F.when(F.size(words) >= 4, let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0))).otherwise(0)
 
@@ -60,7 +70,10 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
 
     stats = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).cast("long").alias("n_repeat_words")))
-    by_line = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    by_line = let(
+        lines,
+        lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
+    )
     found = docs.select(
         F.col(id_col).alias("doc_id"),
         stats.alias("w"),
@@ -164,9 +177,13 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
 
 def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DecisionList:
     """A decision list for rows whose label is 0, from all labelled rows that pass the base."""
-    known = labels.select(F.col(id_col).alias("of"), F.col(label_col).alias("label")).filter("label is not null").groupBy("of").agg(F.min("label").alias("label"))
+    known = labels.select(
+        F.col(id_col).alias("of"), F.col(label_col).alias("label")
+    ).filter("label is not null").groupBy("of").agg(F.min("label").alias("label"))
     part = F.when(F.pmod(F.crc32(F.concat(F.lit("part"), F.col("doc_id").cast("string")).cast("binary")), F.lit(3)) == 0, "prune").otherwise("grow")
-    rows = stats.filter(~base_failed()).join(known, F.col("doc_id") == F.col("of")).select(part.alias("part"), (F.col("label") == 0).cast("int").alias("bad"), *[c.alias(k) for k, c in ratios().items()])
+    rows = stats.filter(~base_failed()).join(known, F.col("doc_id") == F.col("of")).select(
+        part.alias("part"), (F.col("label") == 0).cast("int").alias("bad"), *[c.alias(k) for k, c in ratios().items()]
+    )
     rows = materialise(rows, "labelled")
     # thresholds come from the rejected rows and the kept ones alike, so that a rare class has its own
     q = [i / (THRESHOLDS - 1) for i in range(THRESHOLDS)]

@@ -57,7 +57,13 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
             for (lang, source), (times, texts) in held.items():
                 n = len(times) + 1
                 terms = pa.array([b"", *times], pa.binary())
-                yield pa.record_batch([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), terms, pa.array([0, *times.values()], pa.int64()), pa.array([0, *[texts[t] for t in times]], pa.int64())], names=["lang", "source", "term", "occurrences", "documents"])
+                yield pa.record_batch(
+                    [
+                        pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), terms, pa.array([0, *times.values()], pa.int64()),
+                        pa.array([0, *[texts[t] for t in times]], pa.int64())
+                    ],
+                    names=["lang", "source", "term", "occurrences", "documents"]
+                )
             held.clear()
 
         for batch in batches:
@@ -76,7 +82,9 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
     plain = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang_col, source_col, text_col)]
     narrow = docs.select(plain[0].alias("lang"), plain[1].alias("source"), plain[2].cast("binary").alias("text"))
     counted = narrow.mapInArrow(count, "lang string, source string, term binary, occurrences long, documents long")
-    return counted.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
+    return counted.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(
+        F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents")
+    )
 
 
 def weight(occurrences: Column, n: Column, v: Column) -> Column:
@@ -138,44 +146,78 @@ def _unit(key: tuple, rows: pa.Table) -> pa.Table:
     at, p = ([np.asarray(v if v is not None else [], np.int64) for v in rows.column(c).to_pylist()] for c in ("at", "p"))
     x, y = _pairs(np.flatnonzero(block == i), np.flatnonzero(block == j), i != j)
     sums = (dense_sums if dense else sparse_sums)(rows.column("base").to_numpy(), at, p, rows.column("terms")[0].as_py(), x, y)
-    return pa.table({"lang": pa.array([lang] * len(x), pa.string()), "one": pa.array([sources[k] for k in x], pa.string()), "two": pa.array([sources[k] for k in y], pa.string()), "value": pa.array(sums, pa.int64())})
-
-
-def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS, most_terms: int = MOST_TERMS, dense_share: float = DENSE_SHARE, dense_tile: int = DENSE_TILE, sparse_tile: int = SPARSE_TILE, block: int = BLOCK) -> DataFrame:
+    return pa.table(
+        {
+            "lang": pa.array([lang] * len(x), pa.string()), "one": pa.array([sources[k] for k in x], pa.string()),
+            "two": pa.array([sources[k] for k in y], pa.string()), "value": pa.array(sums, pa.int64())
+        }
+    )
+
+
+def audit(
+    docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least_docs: int = LEAST_DOCS,
+    most_terms: int = MOST_TERMS, dense_share: float = DENSE_SHARE, dense_tile: int = DENSE_TILE, sparse_tile: int = SPARSE_TILE, block: int = BLOCK
+) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank: for each group all other
     sources of its language, and its ``most_terms`` most marked terms."""
     counts = materialise(term_counts(docs, lang_col, source_col, text_col), "counts")
     groups = counts.filter("term = ''").select("lang", "source")
     sizes = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("groups"))
-    kept = counts.filter("term != ''").groupBy("lang", "term").agg(F.sum("documents").alias("documents"), F.sum("occurrences").alias("all_occurrences"), F.count(F.lit(1)).alias("present")).filter(F.col("documents") >= least_docs)
+    kept = counts.filter("term != ''").groupBy("lang", "term").agg(
+        F.sum("documents").alias("documents"), F.sum("occurrences").alias("all_occurrences"), F.count(F.lit(1)).alias("present")
+    ).filter(F.col("documents") >= least_docs)
     kept = materialise(kept.join(sizes, "lang").withColumn("dense", F.col("present") > dense_share * F.col("groups")), "kept")
     # tiles: terms dealt by hash, numbered within
     width = F.when(F.col("dense"), dense_tile).otherwise(sparse_tile)
     kinds = kept.groupBy("lang", "dense").agg(F.count(F.lit(1)).alias("of_kind")).withColumn("tiles", F.ceil(F.col("of_kind") / width).cast("int"))
     tiled = kept.join(materialise(kinds, "kinds"), ["lang", "dense"]).withColumn("tile", F.pmod(F.xxhash64("term", F.lit("tile")), F.col("tiles")).cast("int"))
     tiled = tiled.repartition("lang", "dense", "tile")  # else the window would stay with the join's few keys
-    placed = materialise(tiled.withColumn("at", F.row_number().over(Window.partitionBy("lang", "dense", "tile").orderBy("term")) - 1).select("lang", "term", "all_occurrences", "dense", "tile", "at"), "placed")
-    known = materialise(counts.join(placed, ["lang", "term"]).select("lang", "source", "term", "occurrences", "all_occurrences", "dense", "tile", "at"), "known")
+    placed = materialise(
+        tiled.withColumn(
+            "at", F.row_number().over(Window.partitionBy("lang", "dense", "tile").orderBy("term")) - 1
+        ).select("lang", "term", "all_occurrences", "dense", "tile", "at"),
+        "placed"
+    )
+    known = materialise(
+        counts.join(placed, ["lang", "term"]).select("lang", "source", "term", "occurrences", "all_occurrences", "dense", "tile", "at"), "known"
+    )
     own = known.groupBy("lang", "source").agg(F.sum("occurrences").alias("n"))
-    langs = sizes.join(placed.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("all_occurrences").alias("all_n")), "lang", "left").na.fill(0, ["v", "all_n"])
+    langs = sizes.join(
+        placed.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("all_occurrences").alias("all_n")), "lang", "left"
+    ).na.fill(0, ["v", "all_n"])
     groups = groups.join(own, ["lang", "source"], "left").na.fill(0, ["n"]).join(langs, "lang")
     blocks = F.ceil(F.col("groups") / block).cast("int")
     base = F.coalesce(weight(F.lit(0), F.col("n"), F.col("v")), F.lit(0))
-    groups = materialise(groups.select("lang", "source", "n", "v", "all_n", base.alias("base"), blocks.alias("blocks"), F.pmod(F.xxhash64("source", F.lit("block")), blocks).cast("int").alias("block")), "groups")
+    groups = materialise(
+        groups.select(
+            "lang", "source", "n", "v", "all_n", base.alias("base"), blocks.alias("blocks"),
+            F.pmod(F.xxhash64("source", F.lit("block")), blocks).cast("int").alias("block")
+        ),
+        "groups"
+    )
 
     valued = known.join(groups.select("lang", "source", "n", "v", "all_n"), ["lang", "source"])
     valued = valued.withColumns({"p": weight(F.col("occurrences"), F.col("n"), F.col("v")), "q": weight(F.col("all_occurrences"), F.col("all_n"), F.col("v"))})
     cells = valued.groupBy("lang", "source", "dense", "tile").agg(F.collect_list(F.struct("at", "p")).alias("cells"))  # a tile's terms at most
     cells = cells.select("lang", "source", "dense", "tile", F.col("cells.at").alias("at"), F.col("cells.p").alias("p"))
     none = sizes.select("lang", F.lit(False).alias("dense"), F.lit(0).alias("tile"), F.lit(0).cast("long").alias("terms"))  # a language without terms has pairs too
-    tiles = placed.groupBy("lang", "dense", "tile").agg(F.count(F.lit(1)).alias("terms")).unionByName(none).groupBy("lang", "dense", "tile").agg(F.sum("terms").alias("terms"))
+    tiles = placed.groupBy("lang", "dense", "tile").agg(
+        F.count(F.lit(1)).alias("terms")
+    ).unionByName(none).groupBy("lang", "dense", "tile").agg(F.sum("terms").alias("terms"))
     rows = groups.select("lang", "source", "base", "block", "blocks").join(tiles, "lang").join(cells, ["lang", "source", "dense", "tile"], "left")
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")
     dealt = rows.select("lang", "source", "base", "block", "dense", "tile", "terms", "at", "p", partner)
-    dealt = dealt.select("lang", "dense", "tile", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "source", "base", "block", "terms", "at", "p")
+    dealt = dealt.select(
+        "lang", "dense", "tile", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "source", "base", "block", "terms",
+        "at", "p"
+    )
     sums = dealt.groupBy("lang", "dense", "tile", "i", "j").applyInArrow(_unit, "lang string, one string, two string, value long")
     sums = sums.groupBy("lang", "one", "two").agg(F.sum("value").alias("value"))
-    both = F.explode(F.array(F.struct(F.col("one").alias("source"), F.col("two").alias("item")), F.struct(F.col("two").alias("source"), F.col("one").alias("item")))).alias("x")
+    both = F.explode(
+        F.array(
+            F.struct(F.col("one").alias("source"), F.col("two").alias("item")), F.struct(F.col("two").alias("source"), F.col("one").alias("item"))
+        )
+    ).alias("x")
     pairs = sums.select("lang", "value", both).select("lang", "x.source", F.lit("pair").alias("part"), "x.item", "value")
     marked = valued.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")

@@ -337,9 +337,19 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 values, counts = own.encode_all(texts, batch.column(0).to_pylist())
                 ends = np.cumsum(counts)
-                lossless = [not t if not n else own.decode_bytes(values[e - n : e])[1:] == t.encode() for t, n, e in zip(texts, counts.tolist(), ends.tolist(), strict=True)]
+                lossless = [
+                    not t if not n else own.decode_bytes(values[e - n : e])[1:] == t.encode() for t, n, e in zip(
+                        texts, counts.tolist(), ends.tolist(), strict=True
+                    )
+                ]
                 offsets = np.append(0, ends).astype(np.int32)
-                yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(counts), pa.array(lossless, pa.bool_())], names=["id", "ids", "n_ids", "lossless"])
+                yield pa.record_batch(
+                    [
+                        batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(counts),
+                        pa.array(lossless, pa.bool_())
+                    ],
+                    names=["id", "ids", "n_ids", "lossless"]
+                )
         release()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -354,7 +364,10 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "id", ids_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model.value, 0.0, 0)
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([None if x is None else own.decode(x) for x in batch.column(1).to_pylist()], pa.string())], names=["id", "text"])
+            yield pa.record_batch(
+                [batch.column(0), pa.array([None if x is None else own.decode(x) for x in batch.column(1).to_pylist()], pa.string())],
+                names=["id", "text"]
+            )
         release()
 
     return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "id long, text string")

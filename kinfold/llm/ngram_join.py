@@ -179,7 +179,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, trees: i
                             labels[i] = x
                 rows = pa.array(range(row, row + len(words)), pa.int64())
                 row += len(words)
-                yield pa.record_batch([batch.column(0), rows, batch.column(2), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(tails, pa.list_(pa.int32()))], names=["id", "row", "text_key", "words_key", "heads", "tails"])
+                yield pa.record_batch(
+                    [
+                        batch.column(0), rows, batch.column(2), pa.array(keys, pa.binary()), pa.array(heads, pa.list_(pa.int64())),
+                        pa.array(tails, pa.list_(pa.int32()))
+                    ],
+                    names=["id", "row", "text_key", "words_key", "heads", "tails"]
+                )
         del own
         release()
 
@@ -240,7 +246,9 @@ def _agreeing(tails: np.ndarray, x: np.ndarray, y: np.ndarray, below: int, least
     return out
 
 
-def _levels(heads: np.ndarray, tails: np.ndarray, tree: int, part: np.ndarray, i: int, j: int, stop: int, below: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _levels(
+    heads: np.ndarray, tails: np.ndarray, tree: int, part: np.ndarray, i: int, j: int, stop: int, below: int, least: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """x, y (x < y) and level of the pairs of a unit whose first shared prefix is here.
 
     The rows of a unit share a prefix of the stop depth in ``tree`` and are sorted by their
@@ -315,7 +323,9 @@ def _verify(threshold: float, levels: range, stop: int, depth: int, trees: int,
                     out += _verified(table.slice(a, b - a), threshold, levels, stop, depth, trees, least)
             if out:
                 kinds = [*[pa.int64()] * 4, pa.list_(pa.float64())]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["vertex", "root", "links", "pairs", "unseen"])
+                yield pa.record_batch(
+                    [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["vertex", "root", "links", "pairs", "unseen"]
+                )
         release()
 
     return run
@@ -401,7 +411,12 @@ def components(edges: DataFrame) -> DataFrame:
         up = materialise(live.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("up")).withColumn("moved", F.lit(True)), "up")
         while not up.filter("moved").isEmpty():
             next_up = up.select(F.col("v").alias("w"), F.col("up").alias("far"))
-            last, up = up, materialise(up.join(next_up, up["up"] == next_up["w"], "left").select("v", F.coalesce("far", "up").alias("up"), F.col("far").isNotNull().alias("moved")), "up")
+            last, up = up, materialise(
+                up.join(next_up, up["up"] == next_up["w"], "left").select(
+                    "v", F.coalesce("far", "up").alias("up"), F.col("far").isNotNull().alias("moved")
+                ),
+                "up"
+            )
             discard(last)
         tops = [up.select(F.col("v").alias(f"v{k}"), F.col("up").alias(f"up{k}")) for k in range(3)]
         x, y = F.coalesce("up0", "x"), F.coalesce("up1", "y")
@@ -414,29 +429,44 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, shorten: int = SHORTEN) -> DataFrame:
+def join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, trees: int = TREES,
+    depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK, shorten: int = SHORTEN
+) -> DataFrame:
     """A row per row of ``docs``: id, row, text_key, class_id, n_links and first (it is
     the row of its class with the smallest id, then row)."""
     spark, stop = docs.sparkSession, stop_depth(threshold, recall, trees, depth)
     signs = materialise(signatures(docs, id_col, text_col, width, trees, depth, stop), "signatures")
-    classes = signs.filter("heads is not null").groupBy("words_key").agg(F.min("row").alias("vertex"), F.count(F.lit(1)).alias("size"), F.first("heads").alias("heads"), F.first("tails").alias("tails"))
+    classes = signs.filter("heads is not null").groupBy("words_key").agg(
+        F.min("row").alias("vertex"), F.count(F.lit(1)).alias("size"), F.first("heads").alias("heads"), F.first("tails").alias("tails")
+    )
     classes = materialise(classes, "classes")
     entries = classes.select("vertex", F.posexplode("heads").alias("tree", "label"))
     shared = materialise(entries.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")  # apart, so that a hot label can be split in the join
     # labels of one block are a unit each; the few larger ones are dealt out by block before they multiply
-    one = entries.join(shared.filter(F.col("n") <= block), ["tree", "label"]).select(F.lit(0).alias("i"), F.lit(0).alias("j"), "vertex", "tree", "label", F.lit(0).alias("part"))
+    one = entries.join(shared.filter(F.col("n") <= block), ["tree", "label"]).select(
+        F.lit(0).alias("i"), F.lit(0).alias("j"), "vertex", "tree", "label", F.lit(0).alias("part")
+    )
     blocks = F.ceil(F.col("n") / block).cast("int")
     part = F.pmod(F.xxhash64("vertex", F.lit("part")), blocks).cast("int")
-    hot = entries.join(shared.filter(F.col("n") > block), ["tree", "label"]).select("vertex", "tree", "label", blocks.alias("blocks"), part.alias("part")).repartition("tree", "label", "part")
+    hot = entries.join(shared.filter(F.col("n") > block), ["tree", "label"]).select(
+        "vertex", "tree", "label", blocks.alias("blocks"), part.alias("part")
+    ).repartition("tree", "label", "part")
     many = hot.select("vertex", "tree", "label", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    units = materialise(one.unionByName(many.select(F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "vertex", "tree", "label", "part")), "units")
+    units = materialise(
+        one.unionByName(many.select(F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "vertex", "tree", "label", "part")),
+        "units"
+    )
     discard(shared)
     described = classes.select(F.col("vertex").alias("v"), "heads", "tails", "size")
     full = units.join(described, units["vertex"] == described["v"]).select(*_KEY, "part", "vertex", "heads", "tails")
     tail = F.get("tails", F.col("tree"))
     dealt = full.repartition(*_KEY).sortWithinPartitions(*_KEY, tail, "vertex")
     least = least_agreement(threshold, trees * (depth - stop))
-    wanted = materialise(dealt.mapInArrow(_wanted(stop, depth - stop, shorten, least), "tree int, label long, i int, j int, part int, vertex long, round int"), "wanted")
+    wanted = materialise(
+        dealt.mapInArrow(_wanted(stop, depth - stop, shorten, least), "tree int, label long, i int, j int, part int, vertex long, round int"),
+        "wanted"
+    )
     discard(units)
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,9 +478,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         release()
 
     # the texts of the wanted classes' first rows, whose key is the id and a hash of the text
-    asked = wanted.groupBy("vertex").agg(F.collect_list(F.struct(*_KEY, "part", "round")).alias("units")).join(described, F.col("vertex") == F.col("v")).drop("v")
+    asked = wanted.groupBy("vertex").agg(
+        F.collect_list(F.struct(*_KEY, "part", "round")).alias("units")
+    ).join(described, F.col("vertex") == F.col("v")).drop("v")
     asked = materialise(asked, "asked")
-    keyed = materialise(signs.join(asked.select("vertex"), F.col("row") == F.col("vertex")).select(F.col("id").alias("k"), F.col("text_key").alias("t"), "vertex"), "wants")
+    keyed = materialise(
+        signs.join(asked.select("vertex"), F.col("row") == F.col("vertex")).select(F.col("id").alias("k"), F.col("text_key").alias("t"), "vertex"),
+        "wants"
+    )
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     side = F.broadcast(keyed) if bounded(keyed) else keyed
@@ -464,10 +499,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         level = max(stop, depth - (turn + 1) * shorten + 1)
         if turn in rounds:
             own = F.explode(F.filter("units", lambda u: u["round"] == turn)).alias("u")  # noqa: B023
-            ready = carried.select(own, "vertex", "size", "heads", "tails", "shingles").select(*[f"u.{c}" for c in (*_KEY, "part")], "vertex", "size", "heads", "tails", "shingles")
+            ready = carried.select(own, "vertex", "size", "heads", "tails", "shingles").select(
+                *[f"u.{c}" for c in (*_KEY, "part")], "vertex", "size", "heads", "tails", "shingles"
+            )
             ready = ready.repartition(*_KEY).sortWithinPartitions(*_KEY, tail, "vertex")
             levels = range(level, depth - turn * shorten + 1)
-            verified = ready.mapInArrow(_verify(threshold, levels, stop, depth, trees, least), "vertex long, root long, links long, pairs long, unseen array<double>")
+            verified = ready.mapInArrow(
+                _verify(threshold, levels, stop, depth, trees, least), "vertex long, root long, links long, pairs long, unseen array<double>"
+            )
             found.append(materialise(verified, "links"))
             sums = found[-1].agg(F.sum("pairs"), *[F.sum(F.col("unseen")[k]) for k in range(depth - stop + 1)]).first()
             pairs += sums[0] or 0
@@ -482,11 +521,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     degrees = links.groupBy(F.col("vertex").alias("v")).agg(F.sum("links").alias("links"))
     graph = roots.join(degrees, roots["vertex"] == degrees["v"]).select("vertex", "root", "links")
     known = classes.select("words_key", F.col("vertex").alias("v"), "size").join(graph, F.col("v") == graph["vertex"], "left")
-    known = known.select(F.col("words_key").alias("key"), F.coalesce("root", "v").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    rows = materialise(signs.join(known, signs["words_key"] == known["key"], "left").select("id", "row", "text_key", F.coalesce("root", "row").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "rows")
+    known = known.select(
+        F.col("words_key").alias("key"), F.coalesce("root", "v").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")
+    )
+    rows = materialise(
+        signs.join(known, signs["words_key"] == known["key"], "left").select(
+            "id", "row", "text_key", F.coalesce("root", "row").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        ),
+        "rows"
+    )
     discard(signs, classes, wanted, carried, *found)
     heads = materialise(rows.groupBy(F.col("root").alias("of")).agg(F.min(F.struct("id", "row")).alias("head")), "heads")  # apart, so that a hot class can be split in the join
-    return rows.join(heads, rows["root"] == heads["of"]).select("id", "row", "text_key", F.col("head.id").alias("class_id"), "n_links", (F.col("row") == F.col("head.row")).alias("first"))
+    return rows.join(heads, rows["root"] == heads["of"]).select(
+        "id", "row", "text_key", F.col("head.id").alias("class_id"), "n_links", (F.col("row") == F.col("head.row")).alias("first")
+    )
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -144,7 +144,9 @@ class Finder:
         return sorted(out)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: tuple[Notice, ...] = NOTICES, base: dict[str, str] | None = None) -> DataFrame:
+def scan(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: tuple[Notice, ...] = NOTICES, base: dict[str, str] | None = None
+) -> DataFrame:
     """A row per row of ``docs``: id, n_words, n_base, first_word, last_word, base_labels,
     labels, score, and the places in ``finds``, whose start and end are characters of the
     text as it is."""
@@ -162,11 +164,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notice
         release()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return narrow.mapInArrow(search, f"id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, finds array<{FIND}>")
+    return narrow.mapInArrow(
+        search,
+        f"id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, finds array<{FIND}>"
+    )
 
 
 _COLUMNS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "finds"]
-_FINDS = pa.list_(pa.struct([("label", pa.string()), ("notice", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32()), ("similarity", pa.float64()), ("base", pa.bool_())]))
+_FINDS = pa.list_(
+    pa.struct(
+        [
+            ("label", pa.string()), ("notice", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("start", pa.int64()),
+            ("end", pa.int64()), ("edits", pa.int32()), ("similarity", pa.float64()), ("base", pa.bool_())
+        ]
+    )
+)
 
 
 def finder_row(finder: Finder, text: str, original: pa.Scalar) -> tuple:
@@ -188,7 +200,12 @@ def finder_row(finder: Finder, text: str, original: pa.Scalar) -> tuple:
         else:
             phrase, label = finder.notices[k].whole, finder.notices[k].label
             similarity = 1 - edits / len(phrase)
-        finds.append({"label": label, "notice": phrase, "first_word": word, "n_words": n, "start": spans[word][0], "end": spans[word + n - 1][1], "edits": edits, "similarity": similarity, "base": k < 0})
+        finds.append(
+            {
+                "label": label, "notice": phrase, "first_word": word, "n_words": n, "start": spans[word][0], "end": spans[word + n - 1][1],
+                "edits": edits, "similarity": similarity, "base": k < 0
+            }
+        )
     own = [f for f in finds if f["base"]]
     firsts = [f["first_word"] for f in own]
     labels = [",".join(sorted({f["label"] for f in part})) for part in (own, finds)]

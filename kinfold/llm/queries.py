@@ -22,12 +22,18 @@ def op2_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels)
     scored = toxicity.judge(docs, model)
-    return scored.select(F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_offending", "worst_start", "worst_end", "worst_probability")
+    return scored.select(
+        F.col("id").alias("doc_id"), toxicity.held_out(F.col("id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "n_offending", "worst_start", "worst_end", "worst_probability"
+    )
 
 
 def op3_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.repeats(table(spark, sf_dir, "documents"), by="both", least_words=3)
-    return found.select(F.col("id").alias("doc_id"), "unit", "start", "end", "n_words", "digest", F.col("first_id").alias("keep_id"), F.col("first_unit").alias("keep_unit"), F.col("first_start").alias("keep_start"), F.col("first_end").alias("keep_end"), "group_size")
+    return found.select(
+        F.col("id").alias("doc_id"), "unit", "start", "end", "n_words", "digest", F.col("first_id").alias("keep_id"),
+        F.col("first_unit").alias("keep_unit"), F.col("first_start").alias("keep_start"), F.col("first_end").alias("keep_end"), "group_size"
+    )
 
 
 def op4_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +52,10 @@ def op7_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = curriculum.assign(table(spark, sf_dir, "documents"))
     first, second = (F.round(F.get("positions", F.lit(k)), 9) for k in (0, 1))
     taken = (F.col("size") * F.size("positions")).alias("taken")
-    found = placed.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), taken, first.alias("position"), second.alias("second_position"))
+    found = placed.select(
+        F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), taken, first.alias("position"),
+        second.alias("second_position")
+    )
     return found.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
@@ -66,7 +75,10 @@ def op10_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_fuzzy_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = notices.scan(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("finds").cast("long").alias("n_finds"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+        F.size("finds").cast("long").alias("n_finds")
+    )
 
 
 def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +100,12 @@ def op13_heavy_light(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bit_planes, op2_noisy_or, op3_line_hashing, op4_forest_join, op5_url_automaton, op6_merge_dropout, op7_curriculum, op8_decision_list, op9_tool_calls, op10_chunk_recipes, op11_fuzzy_notices, license_phrases, op12_two_pass_whitening, embedding_deviations, op13_heavy_light)}
+    return {
+        f.__name__: f for f in (
+            op1_bit_planes, op2_noisy_or, op3_line_hashing, op4_forest_join, op5_url_automaton, op6_merge_dropout, op7_curriculum, op8_decision_list,
+            op9_tool_calls, op10_chunk_recipes, op11_fuzzy_notices, license_phrases, op12_two_pass_whitening, embedding_deviations, op13_heavy_light
+        )
+    }
 
 
 _ALLOW_BLOCK = """CASE

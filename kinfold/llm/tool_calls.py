@@ -42,7 +42,10 @@ from .common import materialise
 
 #: Of each tool the fields of its arguments: type and whether one is needed.
 SCHEMAS: Mapping[str, Mapping[str, tuple[str, bool]]] = {"reply": {"prompt": ("string", True), "turn": ("integer", True)}}
-_TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY<.*", "object": "^OBJECT<.*"}
+_TYPES = {
+    "string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$", "boolean": "^BOOLEAN$", "array": "^ARRAY<.*",
+    "object": "^OBJECT<.*"
+}
 _CALL = "struct<tool_calls: array<struct<id: string, name: string, arguments: string, after: array<string>>>, tool_call_id: string, content: string>"
 
 
@@ -68,13 +71,19 @@ def problem(name: Column, arguments: Column, schemas: Mapping[str, Mapping[str,
 
 def events(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv, turn, seq, role, kind (call, result or message), call_id, name, arguments, after, content."""
-    narrow = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    narrow = turns.select(
+        F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    )
     looks = F.col("text").rlike(r'^\s*\{') & (F.instr("text", '"tool_call') > 0)
     read = narrow.withColumn("j", F.when(looks, F.from_json("text", _CALL)))
     null = F.lit(None).cast("string")
 
     def one(kind: Column | str, call_id: Column, name: Column, arguments: Column, after: Column, content: Column) -> Column:
-        return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), F.nullif(call_id, F.lit("")).alias("call_id"), name.alias("name"), arguments.alias("arguments"), after.alias("after"), content.alias("content"))
+        return F.struct(
+            (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), F.nullif(call_id, F.lit("")).alias("call_id"), name.alias("name"),
+            arguments.alias("arguments"), after.alias("after"), content.alias("content")
+        )
 
     nothing = F.array().cast("array<string>")
     label = lambda n: F.concat(F.lit("turn:"), n.cast("string"))
@@ -82,8 +91,12 @@ def events(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     call = one("call", label(F.col("turn")), F.lit("reply"), told, nothing, null)
     result = one("result", label(F.col("turn") - 1), null, null, nothing, F.col("text"))
     message = one("message", null, null, null, nothing, F.col("text"))
-    calls = F.transform("j.tool_calls", lambda c: one("call", c["id"], c["name"], F.coalesce(c["arguments"], F.lit("{}")), F.coalesce(c["after"], nothing), null))
-    found = F.when(F.size("j.tool_calls") > 0, calls).when(F.col("j.tool_call_id").isNotNull(), F.array(one("result", F.col("j.tool_call_id"), null, null, nothing, F.col("j.content"))))
+    calls = F.transform(
+        "j.tool_calls", lambda c: one("call", c["id"], c["name"], F.coalesce(c["arguments"], F.lit("{}")), F.coalesce(c["after"], nothing), null)
+    )
+    found = F.when(F.size("j.tool_calls") > 0, calls).when(
+        F.col("j.tool_call_id").isNotNull(), F.array(one("result", F.col("j.tool_call_id"), null, null, nothing, F.col("j.content")))
+    )
     plain = F.when(F.col("role") == "user", F.array(call)).when(F.col("role") == "assistant", F.array(result)).otherwise(F.array(message))
     return read.select("conv", "turn", "role", F.posexplode(F.coalesce(found, plain)).alias("seq", "e")).select("conv", "turn", "seq", "role", "e.*")
 
@@ -92,18 +105,46 @@ def link(turns: DataFrame, schemas: Mapping[str, Mapping[str, tuple[str, bool]]]
     """A row for each event: conv, turn, seq, kind, call_id, status, problem, rank, hop, json."""
     plain = events(turns, **columns).distinct()
     body = F.coalesce(F.col("arguments"), F.col("content"), F.lit(""))
-    found = plain.withColumn("key", F.sha2(F.concat_ws("\x00", F.coalesce(F.col("conv").cast("string"), F.lit("null")), F.coalesce(F.col("turn").cast("string"), F.lit("null")), F.col("seq").cast("string"), "role", "kind", F.coalesce("call_id", F.lit("")), F.coalesce("name", F.lit("")), F.concat_ws("\x01", "after"), body), 256))
+    found = plain.withColumn(
+        "key",
+        F.sha2(
+            F.concat_ws(
+                "\x00", F.coalesce(F.col("conv").cast("string"), F.lit("null")), F.coalesce(F.col("turn").cast("string"), F.lit("null")),
+                F.col("seq").cast("string"), "role", "kind", F.coalesce("call_id", F.lit("")), F.coalesce("name", F.lit("")),
+                F.concat_ws("\x01", "after"), body
+            ),
+            256
+        )
+    )
     rank = F.struct(F.col("turn"), F.col("seq"), F.col("key"))
-    firsts = found.filter("call_id is not null").groupBy(F.col("conv").alias("c"), F.col("call_id").alias("i")).agg(F.min(F.when(F.col("kind") == "call", rank)).alias("first_call"), F.min(F.when(F.col("kind") == "result", rank)).alias("first_result"))
+    firsts = found.filter("call_id is not null").groupBy(F.col("conv").alias("c"), F.col("call_id").alias("i")).agg(
+        F.min(F.when(F.col("kind") == "call", rank)).alias("first_call"), F.min(F.when(F.col("kind") == "result", rank)).alias("first_result")
+    )
     met = found.join(firsts.hint("shuffle_hash"), F.col("conv").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("i")), "left").drop("c", "i")
     own = F.when(F.col("kind") == "call", F.col("first_call.key")).otherwise(F.col("first_result.key"))
     other = F.when(F.col("kind") == "call", F.col("first_result.key")).otherwise(F.col("first_call.key"))
-    status = F.when(F.col("kind") == "message", "message").when(own != F.col("key"), "duplicate").when(other.isNotNull(), "linked").when(F.col("kind") == "call", "unanswered").otherwise("orphan")
+    status = F.when(
+        F.col("kind") == "message", "message"
+    ).when(own != F.col("key"), "duplicate").when(other.isNotNull(), "linked").when(F.col("kind") == "call", "unanswered").otherwise("orphan")
     wrong = F.when(F.col("kind") == "call", problem(F.col("name"), F.col("arguments"), schemas))
-    linked = materialise(met.select("conv", "turn", "seq", "role", "kind", "call_id", "name", "arguments", "content", "after", "key", F.col("first_call.key").alias("call_key"), F.col("first_call.turn").alias("call_turn"), status.alias("status"), wrong.alias("problem")), "linked")
+    linked = materialise(
+        met.select(
+            "conv", "turn", "seq", "role", "kind", "call_id", "name", "arguments", "content", "after", "key",
+            F.col("first_call.key").alias("call_key"), F.col("first_call.turn").alias("call_turn"), status.alias("status"), wrong.alias("problem")
+        ),
+        "linked"
+    )
     placed = _placed(linked)
-    record = F.to_json(F.struct(F.expr("CASE WHEN kind = 'call' THEN coalesce(try_parse_json(arguments), parse_json('null')) END").alias("arguments"), F.col("call_id"), F.when(F.col("kind") != "call", F.coalesce("content", F.lit(""))).alias("content"), "kind", "name", "role", "status"))
-    return placed.select("conv", "turn", "seq", "kind", "call_id", F.when(F.col("rank").isNull(), "cycle").otherwise(F.col("status")).alias("status"), "problem", "rank", "hop", record.alias("json"))
+    record = F.to_json(
+        F.struct(
+            F.expr("CASE WHEN kind = 'call' THEN coalesce(try_parse_json(arguments), parse_json('null')) END").alias("arguments"), F.col("call_id"),
+            F.when(F.col("kind") != "call", F.coalesce("content", F.lit(""))).alias("content"), "kind", "name", "role", "status"
+        )
+    )
+    return placed.select(
+        "conv", "turn", "seq", "kind", "call_id", F.when(F.col("rank").isNull(), "cycle").otherwise(F.col("status")).alias("status"), "problem",
+        "rank", "hop", record.alias("json")
+    )
 
 
 def _later(place: Column, hops: Column) -> Column:
@@ -116,7 +157,9 @@ def _placed(linked: DataFrame) -> DataFrame:
     rank = F.coalesce("turn", F.lit(-1)).cast("long")
     own = F.struct(rank.alias("rank"), F.lit(0).cast("long").alias("hop"))
     answered = linked.filter("kind = 'result' and status = 'linked'")
-    depends = answered.select("conv", F.col("key").alias("later"), F.col("call_key").alias("sooner"), F.coalesce("call_turn", F.lit(-1)).alias("from"), rank.alias("to"))
+    depends = answered.select(
+        "conv", F.col("key").alias("later"), F.col("call_key").alias("sooner"), F.coalesce("call_turn", F.lit(-1)).alias("from"), rank.alias("to")
+    )
     wants = linked.select(F.col("conv").alias("c"), F.col("key").alias("later"), rank.alias("to"), F.explode("after").alias("i"))
     results = answered.select("conv", "call_id", F.col("key").alias("sooner"), rank.alias("from"))
     wants = wants.join(results, F.col("c").eqNullSafe(F.col("conv")) & (F.col("i") == F.col("call_id"))).select("conv", "later", "sooner", "from", "to")
@@ -144,7 +187,12 @@ def _settled(events: DataFrame, edges: DataFrame) -> DataFrame:
     while True:
         # events by how many dependencies they have left
         counted = edges.groupBy("later").agg(F.count(F.lit(1)).alias("n"), F.min("sooner").alias("sooner"), F.min("hops").alias("hops"))
-        found = materialise(events.join(counted, events["key"] == counted["later"], "left").select("key", "place", F.coalesce("n", F.lit(0)).alias("n"), "sooner", "hops"), "counted")
+        found = materialise(
+            events.join(counted, events["key"] == counted["later"], "left").select(
+                "key", "place", F.coalesce("n", F.lit(0)).alias("n"), "sooner", "hops"
+            ),
+            "counted"
+        )
         free = found.filter("n = 0").select("key", "place")
         chain = _shortened(found.filter("n = 1").select("key", "sooner", "hops", "place"))
         several = found.filter("n > 1").select("key", "place")
@@ -155,12 +203,19 @@ def _settled(events: DataFrame, edges: DataFrame) -> DataFrame:
         # dependencies on a chain pass to where the chain begins, those on settled events into the place
         joined = edges.join(several.select(F.col("key").alias("later")), "later")
         short = chain.select(F.col("key").alias("sooner"), F.col("sooner").alias("start"), F.col("hops").alias("more"), F.col("place").alias("least"))
-        passed = joined.join(short, "sooner", "left").select("later", F.coalesce("start", "sooner").alias("sooner"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), _later(F.col("least"), F.col("hops")).alias("push"), F.col("least").isNotNull().alias("pushed"))
+        passed = joined.join(short, "sooner", "left").select(
+            "later", F.coalesce("start", "sooner").alias("sooner"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"),
+            _later(F.col("least"), F.col("hops")).alias("push"), F.col("least").isNotNull().alias("pushed")
+        )
         known = free.select(F.col("key").alias("sooner"), F.col("place").alias("settled"))
         passed = materialise(passed.join(known, "sooner", "left").withColumn("open", F.col("settled").isNull()), "passed")
-        pushes = passed.select("later", F.greatest(F.when(F.col("pushed"), F.col("push")), F.when(~F.col("open"), _later(F.col("settled"), F.col("hops")))).alias("push"))
+        pushes = passed.select(
+            "later", F.greatest(F.when(F.col("pushed"), F.col("push")), F.when(~F.col("open"), _later(F.col("settled"), F.col("hops")))).alias("push")
+        )
         pushes = pushes.groupBy("later").agg(F.max("push").alias("push"))
-        events = materialise(several.join(pushes, several["key"] == pushes["later"], "left").select("key", F.greatest("place", "push").alias("place")), "events")
+        events = materialise(
+            several.join(pushes, several["key"] == pushes["later"], "left").select("key", F.greatest("place", "push").alias("place")), "events"
+        )
         edges = materialise(passed.filter("open").groupBy("later", "sooner").agg(F.max("hops").alias("hops")), "dependencies")
         fewer = edges.groupBy("later").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").count()
         if fewer == events.count():

@@ -137,15 +137,22 @@ def fit(texts: list[str], toxic: np.ndarray, most_features: int = MOST_FEATURES,
     return NoisyOr({word: float(x) for word, x in zip(vocabulary, w, strict=True)}, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> NoisyOr:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
+    sample_chars: int = SAMPLE_CHARS
+) -> NoisyOr:
     """Fit on labelled rows that are not held out; labels are the only other input."""
-    known = labels.select(F.col("doc_id").cast("long").alias("__of"), F.col("toxic").alias("__toxic")).filter("__toxic is not null").filter(~held_out(F.col("__of")))
+    known = labels.select(
+        F.col("doc_id").cast("long").alias("__of"), F.col("toxic").alias("__toxic")
+    ).filter("__toxic is not null").filter(~held_out(F.col("__of")))
     known = known.groupBy("__of").agg(F.max("__toxic").alias("__toxic")).orderBy(F.xxhash64("__of"), "__of").limit(sample_rows)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), text.alias("__text"), F.xxhash64(text).alias("__hash"))
     met = rows.join(F.broadcast(known), F.col("__id") == F.col("__of"))
     # of rows of one id the shortest text; numbers alone, a row an id of the sample
-    sized = met.groupBy("__id", "__toxic").agg(F.min(F.struct(F.length("__text").alias("n"), F.col("__hash").alias("h"))).alias("x")).select("__id", "__toxic", "x.n", "x.h")
+    sized = met.groupBy("__id", "__toxic").agg(
+        F.min(F.struct(F.length("__text").alias("n"), F.col("__hash").alias("h"))).alias("x")
+    ).select("__id", "__toxic", "x.n", "x.h")
     # giants last; a window over sample_rows rows at most
     order = Window.orderBy(F.col("n") > sample_chars // 100, F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fits = sized.withColumn("__chars", F.sum("n").over(order)).filter(F.col("__chars") <= sample_chars)
@@ -163,7 +170,9 @@ def score_column(model: NoisyOr, text: Column) -> Column:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(spark_free)
         for texts in batches:
-            yield pa.array(np.concatenate([np.zeros(0), *[scorer.scores([t or "" for t in texts.slice(a, 500).to_pylist()]) for a in range(0, len(texts), 500)]]))
+            yield pa.array(
+                np.concatenate([np.zeros(0), *[scorer.scores([t or "" for t in texts.slice(a, 500).to_pylist()]) for a in range(0, len(texts), 500)]])
+            )
         del scorer
         release()
 
@@ -200,7 +209,9 @@ class Scorer:
 
 def detect(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score of each row."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("score", score_column(model, F.col("text"))).select("id", "score")
+    return docs.select(
+        F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
+    ).withColumn("score", score_column(model, F.col("text"))).select("id", "score")
 
 
 def judge(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -217,13 +228,18 @@ def judge(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str
                 # a sentence offends only where the whole does, since noisy-or is no less than any of its parts
                 found = [model.offending(t, least) if s >= least else [] for t, s in zip(texts, scores.tolist(), strict=True)]
                 worst = [max(f, key=lambda x: (x[2], -x[0])) if f else (None, None, None) for f in found]
-                columns = [pa.array(scores), pa.array([len(f) for f in found], pa.int64()), *[pa.array([w[k] for w in worst], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]]
+                columns = [
+                    pa.array(scores), pa.array([len(f) for f in found], pa.int64()),
+                    *[pa.array([w[k] for w in worst], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+                ]
                 yield pa.record_batch([batch.column(0), *columns], names=["id", "score", "n_offending", "worst_start", "worst_end", "worst_probability"])
         del scorer
         release()
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).mapInArrow(look, "id long, score double, n_offending long, worst_start long, worst_end long, worst_probability double")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).mapInArrow(
+        look, "id long, score double, n_offending long, worst_start long, worst_end long, worst_probability double"
+    )
 
 
 def locate(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -231,11 +247,20 @@ def locate(docs: DataFrame, model: NoisyOr, id_col: str = "doc_id", text_col: st
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # rows of found sentences alone are held
-            rows = [(i, a, b, p) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for a, b, p in model.offending(t or "", least)]
+            rows = [
+                (i, a, b, p) for i, t in zip(
+                    batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True
+                ) for a, b, p in model.offending(t or "", least)
+            ]
             if rows:
-                yield pa.record_batch([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["id", "start", "end", "probability"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(find, "id long, start long, end long, probability double")
+                yield pa.record_batch(
+                    [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)],
+                    names=["id", "start", "end", "probability"]
+                )
+
+    return docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")
+    ).mapInArrow(find, "id long, start long, end long, probability double")
 
 
 def without_toxic(docs: DataFrame, model: NoisyOr, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

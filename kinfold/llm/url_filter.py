@@ -43,9 +43,16 @@ def host_rule(target: str, verdict: str) -> UrlRule:
 
 
 #: Host and path rules, longest first by priority.
-HOST_RULES = (host_rule("com/", "allow"), host_rule("example.com/en/", "block"), host_rule("www.example.com/en/", "allow"), host_rule("net/es/", "block"), host_rule("net/fr/", "block"))
+HOST_RULES = (
+    host_rule("com/", "allow"), host_rule("example.com/en/", "block"), host_rule("www.example.com/en/", "allow"), host_rule("net/es/", "block"),
+    host_rule("net/fr/", "block")
+)
 #: Patterns that block what no host rule judges: binaries and archives, log-in and basket pages, hosts in punycode.
-GLOB_RULES = tuple(UrlRule(None, g, "block", 1) for g in ("**.exe", "**.zip", "**.iso", "**.mp4", "*/login/**", "*/**/login/**", "*/cart/**", "*/**/cart/**", "*.xn--*/**"))
+GLOB_RULES = tuple(
+    UrlRule(None, g, "block", 1) for g in (
+        "**.exe", "**.zip", "**.iso", "**.mp4", "*/login/**", "*/**/login/**", "*/cart/**", "*/**/cart/**", "*.xn--*/**"
+    )
+)
 DEFAULT = "allow"
 
 
@@ -62,7 +69,9 @@ class Automaton:
             symbols.append(("start", ""))
             while i < len(g):
                 if g.startswith("**", i):
-                    symbols[-1] = (symbols[-1][0], symbols[-1][1]) if symbols[-1][0].endswith("+any") else (symbols[-1][0].split("+")[0] + "+any", symbols[-1][1])
+                    symbols[-1] = (symbols[-1][0], symbols[-1][1]) if symbols[-1][0].endswith("+any") else (
+                        symbols[-1][0].split("+")[0] + "+any", symbols[-1][1]
+                    )
                     i += 2
                 elif g[i] == "*":
                     if "+" not in symbols[-1][0]:
@@ -140,7 +149,10 @@ class Automaton:
         return out
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", host_rules: Sequence[UrlRule] = HOST_RULES, glob_rules: Sequence[UrlRule] = GLOB_RULES, default: str = DEFAULT) -> DataFrame:
+def filter_urls(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", host_rules: Sequence[UrlRule] = HOST_RULES,
+    glob_rules: Sequence[UrlRule] = GLOB_RULES, default: str = DEFAULT
+) -> DataFrame:
     """id, host, path, rule (name of the host rule that wins, else null) and verdict of each page."""
     rules = [*host_rules, *glob_rules]
     url = F.col(url_col).cast("string")
@@ -155,7 +167,10 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         verdicts = np.array([r.verdict for r in rules] + [default], dtype=object)
         for batch in (whole.slice(a, 4096) for whole in batches for a in range(0, whole.num_rows, 4096)):
             won = automaton.match([f".{h}{p}" if h else "" for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)])
-            yield pa.record_batch([*batch.columns, pa.array(names[won], schema[0].type), pa.array(verdicts[won], schema[1].type)], names=["id", "host", "path", "rule", "verdict"])
+            yield pa.record_batch(
+                [*batch.columns, pa.array(names[won], schema[0].type), pa.array(verdicts[won], schema[1].type)],
+                names=["id", "host", "path", "rule", "verdict"]
+            )
 
     narrow = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
     return narrow.mapInArrow(judge, "id long, host string, path string, rule string, verdict string")

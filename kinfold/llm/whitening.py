@@ -129,7 +129,9 @@ def _summed(fits: DataFrame, d: int, shape: tuple[int, ...], whole: bool, of) ->
             for at in range(0, batch.num_rows, BLOCK):
                 total = total + of(_unpacked(batch.column(0).slice(at, BLOCK), d))
         parts = [str(v) for v in total.ravel()] if whole else None
-        yield pa.record_batch([pa.array([parts], pa.list_(pa.string())), pa.array([b"" if whole else total.tobytes()], pa.binary())], names=["numbers", "bytes"])
+        yield pa.record_batch(
+            [pa.array([parts], pa.list_(pa.string())), pa.array([b"" if whole else total.tobytes()], pa.binary())], names=["numbers", "bytes"]
+        )
         release()
 
     def read(row) -> np.ndarray:
@@ -198,7 +200,10 @@ def transform(vectors: DataFrame, model: Whitening, id_col: str = "vec_id", vect
                 else:  # numbers of any size
                     deviation = [v if v <= _LARGEST else None for v in ((m.n * x.astype(object) - np.array(m.sums, object)) ** 2).sum(axis=1)]
                 whitened = pa.FixedSizeListArray.from_arrays(pa.array(((x - mean) @ onto).ravel()), k).cast(pa.list_(pa.float64()))
-                yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array(np.full(len(x), m.n)), pa.array(deviation, pa.int64()), whitened], names=["id", "n", "deviation", "whitened"])
+                yield pa.record_batch(
+                    [batch.column(0).take(pa.array(rows)), pa.array(np.full(len(x), m.n)), pa.array(deviation, pa.int64()), whitened],
+                    names=["id", "n", "deviation", "whitened"]
+                )
         release()
 
     narrow = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -214,4 +219,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         return vectors.sparkSession.createDataFrame([], kind)
     shares = F.array(*[F.lit(float(v / model.trace)) for v in model.values])
     rows = transform(vectors, model, id_col, vector_col).select("id", "n", "deviation", F.posexplode("whitened").alias("at", "whitened"))
-    return rows.select("id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get(shares, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+    return rows.select(
+        "id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get(shares, F.col("at")).alias("explained"),
+        F.lit(model.identity_error).alias("identity_error")
+    )
