@@ -20,25 +20,44 @@ Defined results:
   same words, and the words of all that is removed stand at a lower rank;
 * offsets are characters of the original text, the end excluding the line break;
 * null and empty texts have no units; further columns are never read.
+
+Passages that repeat across documents, whatever lines they stand in, come from
+:func:`passages`: the words of a text are one long line, cut at no break but hashed as
+lines of ``stretch`` words from each word on. Of the lines within any ``passage`` words
+in a row the one of least digest is kept, so that equal passages keep equal lines, and
+kept lines are grouped as above, in the document that stays as well as in the others:
+
+* a passage of ``passage`` words or more that stands in two documents is always found,
+  with at most ``passage - stretch`` words lost at either end; what is found repeats for
+  ``stretch`` words at least (by digests of 64 bits);
+* found lines that overlap or touch are one passage; its ``keep_id`` is the smallest id
+  that has any of them, null before others;
+* a passage repeated inside one document alone is none.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, release
 
 #: Words that a unit needs to be a passage.
 LEAST_WORDS = 20
+#: Words of a passage that is found in whatever lines it stands, and of the lines that it is found by.
+PASSAGE, STRETCH = 50, 40
+#: Words whose hashes a task remembers at most between batches.
+REMEMBERED = 100_000
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _SPLIT = {"line": regex.compile(r"[^\n]+"), "paragraph": regex.compile(r"(?:[^\n]+\n?)+"), "both": regex.compile(r"[^\n]+")}
 _UNITS = "id long, body long, unit int, start long, end long, n_words int, digest binary"
@@ -127,6 +146,102 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by:
     return again.select("id", "body", "unit", "start", "end", "n_words", F.hex("digest").alias("digest"), *kept, "group_size")
 
 
+class _Hashes(dict):
+    """Hash of each word in normal form, remembered."""
+
+    def __missing__(self, word: str) -> int:
+        normal_form = word.lower() if word.isascii() else unicodedata.normalize("NFKC", word).casefold()
+        found = self[word] = xxhash.xxh3_64_intdigest(normal_form.encode())
+        return found
+
+
+@functools.cache
+def _word_characters() -> np.ndarray:
+    """For each code point, whether words have it."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    out = np.zeros(0x110000, bool)
+    for m in WORD.finditer(every):
+        out[ord(every[m.start()]) : ord(every[m.end() - 1]) + 1] = True
+    out[0xD800:0xE000] = False
+    return out
+
+
+def _digests(words: np.ndarray, length: int) -> np.ndarray:
+    """Digest of the ``length`` words from each word on."""
+    factor, out = np.uint64(0x9E3779B97F4A7C15), np.zeros(len(words) - length + 1, np.uint64)
+    for k in range(length):
+        out *= factor
+        out += words[k : k + len(out)]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(29))
+
+
+def stretches_of(texts: list[str], passage: int, stretch: int, hashes: _Hashes) -> tuple[np.ndarray, ...]:
+    """(text's number, first word, end word, start, end, digest) of the lines kept."""
+    joined = "\n".join(texts)
+    inside = np.zeros(len(joined) + 2, np.int8)
+    inside[1:-1] = _word_characters()[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
+    edges = np.diff(inside)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if len(starts) < passage:
+        return (np.zeros(0, np.int64),) * 5 + (np.zeros(0, np.uint64),)
+    words = np.fromiter((hashes[joined[a:b]] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
+    text = np.searchsorted(begins, starts, "right") - 1
+    digests = _digests(words, stretch)
+    windows = np.lib.stride_tricks.sliding_window_view(digests, passage - stretch + 1)
+    at = np.arange(len(windows)) + windows.argmin(axis=1)
+    at = np.unique(at[text[: len(windows)] == text[passage - 1 :]])  # windows within one text
+    last, own = at + stretch - 1, text[at]
+    first_word = at - np.searchsorted(text, own)
+    return own, first_word, first_word + stretch, starts[at] - begins[own], ends[last] - begins[own], digests[at]
+
+
+def stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, stretch: int = STRETCH) -> DataFrame:
+    """The lines of ``stretch`` words that stand for every text's passages; see the module."""
+    if not 1 <= stretch <= passage:
+        raise ValueError(f"lines of {stretch} words do not fit passages of {passage}")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in (whole.slice(a, 200) for whole in batches for a in range(0, whole.num_rows, 200)):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            own, *places, digests = stretches_of(texts, passage, stretch, hashes)
+            bodies = np.zeros(len(texts), np.int64)
+            for i in np.unique(own):
+                bodies[i] = xxhash.xxh3_64_intdigest(texts[i].encode()) - (1 << 63)
+            columns = [batch.column(0).take(pa.array(own)), pa.array(bodies[own]), *(pa.array(x.astype(np.int64)) for x in places)]
+            yield pa.record_batch([*columns, pa.array(digests.view(np.int64))], names=["id", "body", "first_word", "end_word", "start", "end", "digest"])
+            if len(hashes) > REMEMBERED:
+                hashes.clear()
+        release()
+
+    kinds = "id long, body long, first_word long, end_word long, start long, end long, digest long"
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(find, kinds)
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, stretch: int = STRETCH) -> DataFrame:
+    """A row for each passage that repeats across documents, in each document that has it:
+    id, body, start, end, n_words and keep_id (its own id where it stays)."""
+    found = materialise(stretches(docs, id_col, text_col, passage, stretch), "stretches")
+    document = F.xxhash64("id", "body")
+    groups = found.groupBy("digest").agg(
+        F.min(document).alias("one"), F.max(document).alias("other"), F.min("id").alias("least"), F.max(F.col("id").isNull()).alias("nameless")
+    )
+    groups = groups.filter("one != other").select("digest", "nameless", F.when(~F.col("nameless"), F.col("least")).alias("first"))
+    shared = found.join(materialise(groups, "shared"), "digest")
+    before = Window.partitionBy("id", "body").orderBy("first_word", "end_word")
+    reach = F.max("end_word").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    apart = shared.withColumn("apart", F.when(F.col("first_word") <= reach, 0).otherwise(1))
+    placed = apart.withColumn("number", F.sum("apart").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    ranges = placed.groupBy("id", "body", "number").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("end_word") - F.min("first_word")).alias("n_words"),
+        F.min("first").alias("first"), F.max("nameless").alias("nameless")
+    )
+    return ranges.select("id", "body", "start", "end", "n_words", F.when(~F.col("nameless"), F.col("first")).alias("keep_id"))
+
+
 def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the spans in ``found`` cut from their texts; a line goes with its break."""
 

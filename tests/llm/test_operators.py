@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -228,6 +229,61 @@ def test_query_reports_every_line_of_three_words(spark, table, sf_dir):
     assert all("\n" in dict(rows)[i][a:b] for i, _, a, b in found - brute_lines(rows, 3))
 
 
+def brute_runs(rows, length):
+    """Places (id, start, end) of each run of words that another document has as well."""
+    where, places = defaultdict(set), defaultdict(list)
+    for i, t in rows:
+        found = [(m.span(), unicodedata.normalize("NFKC", m[0]).casefold()) for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", t or "")]
+        for k in range(len(found) - length + 1):
+            key = tuple(w for _, w in found[k : k + length])
+            where[key].add(i)
+            places[key].append((i, found[k][0][0], found[k + length - 1][0][1]))
+    return {p for key, ids in where.items() if len(ids) > 1 for p in places[key]}
+
+
+def test_query_reports_every_passage_in_every_document(spark, table, sf_dir):
+    """Every run of 50 words that repeats across documents overlaps a passage of its document, in whatever lines it stands,
+    where it stays too; what is reported repeats for 40 words at least."""
+    rows = [tuple(r) for r in table.select("doc_id", "text").collect()]
+    found = defaultdict(list)
+    for i, a, b in got(op3_line_hashing(spark, sf_dir).filter("passage"), "doc_id", "passage_start", "passage_end"):
+        found[i].append((a, b))
+    runs, shorter = brute_runs(rows, 50), brute_runs(rows, 40)
+    assert runs and any("\n" not in dict(rows)[i][a:b] for i, a, b in runs)
+    assert all(any(a < y and x < b for x, y in found[i]) for i, a, b in runs)
+    at = {(i, a) for i, a, _ in shorter}, {(i, b) for i, _, b in shorter}
+    assert all((i, x) in at[0] and (i, y) in at[1] for i, spans in found.items() for x, y in spans)
+
+
+def test_passages_inside_lines(spark):
+    """Passages that share no line: inside a longer line, wrapped, in other case and composition, with odd rows beside them."""
+    w = words(60, 7).split()
+    w[30] = "déjà"
+    passage, own = " ".join(w), [words(70, k) for k in range(8, 13)]
+    wrapped = "\n".join(" ".join(w[k : k + 7]) for k in range(0, 60, 7)).upper()
+    rows = [
+        (1, f"{own[0]} {passage}, {own[1]}", "s"), (2, f"{own[2]} {wrapped}; {own[3]}", "s"),
+        (3, unicodedata.normalize("NFD", f"ä {passage} end"), "s"), (3, unicodedata.normalize("NFD", f"ä {passage} end"), "s"),
+        (4, f"{own[4]} x {own[4]}", "s"), (5, " ".join(w[:39]), "s"), (6, None, "s"), (7, "", "s"), (8, words(400, 40), "s"),
+    ]
+    found = line_dedup.passages(docs(spark, rows))
+    texts = {i: t for i, t, _ in rows}
+    spans = got(found, "id", "start", "end", "keep_id")
+    assert [(i, k) for i, _, _, k in spans] == [(1, 1), (2, 1), (3, 1)]
+    folded = unicodedata.normalize("NFC", passage).casefold()
+    for i, a, b, _ in spans:
+        cut = " ".join(unicodedata.normalize("NFC", texts[i][a:b]).casefold().split())
+        assert cut in folded and len(cut.split()) >= 40
+    assert {r["n_words"] for r in found.collect()} == {len(texts[1][spans[0][1] : spans[0][2]].split())}
+    assert got(line_dedup.passages(docs(spark, [*rows, (None, passage, "s")])), "id", "keep_id") == [(None, None), (1, None), (2, None), (3, None)]
+    again = line_dedup.remove(docs(spark, rows), found.filter("not id <=> keep_id"))
+    assert line_dedup.passages(again).count() == 0 and again.count() == len(rows)
+    short = line_dedup.passages(docs(spark, [(1, " ".join(w[:12]), "s"), (2, f"a {' '.join(w[:12])}", "s"), (3, " ".join(w[:7]), "s")]), passage=12, stretch=8)
+    assert [r[0] for r in got(short, "id")] == [1, 2]
+    assert line_dedup.passages(none(spark)).count() == 0
+    assert {i for i, in got(line_dedup.passages(odd(spark)), "id")} == {i for i, _, _ in brute_runs([tuple(r) for r in odd(spark).select("doc_id", "text").collect()], 50)}
+
+
 # 4: near copies
 
 
