@@ -56,8 +56,8 @@ from .common import materialise, release
 LEAST_WORDS = 20
 #: Words of a passage that is found in whatever lines it stands, and of the lines that it is found by.
 PASSAGE, STRETCH = 50, 40
-#: Words whose hashes a task remembers at most between batches.
-REMEMBERED = 100_000
+#: Words whose hashes a task remembers at most between batches, and characters it takes at once beside a text.
+REMEMBERED, AT_ONCE = 100_000, 1_000_000
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _SPLIT = {"line": regex.compile(r"[^\n]+"), "paragraph": regex.compile(r"(?:[^\n]+\n?)+"), "both": regex.compile(r"[^\n]+")}
 _UNITS = "id long, body long, unit int, start long, end long, n_words int, digest binary"
@@ -190,34 +190,49 @@ def stretches_of(texts: list[str], passage: int, stretch: int, hashes: _Hashes)
     begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
     text = np.searchsorted(begins, starts, "right") - 1
     digests = _digests(words, stretch)
-    windows = np.lib.stride_tricks.sliding_window_view(digests, passage - stretch + 1)
-    at = np.arange(len(windows)) + windows.argmin(axis=1)
-    at = np.unique(at[text[: len(windows)] == text[passage - 1 :]])  # windows within one text
+    windows = len(words) - passage + 1
+    least, at = digests[:windows].copy(), np.arange(windows)
+    for k in range(1, passage - stretch + 1):
+        less = np.flatnonzero(digests[k : k + windows] < least)
+        least[less], at[less] = digests[less + k], less + k
+    at = np.unique(at[text[:windows] == text[passage - 1 :]])  # windows within one text
     last, own = at + stretch - 1, text[at]
     first_word = at - np.searchsorted(text, own)
     return own, first_word, first_word + stretch, starts[at] - begins[own], ends[last] - begins[own], digests[at]
 
 
+def _portions(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(first number, texts) of portions of ``AT_ONCE`` characters, the last text of each beyond them."""
+    first = size = 0
+    for i, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= AT_ONCE or i == len(texts):
+            yield first, texts[first:i]
+            first, size = i, 0
+
+
 def stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, stretch: int = STRETCH) -> DataFrame:
     """The lines of ``stretch`` words that stand for every text's passages; see the module."""
     if not 1 <= stretch <= passage:
         raise ValueError(f"lines of {stretch} words do not fit passages of {passage}")
+    names = ["id", "body", "first_word", "end_word", "start", "end", "digest"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in (whole.slice(a, 200) for whole in batches for a in range(0, whole.num_rows, 200)):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            own, *places, digests = stretches_of(texts, passage, stretch, hashes)
-            bodies = np.zeros(len(texts), np.int64)
-            for i in np.unique(own):
-                bodies[i] = xxhash.xxh3_64_intdigest(texts[i].encode()) - (1 << 63)
-            columns = [batch.column(0).take(pa.array(own)), pa.array(bodies[own]), *(pa.array(x.astype(np.int64)) for x in places)]
-            yield pa.record_batch([*columns, pa.array(digests.view(np.int64))], names=["id", "body", "first_word", "end_word", "start", "end", "digest"])
-            if len(hashes) > REMEMBERED:
-                hashes.clear()
+            every = [t or "" for t in batch.column(1).to_pylist()]
+            for a, texts in _portions(every):
+                own, *places, digests = stretches_of(texts, passage, stretch, hashes)
+                bodies = np.zeros(len(texts), np.int64)
+                for i in np.unique(own):
+                    bodies[i] = xxhash.xxh3_64_intdigest(texts[i].encode()) - (1 << 63)
+                columns = [batch.column(0).take(pa.array(own + a)), pa.array(bodies[own]), *(pa.array(x.astype(np.int64)) for x in places)]
+                yield pa.record_batch([*columns, pa.array(digests.view(np.int64))], names=names)
+                if len(hashes) > REMEMBERED:
+                    hashes.clear()
         release()
 
-    kinds = "id long, body long, first_word long, end_word long, start long, end long, digest long"
+    kinds = ", ".join(f"{name} long" for name in names)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(find, kinds)
 
 
