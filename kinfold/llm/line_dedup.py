@@ -178,14 +178,14 @@ def _digests(words: np.ndarray, length: int) -> np.ndarray:
 
 
 def stretches_of(texts: list[str], passage: int, stretch: int, hashes: _Hashes) -> tuple[np.ndarray, ...]:
-    """(text's number, first word, end word, start, end, digest) of the lines kept."""
+    """(text's number, first word, start, length, digest) of the lines kept."""
     joined = "\n".join(texts)
     inside = np.zeros(len(joined) + 2, np.int8)
     inside[1:-1] = _word_characters()[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
     edges = np.diff(inside)
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     if len(starts) < passage:
-        return (np.zeros(0, np.int64),) * 5 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
     words = np.fromiter((hashes[joined[a:b]] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
     begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
     text = np.searchsorted(begins, starts, "right") - 1
@@ -196,9 +196,8 @@ def stretches_of(texts: list[str], passage: int, stretch: int, hashes: _Hashes)
         less = np.flatnonzero(digests[k : k + windows] < least)
         least[less], at[less] = digests[less + k], less + k
     at = np.unique(at[text[:windows] == text[passage - 1 :]])  # windows within one text
-    last, own = at + stretch - 1, text[at]
-    first_word = at - np.searchsorted(text, own)
-    return own, first_word, first_word + stretch, starts[at] - begins[own], ends[last] - begins[own], digests[at]
+    own = text[at]
+    return own, at - np.searchsorted(text, own), starts[at] - begins[own], ends[at + stretch - 1] - starts[at], digests[at]
 
 
 def _portions(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -215,7 +214,7 @@ def stretches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """The lines of ``stretch`` words that stand for every text's passages; see the module."""
     if not 1 <= stretch <= passage:
         raise ValueError(f"lines of {stretch} words do not fit passages of {passage}")
-    names = ["id", "body", "first_word", "end_word", "start", "end", "digest"]
+    names = ["id", "body", "first_word", "start", "length", "digest"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -246,12 +245,13 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     )
     groups = groups.filter("one != other").select("digest", "nameless", F.when(~F.col("nameless"), F.col("least")).alias("first"))
     shared = found.join(materialise(groups, "shared"), "digest")
-    before = Window.partitionBy("id", "body").orderBy("first_word", "end_word")
-    reach = F.max("end_word").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    before = Window.partitionBy("id", "body").orderBy("first_word")
+    reach = F.lag("first_word").over(before) + stretch
     apart = shared.withColumn("apart", F.when(F.col("first_word") <= reach, 0).otherwise(1))
     placed = apart.withColumn("number", F.sum("apart").over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     ranges = placed.groupBy("id", "body", "number").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("end_word") - F.min("first_word")).alias("n_words"),
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"),
+        (F.max("first_word") - F.min("first_word") + stretch).alias("n_words"),
         F.min("first").alias("first"), F.max("nameless").alias("nameless")
     )
     return ranges.select("id", "body", "start", "end", "n_words", F.when(~F.col("nameless"), F.col("first")).alias("keep_id"))
