@@ -23,7 +23,6 @@ text; no rows give no shards. Further columns are never read.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -41,7 +40,7 @@ from .common import materialise, new_path, release
 
 MAGIC = b"KBP1"
 BLOCK, LEVEL = 65_536, 3
-#: Distinct words whose ids a task remembers; it then forgets all.
+#: Distinct pieces of words whose ids a task remembers; it then forgets all.
 REMEMBERED = 400_000
 
 
@@ -172,14 +171,40 @@ def _byte_letters() -> list[str]:
     return [shown.get(b) or chr(next(spare)) for b in range(256)]
 
 
+def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``values`` one after another, and where each begins, with the end of the last."""
+    before = np.concatenate([[0], np.cumsum(lengths)])
+    return values[np.repeat(starts - before[:-1], lengths) + np.arange(before[-1])], before
+
+
+def _kinds() -> np.ndarray:
+    """Kind of each byte of a plain word: 1 letter, 2 digit, 3 mark, 0 not plain. The apostrophe may start a contraction and ``<`` an added token."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = kinds[0x80:0xC0] = kinds[0xC3:0xC6] = 1
+    kinds[list(b"0123456789")] = 2
+    kinds[list(b"!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~")] = 3
+    return kinds
+
+
+def _lower_letters() -> np.ndarray:
+    """Both bytes of the lower case of each character from U+00C0 to U+017F; zeros where that is no single letter from there."""
+    lower = np.zeros((192, 2), np.uint8)
+    for k in range(192):
+        c = chr(0xC0 + k).lower()
+        if len(c) == 1 and "\u00df" <= c <= "\u017e" and c != "\u00f7":
+            lower[k] = list(c.encode())
+    return lower
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizers file.
 
     If the file's normaliser and splitter are those of ``BY_WORD``, no pattern matches
-    across white space, so a text's ids are those of its words in order. Each distinct word
-    of a batch then is encoded once: words of plain Latin letters, digits and marks go
-    straight to the library's model, all others through its whole pipeline. With any other
-    file the library encodes the whole texts.
+    across white space, so a text's ids are those of its words in order. The distinct words
+    of a batch then are cut into pieces all at once, by the kinds of their bytes, and each
+    distinct piece is encoded once: pieces of words of plain Latin letters, digits and marks
+    go straight to the library's model, all other words whole through its pipeline.
+    With any other file the library encodes the whole texts.
     """
 
     BY_WORD = (
@@ -190,7 +215,7 @@ class WordEncoder:
         ],
     )
 
-    PLAIN = re.compile("[a-zß-öø-ž]+|[0-9]|[!\"#$%&()*+,\\-./:;=>?@\\[\\\\\\]^_`{|}~]+")
+    KINDS, LOWER = _kinds(), _lower_letters()
 
     def __init__(self, json_text: str, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
@@ -205,21 +230,39 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.values, self.ends, self.pieces = array("I"), array("q", [0]), {}
-
-    def piece(self, piece: str) -> list[int]:
-        found = self.pieces.get(piece)
-        if found is None:
-            shown = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
-            found = self.pieces[piece] = [t.id for t in self.model.tokenize(shown)]
-        return found
-
-    def word(self, word: str) -> list[int]:
-        low = word.lower()
-        pieces = self.PLAIN.findall(low)
-        if sum(map(len, pieces)) == len(low):
-            return [i for p in pieces for i in self.piece(p)]
-        return self.whole.encode(word, add_special_tokens=False).ids
+        self.values, self.ends = array("I"), array("q", [0])
+
+    def cut(self, words: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+        """Pieces of all words one after another, plain ones in lower case; which distinct pieces are words to
+        encode whole; where each word's pieces begin, with the end of the last."""
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+        text = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        kind = self.KINDS[text]
+        lead = np.flatnonzero((text >= 0xC3) & (text <= 0xC5))
+        letters = self.LOWER[(text[lead] - 0xC3) * np.int64(64) + (text[lead + 1] & 0x3F)]
+        odd = kind == 0
+        odd[lead[letters[:, 0] == 0]] = True
+        seen = np.concatenate([[0], np.cumsum(odd)])
+        whole = np.repeat(seen[offsets[1:]] > seen[offsets[:-1]], np.diff(offsets))
+        low = text + 32 * ((text >= 65) & (text <= 90) & ~whole).astype(np.uint8)
+        plain = ~whole[lead]
+        low[lead[plain]], low[lead[plain] + 1] = letters[plain, 0], letters[plain, 1]
+        begins = kind == 2
+        begins[1:] |= kind[1:] != kind[:-1]
+        begins &= ~whole
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        at = np.flatnonzero(begins)
+        pieces = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(np.append(at, len(text))), pa.py_buffer(low)).dictionary_encode()
+        apart = np.zeros(len(pieces.dictionary), bool)
+        apart[np.asarray(pieces.indices)[whole[at]]] = True
+        return pieces, apart, np.concatenate([[0], np.cumsum(begins)])[offsets]
+
+    def ids(self, piece: str, apart: bool) -> list[int]:
+        if apart:
+            return self.whole.encode(piece, add_special_tokens=False).ids
+        shown = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        return [t.id for t in self.model.tokenize(shown)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of ids of each."""
@@ -229,24 +272,22 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         offsets = np.asarray(split.offsets)
         coded = split.flatten().dictionary_encode()
-        number, new = self.number, []
-        at = np.empty(len(coded.dictionary), np.int64)
-        for j, word in enumerate(coded.dictionary.to_pylist()):
-            k = number.get(word)
+        pieces, apart, first = self.cut(coded.dictionary)
+        number, at = self.number, np.empty(len(pieces.dictionary), np.int64)
+        for j, (piece, alone) in enumerate(zip(pieces.dictionary.to_pylist(), apart.tolist(), strict=True)):
+            k = number.get(piece)
             if k is None:
-                k = number[word] = len(number)
-                self.values.extend(self.word(word))
+                k = number[piece] = len(number)
+                self.values.extend(self.ids(piece, alone))
                 self.ends.append(len(self.values))
             at[j] = k
-        values, ends = np.array(self.values, np.uint32), np.array(self.ends, np.int64)
-        words = at[np.asarray(coded.indices)] if len(at) else np.zeros(0, np.int64)
-        starts, lengths = ends[words], ends[words + 1] - ends[words]
-        before = np.concatenate([[0], np.cumsum(lengths)])
-        ids = values[np.repeat(starts - before[:-1], lengths) + np.arange(before[-1])]
-        base = offsets - offsets[0]
+        ends, used = np.array(self.ends, np.int64), at[np.asarray(pieces.indices)]
+        ids, before = _gather(np.array(self.values, np.uint32), ends[used], ends[used + 1] - ends[used])
+        ends, words = before[first], np.asarray(coded.indices)
+        ids, before = _gather(ids, ends[words], ends[words + 1] - ends[words])
         if len(number) > self.remembered:
             self.forget()
-        return ids, np.diff(before[base])
+        return ids, np.diff(before[offsets - offsets[0]])
 
 
 _ENCODERS: dict[int, WordEncoder] = {}

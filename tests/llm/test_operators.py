@@ -55,6 +55,33 @@ def test_encoder_equals_library():
     assert counts.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
 
 
+def test_encoder_cuts_words_as_the_library():
+    from tokenizers import Tokenizer
+    import pyarrow as pa
+
+    own, library = bitplanes.WordEncoder(open(VOCABULARY, encoding="utf-8").read()), Tokenizer.from_file(VOCABULARY)
+    rng, parts = random.Random(5), [*"abzAZß09'<>!-_~^`\"×÷ÀÖØÞàöøþÿŒœžÃŁłČÝŸĲĳİıſŉŽƀ\x7f\x00\x1c\u0301\u00a0\u3000Σςİ日😀", "'s", "'ll", "'S", "the", "Zoë", "12", "!!", "...", "</w>", "<|endoftext|>", " ", " ", "\n", "\t"]
+    texts = ["", " ", "Ã", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(4000)), None]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for a, b in ((0, 2), (0, len(texts)), (7, 3000), (0, len(texts))):  # slices of a batch, with pieces remembered from the others
+        ids, counts = own.encode(pa.array(texts).slice(a, b - a))
+        assert counts.tolist() == list(map(len, want[a:b])) and ids.tolist() == [i for w in want[a:b] for i in w]
+
+
+def test_encoder_works_by_piece_and_not_by_word():
+    import sys
+    import pyarrow as pa
+
+    own, letters, calls = bitplanes.WordEncoder(open(VOCABULARY, encoding="utf-8").read()), words(100).split(), [0]
+    texts = pa.array([" ".join(f"{a}-{b}Č" for b in letters) for a in letters])  # 10,000 words of 201 pieces
+    sys.setprofile(lambda frame, event, of: calls.__setitem__(0, calls[0] + event.endswith("call")))
+    try:
+        own.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert len(own.number) == 201 and calls[0] < 10_000
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_shards(spark, table, bits):
     from tokenizers import Tokenizer
