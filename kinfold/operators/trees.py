@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,69 @@ from ..functions.text import tree_id_of
 from ..schemas import KEY
 
 
+#: Rows that are Python objects at once, and rows that a task gives back at once.
+FEW, ROWS = 64, 50_000
+_NONE = np.zeros(1, np.int64)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches, a few of them unpacked at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, FEW):
+            yield from batch.slice(k, FEW).to_pylist()
+
+
+def _spread(values: list[str | None], of: np.ndarray) -> pa.Array:
+    """A column of texts, each of them named by its place in ``values``."""
+    return pa.array(values, pa.string()).take(pa.array(of))
+
+
+def _pair_batch(blocks: list[tuple]) -> pa.RecordBatch:
+    """One batch of blocks of pairs."""
+    of = np.repeat(np.arange(len(blocks)), [len(x[2]) for x in blocks])
+    names = [m for x in blocks for m in x[1]]
+    starts = np.cumsum([0] + [len(x[1]) for x in blocks[:-1]])
+    a, b = (_spread(names, np.concatenate([x[k] + start for x, start in zip(blocks, starts, strict=True)])) for k in (2, 3))
+    distance = pa.array(np.concatenate([x[4] for x in blocks]), from_pandas=True)
+    keys = [_spread([x[0][k] for x in blocks], of) for k in range(len(KEY))]
+    ways, reasons = (_spread([x[k] for x in blocks], of) for k in (5, 6))
+    return pa.record_batch(
+        [*keys, a, b, distance, ways, reasons], names=[*KEY, "member_a", "member_b", "distance", "member_identifier_resolution", "failure_reason"]
+    )
+
+
+def _group_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Key, members, places of either end, distances, way and reason of blocks of pairs."""
+    for r in _rows(batches):
+        key = [r[k] for k in KEY]
+        try:
+            if r["newick"] is None:
+                raise InputError("no tree")
+            paths = newick.Paths(newick.parse(r["newick"]))
+            members = sorted(m["member_id"] for m in r["members"])
+            aliases = {m["member_id"]: dict(m["aliases"] or {}) for m in r["members"]}
+            leaf, way = newick.resolve_leaves(paths, members, aliases)
+            if len(members) < 2:
+                raise InputError("fewer than two members")
+            for a, b, distance in paths.pairs([leaf[m] for m in members]):
+                yield key, members, a, b, distance, way, None
+        except InputError as e:
+            yield key, [None], _NONE, _NONE, np.array([np.nan]), None, str(e)
+
+
+def group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of groups (KEY, members, newick) in batches of about ``ROWS``; no more are held."""
+    held, n = [], 0
+    for block in _group_blocks(batches):
+        held.append(block)
+        n += len(block[2])
+        if n >= ROWS:
+            yield _pair_batch(held)
+            held, n = [], 0
+    if held:
+        yield _pair_batch(held)
+
+
 def tree_nodes(trees: DataFrame) -> DataFrame:
     """Node rows of trees (run_id, tree_type, tree_id, newick), a tree at a time in a task."""
 
@@ -71,29 +136,8 @@ def patristic_distances(groups: DataFrame, trees: DataFrame, most: int = 250) ->
         F.first("members").alias("members"), F.min(F.when(F.col("newick").isNotNull(), F.struct("__rank", "tree_id", "newick"))).alias("t")
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                key = (r.run_id, r.group_type, r.hierarchy_node, r.group_id)
-                try:
-                    if r.newick is None:
-                        raise InputError("no tree")
-                    paths = newick.Paths(newick.parse(r.newick))
-                    members = [m["member_id"] for m in r.members]
-                    aliases = {m["member_id"]: dict(m["aliases"] or {}) for m in r.members}
-                    leaf, way = newick.resolve_leaves(paths, members, aliases)
-                    if len(members) < 2:
-                        raise InputError("fewer than two members")
-                    members = sorted(members)
-                    out += [(*key, a, b, paths.distance(leaf[a], leaf[b]), way, None) for i, a in enumerate(members) for b in members[i + 1 :]]
-                except InputError as e:
-                    out.append((*key, None, None, None, None, str(e)))
-            if out:
-                yield pd.DataFrame(out, columns=[*KEY, "member_a", "member_b", "distance", "member_identifier_resolution", "failure_reason"])
-
     kind = ", ".join(f"{k} string" for k in KEY) + ", member_a string, member_b string, distance double, member_identifier_resolution string, failure_reason string"
-    found = first.select(*KEY, "members", "t.newick").mapInPandas(run, kind)
+    found = first.select(*KEY, "members", "t.newick").mapInArrow(group_pairs, kind)
     pairs = found.filter("failure_reason is null").drop("failure_reason").withColumn("distance_method", F.lit("patristic_branch_length"))
     return pairs, found.filter("failure_reason is not null").select(*KEY, "failure_reason")
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +129,22 @@ def test_newick():
     assert plot["a"]["x"] == pytest.approx(0.4) and plot["root"]["y"] == 0.5 and len(plot) == 3
 
 
+def test_pairs_of_leaves_come_in_blocks():
+    rng, parts = random.Random(3), [f"m{k}" for k in range(60)]
+    while len(parts) > 1:
+        k = rng.randrange(len(parts) - 1)
+        parts[k : k + 2] = [f"({','.join(f'{x}:{rng.random():.3f}' for x in parts[k : k + 2])})"]
+    paths, names = newick.Paths(newick.parse(parts[0] + ";")), [f"m{k}" for k in rng.sample(range(60), 41)]
+    blocks = list(paths.pairs(names, 100))
+    found = {(int(a), int(b)): d for block in blocks for a, b, d in zip(*block, strict=True)}
+    assert max(len(b[0]) for b in blocks) <= 100 and found == {(a, b): paths.distance(names[a], names[b]) for a in range(41) for b in range(a + 1, 41)}
+    members = [{"member_id": f"m{k}", "aliases": None} for k in range(250)]
+    tree = "(" + ",".join(f"m{k}:1" for k in range(250)) + ");"
+    groups = pa.Table.from_pylist([{**dict(zip(KEY, G, strict=False)), "group_id": f"g{k}", "members": members, "newick": tree} for k in range(20)])
+    sizes = [x.num_rows for x in trees.group_pairs(iter(groups.to_batches()))]
+    assert sum(sizes) == 20 * 250 * 249 // 2 and max(sizes) <= trees.ROWS + newick.MOST_CELLS
+
+
 def test_patristic_tables(spark):
     g = spark.createDataFrame([(*G, "N0.HOG1", "OG1", [("protA", {}), ("protB", {"x_B": "SPECIES_PREFIXED"})]), (*G, "N0.HOG2", "", [("zz", {})])], ", ".join(f"{k} string" for k in KEY) + ", legacy_orthogroup_id string, members array<struct<member_id: string, aliases: map<string, string>>>")
     t = spark.createDataFrame([("OG1", "((protA:0.1,q:0.2):0.1,x_B:0.3);")], "tree_id string, newick string")
