@@ -15,6 +15,7 @@ from ..errors import InputError
 from ..functions import newick
 from ..functions.text import tree_id_of
 from ..schemas import KEY
+from ..tables import written
 
 
 #: Rows that are Python objects at once, and rows that a task gives back at once.
@@ -81,26 +82,55 @@ def group_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tree_nodes(trees: DataFrame) -> DataFrame:
-    """Node rows of trees (run_id, tree_type, tree_id, newick), a tree at a time in a task."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                rows = pd.DataFrame(newick.node_rows(newick.parse(r.newick), r.tree_id))
-                rows.insert(0, "tree_id", r.tree_id)
-                rows.insert(0, "tree_type", r.tree_type)
-                rows.insert(0, "run_id", r.run_id)
-                yield rows
-
-    return trees.select("run_id", "tree_type", "tree_id", "newick").mapInPandas(
+    """Node rows of trees (run_id, tree_type, tree_id, newick), a tree at a time in a task;
+    ``parent_node_name`` lets edges name both ends without a join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for r in _rows(batches):
+            tree = newick.parse(r["newick"])
+            held.append((r, tree))
+            n += len(tree.parent)
+            if n >= ROWS:
+                yield _node_batch(held)
+                held, n = [], 0
+        if held:
+            yield _node_batch(held)
+
+    found = trees.select("run_id", "tree_type", "tree_id", "newick").mapInArrow(
         run,
-        "run_id string, tree_type string, tree_id string, node_id string, parent_node_id string, node_name string, is_leaf boolean, branch_length double, confidence double, descendant_leaf_count long"
+        "run_id string, tree_type string, tree_id string, node long, parent long, node_name string, is_leaf boolean, branch_length double, confidence double, descendant_leaf_count long, parent_node_name string"
     )
+    node = lambda c: F.concat("tree_id", F.lit(":n"), F.col(c).cast("string"))
+    return found.select(
+        "run_id", "tree_type", "tree_id", node("node").alias("node_id"), F.when(F.col("parent") < 0, "").otherwise(node("parent")).alias("parent_node_id"),
+        "node_name", "is_leaf", "branch_length", "confidence", "descendant_leaf_count", "parent_node_name"
+    )
+
+
+def _node_batch(held: list[tuple[dict, newick.Tree]]) -> pa.RecordBatch:
+    """The nodes of some trees, in preorder."""
+    sizes = [len(tree.parent) for _, tree in held]
+    of = np.repeat(np.arange(len(held)), sizes)
+    parent = np.array([p for _, tree in held for p in tree.parent], np.int64)
+    starts = np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+    names = pa.array([x for _, tree in held for x in tree.name], pa.string())
+    number = lambda x: pa.array(x, pa.float64(), from_pandas=True)
+    columns = {c: _spread([r[c] for r, _ in held], of) for c in ("run_id", "tree_type", "tree_id")} | {
+        "node": pa.array(np.arange(len(of)) - starts), "parent": pa.array(parent), "node_name": names,
+        "is_leaf": pa.array([x for _, tree in held for x in tree.leaves()]), "branch_length": number([x for _, tree in held for x in tree.length]),
+        "confidence": number([x for _, tree in held for x in tree.support]),
+        "descendant_leaf_count": pa.array([x for _, tree in held for x in tree.leaf_counts()]),
+        "parent_node_name": names.take(pa.array(np.where(parent < 0, 0, parent + starts), mask=parent < 0))
+    }
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def tree_edges(nodes: DataFrame) -> DataFrame:
+    """An edge for each node below another, with the names of its ends if the nodes have them."""
+    names = [F.col("parent_node_name"), F.col("node_name").alias("child_node_name")] if "parent_node_name" in nodes.columns else []
     return nodes.filter("parent_node_id != ''").select(
-        "run_id", "tree_type", "tree_id", "parent_node_id", F.col("node_id").alias("child_node_id"), "branch_length"
+        "run_id", "tree_type", "tree_id", "parent_node_id", F.col("node_id").alias("child_node_id"), "branch_length", *names
     )
 
 
@@ -142,10 +172,36 @@ def patristic_distances(groups: DataFrame, trees: DataFrame, most: int = 250) ->
     return pairs, found.filter("failure_reason is not null").select(*KEY, "failure_reason")
 
 
+def tree_leaves(trees: DataFrame) -> DataFrame:
+    """tree_id and leaf: the names of each tree's leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for r in _rows(batches):
+            tree = newick.parse(r["newick"])
+            held.append((r["tree_id"], [x for x, leaf in zip(tree.name, tree.leaves(), strict=True) if leaf]))
+            n += len(held[-1][1])
+            if n >= ROWS:
+                yield batch(held)
+                held, n = [], 0
+        if held:
+            yield batch(held)
+
+    def batch(held: list[tuple[str, list[str]]]) -> pa.RecordBatch:
+        of = np.repeat(np.arange(len(held)), [len(x) for _, x in held])
+        return pa.record_batch([_spread([t for t, _ in held], of), pa.array([v for _, x in held for v in x], pa.string())], names=["tree_id", "leaf"])
+
+    return trees.select("tree_id", "newick").mapInArrow(run, "tree_id string, leaf string")
+
+
 def _with_leaves(trees: DataFrame, leaves: DataFrame, *columns: str) -> DataFrame:
-    """Trees with those rows of ``leaves`` that name leaves of theirs, as an array ``of``."""
-    nodes = tree_nodes(trees).filter("is_leaf").select("tree_id", F.col("node_name").alias("leaf"))
-    of = nodes.join(leaves, "leaf").groupBy("tree_id").agg(F.collect_list(F.struct("leaf", *columns)).alias("of"))
+    """Trees with those rows of ``leaves`` that name leaves of theirs, as an array ``of``.
+
+    Trees may share the names of their leaves, so a name may be hot: the asked leaves are
+    written, and their size tells the planner whether all tasks can have them.
+    """
+    asked = written(leaves.select("leaf", *columns), "leaves")
+    of = tree_leaves(trees).join(asked, "leaf").groupBy("tree_id").agg(F.collect_list(F.struct("leaf", *columns)).alias("of"))
     return trees.select("tree_id", "newick").join(of, "tree_id")
 
 
@@ -166,14 +222,26 @@ def clade_partitions(trees: DataFrame, labels: DataFrame) -> DataFrame:
 def phylograms(trees: DataFrame, keep: DataFrame) -> DataFrame:
     """Coordinates of each tree cut down to some leaves (leaf)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                rows = pd.DataFrame(newick.phylogram(newick.parse(r.newick), {x["leaf"] for x in r.of}))
-                rows.insert(0, "tree_id", r.tree_id)
-                yield rows
-
-    return _with_leaves(trees, keep).mapInPandas(run, "tree_id string, node long, parent long, name string, x double, y double, is_leaf boolean")
+    names = ("node", "parent", "name", "x", "y", "is_leaf")
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, rows = [], []
+        for r in _rows(batches):
+            own = newick.phylogram(newick.parse(r["newick"]), {x["leaf"] for x in r["of"]})
+            of += [r["tree_id"]] * len(own)
+            rows += own
+            if len(rows) >= ROWS:
+                yield batch(of, rows)
+                of, rows = [], []
+        if rows:
+            yield batch(of, rows)
+
+    def batch(of: list[str], rows: list[dict]) -> pa.RecordBatch:
+        columns = [pa.array([x[k] for x in rows], kind, from_pandas=True) for k, kind in zip(names, kinds, strict=True)]
+        return pa.record_batch([pa.array(of, pa.string()), *columns], names=["tree_id", *names])
+
+    return _with_leaves(trees, keep).mapInArrow(run, "tree_id string, node long, parent long, name string, x double, y double, is_leaf boolean")
 
 
 def nested_trees(trees: DataFrame, traits: DataFrame) -> DataFrame:

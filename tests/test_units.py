@@ -145,6 +145,42 @@ def test_pairs_of_leaves_come_in_blocks():
     assert sum(sizes) == 20 * 250 * 249 // 2 and max(sizes) <= trees.ROWS + newick.MOST_CELLS
 
 
+def test_phylogram_of_a_long_chain():
+    import time
+
+    n, began = 30_000, time.monotonic()
+    tree = newick.parse("(" * n + "a:1" + "".join(f",b{k}:1):1" for k in range(n)) + ";")
+    plot = newick.phylogram(tree, {"a", "b0", "b5", f"b{n - 1}"})
+    assert time.monotonic() - began < 20  # steps grew with the square of the nodes
+    assert [(x["name"], x["y"]) for x in plot if x["is_leaf"]] == [("a", 0.0), ("b0", 1.0), ("b5", 2.0), (f"b{n - 1}", 3.0)]
+    assert [x["parent"] for x in plot if not x["is_leaf"]] == [-1, 0, n - 6] and plot[-1]["x"] == 1 and len(plot) == 7
+
+
+def test_phylograms_of_trees_that_share_leaf_names(spark):
+    t = spark.createDataFrame([(f"t{k}", "((a:1,b:2):1,(c:1,d:1):2);" if k % 2 else "(a:1,(d:1,e:3):1);") for k in range(200)], "tree_id string, newick string")
+    keep = spark.createDataFrame([("a",), ("d",)], "leaf string")
+    found = trees.phylograms(t, keep)
+    assert rows(found.filter("is_leaf").groupBy("name", "x", "y").count(), "name", "x", "y", "count") == [("a", 1.0, 0.0, 100), ("a", 2.0, 0.0, 100), ("d", 2.0, 1.0, 100), ("d", 3.0, 1.0, 100)]
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().toString()  # four names: not dealt out by name
+
+
+def test_nodes_of_many_trees_are_one_batch(spark):
+    texts = ["((a:0.1,'b c':0.2)0.9:0.3,c:0.4)root;", "(x,y:1);"]
+    held = [({"run_id": "r", "tree_type": "T", "tree_id": f"t{k}"}, newick.parse(x)) for k, x in enumerate(texts)]
+    assert trees._node_batch(held).column("parent_node_name").to_pylist() == [None, "root", "", "", "root", None, "", ""]
+    t = spark.createDataFrame([("r", "T", f"t{k}", x) for k, x in enumerate(texts)], "run_id string, tree_type string, tree_id string, newick string").coalesce(1)
+    found = trees.tree_nodes(t)
+    want = [x for k, text in enumerate(texts) for x in newick.node_rows(newick.parse(text), f"t{k}")]
+    assert [{c: r[c] for c in want[0]} for r in found.collect()] == want
+
+
+def test_edges_name_both_ends(spark):
+    t = spark.createDataFrame([("r", "T", "t", "((a:0.1,a:0.2)n:0.3,c:0.4)root;")], "run_id string, tree_type string, tree_id string, newick string")
+    edges = trees.tree_edges(trees.tree_nodes(t))
+    assert rows(edges, "parent_node_name", "child_node_name", "branch_length") == [("n", "a", 0.1), ("n", "a", 0.2), ("root", "c", 0.4), ("root", "n", 0.3)]
+    assert "Join" not in edges._jdf.queryExecution().toString()
+
+
 def test_patristic_tables(spark):
     g = spark.createDataFrame([(*G, "N0.HOG1", "OG1", [("protA", {}), ("protB", {"x_B": "SPECIES_PREFIXED"})]), (*G, "N0.HOG2", "", [("zz", {})])], ", ".join(f"{k} string" for k in KEY) + ", legacy_orthogroup_id string, members array<struct<member_id: string, aliases: map<string, string>>>")
     t = spark.createDataFrame([("OG1", "((protA:0.1,q:0.2):0.1,x_B:0.3);")], "tree_id string, newick string")
