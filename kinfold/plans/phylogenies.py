@@ -52,10 +52,8 @@ def part_tree_nodes(b: Bridge) -> DataFrame:
     f"WITH {_LEAVES} SELECT tree_id, 'N' || level AS parent, leaf AS child, length AS branch_length FROM leaves UNION ALL SELECT tree_id, 'N' || (level + 1), 'N' || level, 0.25 FROM inner_nodes WHERE level < top"
 )
 def part_tree_edges(b: Bridge) -> DataFrame:
-    nodes = written(trees.tree_nodes(_part_trees(b)), "nodes")
-    names = [nodes.select("tree_id", F.col("node_id").alias(f"{end}_node_id"), F.col("node_name").alias(end)) for end in ("parent", "child")]
-    edges = trees.tree_edges(nodes).join(names[0], ["tree_id", "parent_node_id"]).join(names[1], ["tree_id", "child_node_id"])
-    return edges.select("tree_id", "parent", "child", "branch_length")
+    edges = trees.tree_edges(trees.tree_nodes(_part_trees(b)))
+    return edges.select("tree_id", F.col("parent_node_name").alias("parent"), F.col("child_node_name").alias("child"), "branch_length")
 
 
 @query(
