@@ -23,7 +23,7 @@ def _leaves(b: Bridge) -> DataFrame:
     order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_quantity", "l_suppkey", "l_extendedprice")  # a part's lines
     rows = b.table("lineitem").withColumn("k", F.row_number().over(order))
     return rows.select(
-        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("tree_id"), F.concat(F.lit("M"), F.col("k").cast("string")).alias("leaf"),
+        "l_partkey", F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("tree_id"), F.concat(F.lit("M"), F.col("k").cast("string")).alias("leaf"),
         (F.col("l_quantity") / 8).alias("length"), "k", F.expr(_LEVEL).cast("long").alias("level")
     )
 
@@ -31,7 +31,8 @@ def _leaves(b: Bridge) -> DataFrame:
 def _part_trees(b: Bridge) -> DataFrame:
     """run_id, tree_type, tree_id, newick, written."""
     leaf = F.concat("leaf", F.lit(":"), F.col("length").cast("string"))
-    per = _leaves(b).groupBy("tree_id").agg(F.array_sort(F.collect_list(F.struct("k", "level", leaf.alias("text")))).alias("x"))
+    # by the key that the lines were numbered by: no second shuffle
+    per = _leaves(b).groupBy("l_partkey", "tree_id").agg(F.array_sort(F.collect_list(F.struct("k", "level", leaf.alias("text")))).alias("x"))
     node = lambda s: F.concat(F.lit("("), s["text"], F.lit(")N"), s["level"].cast("string"))
     grown = F.aggregate(
         "x",
@@ -61,7 +62,7 @@ def part_tree_edges(b: Bridge) -> DataFrame:
 )
 def part_patristic_pairs(b: Bridge) -> DataFrame:
     member = F.struct(F.col("leaf").alias("member_id"), F.create_map(F.lit("none"), F.lit("NONE")).alias("aliases"))
-    groups = _leaves(b).groupBy(F.col("tree_id").alias("group_id")).agg(F.collect_list(member).alias("members"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = _leaves(b).groupBy("l_partkey", F.col("tree_id").alias("group_id")).agg(F.collect_list(member).alias("members"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = groups.select(
         *[F.lit(v).alias(k) for k, v in zip(KEY[:3], (RUN, "HOG", "N0"), strict=True)], "group_id", F.lit("").alias("legacy_orthogroup_id"), "members"
     )
