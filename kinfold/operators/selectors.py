@@ -1,7 +1,8 @@
 """What a user picks from: lists, single groups, bounded collections, filters of shown rows.
 
-Bounds are guards: a selection that exceeds one is refused, never cut, unless the operator
-says that it shows the first rows of an order.
+Bounds are guards of whoever shows the rows: a selection that exceeds one is refused, never
+cut, unless the operator says that it shows the first rows of an order. Without a bound
+there is none, since a table that stays in Spark may have any size.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from ..functions.text import contains_literal
 from ..schemas import KEY
 from .search import GROUP_COLUMNS, preferred_distance, with_spread
 
-#: Most rows that a collection may have, and most identifiers that may be asked for at once.
-MOST_ROWS, MOST_IDS = 5_000_000, 100_000
+#: Most identifiers that may be asked for at once as values; a table of them has no bound.
+MOST_IDS = 100_000
 ROLES = ("PRIMARY_ANALYSIS", "REQUIRED_COMPARISON", "EXCLUDED_COMPARISON", "OTHER_SAMPLED")
 #: Columns that a distance table may show.
 SHOWN = (
@@ -51,8 +52,10 @@ def text_values(values: Sequence[str], label: str, most: int = MOST_IDS) -> tupl
     return found
 
 
-def guarded(rows: DataFrame, most: int, label: str) -> DataFrame:
+def guarded(rows: DataFrame, most: int | None, label: str) -> DataFrame:
     """``rows``, or an error if there are more than ``most``; looks at one more than that."""
+    if most is None:
+        return rows
     if most < 1:
         raise InputError(f"{label}: a bound is 1 or more")
     if rows.limit(most + 1).count() > most:
@@ -94,13 +97,14 @@ def group_species(species: DataFrame, key: Mapping[str, str]) -> DataFrame:
     return of_group(species, key).orderBy("species_label")
 
 
-def group_species_collection(species: DataFrame, group_type: str, hierarchy_node: str, group_ids: DataFrame | None = None, most: int = MOST_ROWS) -> DataFrame:
-    """Rows group x species of one kind and node, of all groups or of those in ``group_ids`` (group_id)."""
+def group_species_collection(species: DataFrame, group_type: str, hierarchy_node: str, group_ids: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Rows group x species of one kind and node, of all groups or of those in ``group_ids``
+    (group_id), however many those are."""
     if group_type == "LEGACY_ORTHOGROUP" and hierarchy_node:
         raise InputError("original groups have no hierarchy node")
     rows = species.filter((F.col("group_type") == group_type) & (F.col("hierarchy_node") == hierarchy_node))
     if group_ids is not None:
-        rows = rows.join(guarded(group_ids.select("group_id").distinct(), MOST_IDS, "group identifiers"), "group_id", "left_semi")
+        rows = rows.join(group_ids.select("group_id"), "group_id", "left_semi")
     return guarded(rows, most, "group collection").select(*KEY, "species_label", "species_member_count")
 
 
@@ -122,7 +126,7 @@ def group_aliases(sequences: DataFrame, members: DataFrame, key: Mapping[str, st
     return sequences.join(own, ["run_id", "member_id", "species_label"]).select("member_id", "species_label", "internal_id").distinct()
 
 
-def shown_columns(rows: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
+def shown_columns(rows: DataFrame, columns: Sequence[str], most: int | None = None) -> DataFrame:
     """Chosen columns of distance results; others than those of ``SHOWN`` are refused."""
     chosen = text_values(columns, "columns", len(SHOWN))
     unknown = [c for c in chosen if c not in SHOWN]

@@ -10,6 +10,7 @@ from kinfold.errors import InputError, IntegrityError
 from kinfold.functions import stats
 from kinfold.operators import plan, report, selection, selectors, taxonomy
 from kinfold.operators.taxonomy import Selector
+from kinfold.plans import queries
 from kinfold.schemas import KEY
 
 G = ("run", "HOG", "N0")
@@ -75,6 +76,18 @@ def test_guards(spark):
     assert [r[0] for r in spark.createDataFrame([("7",), ("-1",), ("x",), (None,), ("",)], "v string").select(report.whole_number(F.col("v"))).collect()] == [7, None, None, None, None]
 
 
+def test_tables_of_any_size_are_not_refused(spark, sf_dir, monkeypatch):
+    kind = "run_id string, group_type string, hierarchy_node string, group_id string, species_label string, species_member_count long"
+    species = spark.createDataFrame([("r", "HOG", "N0", "7", "A", 1), ("r", "HOG", "N0", "x", "A", 1)], kind)
+    ids = spark.range(selectors.MOST_IDS + 1).select(F.col("id").cast("string").alias("group_id"))
+    assert [r["group_id"] for r in selectors.group_species_collection(species, "HOG", "N0", ids.union(ids)).collect()] == ["7"]
+    with pytest.raises(InputError):
+        selectors.group_species_collection(species, "HOG", "N0", most=1)
+    bounds, guarded = [], selectors.guarded
+    monkeypatch.setattr(selectors, "guarded", lambda rows, most, label: bounds.append(most) or guarded(rows, most, label))
+    assert queries.QUERIES["chosen_distance_columns"](spark, sf_dir).count() > 0 and bounds == [None]
+
+
 @pytest.fixture(scope="module")
 def closed(spark):
     edges = [("a1", "A"), ("a2", "A"), ("b1", "B"), ("b2", "B"), ("A", "root"), ("B", "root"), ("c1", "C"), ("C", "root")]
