@@ -90,7 +90,7 @@ def group_sequence_aliases(b: Bridge) -> DataFrame:
 )
 def chosen_distance_columns(b: Bridge) -> DataFrame:
     rows = search.distance_results(b.stats(), b.distance_statistics(), method="price")
-    found = selectors.shown_columns(rows, ["group_id", "distance_method", "sampling_fraction", "full_group_matrix", "interquartile_range"], 5_000_000)
+    found = selectors.shown_columns(rows, ["group_id", "distance_method", "sampling_fraction", "full_group_matrix", "interquartile_range"])
     return found.withColumns({c: r(c) for c in ("sampling_fraction", "interquartile_range")})
 
 
