@@ -2,7 +2,8 @@
 
 A model is text in fixed columns. Its first model's residues are the alpha carbons of its
 ATOM records, in the order in which they stand; they have to spell the expected sequence,
-residue by residue, with finite places and a confidence between 0 and 100. Everything is
+residue by residue, with finite places and a confidence between 0 and 100. Numbers that
+outgrow their columns are hybrid-36: letters lead where digits no longer suffice. Everything is
 column functions over a row a model, so models are spread over tasks and none is moved.
 """
 
@@ -32,6 +33,24 @@ def _field(line: Column, first: int, last: int) -> Column:
     return F.trim(F.substring(line, first, last - first + 1))
 
 
+def hybrid36(number: Column, width: int) -> Column:
+    """A number from 0 as text of a width: digits, then numbers of base 36 that begin with a
+    capital, then such that begin with a small letter; null beyond those."""
+    first, letters = 10 * 36 ** (width - 1), 26 * 36 ** (width - 1)
+    over = number.cast("long") - 10**width
+    based = lambda n: F.conv((n + first).cast("string"), 10, 36)
+    digits = F.lpad(number.cast("string"), width, " ")
+    return F.when(over < 0, digits).when(over < letters, based(over)).when(over < 2 * letters, F.lower(based(over - letters)))
+
+
+def from_hybrid36(text: Column, width: int) -> Column:
+    """The number of such a text; null for another."""
+    first, letters = 10 * 36 ** (width - 1), 26 * 36 ** (width - 1)
+    based = F.conv(F.upper(text), 36, 10).cast("long") - first + 10**width
+    large, small = (text.rlike(f"^[{a}-{z}][0-9{a}-{z}]{{{width - 1}}}$") for a, z in ("AZ", "az"))
+    return F.when(large, based).when(small, based + letters).otherwise(text.try_cast("long")).cast("int")
+
+
 def residues(models: DataFrame) -> DataFrame:
     """model_id, residue_index (from 1), chain_id, pdb_residue_number, residue, confidence,
     x, y, z of every alpha carbon of a model's first part; a number that is none is null."""
@@ -43,7 +62,7 @@ def residues(models: DataFrame) -> DataFrame:
     number = lambda a, b, kind: _field(line, a, b).try_cast(kind)
     names = F.create_map(*[F.lit(x) for pair in sorted(RESIDUES.items()) for x in pair])
     cut = atoms.select(
-        "model_id", "line_number", F.substring(line, 22, 1).alias("chain_id"), number(23, 26, "int").alias("pdb_residue_number"), F.substring(line, 27, 1).alias("insertion"),
+        "model_id", "line_number", F.substring(line, 22, 1).alias("chain_id"), from_hybrid36(_field(line, 23, 26), 4).alias("pdb_residue_number"), F.substring(line, 27, 1).alias("insertion"),
         F.coalesce(F.try_element_at(names, F.upper(_field(line, 18, 20))), F.lit("X")).alias("residue"), number(61, 66, "double").alias("confidence"),
         *[number(31 + 8 * k, 38 + 8 * k, "double").alias(c) for k, c in enumerate("xyz")], F.coalesce(number(55, 60, "double"), F.lit(0.0)).alias("occupancy"),
     )

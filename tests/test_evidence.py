@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinfold import publish
 from kinfold.errors import InputError, IntegrityError
 from kinfold.operators import expression, lineage_graph
+from kinfold.plans import queries
 from kinfold.quality import quality
 from kinfold.schemas import KEY
 from kinfold.sources import fasta, results, rowgroups, structures, taxdump
@@ -78,6 +79,30 @@ def test_structures(spark, tmp_path):
         structures.evidence(models, expected.filter("model_id <= 'm2'"))
 
 
+def test_residue_numbers_beyond_four_digits(spark):
+    known = {0: "   0", 9999: "9999", 10_000: "A000", 10_001: "A001", 1_223_055: "ZZZZ", 1_223_056: "a000", 2_436_111: "zzzz"}
+    both = spark.createDataFrame(list(known.items()), "n int, t string").select("n", "t", structures.hybrid36(F.col("n"), 4).alias("h"), structures.from_hybrid36(F.trim("t"), 4).alias("back"))
+    assert all(r["h"] == r["t"] and r["back"] == r["n"] for r in both.collect())
+    odd = spark.createDataFrame([("-12",), ("A0b1",), ("x",), ("",)], "t string").select(structures.from_hybrid36(F.col("t"), 4).alias("n"))
+    assert [r["n"] for r in odd.collect()] == [-12, None, None, None]
+
+
+@pytest.mark.parametrize("name", ["structure_residues", "structure_states"])
+def test_models_of_more_than_9999_residues(spark, tmp_path, name):
+    import duckdb
+
+    brands = ["Brand#11", "Brand#12", "Brand#13", "Brand#14", "Brand#15"]
+    kind = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    parts = spark.range(52_000).select(F.col("id").alias("p_partkey"), F.lit("n").alias("p_name"), F.get(F.array(*map(F.lit, brands)), (F.col("id") % 5).cast("int")).alias("p_brand"), F.lit("t").alias("p_type"), (F.col("id") * 7 % 50 + 1).cast("int").alias("p_size"), F.lit(1.0).alias("p_retailprice"))
+    spark.createDataFrame(parts.toPandas(), kind).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    found = queries.QUERIES[name](spark, str(tmp_path))
+    columns = sorted(found.columns)
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+        want = c.execute("SELECT " + ", ".join(columns) + f" FROM ({queries.SQL[name]})").fetchall()
+    assert len(want) >= 5 and sorted(map(str, (tuple(r) for r in found.select(*columns).collect()))) == sorted(map(str, want))
+
+
 LINEAGE = "species_label string, taxon_id string, taxon_name string, taxon_rank string, authority string, release string, lineage_taxon_ids array<string>, lineage_names array<string>, lineage_ranks array<string>"
 
 
