@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinfold import publish
 from kinfold.errors import InputError, IntegrityError
-from kinfold.operators import expression, lineage_graph
+from kinfold.operators import expression, lineage_graph, memberships
 from kinfold.plans import queries
 from kinfold.quality import quality
 from kinfold.schemas import KEY
@@ -130,6 +130,34 @@ def test_lineage_graph(spark):
             lineage_graph.make_selection(graph, **bad)
 
 
+def test_publishing_makes_each_relation_once(spark, tmp_path):
+    """The checks read what was written; what fails them is not left behind."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(df):
+        def run(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        return df.mapInArrow(run, df.schema)
+
+    members = spark.createDataFrame([("run", "HOG", "N0", "g", "o", "", f"s{k % 2}", f"m{k}", "f") for k in range(10)], "run_id string, group_type string, hierarchy_node string, group_id string, legacy_orthogroup_id string, gene_tree_parent_clade string, species_label string, member_id string, source_file string")
+    species = spark.createDataFrame([("run", str(k), f"s{k}") for k in range(2)], "run_id string, species_index string, species_label string")
+    relations = {
+        "species": counted(species), "sequences": counted(members.select("run_id", F.col("member_id").alias("internal_id"), "member_id", "species_label")), "memberships": counted(members),
+        "hog_memberships": counted(members), "group_statistics": counted(memberships.group_statistics(members)), "group_species_statistics": counted(memberships.group_species_statistics(members))
+    }
+    out = str(tmp_path / "out")
+    assert publish.publish(spark, relations, out, "run", []) == "PUBLISHED" and made.value == 2 + 10 + 10 + 10 + 1 + 2
+    with pytest.raises(IntegrityError, match="species_known"):
+        publish.publish(spark, relations | {"species": species.limit(1)}, out, "run", [], force=True)
+    assert publish.current(spark, out)["version"] == 1 and len(list((tmp_path / "out").glob("data-*"))) == 1
+    with pytest.raises(IntegrityError, match="species_known"):
+        publish.publish(spark, relations | {"species": species.limit(1)}, str(tmp_path / "other"), "run", [])
+    assert not (tmp_path / "other").exists()
+
+
 def test_quality_names_what_fails(spark):
     key, group = ("r", "HOG", "N0"), ", ".join(f"{k} string" for k in KEY)
     stats = spark.createDataFrame([(*key, "g1", 2, 2), (*key, "g2", 1, 2), (*key, "g2", 3, 1)], f"{group}, member_count long, species_count long").withColumns({"single_copy_species_count": F.lit(1).cast("long"), "mean_copies_per_species": F.col("member_count") / F.col("species_count"), "is_singleton": F.col("member_count") == 1})
