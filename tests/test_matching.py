@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +110,25 @@ def test_marks_resume_the_generator():
     assert one.mark() == again.mark() and one.below(9).tolist() == again.below(9).tolist()
 
 
+def test_middle_ranks_without_partition(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n in (5, 3000, 3001, 70_000):
+        own = rng.permutation(n).astype(np.int32)
+        one, two, three = stats.Draws(9), stats.Draws(9), stats.Draws(9)
+        want = []
+        for _ in range(6):
+            drawn = np.sort(own[one.below(n)])
+            want.append((drawn[(n - 1) // 2], drawn[n // 2]))
+        quick, missed = stats.MiddleRanks(own), stats.MiddleRanks(own, -0.5)
+        assert [quick.draw(two) for _ in range(6)] == want == [missed.draw(three) for _ in range(6)] and one.mark() == two.mark()
+        if n > 3000:  # few of the ranks drawn are looked at
+            sizes = []
+            monkeypatch.setattr(stats.MiddleRanks, "_middle", staticmethod(lambda r, ends: sizes.append(len(r)) or (0, 0)))
+            stats.MiddleRanks(own).draw(stats.Draws(1))
+            monkeypatch.undo()
+            assert sizes[0] < n / 4
+
+
 def test_ranks_of_sides(spark):
     rows = [("a", True, f"g{k}", float(v)) for k, v in enumerate([5, 1, 3, 3])] + [("a", False, "g0", 2.0)]
     found = bootstrap.ranks(spark.createDataFrame(rows, "p string, is_target boolean, group_id string, value double"), ["p"]).filter(F.col("is_target")).orderBy("position").collect()
