@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kinfold.errors import InputError, IntegrityError
 from kinfold.functions import stats
-from kinfold.operators import plan, report, selection, selectors, taxonomy
+from kinfold.operators import benchmark, plan, report, selection, selectors, taxonomy
 from kinfold.operators.taxonomy import Selector
 from kinfold.plans import queries
 from kinfold.schemas import KEY
@@ -88,6 +88,48 @@ def test_tables_of_any_size_are_not_refused(spark, sf_dir, monkeypatch):
     assert queries.QUERIES["chosen_distance_columns"](spark, sf_dir).count() > 0 and bounds == [None]
 
 
+def test_comparison_with_all_backgrounds(spark, monkeypatch):
+    rng = random.Random(4)
+    own = [(f"g{k}", rng.choice("abc"), m, float(rng.choice([0, 0, 1, 2.5, -3]))) for k in range(60) for m in ("x", "y")]
+    values = spark.createDataFrame([*own, ("g0", "d", "x", own[0][3]), ("h", "d", "x", None)], "group_id string, profile_id string, metric string, value double")
+    targets = values.filter("value is not null").select("group_id", "metric", "value").distinct().crossJoin(values.select("profile_id").distinct())
+    plain = benchmark.compare(targets, values.filter("value is not null"), ["profile_id", "metric"])
+    found = benchmark.compare_to_all(values)
+    want = sorted(map(str, plain.filter("status = 'TESTED'").select(*sorted(plain.columns)).collect()))
+    assert len(want) == 360 and sorted(map(str, found.filter("status = 'TESTED'").select(*sorted(plain.columns)).collect())) == want
+    monkeypatch.setattr(benchmark, "MOST_BACKGROUNDS", 2)
+    assert sorted(map(str, benchmark.compare_to_all(values).filter("status = 'TESTED'").select(*sorted(plain.columns)).collect())) == want
+
+
+def test_medians(spark):
+    import statistics
+
+    rng = random.Random(6)
+    own = [(k % 4, None if rng.random() < 0.1 else rng.choice([0.0, -2.25, 7.5, round(rng.gauss(0, 9), 2)])) for k in range(801)]
+    want = {g: statistics.median(v for h, v in own if h == g and v is not None) for g in range(4)}
+    found = stats.medians(spark.createDataFrame([*own, (9, None), (8, 3.0), (8, 4.0)], "g int, v double").repartition(3), ["g"], "v")
+    assert {r["g"]: r["median"] for r in found.collect()} == want | {8: 3.5}
+    assert "percentile" not in found._jdf.queryExecution().toString()
+
+
+def test_medians_of_contrasts_hold_no_side(spark):
+    kind = "target_profile_id string, reference_profile_id string, metric string, group_id string, value double, is_target boolean"
+    sides = spark.createDataFrame([("a", "b", "m", "1", 1.0, True), ("a", "b", "m", "2", 4.0, True), ("a", "b", "m", "3", 2.0, False), ("a", "c", "m", "1", 1.0, True)], kind)
+    found = benchmark.contrast_medians(sides)
+    assert rows(found, "reference_profile_id", "target_group_count", "reference_group_count", "target_median", "reference_median") == [("b", 2, 1, 2.5, 2.0), ("c", 1, 0, 1.0, None)]
+    assert "percentile" not in found._jdf.queryExecution().toString()  # which holds a side's values in one task
+
+
+def test_profiles_take_one_row_a_line(spark):
+    kind = "group_id string, marker_id string, marker_class string, marker_category string, member_id string, species_label string"
+    matches = spark.createDataFrame([("g", "m1", "F", "a;b", "p", "s"), ("g", "m1", "F", "a", "q", "s"), ("g", "m2", "F", None, "q", "t")], kind)
+    found = benchmark.profiles(matches, ("group_id",))
+    assert rows(found, "profile_id", "marker_count", "marker_ids", "matched_member_count", "matched_species_labels") == [
+        ("F_ALL", 2, "m1;m2", 2, "s;t"), ("F_CATEGORY::UNCLASSIFIED", 1, "m2", 1, "t"), ("F_CATEGORY::a", 1, "m1", 2, "s"), ("F_CATEGORY::b", 1, "m1", 1, "s")
+    ]
+    assert "Expand" not in found._jdf.queryExecution().toString()
+
+
 @pytest.fixture(scope="module")
 def closed(spark):
     edges = [("a1", "A"), ("a2", "A"), ("b1", "B"), ("b2", "B"), ("A", "root"), ("B", "root"), ("c1", "C"), ("C", "root")]
