@@ -9,6 +9,7 @@ from kinfold import publish
 from kinfold.errors import InputError, IntegrityError
 from kinfold.operators import expression, lineage_graph, memberships
 from kinfold.plans import queries
+from kinfold.plans.bridge import Bridge
 from kinfold.quality import quality
 from kinfold.schemas import KEY
 from kinfold.sources import fasta, results, rowgroups, structures, taxdump
@@ -158,6 +159,12 @@ def test_publishing_makes_each_relation_once(spark, tmp_path):
     assert not (tmp_path / "other").exists()
 
 
+def test_second_version_is_read_from_the_first(spark, sf_dir, monkeypatch):
+    made, stats = [], Bridge.stats
+    monkeypatch.setattr(Bridge, "stats", lambda self: made.append(1) or stats(self))
+    assert queries.QUERIES["published_versions"](spark, sf_dir).count() == 2 and len(made) == 1
+
+
 def test_quality_names_what_fails(spark):
     key, group = ("r", "HOG", "N0"), ", ".join(f"{k} string" for k in KEY)
     stats = spark.createDataFrame([(*key, "g1", 2, 2), (*key, "g2", 1, 2), (*key, "g2", 3, 1)], f"{group}, member_count long, species_count long").withColumns({"single_copy_species_count": F.lit(1).cast("long"), "mean_copies_per_species": F.col("member_count") / F.col("species_count"), "is_singleton": F.col("member_count") == 1})
